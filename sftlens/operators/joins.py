@@ -1,0 +1,29 @@
+"""Join helpers: broadcast only behind a size check."""
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when it has at most this many rows (checked with a count).
+BROADCAST_MAX_ROWS = 200_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "inner",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join ``big`` with ``small``; broadcast ``small`` only if it is proven small.
+
+    The check is one ``count`` on ``small`` (typically a per-file / per-task /
+    catalog table).  Beyond the bound we fall back to an ordinary shuffle join
+    and let AQE choose (and split skewed partitions).
+    """
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on, how)
+
+
+def broadcast_dim(dim: DataFrame) -> DataFrame:
+    """Broadcast a dimension that is small *by construction* (a literal catalog or config
+    table with a handful of rows, not derived from data volume)."""
+    return F.broadcast(dim)

@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import stats_queries
+from . import sft_queries, stats_queries
 
-_MODULES = (stats_queries,)
+_MODULES = (stats_queries, sft_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
