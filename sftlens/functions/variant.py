@@ -5,6 +5,12 @@ Raw rows and generation samples are parsed once into a ``VARIANT`` column
 expression, so nothing leaves the JVM and no schema is ever inferred (a mixed
 ``resps`` column would otherwise degrade to STRING).
 
+Every accessor addresses the *root* column with one JSON path
+(``$['resps'][0][0]``) instead of chaining accessors, so expression trees stay
+shallow (chained accessors re-expand inside every CASE branch and blow up
+code generation).  Non-emptiness of a list is "element 0 exists", which
+avoids copying the list.
+
 ``schema_of_variant`` names: JSON null is ``VOID``; a missing key is SQL NULL.
 """
 from __future__ import annotations
@@ -27,147 +33,146 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def field(v, name: str) -> Column:
-    """``obj.get(name)`` as a VARIANT (SQL NULL when missing or ``v`` is not an object)."""
-    return F.try_variant_get(_c(v), f"$['{name}']", "variant")
+def key(name: str) -> str:
+    """Path step for an object key."""
+    return "['" + name.replace("'", "\\'") + "']"
 
 
-def item(v, i: int) -> Column:
-    """``lst[i]`` as a VARIANT (SQL NULL when out of range or ``v`` is not an array)."""
-    return F.try_variant_get(_c(v), f"$[{i}]", "variant")
+def at(v, path: str = "") -> Column:
+    """The value at ``$<path>`` as VARIANT; SQL NULL when absent or of the wrong shape."""
+    return F.try_variant_get(_c(v), "$" + path, "variant")
 
 
-def vtype(v) -> Column:
-    return F.schema_of_variant(_c(v))
+def vtype(v, path: str = "") -> Column:
+    return F.schema_of_variant(at(v, path)) if path else F.schema_of_variant(_c(v))
 
 
-def is_none(v) -> Column:
-    """Python ``x is None`` after ``dict.get``: missing key or JSON null."""
-    v = _c(v)
-    return v.isNull() | F.is_variant_null(v)
+def as_string(v, path: str = "") -> Column:
+    return F.try_variant_get(_c(v), "$" + path, "string")
 
 
-def is_list(v) -> Column:
-    return F.coalesce(vtype(v).startswith("ARRAY"), F.lit(False))
+def is_none(v, path: str = "") -> Column:
+    """Python ``x is None`` after ``dict.get``: missing or JSON null."""
+    x = at(v, path) if path else _c(v)
+    return x.isNull() | F.is_variant_null(x)
 
 
-def is_dict(v) -> Column:
-    return F.coalesce(vtype(v).startswith("OBJECT"), F.lit(False))
+def is_list(v, path: str = "") -> Column:
+    return F.coalesce(vtype(v, path).startswith("ARRAY"), F.lit(False))
 
 
-def is_str(v) -> Column:
-    return F.coalesce(vtype(v) == "STRING", F.lit(False))
+def is_str(v, path: str = "") -> Column:
+    return F.coalesce(vtype(v, path) == "STRING", F.lit(False))
 
 
-def list_size(v) -> Column:
-    return F.coalesce(F.size(F.try_variant_get(_c(v), "$", "array<variant>")), F.lit(-1))
+def nonempty_list(v, path: str = "") -> Column:
+    return is_list(v, path) & at(v, path + "[0]").isNotNull()
 
 
-def as_map(v) -> Column:
+def as_map(v, path: str = "") -> Column:
     """The object as ``MAP<STRING, VARIANT>``; NULL for anything that is not an object."""
-    return _c(v).try_cast("map<string,variant>")
+    return (at(v, path) if path else _c(v)).try_cast("map<string,variant>")
 
 
-def truthy(v) -> Column:
+def truthy(v, path: str = "") -> Column:
     """Python truthiness of a JSON value: null, "", 0, 0.0, false, [] and {} are falsy."""
-    v = _c(v)
-    t = vtype(v)
-    return (F.when(is_none(v), F.lit(False))
-            .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-            .when(t == "STRING", F.length(F.try_variant_get(v, "$", "string")) > 0)
-            .when(t.startswith("ARRAY"), list_size(v) > 0)
-            .when(t.startswith("OBJECT"), F.size(as_map(v)) > 0)
-            .when(t.rlike(_NUMERIC), F.try_variant_get(v, "$", "double") != 0)
+    t = vtype(v, path)
+    return (F.when(is_none(v, path), F.lit(False))
+            .when(t == "BOOLEAN", F.try_variant_get(_c(v), "$" + path, "boolean"))
+            .when(t == "STRING", F.length(as_string(v, path)) > 0)
+            .when(t.startswith("ARRAY"), at(v, path + "[0]").isNotNull())
+            .when(t.startswith("OBJECT"), t != "OBJECT<>")
+            .when(t.rlike(_NUMERIC), F.try_variant_get(_c(v), "$" + path, "double") != 0)
             .otherwise(F.lit(True)))
 
 
-def py_str(v) -> Column:
+def py_str(v, path: str = "") -> Column:
     """``str(x)`` of a JSON value: strings as-is, ``None``, ``True``/``False``, numbers as text.
 
-    Lists/objects render as JSON text (Python would print its repr); documented divergence.
+    SQL NULL when absent.  Lists/objects render as JSON text (Python prints
+    its repr); documented divergence.
     """
-    v = _c(v)
-    t = vtype(v)
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(F.is_variant_null(v), F.lit("None"))
-            .when(t == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True"))
+    x = at(v, path) if path else _c(v)
+    t = F.schema_of_variant(x)
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(t == "VOID", F.lit("None"))
+            .when(t == "STRING", F.try_variant_get(x, "$", "string"))
+            .when(t == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), F.lit("True"))
                   .otherwise(F.lit("False")))
-            .otherwise(F.to_json(v)))
+            .otherwise(F.to_json(x)))
 
 
 def first_truthy_text(v, fields: Sequence[str]) -> Column:
     """``str(row.get(f1) or row.get(f2) or ... or "")`` over the given field names."""
-    choices = [F.when(truthy(field(v, f)), py_str(field(v, f))) for f in fields]
+    choices = [F.when(truthy(v, key(f)), py_str(v, key(f))) for f in fields]
     return F.coalesce(*choices, F.lit(""))
 
 
-def _output_from(resps: Column) -> Column:
-    """One step of P7: NULL means "fall through to the next key"."""
-    first = item(resps, 0)
-    return (F.when(is_list(resps) & (list_size(resps) > 0) & is_list(first) & (list_size(first) > 0),
-                   py_str(item(first, 0)))
-            .when(is_list(resps) & (list_size(resps) > 0) & is_str(first),
-                  F.try_variant_get(first, "$", "string")))
+def _output_from(v, path: str) -> Column:
+    """One step of P7 at ``path``: NULL means "fall through to the next key"."""
+    first = path + "[0]"
+    return (F.when(nonempty_list(v, path) & nonempty_list(v, first), py_str(v, first + "[0]"))
+            .when(nonempty_list(v, path) & is_str(v, first), as_string(v, first)))
 
 
 def extract_output(v, keys: Sequence[str] = OUTPUT_KEYS) -> Column:
     """``resps`` then ``filtered_resps``; ``[[x]]`` -> x, ``[x]`` -> x, otherwise next; else ""."""
-    return F.coalesce(*[_output_from(field(v, k)) for k in keys], F.lit(""))
+    return F.coalesce(*[_output_from(v, key(k)) for k in keys], F.lit(""))
 
 
 def extract_filtered(v) -> Column:
     """The filtered output on its own (NULL when ``filtered_resps`` is missing/null)."""
-    fr = field(v, "filtered_resps")
-    return F.when(~is_none(fr), F.coalesce(_output_from(fr), F.lit("")))
+    p = key("filtered_resps")
+    return F.when(~is_none(v, p), F.coalesce(_output_from(v, p), F.lit("")))
 
 
 def extract_prompt(v) -> Column:
     """``arguments`` object (``gen_args_0.arg_0``, else first key in sorted order whose
     group has a non-null ``arg_0``), else ``arguments`` list (``[0][0]`` or string ``[0]``),
     else ``prompt``, else ""."""
-    args = field(v, "arguments")
-    m = as_map(args)
+    a = key("arguments")
     arg0 = F.map_filter(
-        F.transform_values(m, lambda k, g: F.try_variant_get(g, "$['arg_0']", "variant")),
-        lambda k, a: a.isNotNull() & ~F.is_variant_null(a))
+        F.transform_values(as_map(v, a), lambda k, g: F.try_variant_get(g, "$['arg_0']", "variant")),
+        lambda k, x: x.isNotNull() & ~F.is_variant_null(x))
     from_dict = F.coalesce(F.try_element_at(arg0, F.lit("gen_args_0")),
                            F.try_element_at(arg0, F.array_min(F.map_keys(arg0))))
-    first = item(args, 0)
-    from_list = (F.when(is_list(args) & (list_size(args) > 0) & is_list(first) & (list_size(first) > 0),
-                        py_str(item(first, 0)))
-                 .when(is_list(args) & (list_size(args) > 0) & is_str(first),
-                       F.try_variant_get(first, "$", "string")))
-    prompt = field(v, "prompt")
-    from_prompt = F.when(~is_none(prompt), py_str(prompt))
+    first = a + "[0]"
+    from_list = (F.when(nonempty_list(v, a) & nonempty_list(v, first), py_str(v, first + "[0]"))
+                 .when(nonempty_list(v, a) & is_str(v, first), as_string(v, first)))
+    p = key("prompt")
+    from_prompt = F.when(~is_none(v, p), py_str(v, p))
     return F.coalesce(py_str(from_dict), from_list, from_prompt, F.lit(""))
 
 
 def extract_doc_id(v, line) -> Column:
     """``doc_id``, else ``id``, else the line number -- as a VARIANT; 0 is a valid id."""
-    did, alt = field(v, "doc_id"), field(v, "id")
-    return (F.when(~is_none(did), did).when(~is_none(alt), alt)
+    did, alt = key("doc_id"), key("id")
+    return (F.when(~is_none(v, did), at(v, did)).when(~is_none(v, alt), at(v, alt))
             .otherwise(_c(line).cast("bigint").cast("variant")))
 
 
-def typed_key(v) -> Column:
+def typed_key(v, path: str = "") -> Column:
     """A key that keeps the JSON type, so ``0`` and ``"0"`` differ (Python set semantics).
 
-    Python also treats ``0 == 0.0 == False``; numbers are normalised through DOUBLE
-    and booleans to 0/1 so those collide as they do there.
+    Python also treats ``0 == 0.0 == False``; numbers go through DOUBLE and
+    booleans to 0/1 so those collide as they do there.
     """
-    v = _c(v)
-    t = vtype(v)
-    num = F.try_variant_get(v, "$", "double")
-    return (F.when(t.rlike(_NUMERIC) | (t == "BOOLEAN"),
-                   F.concat(F.lit("n:"), F.when(t == "BOOLEAN",
-                                                F.try_variant_get(v, "$", "boolean").cast("int").cast("string"))
-                            .otherwise(num.cast("string"))))
-            .when(t == "STRING", F.concat(F.lit("s:"), F.try_variant_get(v, "$", "string")))
-            .otherwise(F.concat(F.lit("j:"), F.to_json(v))))
+    x = at(v, path) if path else _c(v)
+    t = F.schema_of_variant(x)
+    num = F.try_variant_get(x, "$", "double")
+    return (F.when(t == "BOOLEAN", F.concat(F.lit("n:"), F.try_variant_get(x, "$", "boolean")
+                                            .cast("int").cast("double").cast("string")))
+            .when(t.rlike(_NUMERIC), F.concat(F.lit("n:"), num.cast("string")))
+            .when(t == "STRING", F.concat(F.lit("s:"), F.try_variant_get(x, "$", "string")))
+            .otherwise(F.concat(F.lit("j:"), F.to_json(x))))
 
 
 def doc_field(v, name_col) -> Column:
     """``doc.get(name)`` where ``doc`` is the sample's ``doc`` object (``{}`` if not an object)
     and ``name`` comes from a column (the per-task catalog field name)."""
-    return F.try_element_at(as_map(field(v, "doc")), _c(name_col))
+    return F.try_element_at(as_map(v, key("doc")), _c(name_col))
+
+
+def field(v, name: str) -> Column:
+    """``obj.get(name)`` as a VARIANT."""
+    return at(v, key(name))
