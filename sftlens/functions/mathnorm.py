@@ -126,21 +126,7 @@ def last_boxed(s: Column) -> Column:
     when there is none or the braces never balance."""
     idx_b = _last_index(s, "\\boxed")
     idx = F.when(idx_b > 0, idx_b).otherwise(_last_index(s, "\\fbox"))
-    tail = F.substring(s, idx, 1 << 30)
-    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(-1).alias("e"))
-
-    def step(acc, ch):
-        d = acc["d"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        closes = (ch == "}") & (d == 0)
-        return F.when(acc["e"] >= 0, acc).otherwise(
-            F.struct(d.alias("d"), (acc["i"] + 1).alias("i"),
-                     F.when(closes, acc["i"]).otherwise(F.lit(-1)).alias("e")))
-
-    end = F.aggregate(F.split(tail, ""), init, step)["e"]
-    braced = F.when((idx > 0) & (end >= 0), F.substring(tail, 1, end + 1))
-    spaced = F.concat(_lit("\\boxed "), F.substring_index(F.substring_index(s, "\\boxed ", -1), "$", 1))
-    return F.when(s.isNull(), F.lit(None).cast("string")) \
-            .when(F.instr(s, "\\boxed ") > 0, spaced).otherwise(braced)
+    return _last_boxed_from(s, idx)
 
 
 def remove_boxed(s: Column) -> Column:
@@ -159,3 +145,32 @@ def dollar_span(s: Column) -> Column:
     first = F.instr(s, "$")
     last = _last_index(s, "$")
     return F.when(n <= 1, s).otherwise(F.substring(s, first + 1, last - first - 1))
+
+
+def add_boxed_answer(df: DataFrame, src: str, dst: str) -> DataFrame:
+    """``remove_boxed(last_boxed(src))`` materialised step by step (each intermediate is
+    used several times by the next step; one column each keeps the plan small)."""
+    lb, idx = f"_{dst}_lb", f"_{dst}_idx"
+    s = F.col(src)
+    df = df.withColumn(idx, F.when(_last_index(s, "\\boxed") > 0, _last_index(s, "\\boxed"))
+                       .otherwise(_last_index(s, "\\fbox")))
+    df = df.withColumn(lb, _last_boxed_from(s, F.col(idx)))
+    return df.withColumn(dst, remove_boxed(F.col(lb))).drop(lb, idx)
+
+
+def _last_boxed_from(s: Column, idx: Column) -> Column:
+    tail = F.substring(s, idx, 1 << 30)
+    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(-1).alias("e"))
+
+    def step(acc, ch):
+        d = acc["d"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+        closes = (ch == "}") & (d == 0)
+        return F.when(acc["e"] >= 0, acc).otherwise(
+            F.struct(d.alias("d"), (acc["i"] + 1).alias("i"),
+                     F.when(closes, acc["i"]).otherwise(F.lit(-1)).alias("e")))
+
+    end = F.when(idx > 0, F.aggregate(F.split(tail, ""), init, step)["e"])
+    braced = F.when((idx > 0) & (end >= 0), F.substring(tail, 1, end + 1))
+    spaced = F.concat(_lit("\\boxed "), F.substring_index(F.substring_index(s, "\\boxed ", -1), "$", 1))
+    return F.when(s.isNull(), F.lit(None).cast("string")) \
+            .when(F.instr(s, "\\boxed ") > 0, spaced).otherwise(braced)

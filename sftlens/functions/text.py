@@ -19,6 +19,9 @@ _WS_INNER = (
 WS_CLASS = f"[{_WS_INNER}]"
 NON_WS_CLASS = f"[^{_WS_INNER}]"
 STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+\\z"
+# The same characters as a literal set, for ``trim(str, chars)`` (which only looks at the ends).
+PY_WHITESPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                         *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 # Truncation margin: an output is "possibly truncated" at max_gen_toks - 8 tokens.
 TRUNCATION_MARGIN = 8
@@ -29,8 +32,12 @@ def _c(x) -> Column:
 
 
 def py_strip(x) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(x), STRIP_PATTERN, "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace.
+
+    ``trim(str, chars)`` treats ``chars`` as a set and inspects only the two
+    ends, so it is O(whitespace) rather than a regex scan of the whole text.
+    """
+    return F.trim(_c(x), F.lit(PY_WHITESPACE))
 
 
 def is_blank(x) -> Column:
@@ -39,8 +46,16 @@ def is_blank(x) -> Column:
 
 
 def whitespace_token_count(x) -> Column:
-    """``len(text.split())``: number of maximal non-whitespace runs; 0 for NULL/empty."""
-    return F.coalesce(F.regexp_count(_c(x), F.lit(f"{NON_WS_CLASS}+")), F.lit(0)).cast("bigint")
+    """``len(text.split())``: number of maximal non-whitespace runs; 0 for NULL/empty.
+
+    Every Python whitespace character is first mapped to a space (``translate``,
+    a per-character table lookup), then token *starts* -- a non-space after a
+    space -- are counted with a one-character-class regex; about twice as
+    fast as counting runs of the full Unicode class.
+    """
+    spaced = F.translate(_c(x), PY_WHITESPACE, " " * len(PY_WHITESPACE))
+    n = F.regexp_count(F.concat(F.lit(" "), spaced), F.lit(" [^ ]"))
+    return F.coalesce(n, F.lit(0)).cast("bigint")
 
 
 def content_hash(x) -> Column:

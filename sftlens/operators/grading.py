@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mathnorm import dollar_span, last_boxed, normalize, remove_boxed
+from ..functions.mathnorm import add_boxed_answer, dollar_span, last_boxed, normalize, remove_boxed
 from ..functions.variant import doc_field, is_none, key, py_str, truthy
 
 MODES = ("reference", "fixed")
@@ -84,11 +84,23 @@ def grade(generations: DataFrame, gold: DataFrame, mode: str = "fixed",
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     j = generations.join(gold, list(keys), "inner")
-    g, g_is_str = gold_answer(F.col(doc_col), F.col("answer_field") if mode == "fixed" else "answer",
-                              F.col("solution_field") if mode == "fixed" else "solution", mode)
-    j = (j.withColumn("answer", extract_answer(F.col(output_col), mode))
-          .withColumn("gold", g)
-          .withColumn("_gold_str", g_is_str if mode == "reference" else F.lit(True)))
+    v = F.col(doc_col)
+    if mode == "reference":
+        ans = F.try_variant_get(v, "$" + key("answer"), "variant")
+        sol_ok, sol = truthy(v, key("solution")), F.try_variant_get(v, "$" + key("solution"), "string")
+        j = j.withColumn("answer", dollar_span(F.col(output_col)))
+    else:
+        ans = doc_field_v(v, F.col("answer_field"))
+        sol_v = doc_field_v(v, F.col("solution_field"))
+        sol_ok, sol = truthy(sol_v), py_str(sol_v)
+        j = add_boxed_answer(j, output_col, "_boxed")
+        j = j.withColumn("answer", F.coalesce(F.col("_boxed"), dollar_span(F.col(output_col)))).drop("_boxed")
+    j = (j.withColumn("_gans", ans).withColumn("_gsol", F.when(sol_ok, sol)))
+    j = add_boxed_answer(j, "_gsol", "_gbox")
+    j = (j.withColumn("gold", F.when(~is_none(F.col("_gans")), py_str(F.col("_gans"))).otherwise(F.col("_gbox")))
+          .withColumn("_gold_str", F.when(~is_none(F.col("_gans")), F.schema_of_variant(F.col("_gans")) == "STRING")
+                      .otherwise(F.lit(True)) if mode == "reference" else F.lit(True))
+          .drop("_gans", "_gsol", "_gbox"))
     j = is_equiv(j, "answer", "gold", "_eq")
     em = F.when(F.col("gold").isNotNull() & F.col("_gold_str") & F.col("_eq"), 1).otherwise(0)
     return j.withColumn("exact_match", em).drop("_eq", "_gold_str")
