@@ -21,23 +21,27 @@ from ..operators.joins import join_small
 POLICIES = ("fail", "collect", "drop")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], base: int = 1,
-               whole_file: bool = False) -> DataFrame:
-    """Lines of text files: ``file``, ``line`` (``base``-based, dense per file), ``text``."""
-    reader = spark.read.option("wholetext", "true") if whole_file else spark.read
-    paths = [path] if isinstance(path, str) else list(path)
-    raw = reader.text(paths).select(
-        F.col("value").alias("text"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
+def number_lines(raw: DataFrame, base: int = 1) -> DataFrame:
+    """Add ``line`` to rows ``text, file, _blk`` read from text files (batch or micro-batch)."""
+    raw = raw.withColumn("_mid", F.monotonically_increasing_id())
     blocks = raw.groupBy("file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     joined = join_small(raw, blocks.select("file", "_blk", "_m0", "_off"), ["file", "_blk"])
-    return joined.select(
-        "file", (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(base)).alias("line"), "text")
+    keep = [c for c in raw.columns if c not in ("_mid", "_blk")]
+    return joined.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(base)).alias("line"))
+
+
+def text_with_blocks(df: DataFrame) -> DataFrame:
+    """``text, file, _blk`` from a text-source DataFrame (``value`` + file metadata)."""
+    return df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("_blk"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], base: int = 1) -> DataFrame:
+    """Lines of text files: ``text, file, line`` (``base``-based, dense per file)."""
+    paths = [path] if isinstance(path, str) else list(path)
+    return number_lines(text_with_blocks(spark.read.text(paths)), base)
 
 
 def parse_jsonl(lines: DataFrame, on_error: str = "fail", text_col: str = "text") -> DataFrame:
