@@ -102,3 +102,27 @@ def discover_first(listing: DataFrame, tasks: list[str], patterns: list[str]) ->
     found = tagged.groupBy("task").agg(F.min("path").alias("path"))
     all_tasks = listing.sparkSession.createDataFrame([(t,) for t in tasks], "task string")
     return all_tasks.join(found, "task", "left")
+
+
+def file_status(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, length`` for the named files that exist (empty ones included).
+
+    For the handful of files manifests name (one per task): a metadata call per
+    path through the cluster file system.  A scan-based listing cannot be used
+    here because file scans skip zero-length files, and "empty" must differ
+    from "missing".
+    """
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    found = []
+    for p in sorted({p for p in paths if p}):
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if fs.exists(hp) and fs.getFileStatus(hp).isFile():
+            found.append((p, int(fs.getFileStatus(hp).getLen())))
+    return spark.createDataFrame(found, "path string, length long")
+
+
+def named_files(manifests: DataFrame, path_expr) -> list[str]:
+    """The distinct file paths a manifest table names (bounded by the number of manifests)."""
+    return [r[0] for r in manifests.select(path_expr.alias("p")).where("p IS NOT NULL").distinct().collect()]
