@@ -5,9 +5,11 @@ one task; with ``g`` empty it puts the whole table there.  Instead:
 
 1. range-partition on ``(g, k)`` and sort within partitions -- a hot ``g``
    is split over many partitions by the range bounds;
-2. ``checkpoint()`` (reliable, into the cluster's ``spark.checkpoint.dir``) so
-   the sampled range bounds and the ids below are fixed even if an executor
-   is lost and the stage re-runs;
+2. tag rows with ``monotonically_increasing_id`` (partition id in the high
+   bits, position in the low 33) and write the result once as a table in the
+   cluster's ``spark.checkpoint.dir`` -- the sampled range bounds and the ids
+   are then fixed even if an executor is lost and a stage re-runs, and the
+   ids travel as a column, so how the table is split on read does not matter;
 3. per (partition, g): first id and row count -- at most ``#partitions + #groups``
    rows -- turned into running offsets by a window over that small table;
 4. join the offsets back (broadcast after a size check) and add the position
@@ -20,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .joins import join_small
 
 
@@ -30,11 +32,10 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], partition_by: Sequ
 
     ``order`` must be a total order (include a unique tie-breaker).
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c) if isinstance(c, str) else c for c in (*partition_by, *order)]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ck = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ck = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "dense-index")
     ck = ck.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     pcols = list(partition_by)
     blocks = ck.groupBy(*pcols, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))

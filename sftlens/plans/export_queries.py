@@ -27,7 +27,7 @@ from ..operators.export import EXPORT_COLUMNS, flatten_samples, manifest_setting
 from ..operators.validate import validate_export_file, validate_samples
 from ..sources.catalog import TASK_CATALOG, task_catalog
 from ..sources.jsonl import parse_jsonl
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from .common import table
 
 TOKENIZER = CodePointTokenizer()
@@ -109,11 +109,10 @@ def sample_lines(spark: SparkSession, sf_dir: str, faults: bool = False) -> Data
 
 
 def as_file(df: DataFrame) -> DataFrame:
-    """Materialise a derived stand-in "file" once (reliable checkpoint in the shared
-    checkpoint folder), so later stages scan it like the JSONL file it stands for
-    instead of re-deriving -- and re-compiling -- it inside every consumer."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a derived stand-in "file" once (a table in the shared checkpoint
+    folder), so later stages scan it like the JSONL file it stands for instead of
+    re-deriving -- and re-compiling -- it inside every consumer."""
+    return materialize(df, "standin")
 
 
 def task_manifests(spark: SparkSession) -> DataFrame:

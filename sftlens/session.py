@@ -56,3 +56,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base.rstrip('/')}/sftlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet into a fresh folder under the shared checkpoint folder
+    and return a DataFrame reading it: the lineage is cut (executor loss re-reads the
+    table instead of recomputing upstream), and unlike ``Dataset.checkpoint`` the
+    input is computed only once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
