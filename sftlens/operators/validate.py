@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..session import materialize
 from ..functions.variant import extract_doc_id, extract_output, extract_prompt, field, is_none, py_str, typed_key
 
 ERROR_SCHEMA = "task string, line bigint, code string, detail string"
@@ -60,31 +61,50 @@ def count_mismatches(actual: DataFrame, expected: DataFrame | None, task_col: st
                      F.format_string("actual=%d, expected=%d", a, e).alias("detail")))
 
 
+def _facts(parsed: DataFrame, rules: Sequence[Column], key: Column, disp: Column, has_key: Column,
+           task_col: str, line_col: str) -> DataFrame:
+    """One pass over the wide parsed rows -> a narrow per-row table (rule hits, typed key),
+    written once to the shared checkpoint folder; every file-level rule reads that instead
+    of re-parsing the JSON."""
+    ok = ~F.col("parse_error")
+    facts = parsed.select(
+        F.col(task_col).alias("task"), F.col(line_col).cast("bigint").alias("line"),
+        F.col("parse_error"),
+        F.when(ok, F.array_compact(F.array(*rules))).alias("_rules"),
+        F.when(ok & has_key, key).alias("_key"), F.when(ok & has_key, disp).alias("_disp"))
+    return materialize(facts, "validate-facts")
+
+
+def _file_errors(facts: DataFrame, expected: DataFrame | None, dup_code: str, dup_prefix: str) -> DataFrame:
+    errs = facts.where(~F.col("parse_error")).select(
+        "task", "line", F.explode("_rules").alias("_e")).select(
+        "task", "line", F.col("_e.code").alias("code"), F.col("_e.detail").alias("detail"))
+    bad = facts.where(F.col("parse_error")).select(
+        "task", "line", F.lit("parse_error").alias("code"), F.lit(None).cast("string").alias("detail"))
+    keyed = facts.where(F.col("_key").isNotNull())
+    dups = repeats(keyed, ["task"], "_key", "line", dup_code, F.concat(F.lit(dup_prefix), F.col("_disp")))
+    actual = facts.groupBy("task").agg(F.count(F.lit(1)).alias("actual"))
+    return errs.unionByName(bad).unionByName(dups).unionByName(count_mismatches(actual, expected, "task"))
+
+
 def validate_samples(parsed: DataFrame, expected: DataFrame | None = None,
                      task_col: str = "task", line_col: str = "line") -> DataFrame:
     """V1 over ``parse_jsonl(..., on_error='collect')`` output (``task, line, v, parse_error``).
 
     Corrupt lines count toward ``actual`` (as in the reference) and produce
     ``parse_error``; ids compare by typed value, so ``0`` and ``"0"`` differ.
+    Runs one job eagerly (the narrow facts table); the result is lazy.
     """
     v = F.col("v")
-    rows = parsed.where(~F.col("parse_error"))
     out = extract_output(v)
     row_rules = [
         _rule(is_blank(out), "empty_output"),
         _rule(is_none(field(v, "resps")) & is_none(field(v, "filtered_resps")), "missing_resps"),
         _rule((extract_prompt(v) == "") & is_none(field(v, "doc")), "missing_prompt"),
     ]
-    errs = _explode_rules(rows, row_rules, task_col, line_col)
-    bad = parsed.where(F.col("parse_error")).select(
-        F.col(task_col).alias("task"), F.col(line_col).cast("bigint").alias("line"),
-        F.lit("parse_error").alias("code"), F.lit(None).cast("string").alias("detail"))
-    keyed = rows.select(F.col(task_col), F.col(line_col), extract_doc_id(v, F.col(line_col)).alias("_id"))
-    keyed = keyed.select(task_col, line_col, typed_key("_id").alias("_key"), py_str("_id").alias("_disp"))
-    dups = repeats(keyed, [task_col], "_key", line_col, "duplicate_doc_id",
-                   F.concat(F.lit("doc_id="), F.col("_disp")))
-    actual = parsed.groupBy(task_col).agg(F.count(F.lit(1)).alias("actual"))
-    return errs.unionByName(bad).unionByName(dups).unionByName(count_mismatches(actual, expected, task_col))
+    did = extract_doc_id(v, F.col(line_col))
+    facts = _facts(parsed, row_rules, typed_key(did), py_str(did), F.lit(True), task_col, line_col)
+    return _file_errors(facts, expected, "duplicate_doc_id", "doc_id=")
 
 
 def export_record_rules(v: Column, expected_method: str = "llama_tokenizer") -> list[Column]:
@@ -111,20 +131,13 @@ def export_record_rules(v: Column, expected_method: str = "llama_tokenizer") ->
 def validate_export_file(parsed: DataFrame, expected: DataFrame | None = None,
                          expected_method: str = "llama_tokenizer",
                          task_col: str = "task", line_col: str = "line") -> DataFrame:
-    """V3 (+V2 per row) over ``parse_jsonl(..., on_error='collect')`` of exported files."""
+    """V3 (+V2 per row) over ``parse_jsonl(..., on_error='collect')`` of exported files;
+    ``sample_id`` repeats are errors, NULL ids are ignored."""
     v = F.col("v")
-    rows = parsed.where(~F.col("parse_error"))
-    errs = _explode_rules(rows, export_record_rules(v, expected_method), task_col, line_col)
-    bad = parsed.where(F.col("parse_error")).select(
-        F.col(task_col).alias("task"), F.col(line_col).cast("bigint").alias("line"),
-        F.lit("parse_error").alias("code"), F.lit(None).cast("string").alias("detail"))
-    sid = rows.where(~is_none(field(v, "sample_id"))).select(
-        task_col, line_col, typed_key(field(v, "sample_id")).alias("_key"),
-        py_str(field(v, "sample_id")).alias("_disp"))
-    dups = repeats(sid, [task_col], "_key", line_col, "duplicate_sample_id",
-                   F.concat(F.lit("sample_id="), F.col("_disp")))
-    actual = parsed.groupBy(task_col).agg(F.count(F.lit(1)).alias("actual"))
-    return errs.unionByName(bad).unionByName(dups).unionByName(count_mismatches(actual, expected, task_col))
+    sid = field(v, "sample_id")
+    facts = _facts(parsed, export_record_rules(v, expected_method), typed_key(sid), py_str(sid),
+                   ~is_none(sid), task_col, line_col)
+    return _file_errors(facts, expected, "duplicate_sample_id", "sample_id=")
 
 
 def file_rules(files: DataFrame, listing: DataFrame, path_col: str, code_prefix: str,
