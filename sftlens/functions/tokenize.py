@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,8 +77,7 @@ class HFTokenizer:
         rtype = T.LongType() if counts else T.ArrayType(T.IntegerType())
 
         @F.pandas_udf(rtype)
-        def run(batches: Iterator) -> Iterator:
-            import pandas as pd
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)

@@ -32,3 +32,10 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("output"),
         whitespace_token_count("text").alias("tokens"),
     )
+
+
+def json_string_literal(c):
+    """A string column as a JSON string literal: ``to_json(array(c))`` minus the brackets
+    (a substring, not a regex pass over the whole text)."""
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)

@@ -28,7 +28,7 @@ from ..operators.validate import validate_export_file, validate_samples
 from ..sources.catalog import TASK_CATALOG, task_catalog
 from ..sources.jsonl import parse_jsonl
 from ..session import materialize
-from .common import table
+from .common import json_string_literal, table
 
 TOKENIZER = CodePointTokenizer()
 GIT_COMMIT = "unknown"
@@ -37,7 +37,7 @@ CREATED_AT = "2024-01-01T00:00:00+00:00"
 
 def _js(c):
     """A string column as a JSON string literal."""
-    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
+    return json_string_literal(c)
 
 
 def _task_cols(d: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grading import grade, is_equiv, mean_exact_match
 from ..sources.catalog import TASK_CATALOG, task_catalog
-from .common import table
+from .common import json_string_literal, table
 
 # Expected verdict per case k (0..11), by construction.
 EXPECTED = (True, True, True, True, False, True, False, True, True, True, True, False)
@@ -76,7 +76,7 @@ def _grading_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     gens = pairs.select(F.col("p_brand").alias("model"), "task", "doc_id", out.alias("output"))
     cat = task_catalog(spark).select("task", "answer_field", "solution_field")
     g = pairs.join(F.broadcast(cat), "task")
-    js = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
+    js = json_string_literal
     doc = F.when(F.col("k") % 5 == 0,
                  F.concat(F.lit('{"'), F.col("solution_field"), F.lit('":'),
                           js(F.concat(F.lit("We get $\\boxed{"), F.col("b"), F.lit("}$"))), F.lit("}"))) \

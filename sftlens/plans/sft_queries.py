@@ -20,7 +20,7 @@ from ..functions.text import content_hash, sql_py_strip
 from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS
 from ..operators.indexing import dense_index
 from ..operators.prepare import prepare_counters, sample_exact, unify_records
-from .common import table
+from .common import json_string_literal, table
 
 DATASET = "convs"
 SAMPLE_N = 500
@@ -31,7 +31,7 @@ FALSY_JSON = ('""', "0", "null", "[]", "{}", "false")
 
 def _json_string(col: str):
     """The column as a JSON string literal (``["..."]`` without the brackets)."""
-    return F.regexp_replace(F.to_json(F.array(F.col(col))), r"^\[|\]\z", "")
+    return json_string_literal(F.col(col))
 
 
 def user_assistant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
