@@ -8,6 +8,20 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Settings the jobs are designed around on a large cluster (apply in spark-submit or
+# the session builder; nothing here is required for correctness).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",                       # runtime re-planning
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",    # start high, merge small
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",              # split hot join keys
+    "spark.sql.shuffle.partitions": "20000",                    # upper bound; AQE coalesces
+    "spark.sql.files.maxPartitionBytes": "256m",                # scan split size
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.variant.allowDuplicateKeys": "true",             # last key wins, as in Python json
+    "spark.sql.session.timeZone": "UTC",
+}
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
                   app_name: str = "sftlens") -> SparkSession:
