@@ -86,17 +86,28 @@ def write_comparison(matrix: DataFrame, out_dir: str, models: list[str]) -> None
         out.close()
 
 
+# Model-name substrings (case-sensitive) and the short name they map to.
+MODEL_SHORT_NAMES = [(("LIMO", "limo"), "limo"), (("OpenR1", "openr1"), "openr1")]
+# Task-name substrings and the benchmark short name they map to.
+BENCH_SHORT_NAMES = [("math500", "math500"), ("aime24", "aime24"), ("aime25", "aime25")]
+
+
 def model_short(model: Column) -> Column:
-    """SK4: ``limo`` / ``openr1`` by pattern, else lower-case alphanumerics."""
-    return (F.when(model.contains("LIMO") | model.contains("limo"), F.lit("limo"))
-             .when(model.contains("OpenR1") | model.contains("openr1"), F.lit("openr1"))
-             .otherwise(F.regexp_replace(F.lower(model), "[^a-z0-9]", "")))
+    """SK4: the short name of the first matching pattern, else lower-case alphanumerics."""
+    out = F.regexp_replace(F.lower(model), "[^a-z0-9]", "")
+    for subs, short in reversed(MODEL_SHORT_NAMES):
+        cond = model.contains(subs[0])
+        for x in subs[1:]:
+            cond = cond | model.contains(x)
+        out = F.when(cond, F.lit(short)).otherwise(out)
+    return out
 
 
 def bench_short(task: Column) -> Column:
-    return (F.when(task.contains("math500"), F.lit("math500"))
-             .when(task.contains("aime24"), F.lit("aime24"))
-             .when(task.contains("aime25"), F.lit("aime25")).otherwise(task))
+    out = task
+    for sub, short in reversed(BENCH_SHORT_NAMES):
+        out = F.when(task.contains(sub), F.lit(short)).otherwise(out)
+    return out
 
 
 def output_name(model: Column, task: Column, limit: int | None = None) -> Column:
