@@ -18,7 +18,6 @@ _WS_INNER = (
 )
 WS_CLASS = f"[{_WS_INNER}]"
 NON_WS_CLASS = f"[^{_WS_INNER}]"
-STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+\\z"
 # The same characters as a literal set, for ``trim(str, chars)`` (which only looks at the ends).
 PY_WHITESPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
                                          *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))

@@ -1,8 +1,6 @@
 """Run-level rollups and completion judgement."""
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

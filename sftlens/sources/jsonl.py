@@ -5,8 +5,9 @@ rows keep file order.  We tag every row with (file, block start) and its
 ``monotonically_increasing_id`` (whose low 33 bits are the row's position in
 its partition), count rows per block (one small row per file split -- bounded
 by the number of splits, so broadcastable after a size check), turn those
-counts into per-file running offsets with a window over that small table, and
-add them back.  No row is ever funnelled through one task, and there is no
+counts into per-file running offsets with a window over that small table,
+write that table once, and add the offsets back: two passes over the text,
+like ``zipWithIndex``.  No row is ever funnelled through one task, and there is no
 Python round trip (unlike ``rdd.zipWithIndex``).  Blank lines keep their
 number, as in the reference.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
 from ..operators.joins import join_small
+from ..session import materialize
 
 POLICIES = ("fail", "collect", "drop")
 
@@ -27,7 +29,10 @@ def number_lines(raw: DataFrame, base: int = 1) -> DataFrame:
     blocks = raw.groupBy("file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    joined = join_small(raw, blocks.select("file", "_blk", "_m0", "_off"), ["file", "_blk"])
+    # one row per file split: written once, so the size check and the join do not
+    # each re-read the text to recount it
+    blocks = materialize(blocks.select("file", "_blk", "_m0", "_off"), "line-blocks")
+    joined = join_small(raw, blocks, ["file", "_blk"])
     keep = [c for c in raw.columns if c not in ("_mid", "_blk")]
     return joined.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(base)).alias("line"))
 
