@@ -11,11 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def repeat_rows(df: DataFrame, key_cols: Sequence[str], line_col: str) -> DataFrame:
     """Every occurrence of a key after its first (by ``line_col``) -- one row each,
-    with ``first_line`` of that key."""
+    with ``first_line`` of that key.
+
+    The narrow projection (keys, line) is written once and both the aggregate and
+    the join back read it, so wide inputs (texts hashed into keys) are read once.
+    """
     keys = list(key_cols)
+    df = materialize(df.select(*keys, line_col), "repeat-keys")
     first = df.groupBy(*keys).agg(F.min(line_col).alias("first_line"), F.count(F.lit(1)).alias("_n")) \
               .where(F.col("_n") > 1).drop("_n")
     return df.join(first, keys, "inner").where(F.col(line_col) > F.col("first_line"))

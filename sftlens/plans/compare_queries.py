@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sql_ws_token_count
 from ..operators.compare import MATRIX_METRICS, comparison_matrix, generation_complete, pair_runs, tokens_per_s
 from ..operators.stats import token_stats
+from ..session import materialize
 from .common import generations
 from .stats_queries import sql_percentile
 
@@ -59,7 +60,8 @@ def q_config_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = run_stats(spark, sf_dir)
+    # one row per model: written once, read by the matrix and by the pair verdicts
+    s = materialize(run_stats(spark, sf_dir), "run-stats")
     # The two comparability rows describe the first requested pair (en, fr).
     pair = pair_runs(s, spark.createDataFrame(PAIRS[:1], "model_a string, model_b string"))
     return comparison_matrix(s, MODELS, pair=pair)

@@ -117,3 +117,15 @@ def test_config_comparability(spark):
     assert ab["config_comparable"] and ab["throughput_comparable"] and not ab["configs_equal"]
     assert ab["conservativeness"] == -1
     assert not ac["config_comparable"] and not ac["throughput_comparable"]
+
+
+def test_write_comparison(spark, tmp_dir):
+    from sftlens.sinks.writers import write_comparison
+
+    m = spark.createDataFrame([("p50", 1.0, 2.0), ("tokens_per_s", 3.5, 0.0)], "metric string, a double, b double")
+    out = os.path.join(tmp_dir, "cmp")
+    write_comparison(m, out, ["a", "b"])
+    md = open(os.path.join(out, "comparison.md")).read()
+    assert "| Metric | a | b |" in md and "| tokens_per_s | 3.5 | 0.0 |" in md
+    assert spark.read.json(os.path.join(out, "json")).count() == 2
+    assert spark.read.option("header", "true").csv(os.path.join(out, "csv")).count() == 2
