@@ -18,10 +18,14 @@ class PublishError(RuntimeError):
     """The staged export failed validation; nothing was published."""
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: tuple[str, ...] = ()) -> None:
     """SK1: one JSON object per line; NULL fields are written as ``null`` (Spark drops
-    them by default, which would lose the ``gold_answer`` key)."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    them by default, which would lose the ``gold_answer`` key).  ``partition_by``
+    writes one folder per value (e.g. per model and task)."""
+    w = df.write.mode(mode).option("ignoreNullFields", "false")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.json(path)
 
 
 def _fs(spark: SparkSession, path: str):

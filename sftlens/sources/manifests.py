@@ -105,7 +105,7 @@ def discover_first(listing: DataFrame, tasks: list[str], patterns: list[str]) ->
 
 
 def file_status(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, length`` for the named files that exist (empty ones included).
+    """``path, length`` for the named files (or Spark output folders) that exist, empty included.
 
     For the handful of files manifests name (one per task): a metadata call per
     path through the cluster file system.  A scan-based listing cannot be used
@@ -118,8 +118,15 @@ def file_status(spark: SparkSession, paths: list[str]) -> DataFrame:
     for p in sorted({p for p in paths if p}):
         hp = jvm.org.apache.hadoop.fs.Path(p)
         fs = hp.getFileSystem(conf)
-        if fs.exists(hp) and fs.getFileStatus(hp).isFile():
-            found.append((p, int(fs.getFileStatus(hp).getLen())))
+        if not fs.exists(hp):
+            continue
+        st = fs.getFileStatus(hp)
+        if st.isFile():
+            found.append((p, int(st.getLen())))
+        else:  # a Spark output folder stands for one file: the size of its data parts
+            parts = [x for x in fs.listStatus(hp)
+                     if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+            found.append((p, int(sum(x.getLen() for x in parts))))
     return spark.createDataFrame(found, "path string, length long")
 
 
