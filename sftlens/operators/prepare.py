@@ -68,23 +68,41 @@ def prepare_counters(flagged: DataFrame) -> DataFrame:
 
 
 def sample_key(seed: int, id_col: str) -> Column:
-    """Reproducible, partition-independent pseudo-random key of a row."""
+    """Reproducible, partition-independent pseudo-random key of a row (hex md5)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
 def sample_exact(df: DataFrame, n: int | None, seed: int, id_col: str) -> DataFrame:
     """L1: exactly ``n`` rows uniformly without replacement when ``n < count``; else all rows.
 
-    Rows are ranked by ``md5(seed:id)`` (ties by id); only ``(id, key)`` is
-    ranked, and the chosen ids are joined back to the wide rows, so long texts
-    never pass through the top-k.  Same contract as Python's seeded sample,
-    different bits.
+    Rows are ranked by ``md5(seed:id)`` (ties by id).  To keep the final top-n
+    small whatever the partition count, a threshold on the first 60 bits of
+    the key is taken from ``percentile_approx`` at a fraction slightly above
+    ``n / count``; only rows at or below it stay candidates.  If the
+    approximation undershoots (fewer than ``n`` candidates) the fraction is
+    widened and the step repeated, so the result is always the exact top-n.
+    The exact ranking then runs over ~1.1 n candidates (top-k up to 100k rows,
+    distributed dense ranking beyond), and the chosen ids are semi-joined back,
+    so long texts never pass through the ranking.  The driver only sees the
+    count, the threshold and the candidate count.
     """
     if n is None:
         return df
-    keyed = df.select(F.col(id_col).alias("_sid"), sample_key(seed, id_col).alias("_skey"))
+    hexkey = sample_key(seed, id_col)
+    keyed = df.select(F.col(id_col).alias("_sid"), hexkey.alias("_skey"),
+                      F.conv(F.substring(hexkey, 1, 15), 16, 10).cast("long").alias("_sk60"))
+    total = keyed.count()
+    if n >= total:
+        return df
+    frac = min(1.0, n / total * 1.1 + 100.0 / total)
+    while True:
+        t = keyed.agg(F.percentile_approx("_sk60", frac, 10000)).first()[0]
+        cand = keyed.where(F.col("_sk60") <= t)
+        if frac >= 1.0 or cand.count() >= n:
+            break
+        frac = min(1.0, frac * 2)
     if n <= TOPK_MAX:
-        chosen = keyed.orderBy("_skey", "_sid").limit(n).select("_sid")
+        chosen = cand.orderBy("_skey", "_sid").limit(n).select("_sid")
     else:
-        chosen = dense_index(keyed, ["_skey", "_sid"], out="_rk").where(F.col("_rk") < n).select("_sid")
+        chosen = dense_index(cand, ["_skey", "_sid"], out="_rk").where(F.col("_rk") < n).select("_sid")
     return join_small(df, chosen, df[id_col] == chosen["_sid"], "left_semi", max_rows=TOPK_MAX)

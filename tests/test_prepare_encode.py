@@ -54,3 +54,13 @@ def test_collate_pads_to_longest_in_batch(spark):
     assert [out[i]["batch"] for i in range(5)] == [0, 0, 1, 1, 2]
     assert len(out[0]["input_ids"]) == len(out[1]["input_ids"]) == 4
     assert out[0]["input_ids"][-1] == 3 and out[0]["labels"][-1] == -100 and out[0]["attention_mask"][-1] == 0
+
+
+def test_sample_exact_matches_brute_force(spark):
+    import hashlib
+
+    df = spark.range(0, 3000).withColumnRenamed("id", "k").repartition(9)
+    for n in (1, 37, 1500, 2999):
+        want = sorted(range(3000), key=lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k))[:n]
+        got = sorted(r[0] for r in sample_exact(df, n, 7, "k").collect())
+        assert got == sorted(want), n
