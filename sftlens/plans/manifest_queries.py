@@ -108,3 +108,52 @@ UNION ALL SELECT 'run_' || model || '/' || task, 'export_file_not_found', NULL F
 QUERIES = {"validate_task_manifests": q_validate_task_manifests, "validate_run_manifests": q_validate_run_manifests}
 ORACLES = {"validate_task_manifests": SQL_VALIDATE_TASK_MANIFESTS,
            "validate_run_manifests": SQL_VALIDATE_RUN_MANIFESTS}
+
+
+def q_judge_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 + SC8 on the export stand-in's sample files.
+
+    Samples of ``local_aime24_32k`` carry the validation faults; every other
+    task's samples are clean.  A results file is written (one Spark output
+    folder per task) for the tasks whose name has no ``5``; ``src3``'s export
+    is reported as failed.  Output: ``task, status, n_errors``.
+    """
+    from ..operators.runs import judge_completion
+    from ..operators.validate import validate_samples
+    from ..sources.jsonl import parse_jsonl
+    from ..sources.manifests import discover_first, list_files
+    from .export_queries import sample_lines
+
+    base = scratch_dir(spark, "completion")
+    bad_task = "local_aime24_32k"
+    lines = (sample_lines(spark, sf_dir, faults=True).where(F.col("task") == bad_task)
+             .unionByName(sample_lines(spark, sf_dir).where(F.col("task") != bad_task)))
+    errors = validate_samples(parse_jsonl(lines, on_error="collect"))
+    tasks = lines.select("task").distinct()
+    (lines.where(~F.col("task").contains("5")).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+          .write.partitionBy("task").json(f"{base}/results"))
+    task_names = [r[0] for r in tasks.collect()]  # one row per task (a short list)
+    results = discover_first(list_files(spark, [f"{base}/results"]), task_names,
+                             ["task={task}/*.json", "results_{task}_*.json"])
+    export_failures = tasks.where(F.col("task").endswith("3")).select(
+        "task", F.lit("row count mismatch").alias("error"))
+    judged = judge_completion(tasks, errors, results, export_failures)
+    return judged.select("task", "status", F.size("completion_errors").cast("bigint").alias("n_errors"))
+
+
+SQL_JUDGE_COMPLETION = """
+WITH t AS (
+  SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'local_math500_32k' WHEN 1 THEN 'local_aime24_32k'
+                                  WHEN 2 THEN 'local_aime25_32k' ELSE source END AS task
+  FROM documents),
+e AS (
+  SELECT task, (CASE WHEN task = 'local_aime24_32k' THEN 1 ELSE 0 END)
+             + (CASE WHEN contains(task, '5') THEN 1 ELSE 0 END)
+             + (CASE WHEN suffix(task, '3') THEN 1 ELSE 0 END) AS n_errors
+  FROM t)
+SELECT task, CASE WHEN n_errors = 0 THEN 'complete' ELSE 'incomplete' END AS status, CAST(n_errors AS BIGINT) AS n_errors
+FROM e
+"""
+
+QUERIES["judge_completion"] = q_judge_completion
+ORACLES["judge_completion"] = SQL_JUDGE_COMPLETION

@@ -13,7 +13,6 @@ a ``binaryFile`` listing whose content column is never selected (so never read).
 """
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,25 +76,30 @@ def list_files(spark: SparkSession, roots: list[str], glob: str = "*") -> DataFr
             .option("pathGlobFilter", glob).load(roots).select("path", "length"))
 
 
+def _glob_part(g: str) -> str:
+    """Glob text -> regex: ``*`` and ``?`` stay within one path segment."""
+    return "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in g)
+
+
 def _glob_rx(pattern: str, task: str) -> str:
-    head, _, tail = pattern.partition("{task}")
-    body = fnmatch.translate(head)[4:-3] if head else ""
-    end = fnmatch.translate(tail)[4:-3] if tail else ""
-    return "^" + body + re.escape(task) + end + "$" if "{task}" in pattern else "^" + body + "$"
+    head, sep, tail = pattern.partition("{task}")
+    body = _glob_part(head) + (re.escape(task) + _glob_part(tail) if sep else "")
+    return ("(^|/)" if "/" in pattern else "^") + body + "$"
 
 
 def discover_first(listing: DataFrame, tasks: list[str], patterns: list[str]) -> DataFrame:
-    """SC8: per task, the first (sorted) path whose file name matches any of the
-    glob patterns (``{task}`` is substituted); a file matched by several patterns
-    counts once.  Each listed file is tagged with the tasks it matches (the task
-    list is short), then one aggregate keeps the minimum path -- no join.
-    Tasks with no match get a NULL path."""
+    """SC8: per task, the first (sorted) path matching any of the glob patterns
+    (``{task}`` is substituted); a pattern without ``/`` is matched against the
+    file name, one with ``/`` against the end of the path (like ``**/pattern``).
+    A file matched by several patterns counts once.  Each listed file is tagged
+    with the tasks it matches (the task list is short), then one aggregate keeps
+    the minimum path -- no join.  Tasks with no match get a NULL path."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     tags = []
     for t in tasks:
         hit = None
         for p in patterns:
-            c = name.rlike(_glob_rx(p, t))
+            c = (F.col("path") if "/" in p else name).rlike(_glob_rx(p, t))
             hit = c if hit is None else (hit | c)
         tags.append(F.when(hit, F.lit(t)))
     tagged = listing.select("path", F.explode(F.array_compact(F.array(*tags))).alias("task"))
