@@ -26,6 +26,17 @@ REQUIRED_MAX_GEN_TOKS = 32768
 MIN_MAX_MODEL_LEN = 32768
 
 
+_NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
+def _is_number(v: Column, name: str, value: float) -> Column:
+    """``obj.get(name) == value`` with Python typing: a JSON number equal to ``value``
+    (a string such as ``"32768"`` is not equal)."""
+    f = field(v, name)
+    return F.coalesce(F.schema_of_variant(f).rlike(_NUMERIC)
+                      & (F.try_variant_get(v, f"$['{name}']", "double") == value), F.lit(False))
+
+
 def _rule(cond: Column, code: str, detail: Column | None = None) -> Column:
     d = detail if detail is not None else F.lit(None).cast("string")
     return F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(code).alias("code"), d.alias("detail")))
@@ -116,8 +127,7 @@ def export_record_rules(v: Column, expected_method: str = "llama_tokenizer") ->
     rules.append(_rule(is_none(field(v, "doc_id")), "missing_doc_id"))
     gold_present = F.array_contains(F.map_keys(v.try_cast("map<string,variant>")), F.lit("gold_answer"))
     rules.append(_rule(~gold_present, "missing_gold_answer"))
-    mgt = F.try_variant_get(v, "$['max_gen_toks']", "double")
-    rules.append(_rule(F.coalesce(mgt != REQUIRED_MAX_GEN_TOKS, F.lit(True)), "bad_max_gen_toks",
+    rules.append(_rule(~_is_number(v, "max_gen_toks", REQUIRED_MAX_GEN_TOKS), "bad_max_gen_toks",
                        py_str(field(v, "max_gen_toks"))))
     mml = F.coalesce(F.try_variant_get(v, "$['max_model_len']", "double"), F.lit(0.0))
     rules.append(_rule(F.floor(mml) < MIN_MAX_MODEL_LEN, "short_max_model_len"))
@@ -161,8 +171,7 @@ def validate_task_manifests(manifests: DataFrame, listing: DataFrame, task_col:
     rules = [
         _rule(m.isNull(), "manifest_unreadable"),
         _rule(m.isNotNull() & F.coalesce(g("status") != "complete", F.lit(True)), "status", g("status")),
-        _rule(m.isNotNull() & F.coalesce(g("max_gen_toks", "double") != REQUIRED_MAX_GEN_TOKS, F.lit(True)),
-              "bad_max_gen_toks"),
+        _rule(m.isNotNull() & ~_is_number(m, "max_gen_toks", REQUIRED_MAX_GEN_TOKS), "bad_max_gen_toks"),
         _rule(m.isNotNull() & (F.floor(F.coalesce(g("max_model_len", "double"), F.lit(0.0))) < MIN_MAX_MODEL_LEN),
               "short_max_model_len"),
         _rule(m.isNotNull() & F.coalesce(g("export_status") != "complete", F.lit(True)), "export_status",
@@ -189,8 +198,7 @@ def validate_run_manifests(runs: DataFrame, listing: DataFrame, run_col: str = "
                                                                           == "BOOLEAN"), F.lit(False)),
               "predict_only"),
         _rule(m.isNotNull() & F.coalesce(g("judging_status") != "pending_local", F.lit(True)), "judging_status"),
-        _rule(m.isNotNull() & F.coalesce(g("max_gen_toks", "double") != REQUIRED_MAX_GEN_TOKS, F.lit(True)),
-              "bad_max_gen_toks"),
+        _rule(m.isNotNull() & ~_is_number(m, "max_gen_toks", REQUIRED_MAX_GEN_TOKS), "bad_max_gen_toks"),
         _rule(m.isNotNull() & (F.floor(F.coalesce(g("gpu_peak_memory_mib", "double"), F.lit(0.0))) <= 0),
               "gpu_peak_memory"),
         _rule(m.isNotNull() & ~F.coalesce(g("enable_chunked_prefill", "boolean")

@@ -53,7 +53,7 @@ def _record(**kw):
 
 def test_v2_v3_rules(spark):
     recs = [_record(sample_id="a"), _record(sample_id="a"), _record(sample_id=None), _record(sample_id=None),
-            _record(run_id=" "), _record(max_gen_toks=4096), _record(max_model_len=1024),
+            _record(run_id=" "), _record(max_gen_toks="32768"), _record(max_model_len=1024),
             _record(output_token_count=0), _record(output_token_count_method="split_estimate")]
     texts = [json.dumps(r) for r in recs]
     no_gold = _record(sample_id="b")
