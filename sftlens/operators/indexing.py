@@ -40,8 +40,8 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], partition_by: Sequ
     pcols = list(partition_by)
     blocks = ck.groupBy(*pcols, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*pcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialize(blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n"),
-                         "dense-index-blocks")
+    # computed from two narrow columns of the table just written -- cheap to re-read
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     joined = join_small(ck, blocks, [*pcols, "_pid"])
     return joined.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(base)) \
                  .drop("_mid", "_pid", "_m0", "_off")
