@@ -5,6 +5,10 @@ finalised and dropped; samples later than that are ignored), the aggregate
 is a tumbling ``window``, and the query runs in ``update`` mode: each
 micro-batch writes the windows it changed to ``.../batch_id=<n>``; readers
 take the maximum per window over all batches, which equals the batch result.
+
+Sampler timestamps are wall-clock strings parsed in the session time zone
+(watermarks need a zoned TIMESTAMP); hourly windows align with wall-clock
+hours in zones with whole-hour offsets, e.g. UTC.
 """
 from __future__ import annotations
 
