@@ -39,3 +39,27 @@ def json_string_literal(c):
     (a substring, not a regex pass over the whole text)."""
     j = F.to_json(F.array(c))
     return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+_STANDIN_FILES: dict[tuple, str] = {}
+
+
+def standin_file(spark: SparkSession, key: tuple, build, name: str) -> DataFrame:
+    """A derived stand-in "file": built by Spark from the driver tables and written once
+    per Spark application and data folder (in the shared checkpoint folder), like the
+    file it models; every query then runs its full work over it.  Re-derived if the
+    folder has gone."""
+    from ..session import scratch_dir
+
+    k = (spark.sparkContext.applicationId, *key)
+    path = _STANDIN_FILES.get(k)
+    if path is not None:
+        jvm = spark.sparkContext._jvm
+        hp = jvm.org.apache.hadoop.fs.Path(path)
+        if not hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp):
+            path = None
+    if path is None:
+        path = scratch_dir(spark, name)
+        build().write.parquet(path)
+        _STANDIN_FILES[k] = path
+    return spark.read.parquet(path)

@@ -27,8 +27,7 @@ from ..operators.export import EXPORT_COLUMNS, flatten_samples, manifest_setting
 from ..operators.validate import validate_export_file, validate_samples
 from ..sources.catalog import TASK_CATALOG, task_catalog
 from ..sources.jsonl import parse_jsonl
-from ..session import materialize
-from .common import json_string_literal, table
+from .common import json_string_literal, standin_file, table
 
 TOKENIZER = CodePointTokenizer()
 GIT_COMMIT = "unknown"
@@ -53,6 +52,10 @@ def _task_cols(d: DataFrame) -> DataFrame:
 
 
 def sample_lines(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
+    return standin_file(spark, ("samples", sf_dir, faults), lambda: _sample_lines(spark, sf_dir, faults), "samples")
+
+
+def _sample_lines(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
     """``task, line, text, model`` -- one raw sample line per document.
 
     With ``faults``: id % 11 = 5 corrupt line; id % 13 = 7 reuses id - 4
@@ -104,15 +107,7 @@ def sample_lines(spark: SparkSession, sf_dir: str, faults: bool = False) -> Data
     line = F.concat(F.lit("{"), id_key, idv, docpart, F.lit(","), args, F.lit(","), outs, F.lit("}"))
     if faults:
         line = F.when(did % 11 == 5, F.lit("{ broken json")).otherwise(line)
-    out = d.select("task", (did + 1).alias("line"), line.alias("text"), F.col("lang").alias("model"))
-    return as_file(out)
-
-
-def as_file(df: DataFrame) -> DataFrame:
-    """Materialise a derived stand-in "file" once (a table in the shared checkpoint
-    folder), so later stages scan it like the JSONL file it stands for instead of
-    re-deriving -- and re-compiling -- it inside every consumer."""
-    return materialize(df, "standin")
+    return d.select("task", (did + 1).alias("line"), line.alias("text"), F.col("lang").alias("model"))
 
 
 def task_manifests(spark: SparkSession) -> DataFrame:
@@ -153,6 +148,11 @@ def q_validate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standin_file(spark, ("export-lines", sf_dir), lambda: _export_lines_with_faults(spark, sf_dir),
+                        "export-lines")
+
+
+def _export_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exported records as JSON lines with injected faults: id % 9 = 4 blank ``run_id``;
     id % 10 = 3 ``max_gen_toks`` 4096; null gold on even ids loses its key; id % 8 = 5
     method ``split_estimate``; id % 31 = 7 repeats the sample id of id - 4;
@@ -170,7 +170,7 @@ def export_lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop_gold = F.col("gold_answer").isNull() & (did % 2 == 0)
     text = F.when(drop_gold, F.to_json(rec, {"ignoreNullFields": "true"})) \
             .otherwise(F.to_json(rec, {"ignoreNullFields": "false"}))
-    return as_file(e.select("task", "line", text.alias("text")))
+    return e.select("task", "line", text.alias("text"))
 
 
 def q_validate_export(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.text import content_hash, sql_py_strip
 from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS
 from ..operators.indexing import dense_index
 from ..operators.prepare import prepare_counters, sample_exact, unify_records
-from .common import json_string_literal, table
+from .common import json_string_literal, standin_file, table
 
 DATASET = "convs"
 SAMPLE_N = 500
@@ -45,7 +45,11 @@ def user_assistant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_sft_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``raw_index, line`` -- the stand-in raw JSONL file."""
+    """``raw_index, line`` -- the stand-in raw JSONL file (derived once per application)."""
+    return standin_file(spark, ("sft-lines", sf_dir), lambda: _raw_sft_lines(spark, sf_dir), "sft-lines")
+
+
+def _raw_sft_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = user_assistant_pairs(spark, sf_dir)
     p = (p.withColumn("_pj", _json_string("user_text"))
           .withColumn("_cj", _json_string("assistant_text"))
