@@ -15,6 +15,7 @@ from ..functions.tokenize import CodePointTokenizer
 from ..functions.variant import (doc_field, extract_doc_id, extract_filtered, extract_output,
                                  extract_prompt, is_none, py_str, typed_key)
 from ..sources.catalog import with_catalog
+from .joins import join_small
 
 # Manifest fields stamped on every record, with the default used
 # when the manifest lacks them.
@@ -66,7 +67,8 @@ def flatten_samples(samples: DataFrame, catalog: DataFrame, settings: DataFrame,
                     v_col: str = "v", task_col: str = "task", line_col: str = "line") -> DataFrame:
     """P7-P13 + J1/J2: the 34 exported fields plus ``doc_id_key`` (typed) and ``line``.
 
-    ``settings`` is :func:`manifest_settings` output (one row per task; broadcast).
+    ``settings`` is :func:`manifest_settings` output (one row per task; broadcast after
+    a size check, like the catalog).
     ``question`` defaults to ``""`` (JSON null gives ``"None"``, as ``str(None)``);
     ``gold_answer`` / ``gold_solution`` stay NULL when absent, ``0`` becomes ``"0"``.
     ``filtered_output`` is the filtered text when present and non-empty, else the raw output.
@@ -75,8 +77,8 @@ def flatten_samples(samples: DataFrame, catalog: DataFrame, settings: DataFrame,
     v = F.col(v_col)
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     s = with_catalog(samples, catalog, task_col)
-    s = s.join(F.broadcast(settings.withColumnRenamed(task_col, "_st_task")),
-               F.col(task_col) == F.col("_st_task"), "left").drop("_st_task")
+    st = settings.withColumnRenamed(task_col, "_st_task")
+    s = join_small(s, st, F.col(task_col) == F.col("_st_task"), "left").drop("_st_task")
     for name, default in MANIFEST_DEFAULTS.items():
         s = s.withColumn(name, F.coalesce(F.col(name), F.lit(default).cast(MANIFEST_TYPES[name])))
     did = extract_doc_id(v, F.col(line_col))

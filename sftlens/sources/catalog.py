@@ -43,11 +43,13 @@ def catalog_with_generation(spark: SparkSession) -> DataFrame:
 
 
 def with_catalog(df: DataFrame, catalog: DataFrame, task_col: str = "task") -> DataFrame:
-    """Left join the catalog (broadcast: a handful of rows by construction) and fill
-    the defaults for an unknown task: ``benchmark = upper(task)``, path/split ``unknown``,
-    lower-case field names."""
-    cat = F.broadcast(catalog.withColumnRenamed("task", "_cat_task"))
-    j = df.join(cat, df[task_col] == F.col("_cat_task"), "left")
+    """Left join the catalog (broadcast after a size check -- a catalog has a
+    handful of rows) and fill the defaults for an unknown task: ``benchmark =
+    upper(task)``, path/split ``unknown``, lower-case field names."""
+    from ..operators.joins import join_small
+
+    cat = catalog.withColumnRenamed("task", "_cat_task")
+    j = join_small(df, cat, df[task_col] == F.col("_cat_task"), "left")
     t = F.col(task_col)
     return (j.withColumn("benchmark", F.coalesce("benchmark", F.upper(t)))
              .withColumn("dataset_path", F.coalesce("dataset_path", F.lit("unknown")))
