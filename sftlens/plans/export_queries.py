@@ -272,3 +272,24 @@ QUERIES = {"export_flatten": q_export_flatten, "export_violations": q_export_vio
            "validate_samples": q_validate_samples, "validate_export": q_validate_export}
 ORACLES = {"export_flatten": SQL_EXPORT_FLATTEN, "export_violations": SQL_EXPORT_VIOLATIONS,
            "validate_samples": SQL_VALIDATE_SAMPLES, "validate_export": SQL_VALIDATE_EXPORT}
+
+
+def q_publish_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK2: publish the export through staging -> read back -> V3 -> row count -> rename,
+    then read the published records (a few columns) back."""
+    from ..session import scratch_dir
+    from ..sinks.writers import publish_validated
+
+    e = exported(spark, sf_dir).select(*EXPORT_COLUMNS)
+    dest = scratch_dir(spark, "published") + "/export"
+    publish_validated(e, dest, lambda parsed: validate_export_file(parsed, expected_method=TOKENIZER.name),
+                      expected_count=e.count())
+    return spark.read.schema("sample_id string, task string, output_hash string, output_token_count bigint, "
+                             "possibly_truncated boolean, gold_answer string").json(dest)
+
+
+SQL_PUBLISH_EXPORT = ("SELECT sample_id, task, output_hash, CAST(output_token_count AS BIGINT) AS output_token_count, "
+                      "possibly_truncated, gold_answer FROM (" + SQL_EXPORT_FLATTEN + ")")
+
+QUERIES["publish_export"] = q_publish_export
+ORACLES["publish_export"] = SQL_PUBLISH_EXPORT
