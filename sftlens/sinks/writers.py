@@ -34,34 +34,41 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def publish_validated(df: DataFrame, path: str, validate, expected_count: int | None = None) -> int:
-    """SK2: stage -> read back -> validate -> count -> rename.
-
-    ``validate(parsed_df) -> errors_df`` runs on the staged copy (e.g.
-    :func:`sftlens.operators.validate.validate_export_file`); only its first
+def publish_validated(df: DataFrame, path: str, validate, expected_count: int | None = None,
+                      task: str = "export") -> int:
+    """SK2: stage -> read back -> validate (rules + row count) -> rename.
+
+    The number of rows written is observed during the write itself
+    (``df.observe``), so no extra pass is needed; it becomes the expected count
+    of the read-back validation, whose count rule then catches any loss.
+    ``validate(parsed_df, expected_df) -> errors_df`` runs on the staged copy
+    (e.g. :func:`sftlens.operators.validate.validate_export_file`); only its first
     few violations reach the driver, for the message.  Returns the row count.
     """
+    from pyspark.sql import Observation
+
     from ..sources.jsonl import read_jsonl
 
     spark = df.sparkSession
     staging = f"{path.rstrip('/')}._staging-{uuid.uuid4().hex[:8]}"
-    write_jsonl(df, staging)
+    obs = Observation("published")
+    write_jsonl(df.observe(obs, F.count(F.lit(1)).alias("rows")), staging)
+    written = int(obs.get["rows"])
     fs, sp, jvm = _fs(spark, staging)
     try:
-        parsed = read_jsonl(spark, staging + "/*.json", on_error="collect").withColumn("task", F.lit("export"))
-        errors = validate(parsed)
-        bad = errors.limit(5).collect()
-        n = parsed.count()
+        if expected_count is not None and written != expected_count:
+            raise PublishError(f"expected {expected_count} rows but wrote {written}")
+        parsed = read_jsonl(spark, staging + "/*.json", on_error="collect").withColumn("task", F.lit(task))
+        expected = spark.createDataFrame([(task, written)], "task string, expected long")
+        bad = validate(parsed, expected).limit(5).collect()
         if bad:
             raise PublishError(f"validation failed: {[tuple(r) for r in bad]}")
-        if expected_count is not None and n != expected_count:
-            raise PublishError(f"wrote {expected_count} rows but read back {n}")
         dest = jvm.org.apache.hadoop.fs.Path(path)
         if fs.exists(dest):
             raise PublishError(f"destination exists: {path}")
         if not fs.rename(sp, dest):
             raise PublishError(f"rename failed: {staging} -> {path}")
-        return n
+        return written
     except BaseException:
         if fs.exists(sp):
             fs.delete(sp, True)

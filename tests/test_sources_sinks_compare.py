@@ -60,6 +60,8 @@ def test_write_jsonl_keeps_nulls_and_publish(spark, tmp_dir):
                                "output_token_count int, output_token_count_method string")
     dest = os.path.join(tmp_dir, "published")
     assert publish_validated(ok, dest, validate_export_file, expected_count=3) == 3
+    with pytest.raises(PublishError):
+        publish_validated(ok, os.path.join(tmp_dir, 'short'), validate_export_file, expected_count=4)
     assert os.path.isdir(dest)
     with pytest.raises(PublishError):
         publish_validated(ok.withColumn("max_gen_toks", F.lit(1)), os.path.join(tmp_dir, "bad"), validate_export_file)
