@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.validate import validate_samples
+from ..session import materialize
 from ..sources.jsonl import number_lines, parse_jsonl, text_with_blocks
 
 # The landing layout: <landing>/<stage>/model=<model>/task=<task>/<file>.
@@ -36,7 +37,8 @@ def ingest_samples(spark: SparkSession, landing_glob: str, sink: str, checkpoint
     def process(df: DataFrame, batch_id: int) -> None:
         lines = number_lines(df).withColumn("task", F.regexp_extract("file", PATH_TASK, 1)) \
                                 .withColumn("model", F.regexp_extract("file", PATH_MODEL, 1))
-        parsed = parse_jsonl(lines, on_error="collect").drop("text")
+        # parsed once, written once: validation and flattening both read this table
+        parsed = materialize(parse_jsonl(lines, on_error="collect").drop("text"), "ingest-parsed")
         validate_samples(parsed).write.mode("overwrite").parquet(f"{sink}/errors/batch_id={batch_id}")
         good = parsed.where(~F.col("parse_error"))
         flatten(good).write.mode("overwrite").parquet(f"{sink}/exported/batch_id={batch_id}")
