@@ -1,7 +1,6 @@
 """Property tests: random inputs, checked against the stated rules (one Spark job per example)."""
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from sftlens.functions.mathnorm import normalize
 from sftlens.functions.text import PY_WHITESPACE, is_blank, py_strip, whitespace_token_count
