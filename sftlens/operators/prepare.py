@@ -106,3 +106,26 @@ def sample_exact(df: DataFrame, n: int | None, seed: int, id_col: str) -> DataFr
     else:
         chosen = dense_index(cand, ["_skey", "_sid"], out="_rk").where(F.col("_rk") < n).select("_sid")
     return join_small(df, chosen, df[id_col] == chosen["_sid"], "left_semi", max_rows=TOPK_MAX)
+
+
+def prepare_to_jsonl(raw: DataFrame, dataset: str, out_path: str, sample_size: int | None = None,
+                     seed: int = 42, v_col: str = "v", index_col: str = "raw_index") -> dict:
+    """Prepare stage end to end: unified records -> optional exact sample -> JSON lines.
+
+    Returns ``{"total", "kept", "skipped", "written"}``.  The counters are
+    observed (``df.observe``) on the pass that produces the records, so
+    counting costs no extra job.
+    """
+    from pyspark.sql import Observation
+
+    from ..sinks.writers import write_jsonl
+
+    seen = Observation(f"prepare-{dataset}")
+    flagged = unify_records(raw, dataset, v_col, index_col, keep_skipped=True).observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count_if("kept").alias("kept"))
+    records = sample_exact(flagged.where("kept").drop("kept"), sample_size, seed, "id")
+    wrote = Observation(f"prepare-{dataset}-written")
+    write_jsonl(records.observe(wrote, F.count(F.lit(1)).alias("written")), out_path)
+    c, w = seen.get, wrote.get
+    return {"total": int(c["total"]), "kept": int(c["kept"]), "skipped": int(c["total"] - c["kept"]),
+            "written": int(w["written"])}

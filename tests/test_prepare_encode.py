@@ -64,3 +64,16 @@ def test_sample_exact_matches_brute_force(spark):
         want = sorted(range(3000), key=lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k))[:n]
         got = sorted(r[0] for r in sample_exact(df, n, 7, "k").collect())
         assert got == sorted(want), n
+
+
+def test_prepare_to_jsonl(spark, tmp_dir):
+    import os
+
+    from sftlens.operators.prepare import prepare_to_jsonl
+
+    objs = [{"problem": f"p{i}", "solution": f"s{i}"} for i in range(20)] + [{"problem": "", "solution": "x"}]
+    out = os.path.join(tmp_dir, "prepared")
+    c = prepare_to_jsonl(_raw(spark, objs), "limo", out, sample_size=7, seed=42)
+    assert c == {"total": 21, "kept": 20, "skipped": 1, "written": 7}
+    back = spark.read.json(out)
+    assert back.count() == 7 and set(back.columns) >= {"id", "source", "prompt", "completion", "metadata"}
