@@ -78,3 +78,41 @@ def collate_batches(encoded: DataFrame, batch_size: int, order_col: str, shard_c
              .withColumn("labels", F.concat("labels", F.array_repeat(F.lit(label_pad_id), pad)))
              .withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), pad)))
              .drop("_pos"))
+
+
+def encode_to_parquet(records: DataFrame, out_path: str, tokenizer=None,
+                      max_seq_length: int = DEFAULT_MAX_SEQ_LENGTH, batch_size: int | None = None,
+                      n_shards: int = 1, order_col: str = "id") -> dict:
+    """Encode stage end to end: records -> encoded rows (optionally padded per batch within
+    ``n_shards`` shards) -> parquet.  Returns E5's ``total, kept, skipped_empty,
+    skipped_too_long``.
+
+    Without batching the counters are observed on the single writing pass.  With
+    batching the encoded rows are written once (the batch numbering samples and
+    re-reads its input, which would count an observation twice) and the
+    counters come from that table's narrow ``status`` column.
+    """
+    from pyspark.sql import Observation
+
+    from ..session import materialize
+
+    tok = tokenizer or CodePointTokenizer()
+    flagged = encode_records(records, tok, max_seq_length, keep_all=True)
+    cols = ("id", "shard", "batch", "input_ids", "attention_mask", "labels")
+    if batch_size:
+        table = materialize(flagged, "encoded")
+        stats = encode_stats(table).first().asDict()
+        kept = table.where(F.col("status") == "kept").drop("status")
+        kept = kept.withColumn("shard", F.pmod(F.xxhash64(order_col), F.lit(n_shards)))
+        kept = collate_batches(kept, batch_size, order_col, "shard", tok.pad_or_eos)
+        kept.select(*[c for c in kept.columns if c in cols]).write.parquet(out_path)
+        return {k: int(v) for k, v in stats.items()}
+    seen = Observation("encode")
+    s = F.col("status")
+    observed = flagged.observe(
+        seen, F.count(F.lit(1)).alias("total"), F.count_if(s == "kept").alias("kept"),
+        F.count_if(s == "skipped_empty").alias("skipped_empty"),
+        F.count_if(s == "skipped_too_long").alias("skipped_too_long"))
+    kept = observed.where(s == "kept").drop("status")
+    kept.select(*[c for c in kept.columns if c in cols]).write.parquet(out_path)
+    return {k: int(v) for k, v in seen.get.items()}

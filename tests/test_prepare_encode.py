@@ -77,3 +77,21 @@ def test_prepare_to_jsonl(spark, tmp_dir):
     assert c == {"total": 21, "kept": 20, "skipped": 1, "written": 7}
     back = spark.read.json(out)
     assert back.count() == 7 and set(back.columns) >= {"id", "source", "prompt", "completion", "metadata"}
+
+
+def test_encode_to_parquet(spark, tmp_dir):
+    import os
+
+    from sftlens.operators.encode import encode_to_parquet
+
+    df = spark.createDataFrame([(f"r{i}", "p", "c" * (i + 1)) for i in range(10)] + [("e", "", "x")],
+                               "id string, prompt string, completion string")
+    out = os.path.join(tmp_dir, "encoded")
+    c = encode_to_parquet(df, out, max_seq_length=8, batch_size=2, n_shards=2)
+    assert c == {"total": 11, "kept": 6, "skipped_empty": 1, "skipped_too_long": 4}
+    back = spark.read.parquet(out).collect()
+    assert len(back) == 6
+    for r in back:
+        assert len(r["input_ids"]) == len(r["labels"]) == len(r["attention_mask"])
+    c2 = encode_to_parquet(df, os.path.join(tmp_dir, "flat"), max_seq_length=8)
+    assert c2 == c and spark.read.parquet(os.path.join(tmp_dir, "flat")).count() == 6
