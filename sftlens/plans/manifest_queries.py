@@ -157,3 +157,51 @@ FROM e
 
 QUERIES["judge_completion"] = q_judge_completion
 ORACLES["judge_completion"] = SQL_JUDGE_COMPLETION
+
+
+def q_active_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC3 + SC4 over a result tree written by Spark.
+
+    Per model (``lang``): run manifests ``r1`` and ``r2``, task manifests for
+    each of its sources in both runs, and a pointer to ``r2`` -- except ``es``
+    (no pointer) and ``de`` (pointer to ``r3``, which has no manifest).  Output:
+    per model the active run, whether it is an error, and how many task
+    manifests the active run contributes (other runs' are never read).
+    """
+    from ..sources.manifests import active_runs, scan_partitioned_tree, task_manifests_of
+
+    base = scratch_dir(spark, "result-tree")
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("root"), F.col("source").alias("task"))
+    pairs = d.distinct()
+    runs = F.array(F.lit("r1"), F.lit("r2"))
+    tm = pairs.select("root", F.explode(runs).alias("run_id"), "task").select(
+        F.lit("task_manifest").alias("kind"),
+        F.to_json(F.struct(F.col("task"), F.lit("complete").alias("status"))).alias("doc"), "root", "run_id", "task")
+    rm = pairs.select("root").distinct().select("root", F.explode(runs).alias("run_id")).select(
+        F.lit("run_manifest").alias("kind"), F.to_json(F.struct(F.col("run_id"))).alias("doc"), "root", "run_id",
+        F.lit(None).cast("string").alias("task"))
+    ptr = pairs.select("root").distinct().where(F.col("root") != "es").select(
+        F.lit("pointer").alias("kind"),
+        F.to_json(F.struct(F.when(F.col("root") == "de", F.lit("r3")).otherwise(F.lit("r2")).alias("active_run_id"),
+                           F.lit("complete").alias("status"))).alias("doc"),
+        "root", F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("string").alias("task"))
+    tm.unionByName(rm).unionByName(ptr).write.partitionBy("root", "run_id", "task").json(f"{base}/tree")
+    tree = scan_partitioned_tree(spark, f"{base}/tree")
+    roots = pairs.select("root").distinct()
+    active = active_runs(tree, roots)
+    n = task_manifests_of(tree, active).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return active.join(n, "root", "left").select(
+        F.col("root").alias("model"), "run_id", F.col("error").isNotNull().alias("is_error"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_task_manifests"))
+
+
+SQL_ACTIVE_RUNS = """
+WITH m AS (SELECT lang AS model, count(DISTINCT source) AS n FROM documents GROUP BY 1)
+SELECT model, CASE model WHEN 'es' THEN NULL WHEN 'de' THEN 'r3' ELSE 'r2' END AS run_id,
+  model IN ('es', 'de') AS is_error,
+  CAST(CASE WHEN model IN ('es', 'de') THEN 0 ELSE n END AS BIGINT) AS n_task_manifests
+FROM m
+"""
+
+QUERIES["active_runs"] = q_active_runs
+ORACLES["active_runs"] = SQL_ACTIVE_RUNS

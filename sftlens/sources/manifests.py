@@ -137,3 +137,12 @@ def file_status(spark: SparkSession, paths: list[str]) -> DataFrame:
 def named_files(manifests: DataFrame, path_expr) -> list[str]:
     """The distinct file paths a manifest table names (bounded by the number of manifests)."""
     return [r[0] for r in manifests.select(path_expr.alias("p")).where("p IS NOT NULL").distinct().collect()]
+
+
+def scan_partitioned_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The result tree as one table partitioned by ``root / run_id / task`` (written in a
+    single Spark job), each row one document with its ``kind`` -- the same columns as
+    :func:`scan_json_tree`, so :func:`active_runs` and :func:`task_manifests_of` apply."""
+    t = spark.read.schema("kind string, doc string, root string, run_id string, task string").json(path)
+    return t.select(F.col("_metadata.file_path").alias("file"), "kind", "root", "run_id", "task",
+                    F.try_parse_json("doc").alias("v"))
