@@ -143,3 +143,40 @@ FROM long GROUP BY metric
 QUERIES = {"throughput": q_throughput, "config_comparable": q_config_comparable, "compare_models": q_compare_models}
 ORACLES = {"throughput": SQL_THROUGHPUT, "config_comparable": SQL_CONFIG_COMPARABLE,
            "compare_models": SQL_COMPARE_MODELS}
+
+
+def q_comparison_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK3: write the matrix as JSON, CSV and Markdown, then read the CSV back."""
+    from ..session import scratch_dir
+    from ..sinks.writers import write_comparison
+
+    out = scratch_dir(spark, "comparison")
+    write_comparison(q_compare_models(spark, sf_dir), out, list(MODELS))
+    schema = "metric string, " + ", ".join(f"{m} double" for m in MODELS)
+    return spark.read.schema(schema).option("header", "true").csv(f"{out}/csv")
+
+
+def q_output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK4: the export name of every (model, task) group of ``documents`` and its size."""
+    from ..sinks.writers import output_name
+
+    g = generations(spark, sf_dir).groupBy("model", "task").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("model", "task", output_name(F.col("model"), F.col("task")).alias("name"),
+                    F.col("n").cast("bigint").alias("n"))
+
+
+SQL_OUTPUT_NAMES = """
+SELECT lang AS model, source AS task,
+  CASE WHEN contains(lang, 'LIMO') OR contains(lang, 'limo') THEN 'limo'
+       WHEN contains(lang, 'OpenR1') OR contains(lang, 'openr1') THEN 'openr1'
+       ELSE regexp_replace(lower(lang), '[^a-z0-9]', '', 'g') END || '_' ||
+  CASE WHEN contains(source, 'math500') THEN 'math500' WHEN contains(source, 'aime24') THEN 'aime24'
+       WHEN contains(source, 'aime25') THEN 'aime25' ELSE source END AS name,
+  CAST(count(*) AS BIGINT) AS n
+FROM documents GROUP BY 1, 2
+"""
+
+QUERIES["comparison_files"] = q_comparison_files
+QUERIES["output_names"] = q_output_names
+ORACLES["comparison_files"] = SQL_COMPARE_MODELS
+ORACLES["output_names"] = SQL_OUTPUT_NAMES
