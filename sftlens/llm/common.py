@@ -2,6 +2,9 @@
 column selection and distributed connected components."""
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,15 @@ MEMO_WORDS = 400_000
 BITMAP_BLOCK = 32768  # bits in one bitmap_construct_agg result
 
 
+def per_worker(key, make):
+    """``make()`` once per Python worker process: tasks that run there later get the same
+    object.  One object is held at a time."""
+    store = sys.modules.setdefault("_sftlens_per_worker", types.ModuleType("_sftlens_per_worker")).__dict__
+    if store.get("key") != key:
+        store.update(key=key, value=make())
+    return store["value"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 

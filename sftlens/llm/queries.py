@@ -6,19 +6,52 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, htmlextract, langid, pii, toxicity, urlfilter
 from .common import table
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None) -> DataFrame:
     with open(rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang") \
+        .withColumn("held_out", langid.remainder("doc_id", 4) == 2)
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "langs", "shares")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = langid.remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, labels, ~held_out)
+    return toxicity.scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
+    "op4_html_text": op4_html_text,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
