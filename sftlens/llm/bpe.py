@@ -8,7 +8,8 @@ were queued are skipped.  A pre-token of n bytes takes O(n) queue operations, so
 long pre-tokens (a run of letters, of spaces) stay linear.  Buckets are queues in position
 order because equal ranks merge left to right.
 
-Most pre-tokens are short and repeat; each task memoises them (bounded memo).
+Most pre-tokens are short and repeat; each Python worker memoises them (bounded memo, kept
+between its tasks).
 
 Edge cases: null or empty text has no tokens; special-token strings are ordinary text;
 repeated rows are encoded alike; an empty table gives an empty result; other columns of the
@@ -28,28 +29,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_worker
+
 SHORT = 64  # pieces up to this many characters are memoised
 
 
-class Memo:
+class Memo(dict):
     """``make`` remembered for short keys, in two generations of ``size / 2`` entries: what was
-    used since the last turnover survives the next one."""
+    used since the last turnover survives the next one.  Read with ``memo[key]``."""
 
     def __init__(self, make, size: int):
-        self.make, self.half, self.young, self.old = make, size // 2, {}, {}
+        super().__init__()
+        self.make, self.half, self.old = make, size // 2, {}
 
-    def of(self, key: str):
-        value = self.young.get(key)
-        if value is not None:
-            return value
+    def __missing__(self, key: str):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= SHORT:
-            if len(self.young) >= self.half:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """The tiktoken file format: base64 token, blank, rank per line."""
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}
@@ -64,7 +68,7 @@ class Codec:
         self.token = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern)
         # a blank before a letter or digit always starts a pre-token, whatever precedes it
-        self.chunks = re.compile(r" (?=[^\W_])")
+        self.chunks, self.odd = re.compile(r" (?=[^\W_])"), re.compile(r" (?![^\W_])")
         self.memo, self.said = Memo(self._piece_ids, 400_000), Memo(self._said, 400_000)
         self.byte_ids = [self.ranks.get(bytes([i])) for i in range(256)]
         self.words = [0] * (self.size // 256 + 1)  # all zero between calls
@@ -139,19 +143,20 @@ class Codec:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         if chunk[1:].isalpha() and chunk[0] == " ":  # one pre-token
-            return self.memo.of(chunk)
-        return [i for piece in self.split.findall(chunk) for i in self.memo.of(piece)]
+            return self.memo[chunk]
+        return [i for piece in self.split.findall(chunk) for i in self.memo[piece]]
 
-    def _said(self, chunk: str) -> tuple[str, int, bytes]:
-        ids = self.chunk_ids(chunk)
+    def _said(self, word: str, chunk: str | None = None) -> tuple[str, int, bytes]:
+        ids = self.chunk_ids(" " + word if chunk is None else chunk)
         return " ".join(map(str, ids)), len(ids), self.decode(ids)
 
     def pieces(self, text: str) -> list[str]:
-        parts = self.chunks.split(text)
-        return parts[:1] + [" " + p for p in parts[1:]]
+        """``text`` cut at blanks that start a pre-token; those blanks are left out."""
+        return text.split(" ") if not self.odd.search(text) else self.chunks.split(text)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.pieces(text or "") for i in self.chunk_ids(c)]
+        first, *rest = self.pieces(text or "")
+        return [i for c in (first, *(" " + p for p in rest)) for i in self.chunk_ids(c)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -161,8 +166,9 @@ class Codec:
         a chunk's ids are kept as their decimal text and as the bytes they decode to."""
         if not text:
             return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        rows = [row for row in map(self.said.of, self.pieces(text)) if row[1]]
-        words, counts, raw = zip(*rows)
+        first, *rest = self.pieces(text)
+        rows = [*([self._said("", first)] if first else []), *map(self.said.__getitem__, rest)]
+        words, counts, raw = zip(*rows, strict=True)
         return (sum(counts), hashlib.sha256(" ".join(words).encode("ascii")).hexdigest(),
                 hashlib.sha256(b"".join(raw)).hexdigest())
 
@@ -173,7 +179,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value, pattern)
+        codec = per_worker(("bpe", pattern, hash(shared.value)), lambda: Codec(shared.value, pattern))
         for b in batches:
             yield pd.DataFrame({id_col: b[id_col], "ids": [np.array(codec.encode(t), np.int32) for t in b[text_col]]})
 
@@ -186,7 +192,7 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str, id_col: str = "do
     shared = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value, pattern)
+        codec = per_worker(("bpe", pattern, hash(shared.value)), lambda: Codec(shared.value, pattern))
         for b in batches:
             yield pd.DataFrame({id_col: b[id_col], "decoded": [b"" if i is None else codec.decode(map(int, i)) for i in b["ids"]]})
 
@@ -199,7 +205,7 @@ def digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value, pattern)
+        codec = per_worker(("bpe", pattern, hash(shared.value)), lambda: Codec(shared.value, pattern))
         for b in batches:
             rows = [codec.digest(t) for t in b[text_col]]
             yield pd.DataFrame({id_col: b[id_col], "n_tokens": np.array([r[0] for r in rows], np.int64),
