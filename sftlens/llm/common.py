@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import scratch_dir
 from ..sources.tables import read_table
 
 # Entries kept by a worker's word-hash memo before it starts afresh (about 100 MB).
@@ -61,10 +61,10 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def bitmap_rows(df: DataFrame, bit: Column) -> DataFrame:
-    """``bit`` (0-based positions) as bitmap blocks: (block, bits binary of 4096 bytes)."""
-    return (df.select(bit.alias("_bit"))
-            .groupBy(F.expr(f"_bit div {BITMAP_BLOCK}").alias("block"))
-            .agg(F.expr(f"bitmap_construct_agg(_bit % {BITMAP_BLOCK})").alias("bits")))
+    """``bit`` (0-based positions) as bitmap blocks: (block, bits binary of 4096 bytes).  Bits
+    are shuffled before they are gathered, else every task would send every block."""
+    return (df.select(bit.alias("_bit")).withColumn("block", F.expr(f"_bit div {BITMAP_BLOCK}")).repartition("block")
+            .groupBy("block").agg(F.expr(f"bitmap_construct_agg(_bit % {BITMAP_BLOCK})").alias("bits")))
 
 
 def collect_bitmap(df: DataFrame, bit: Column, log2_bits: int) -> np.ndarray:
@@ -100,26 +100,50 @@ def semi_join_prefiltered(df: DataFrame, keys: DataFrame, key: str, log2_bits: i
     return pre.join(keys.select(key).distinct(), key, "left_semi")
 
 
+class Scratch:
+    """Tables of one job in the shared checkpoint folder.  Writing one cuts the lineage: a lost
+    executor re-reads it.  ``drop`` removes a table once nothing reads it any more.  Shuffle
+    files of a finished write are removed at once, so disk use is that of the current step."""
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.job, self.paths = spark, job, {}
+        spark.conf.set(self.CLEANUP, "true")
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_dir(self.spark, f"{self.job}-{name}")
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst longs): component is the
     smallest node reachable.  Alternating large-star and small-star rounds; each round is
     written to the checkpoint folder, so a lost executor never recomputes the chain.
     Hubs: minima are partial aggregates, and the join back is one AQE can split."""
-    cur = materialize(edges.where("src <> dst")
-                      .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), name)
+    keep = Scratch(edges.sparkSession, name)
+    cur = keep.write(edges.where("src <> dst")
+                     .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "0")
     state = None
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, name)
+        large = keep.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = (joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
-        cur = materialize(small, name)
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if tuple(now) == state:
+        cur = keep.write(small, str(i + 1))
+        keep.drop("large", str(i))
+        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.countDistinct("u")).first()
+        if now[0] == now[2] and tuple(now) == state:  # every node points at one head, and no round changes that
             break
         state = tuple(now)
     else:

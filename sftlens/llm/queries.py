@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlextract, langid, pii, toxicity, urlfilter
+from . import bpe, htmlextract, jaccard, langid, pii, substring, toxicity, urlfilter
 from .common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -20,6 +24,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None) -> DataFrame:
     with open(rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
@@ -46,8 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_html_text": op4_html_text,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,

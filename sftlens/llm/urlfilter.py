@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import Scratch
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Words of hosts that public blocklists sort under adult, gambling, advertising,
@@ -102,7 +102,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
         return ruled.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"),
                             F.lit(None).cast("double").alias("score"))
     # one row per host first: a hot host is one row before any suffix meets in a task
-    hosts = materialize(known.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")), "url-hosts")
+    hosts = Scratch(pages.sparkSession, "url").write(
+        known.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")), "hosts")
     lexed = lexical(ruled)
 
     def suffix_stats(df: DataFrame) -> DataFrame:
