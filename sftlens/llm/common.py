@@ -81,23 +81,26 @@ def test_bits(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (bitmap[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
 
 
-def semi_join_prefiltered(df: DataFrame, keys: DataFrame, key: str, log2_bits: int = 23) -> DataFrame:
-    """``df`` left-semi ``keys`` without shuffling most non-matching rows of ``df``.
+def split_by_keys(df: DataFrame, keys: DataFrame, key: str, key_in_keys: str | None = None, log2_bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` is certainly not in ``keys`` (null keys too), and the others.
 
-    A bitmap of hashed keys (1 MB whatever the input) is broadcast as rows of 4 KB and
-    drops rows whose bit is unset; the exact semi join follows.  ``keys`` must be cheap to
-    read twice.
+    A bitmap of hashed keys (1 MB whatever the input) is broadcast as rows of 4 KB, so no row of
+    ``df`` is shuffled.  ``keys`` must be cheap to read.
     """
     n = 1 << log2_bits
-    bit = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(n))
-    maps = bitmap_rows(keys, bit)
-    pos = F.col("_pos")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast((_pos % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, cast(_pos % 8 as int)) & 1") == 1
-    cols = df.columns
-    pre = (df.withColumn("_pos", bit).withColumn("block", F.expr(f"_pos div {BITMAP_BLOCK}"))
-           .join(F.broadcast(maps), "block").withColumn("_byte", byte).where(hit & pos.isNotNull()).select(*cols))
-    return pre.join(keys.select(key).distinct(), key, "left_semi")
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(n))
+    maps = bitmap_rows(keys, bit(key_in_keys or key)).withColumnsRenamed({"block": "_block", "bits": "_bits"})
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast((_pos % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    marked = (df.withColumn("_pos", bit(key)).withColumn("_block", F.expr(f"_pos div {BITMAP_BLOCK}"))
+              .join(F.broadcast(maps), "_block", "left").withColumn("_byte", byte)
+              .withColumn("_hit", F.col(key).isNotNull() & F.coalesce(F.expr("shiftright(_byte, cast(_pos % 8 as int)) & 1") == 1, F.lit(False))))
+    return marked.where(~F.col("_hit")).select(*cols), marked.where("_hit").select(*cols)
+
+
+def semi_join_prefiltered(df: DataFrame, keys: DataFrame, key: str, log2_bits: int = 23) -> DataFrame:
+    """``df`` left-semi ``keys`` without shuffling most non-matching rows of ``df``."""
+    return split_by_keys(df, keys, key, log2_bits=log2_bits)[1].join(keys.select(key).distinct(), key, "left_semi")
 
 
 class Scratch:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, collect_bitmap, connected_components, mix64, semi_join_prefiltered, signed, test_bits
+from .common import Scratch, WordHash, collect_bitmap, connected_components, mix64, semi_join_prefiltered, signed, split_by_keys, test_bits
 
 FREQUENT = 8        # documents from which a shingle counts as frequent
 LOG2_BITMAP = 24
@@ -250,3 +250,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                                                  F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     keep.drop("signed", "members", "packed", "star", "cross", "mixed", "comp", "comp-all", "placed")
     return out
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id; of rows with the same
+    id and text, one.  Rows with a null id stay.  Only documents that may go are shuffled."""
+    keep = Scratch(docs.sparkSession, "jaccard-dedup")
+    found = keep.write(near_duplicates(docs, k, percent, id_col, text_col).where(F.col(id_col).isNotNull()), "found")
+    odd = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("component_id") != F.col(id_col)).alias("_goes"), F.count(F.lit(1)).alias("_n")) \
+        .where("_goes or _n > 1")
+    odd = keep.write(odd, "odd")
+    sure, maybe = split_by_keys(docs, odd, id_col, "_id")
+    kept = maybe.join(odd, F.col(id_col) == F.col("_id"), "left").where("_goes is null or not _goes")
+    once = kept.where("_n is null").select(*docs.columns).union(kept.where("_n > 1").select(*docs.columns).dropDuplicates([id_col, text_col]))
+    return sure.union(once)

@@ -205,6 +205,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         run, f"{head}, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
+def tag(docs: DataFrame, model: tuple[list[str], np.ndarray], out: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the predicted language in column ``out``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        (langs, probs), is_letter = shared.value, letters()
+        for b in batches:
+            yield pd.Series([r[0] for r in infer(b.tolist(), langs, probs, is_letter)], dtype=object)
+
+    return docs.withColumn(out, F.pandas_udf(run, "string")(F.col(text_col)))
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string")) % n

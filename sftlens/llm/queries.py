@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlextract, jaccard, langid, pii, substring, toxicity, urlfilter
+from . import bpe, decontam, htmlextract, jaccard, langid, neardup, pii, substring, toxicity, urlfilter
 from .common import table
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_windows(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -54,9 +62,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_html_text": op4_html_text,
+    "op5_decontamination": op5_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
