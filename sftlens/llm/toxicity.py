@@ -7,9 +7,9 @@
    counted over all documents.
 3. Index: examples with equal vectors form one entry that carries the class weights.  Each term
    has a posting list cut into blocks of entries, with the largest weight of each block.
-4. Score: for a document's vector the block maxima bound every block's cosines; blocks are opened
-   from the highest bound down until no bound reaches the K-th best cosine found, so the
-   neighbours are exact.  Neighbours vote with weight cosine squared, together with a small prior.
+4. Score: for a document's vector the block maxima bound every block's cosines; the blocks with the
+   highest bounds are opened first, then those whose bound reaches the K-th best cosine found, so
+   the neighbours are exact.  Neighbours vote with weight cosine squared, together with a small prior.
    Documents whose vector is zero get the rate of the examples whose vector is zero.
 
 Equal vectors are scored once per task (bounded memo).
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +31,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, per_worker, split_by_keys
+
 PER_CLASS = 6000
-TERMS = 3000
+TERMS = 1000
 MIN_DOCS = 4
 CHI2 = 25.0
 K = 20
 BLOCK = 64
+FIRST = 8  # blocks opened before the first bound is known
 MEMO = 100_000
 PRIOR = 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -51,47 +55,41 @@ def features(token: str) -> list[str]:
     return out
 
 
-class Terms:
+class Terms(dict):
     """Token -> numbers of its selected terms (memoised, bounded)."""
 
     def __init__(self, names):
-        self.index, self.memo = {t: i for i, t in enumerate(names)}, {}
-
-    def of(self, token: str) -> tuple[int, ...]:
-        got = self.memo.get(token)
-        if got is None:
-            index = self.index
-            got = tuple(index[f] for f in features(token) if f in index)
-            if len(self.memo) >= 400_000:
-                self.memo.clear()
-            self.memo[token] = got
+        super().__init__()
+        self.index = {t: i for i, t in enumerate(names)}
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        got = tuple(self.index[f] for f in features(token) if f in self.index)
+        if len(self) >= 400_000:
+            self.clear()
+        self[token] = got
         return got
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        of = self.of
-        for ids in map(of, (text or "").split()):
+        for ids in filter(None, map(self.__getitem__, (text or "").split())):
             for i in ids:
                 out[i] = out.get(i, 0) + 1
         return out
 
 
-def examples(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """(_id, text, toxic) of the sampled labelled rows, and (labelled, sampled) counts by class."""
+def examples(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """(_id, text, toxic) of the sampled labelled rows, and how many labelled rows a class has.
+    Ids are joined and sampled first; only texts that are likely in the sample are shuffled."""
+    keep = Scratch(docs.sparkSession, "toxicity")
     lab = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    rows = docs.where(learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(lab, "_id")
-    counts = {r.toxic: r["count"] for r in docs.where(learn).select(F.col(id_col).alias("_id")).join(lab, "_id").groupBy("toxic").count().collect()}
-    # ids by hash: keep a class whole if it is small, else the ids under a hash bound, cut exactly
-    parts, bound = [], 2 ** 40
-    for y, n in counts.items():
-        share = min(1.0, 1.0 * PER_CLASS / n)
-        parts.append((F.col("toxic") == y) & (F.pmod(F.xxhash64("_id"), F.lit(bound)) < int(share * bound)))
-    if not parts:
-        return rows.limit(0), {}
-    keep = parts[0]
-    for p in parts[1:]:
-        keep = keep | p
-    return rows.where(keep), counts
+    known = keep.write(docs.where(learn).select(F.col(id_col).alias("_id")).join(lab, "_id"), "known")
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    chosen, bound = F.lit(False), 1 << 40
+    for y, n in counts.items():  # a small class whole, else the ids under a hash bound
+        chosen = chosen | ((F.col("toxic") == y) & (F.pmod(F.xxhash64("_id"), F.lit(bound)) < int(min(1.0, PER_CLASS / n) * bound)))
+    chosen = keep.write(known.where(chosen).distinct(), "chosen")
+    rows = split_by_keys(docs.where(learn).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), chosen, "_id")[1]
+    return keep.write(rows.join(chosen, "_id"), "examples"), counts
 
 
 def select_terms(sample: DataFrame) -> tuple[list[str], dict[int, int]]:
@@ -131,12 +129,12 @@ def document_frequencies(docs: DataFrame, text_col: str, names: list[str]) -> tu
     """Rows of ``docs`` and, per term, how many hold it; counted over all rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, df, rows = Terms(names), np.zeros(len(names) + 1, np.int64), 0
-        of = terms.of
+        of = per_worker(("terms", hash(tuple(names))), lambda: Terms(names)).__getitem__
+        df = np.zeros(len(names) + 1, np.int64)
         for b in batches:
             for text in b["text"]:
                 df[-1] += 1
-                hit = {i for ids in map(of, (text or "").split()) for i in ids}
+                hit = {i for ids in set(map(of, (text or "").split())) for i in ids}
                 if hit:
                     df[list(hit)] += 1
         at = df.nonzero()[0]
@@ -157,46 +155,43 @@ class Index:
         self.ids = [v[4] for v in vectors]
         self.pos = np.array([v[2] for v in vectors])
         self.neg = np.array([v[3] for v in vectors])
-        self.blocks = -(-len(vectors) // BLOCK)
+        self.size, blocks = len(vectors), -(-len(vectors) // BLOCK)
         lists: dict[int, tuple[list[int], list[float]]] = {}
         for i, (terms, weights, *_) in enumerate(vectors):
             for t, w in zip(terms, weights, strict=True):
                 ids, ws = lists.setdefault(t, ([], []))
                 ids.append(i)
                 ws.append(w)
-        self.lists, self.cuts, self.tops = {}, {}, {}
-        for t, (ids, ws) in lists.items():
-            ids, ws = np.array(ids), np.array(ws)
-            self.lists[t] = (ids, ws)
-            self.cuts[t] = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, ids // BLOCK, ws)
-            self.tops[t] = top
+        self.lists = {t: (np.array(ids), np.array(ws)) for t, (ids, ws) in lists.items()}
+        self.row = {t: i for i, t in enumerate(self.lists)}
+        self.tops = np.zeros((len(self.lists), blocks))
+        for t, (ids, ws) in self.lists.items():
+            np.maximum.at(self.tops[self.row[t]], ids // BLOCK, ws)
 
     def nearest(self, terms, weights, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the k nearest entries and of all that tie with the last."""
         own = [(t, w) for t, w in zip(terms, weights, strict=True) if t in self.lists]
-        bound = np.zeros(self.blocks)
-        for t, w in own:
-            bound += w * self.tops[t]
-        ids, cos = np.zeros(0, np.int64), np.zeros(0)
-        kth, fresh = 0.0, 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = np.array([w for _, w in own]) @ self.tops[[self.row[t] for t, _ in own]]
+        ids = np.concatenate([self.lists[t][0] for t, _ in own])
+        ws = np.concatenate([w * self.lists[t][1] for t, w in own])
+        block = ids // BLOCK
+        opened = np.zeros(len(bound), bool)
+        cos, kth = np.zeros(self.size), 0.0
+        for _ in range(2):  # the blocks with the highest bounds, then all that may still matter
+            todo = (bound > 0) & (bound >= kth - 1e-9) & ~opened
+            if not opened.any() and len(bound) > FIRST:
+                todo &= bound >= np.partition(bound, -FIRST)[-FIRST]
+            if not todo.any():
                 break
-            acc = np.zeros(BLOCK)
-            for t, w in own:
-                s, e = self.cuts[t][b], self.cuts[t][b + 1]
-                if e > s:
-                    acc[self.lists[t][0][s:e] - b * BLOCK] += w * self.lists[t][1][s:e]
-            at = np.flatnonzero(acc > max(kth - 1e-9, 0))
-            if len(at):
-                ids, cos = np.concatenate([ids, at + b * BLOCK]), np.concatenate([cos, acc[at]])
-                if len(cos) >= k:
-                    kth = np.partition(cos, -k)[-k]
-                    near = cos >= kth - 1e-9
-                    ids, cos = ids[near], cos[near]
-        return ids, cos
+            opened |= todo
+            here = todo[block]
+            cos += np.bincount(ids[here], weights=ws[here], minlength=self.size)
+            if self.size >= k:
+                kth = np.partition(cos, -k)[-k]
+        at = np.flatnonzero(cos >= max(kth - 1e-9, 1e-12))
+        return at, cos[at]
 
 
 class Scorer:
@@ -270,10 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 def scores(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) of every row; evidence names the nearest examples."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, job = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*shared.value)
+        scorer = per_worker(("scorer", job), lambda: Scorer(*shared.value))
         for b in batches:
             got = [scorer.score(t) for t in b[text_col]]
             yield pd.DataFrame({id_col: b[id_col], "score": np.array([g[0] for g in got], float), "evidence": [g[1] for g in got]})
