@@ -71,16 +71,35 @@ class HFTokenizer:
         import tokenizers  # noqa: F401  (fail early if the package is missing)
 
         self.path, self.eos_token, self.pad_id, self.name = path, eos_token, pad_id, name
+        with open(path, encoding="utf-8") as f:  # read here and shipped, so workers need no such file
+            self._json = f.read()
+
+    @property
+    def eos_id(self) -> int | None:
+        """Id of ``eos_token`` in the tokenizer file; None if it has none."""
+        if not self.eos_token:
+            return None
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self._json).token_to_id(self.eos_token)
+
+    @property
+    def pad_or_eos(self) -> int:
+        """Padding id: ``pad_id``, else the id of the end token."""
+        pad = self.pad_id if self.pad_id is not None else self.eos_id
+        if pad is None:
+            raise ValueError("the tokenizer needs a pad_id, or an eos_token that its file knows, to pad batches")
+        return pad
 
     def _udf(self, add_special_tokens: bool, counts: bool):
-        path = self.path
+        text = self._json
         rtype = T.LongType() if counts else T.ArrayType(T.IntegerType())
 
         @F.pandas_udf(rtype)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             from tokenizers import Tokenizer
 
-            tok = Tokenizer.from_file(path)
+            tok = Tokenizer.from_str(text)
             for s in batches:
                 texts = s.fillna("").tolist()
                 enc = tok.encode_batch(texts, add_special_tokens=add_special_tokens)

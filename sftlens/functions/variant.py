@@ -154,15 +154,17 @@ def extract_doc_id(v, line) -> Column:
 def typed_key(v, path: str = "") -> Column:
     """A key that keeps the JSON type, so ``0`` and ``"0"`` differ (Python set semantics).
 
-    Python also treats ``0 == 0.0 == False``; numbers go through DOUBLE and
-    booleans to 0/1 so those collide as they do there.
+    Python also treats ``0 == 0.0 == False``: whole numbers of any type and booleans become
+    the same decimal text (exact beyond 2**53), and only fractions go through DOUBLE.
     """
     x = at(v, path) if path else _c(v)
     t = F.schema_of_variant(x)
     num = F.try_variant_get(x, "$", "double")
-    return (F.when(t == "BOOLEAN", F.concat(F.lit("n:"), F.try_variant_get(x, "$", "boolean")
-                                            .cast("int").cast("double").cast("string")))
-            .when(t.rlike(_NUMERIC), F.concat(F.lit("n:"), num.cast("string")))
+    exact = F.try_variant_get(x, "$", "decimal(38,0)")
+    whole = F.rlike(t, F.lit(r"^(TINYINT|SMALLINT|INT|BIGINT)")) | (num == F.floor(num))
+    number = F.when(whole & exact.isNotNull(), exact.cast("string")).otherwise(num.cast("string"))
+    return (F.when(t == "BOOLEAN", F.concat(F.lit("n:"), F.try_variant_get(x, "$", "boolean").cast("int").cast("string")))
+            .when(t.rlike(_NUMERIC), F.concat(F.lit("n:"), number))
             .when(t == "STRING", F.concat(F.lit("s:"), F.try_variant_get(x, "$", "string")))
             .otherwise(F.concat(F.lit("j:"), F.to_json(x))))
 

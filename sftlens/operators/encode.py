@@ -5,7 +5,7 @@ single aggregate and, for batching, the distributed dense index per shard.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import CodePointTokenizer
@@ -64,20 +64,24 @@ def collate_batches(encoded: DataFrame, batch_size: int, order_col: str, shard_c
     ``batch_size``; each row is right-padded to the longest ``input_ids`` of its
     batch -- ids with ``pad_id``, labels with -100, attention mask with 0.
 
-    Positions come from the distributed dense index, so a large shard is spread
-    over many tasks; the padding window is partitioned by (shard, batch) and
-    therefore never holds more than ``batch_size`` rows.
+    Positions come from the distributed dense index over (id column, shard, order, size)
+    alone, and the longest size of a batch is taken on that narrow table; the wide arrays are
+    joined to it once, on a row key.  A NULL shard is a shard of its own.  ``order_col`` must
+    be distinct within a shard.
     """
-    idx = dense_index(encoded, [order_col], partition_by=[shard_col], out="_pos")
-    b = idx.withColumn("batch", F.floor(F.col("_pos") / batch_size).cast("bigint"))
-    w = Window.partitionBy(shard_col, "batch")
-    b = b.withColumn("padded_len", F.max(F.size("input_ids")).over(w))
+    narrow = encoded.select(F.col(shard_col).alias("_shard"), F.col(order_col).alias("_order"), F.size("input_ids").alias("_size"))
+    idx = dense_index(narrow, ["_order"], partition_by=["_shard"], out="_pos")
+    idx = idx.withColumn("batch", F.floor(F.col("_pos") / batch_size).cast("bigint"))
+    longest = idx.groupBy("_shard", "batch").agg(F.max("_size").alias("padded_len"))
+    longest = longest.withColumnsRenamed({"_shard": "_lshard", "batch": "_lbatch"})
+    idx = idx.join(longest, F.col("_shard").eqNullSafe(F.col("_lshard")) & (F.col("batch") == F.col("_lbatch"))) \
+             .select("_shard", "_order", "batch", "padded_len")
+    b = encoded.join(idx, F.col(order_col).eqNullSafe(F.col("_order")) & F.col(shard_col).eqNullSafe(F.col("_shard"))).drop("_shard", "_order")
     pad = F.col("n_pad")
     return (b.withColumn("n_pad", F.col("padded_len") - F.size("input_ids"))
              .withColumn("input_ids", F.concat("input_ids", F.array_repeat(F.lit(pad_id), pad)))
              .withColumn("labels", F.concat("labels", F.array_repeat(F.lit(label_pad_id), pad)))
-             .withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), pad)))
-             .drop("_pos"))
+             .withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), pad))))
 
 
 def encode_to_parquet(records: DataFrame, out_path: str, tokenizer=None,

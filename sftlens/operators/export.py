@@ -7,6 +7,8 @@ export is a single narrow stage plus the two broadcast joins.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions.tokenize import CodePointTokenizer
 from ..functions.variant import (doc_field, extract_doc_id, extract_filtered, extract_output,
                                  extract_prompt, is_none, py_str, typed_key)
 from ..sources.catalog import with_catalog
-from .joins import join_small
+from ..session import materialize
+from .quality import later_rows
 
 # Manifest fields stamped on every record, with the default used
 # when the manifest lacks them.
@@ -52,8 +55,9 @@ EXPORT_COLUMNS = (
 
 
 def manifest_settings(manifests: DataFrame, task_col: str = "task") -> DataFrame:
-    """Task manifests (``task, m VARIANT``) -> one typed column per stamped field, defaults filled."""
-    cols = [F.col(task_col)]
+    """Task manifests (``task, m VARIANT``, and ``model`` if they come from several) -> one typed
+    column per stamped field, defaults filled."""
+    cols = [F.col(task_col), *([F.col("model")] if "model" in manifests.columns else [])]
     for name, default in MANIFEST_DEFAULTS.items():
         typ = MANIFEST_TYPES[name]
         val = F.try_variant_get(F.col("m"), f"$['{name}']", typ)
@@ -67,8 +71,9 @@ def flatten_samples(samples: DataFrame, catalog: DataFrame, settings: DataFrame,
                     v_col: str = "v", task_col: str = "task", line_col: str = "line") -> DataFrame:
     """P7-P13 + J1/J2: the 34 exported fields plus ``doc_id_key`` (typed) and ``line``.
 
-    ``settings`` is :func:`manifest_settings` output (one row per task; broadcast after
-    a size check, like the catalog).
+    ``settings`` is :func:`manifest_settings` output (one row per task, or per model and task if
+    it has a column ``model``: then samples join on both, so manifests of several models
+    never multiply rows).
     ``question`` defaults to ``""`` (JSON null gives ``"None"``, as ``str(None)``);
     ``gold_answer`` / ``gold_solution`` stay NULL when absent, ``0`` becomes ``"0"``.
     ``filtered_output`` is the filtered text when present and non-empty, else the raw output.
@@ -78,7 +83,11 @@ def flatten_samples(samples: DataFrame, catalog: DataFrame, settings: DataFrame,
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     s = with_catalog(samples, catalog, task_col)
     st = settings.withColumnRenamed(task_col, "_st_task")
-    s = join_small(s, st, F.col(task_col) == F.col("_st_task"), "left").drop("_st_task")
+    on = F.col(task_col) == F.col("_st_task")
+    if "model" in settings.columns:
+        st = st.withColumnRenamed("model", "_st_model")
+        on = on & (F.col("model") == F.col("_st_model"))
+    s = s.join(st, on, "left").drop("_st_task", "_st_model")
     for name, default in MANIFEST_DEFAULTS.items():
         s = s.withColumn(name, F.coalesce(F.col(name), F.lit(default).cast(MANIFEST_TYPES[name])))
     did = extract_doc_id(v, F.col(line_col))
@@ -110,18 +119,20 @@ def flatten_samples(samples: DataFrame, catalog: DataFrame, settings: DataFrame,
     return s.select(*EXPORT_COLUMNS, "doc_id_key", F.col(line_col).alias("line"))
 
 
-def publication_violations(exported: DataFrame) -> DataFrame:
+def publication_violations(exported: DataFrame, order_cols: Sequence[str] = ("line",)) -> DataFrame:
     """The rows the exporter refuses to publish -- blank raw output, prompt or question
-    (in that order; one row per offending record) and repeated ``sample_id``."""
+    (in that order; one row per offending record) and repeated ``sample_id`` (every row
+    after the first in ``order_cols``, equal positions included).  ``exported`` is read once:
+    one narrow row per record is written and both rules read it.
+    """
     code = (F.when(is_blank("raw_output"), F.lit("empty_raw_output"))
              .when(is_blank("prompt"), F.lit("empty_prompt"))
              .when(is_blank("question"), F.lit("empty_question")))
-    blank = exported.select("task", "line", "sample_id", code.alias("code")).where(F.col("code").isNotNull())
-    first = exported.groupBy("sample_id").agg(F.min("line").alias("_first"), F.count(F.lit(1)).alias("_n")) \
-                    .where(F.col("_n") > 1)
-    dup = (exported.join(first, "sample_id").where(F.col("line") > F.col("_first"))
-                   .select("task", "line", "sample_id", F.lit("duplicate_sample_id").alias("code")))
-    return blank.unionByName(dup)
+    cols = list(dict.fromkeys(["task", "line", "sample_id", *order_cols]))
+    rows = materialize(exported.select(*cols, code.alias("code")), "publish-facts")
+    blank = rows.where(F.col("code").isNotNull()).select("task", "line", "sample_id", "code")
+    dup = later_rows(rows.where(F.col("sample_id").isNotNull()), ["sample_id"], order_cols)
+    return blank.unionByName(dup.select("task", "line", "sample_id", F.lit("duplicate_sample_id").alias("code")))
 
 
 def export_counters(exported: DataFrame) -> DataFrame:

@@ -39,69 +39,45 @@ def is_equiv(df: DataFrame, a_col: str, b_col: str, out_col: str = "is_equiv") -
     return df.withColumn(out_col, verdict).drop("_na", "_nb")
 
 
-def gold_answer(v: Column, answer_field: Column | str, solution_field: Column | str, mode: str) -> tuple[Column, Column]:
-    """M10 gold: the answer field, else the boxed answer of the solution (when truthy).
-
-    Returns ``(gold_text, gold_is_string)``.
-    """
-    if mode == "reference":
-        ans = F.try_variant_get(v, "$" + key("answer"), "variant")
-        sol_ok = truthy(v, key("solution"))
-        sol = F.try_variant_get(v, "$" + key("solution"), "string")
-    else:
-        ans = doc_field_v(v, answer_field)
-        sol_v = doc_field_v(v, solution_field)
-        sol_ok = truthy(sol_v)
-        sol = py_str(sol_v)
-    from_sol = F.when(sol_ok, remove_boxed(last_boxed(sol)))
-    gold = F.when(~is_none(ans), py_str(ans)).otherwise(from_sol)
-    is_string = F.when(~is_none(ans), F.schema_of_variant(ans) == "STRING").otherwise(F.lit(True))
-    return gold, is_string
-
-
 def doc_field_v(doc: Column, name) -> Column:
     """``doc.get(name)`` on a doc VARIANT with a dynamic key."""
     name_c = F.lit(name) if isinstance(name, str) else name
     return F.try_element_at(doc.try_cast("map<string,variant>"), name_c)
 
 
-def extract_answer(output: Column, mode: str) -> Column:
-    """The model answer: ``reference`` -> M1 only; ``fixed`` -> boxed answer, else M1."""
-    if mode == "reference":
-        return dollar_span(output)
-    boxed = remove_boxed(last_boxed(output))
-    return F.coalesce(boxed, dollar_span(output))
-
-
 def grade(generations: DataFrame, gold: DataFrame, mode: str = "fixed",
           keys: tuple[str, ...] = ("task", "doc_id"), output_col: str = "output",
           doc_col: str = "doc") -> DataFrame:
     """J7 + M10: one row per generation with ``answer``, ``gold``, ``exact_match`` (0/1).
 
     ``gold`` carries ``doc VARIANT`` (and, for ``fixed``, ``answer_field`` /
-    ``solution_field`` from the catalog).
+    ``solution_field`` from the catalog; ``grader``, if it has that column, chooses the mode by
+    task and overrides ``mode``).  Answers are extracted on each side before the join, so
+    only short strings go through it: ``output_col`` and ``doc_col`` are not in the result.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    j = generations.join(gold, list(keys), "inner")
+    if "grader" in gold.columns:
+        parts = [grade(generations, gold.where(F.col("grader") == m).drop("grader"), m, keys, output_col, doc_col) for m in MODES]
+        return parts[0].unionByName(parts[1])
     v = F.col(doc_col)
+    left = generations
     if mode == "reference":
         ans = F.try_variant_get(v, "$" + key("answer"), "variant")
         sol_ok, sol = truthy(v, key("solution")), F.try_variant_get(v, "$" + key("solution"), "string")
-        j = j.withColumn("answer", dollar_span(F.col(output_col)))
+        left = left.withColumn("answer", dollar_span(F.col(output_col)))
     else:
         ans = doc_field_v(v, F.col("answer_field"))
         sol_v = doc_field_v(v, F.col("solution_field"))
         sol_ok, sol = truthy(sol_v), py_str(sol_v)
-        j = add_boxed_answer(j, output_col, "_boxed")
-        j = j.withColumn("answer", F.coalesce(F.col("_boxed"), dollar_span(F.col(output_col)))).drop("_boxed")
-    j = (j.withColumn("_gans", ans).withColumn("_gsol", F.when(sol_ok, sol)))
-    j = add_boxed_answer(j, "_gsol", "_gbox")
-    j = (j.withColumn("gold", F.when(~is_none(F.col("_gans")), py_str(F.col("_gans"))).otherwise(F.col("_gbox")))
-          .withColumn("_gold_str", F.when(~is_none(F.col("_gans")), F.schema_of_variant(F.col("_gans")) == "STRING")
-                      .otherwise(F.lit(True)) if mode == "reference" else F.lit(True))
-          .drop("_gans", "_gsol", "_gbox"))
-    j = is_equiv(j, "answer", "gold", "_eq")
+        left = add_boxed_answer(left, output_col, "_boxed")
+        left = left.withColumn("answer", F.coalesce(F.col("_boxed"), dollar_span(F.col(output_col)))).drop("_boxed")
+    right = gold.withColumn("_gans", ans).withColumn("_gsol", F.when(sol_ok, sol))
+    right = add_boxed_answer(right, "_gsol", "_gbox")
+    has = ~is_none(F.col("_gans"))
+    is_text = F.when(has, F.schema_of_variant(F.col("_gans")) == "STRING").otherwise(F.lit(True)) if mode == "reference" else F.lit(True)
+    right = right.select(*keys, F.when(has, py_str(F.col("_gans"))).otherwise(F.col("_gbox")).alias("gold"), is_text.alias("_gold_str"))
+    j = is_equiv(left.drop(output_col).join(right, list(keys), "inner"), "answer", "gold", "_eq")
     em = F.when(F.col("gold").isNotNull() & F.col("_gold_str") & F.col("_eq"), 1).otherwise(0)
     return j.withColumn("exact_match", em).drop("_eq", "_gold_str")
 
@@ -112,4 +88,4 @@ def mean_exact_match(graded: DataFrame, group_cols=("model", "task")) -> DataFra
                                            F.avg("exact_match").alias("exact_match"))
 
 
-__all__ = ["is_equiv", "grade", "mean_exact_match", "extract_answer", "gold_answer", "doc_field", "MODES"]
+__all__ = ["is_equiv", "grade", "mean_exact_match", "MODES"]

@@ -10,10 +10,11 @@ one task; with ``g`` empty it puts the whole table there.  Instead:
    cluster's ``spark.checkpoint.dir`` -- the sampled range bounds and the ids
    are then fixed even if an executor is lost and a stage re-runs, and the
    ids travel as a column, so how the table is split on read does not matter;
-3. per (partition, g): first id and row count -- at most ``#partitions + #groups``
-   rows -- turned into running offsets by a window over that small table;
-4. join the offsets back (broadcast after a size check) and add the position
-   inside the partition (low 33 bits of ``monotonically_increasing_id``).
+3. per (partition, g): first id, last id and row count -- at most ``#partitions +
+   #groups`` rows -- turned into running offsets by a window over that small table;
+4. join the offsets back on partition and id range (four numbers a row: a broadcast
+   join while that table is under the broadcast threshold in bytes) and add the
+   position inside the range.  ``g`` itself is not a join key, so NULL groups count.
 """
 from __future__ import annotations
 
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import join_small
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], partition_by: Sequence[str] = (),
@@ -38,10 +38,10 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], partition_by: Sequ
     ck = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "dense-index")
     ck = ck.withColumn("_pid", F.shiftright(F.col("_mid"), 33))
     pcols = list(partition_by)
-    blocks = ck.groupBy(*pcols, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    blocks = ck.groupBy(*pcols, "_pid").agg(F.min("_mid").alias("_from"), F.max("_mid").alias("_to"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*pcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # computed from two narrow columns of the table just written -- cheap to re-read
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    joined = join_small(ck, blocks, [*pcols, "_pid"])
-    return joined.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(base)) \
-                 .drop("_mid", "_pid", "_m0", "_off")
+    blocks = blocks.select(F.col("_pid").alias("_bpid"), "_from", "_to", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    blocks = materialize(blocks, "dense-index-blocks")
+    joined = ck.join(blocks, (F.col("_pid") == F.col("_bpid")) & F.col("_mid").between(F.col("_from"), F.col("_to")))
+    return joined.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_from") + F.lit(base)) \
+                 .drop("_mid", "_pid", "_bpid", "_from", "_to", "_off")

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.catalog import render_prompt
-from .joins import join_small
 
 
 class ContextBudgetError(RuntimeError):
@@ -28,7 +27,7 @@ def benchmark_prompts(docs: DataFrame, catalog: DataFrame, tokenizer, task_col:
                       question_col: str = "question") -> DataFrame:
     """P4 + P15: rendered prompt per doc and its token count *with* special tokens."""
     cat = catalog.select(F.col("task").alias(task_col), "template", "template_field")
-    j = join_small(docs, cat, [task_col], "inner")
+    j = docs.join(cat, [task_col], "inner")
     prompt = render_prompt("template", "template_field", question_col)
     return j.withColumn("prompt", prompt).withColumn(
         "prompt_tokens", tokenizer.count(F.col("prompt"), add_special_tokens=True))

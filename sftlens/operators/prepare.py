@@ -11,17 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS, field, first_truthy_text, is_none, py_str
+from ..session import materialize
 from .indexing import dense_index
-from .joins import join_small
 
 # The SFT prompt template.
 PROMPT_PREFIX = "### Problem:\n"
 PROMPT_SUFFIX = "\n\n### Solution:\n"
 
-# Up to this many sampled rows, the exact sample is a single top-k (TakeOrderedAndProject);
-# beyond it, a distributed dense ranking on the sample key.
-TOPK_MAX = 100_000
-
 
 def format_prompt(problem) -> Column:
     """P3."""
@@ -75,25 +71,25 @@ def sample_key(seed: int, id_col: str) -> Column:
 def sample_exact(df: DataFrame, n: int | None, seed: int, id_col: str) -> DataFrame:
     """L1: exactly ``n`` rows uniformly without replacement when ``n < count``; else all rows.
 
-    Rows are ranked by ``md5(seed:id)`` (ties by id).  To keep the final top-n
-    small whatever the partition count, a threshold on the first 60 bits of
-    the key is taken from ``percentile_approx`` at a fraction slightly above
-    ``n / count``; only rows at or below it stay candidates.  If the
-    approximation undershoots (fewer than ``n`` candidates) the fraction is
-    widened and the step repeated, so the result is always the exact top-n.
-    The exact ranking then runs over ~1.1 n candidates (top-k up to 100k rows,
-    distributed dense ranking beyond), and the chosen ids are semi-joined back,
-    so long texts never pass through the ranking.  The driver only sees the
-    count, the threshold and the candidate count.
+    Rows are ranked by ``md5(seed:id)`` (ties by id); ids must be present and distinct, else
+    ValueError.  The narrow table (id, key) is written once and everything below reads it.
+    A threshold on the first 60 bits of the key is taken from ``percentile_approx`` at a
+    fraction slightly above ``n / count``; only rows at or below it stay candidates.  If
+    the approximation undershoots (fewer than ``n`` candidates) the fraction is widened
+    and the step repeated, so the result is always the exact top-n.  The ~1.1 n
+    candidates get a distributed dense rank, and the chosen ids are semi-joined back, so
+    long texts never pass through the ranking.  The driver only sees counts and the threshold.
     """
     if n is None:
         return df
     hexkey = sample_key(seed, id_col)
-    keyed = df.select(F.col(id_col).alias("_sid"), hexkey.alias("_skey"),
-                      F.conv(F.substring(hexkey, 1, 15), 16, 10).cast("long").alias("_sk60"))
+    keyed = materialize(df.select(F.col(id_col).alias("_sid"), hexkey.alias("_skey")), "sample-keys") \
+        .withColumn("_sk60", F.conv(F.substring("_skey", 1, 15), 16, 10).cast("long"))
     total = keyed.count()
     if n >= total:
         return df
+    if keyed.groupBy("_sid").count().where((F.col("count") > 1) | F.col("_sid").isNull()).limit(1).count():
+        raise ValueError(f"{id_col} must be present and distinct to draw an exact sample")
     frac = min(1.0, n / total * 1.1 + 100.0 / total)
     while True:
         t = keyed.agg(F.percentile_approx("_sk60", frac, 10000)).first()[0]
@@ -101,11 +97,8 @@ def sample_exact(df: DataFrame, n: int | None, seed: int, id_col: str) -> DataFr
         if frac >= 1.0 or cand.count() >= n:
             break
         frac = min(1.0, frac * 2)
-    if n <= TOPK_MAX:
-        chosen = cand.orderBy("_skey", "_sid").limit(n).select("_sid")
-    else:
-        chosen = dense_index(cand, ["_skey", "_sid"], out="_rk").where(F.col("_rk") < n).select("_sid")
-    return join_small(df, chosen, df[id_col] == chosen["_sid"], "left_semi", max_rows=TOPK_MAX)
+    chosen = dense_index(cand, ["_skey", "_sid"], out="_rk").where(F.col("_rk") < n).select("_sid")
+    return df.join(chosen, df[id_col] == chosen["_sid"], "left_semi")
 
 
 def prepare_to_jsonl(raw: DataFrame, dataset: str, out_path: str, sample_size: int | None = None,

@@ -14,6 +14,30 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+def later_rows(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """Every row of a key after its first in ``order_cols``: rows minus one per key.
+
+    Rows that tie with the first (equal in all ``order_cols``) count too: all but one of them are
+    returned, so no repeat is lost when positions repeat (lines of several files, say).
+    The added column ``_first`` holds the first position.  NULL keys are keys; rows need not
+    be distinct.
+    """
+    df = df.withColumn("_at", F.struct(*order_cols))
+    head = df.groupBy(*key_cols).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    head = head.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)], "_first")
+    same = None
+    for i, k in enumerate(key_cols):
+        c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = c if same is None else same & c
+    hit = df.join(head, same).drop(*[f"_k{i}" for i in range(len(key_cols))])
+    later = hit.where(F.col("_at") > F.col("_first")).drop("_at")
+    ties = hit.where(F.col("_at") == F.col("_first")).drop("_at")
+    cols = [c for c in ties.columns if c not in key_cols]
+    ties = (ties.groupBy(*key_cols).agg(*[F.min(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"))
+            .where("_n > 1").withColumn("_again", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n")))))
+    return later.unionByName(ties.select(*later.columns))
+
+
 def repeat_rows(df: DataFrame, key_cols: Sequence[str], line_col: str) -> DataFrame:
     """Every occurrence of a key after its first (by ``line_col``) -- one row each,
     with ``first_line`` of that key.
@@ -21,11 +45,8 @@ def repeat_rows(df: DataFrame, key_cols: Sequence[str], line_col: str) -> DataFr
     The narrow projection (keys, line) is written once and both the aggregate and
     the join back read it, so wide inputs (texts hashed into keys) are read once.
     """
-    keys = list(key_cols)
-    df = materialize(df.select(*keys, line_col), "repeat-keys")
-    first = df.groupBy(*keys).agg(F.min(line_col).alias("first_line"), F.count(F.lit(1)).alias("_n")) \
-              .where(F.col("_n") > 1).drop("_n")
-    return df.join(first, keys, "inner").where(F.col(line_col) > F.col("first_line"))
+    df = materialize(df.select(*key_cols, line_col), "repeat-keys")
+    return later_rows(df, key_cols, [line_col]).select(*key_cols, line_col, F.col(f"_first.{line_col}").alias("first_line"))
 
 
 def duplicate_counts(df: DataFrame, group_cols: Sequence[str], key_col: str) -> DataFrame:

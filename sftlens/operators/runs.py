@@ -44,13 +44,11 @@ def prefer_exported(rows: DataFrame, exported_tasks: DataFrame, task_col: str =
     """Per task, token counts from the exported file when the task has one, else the
     raw-sample estimate; ``token_source`` / ``token_count_method`` record the choice.
 
-    ``exported_tasks`` (one row per task with an export) is joined by broadcast
-    after a size check; the choice is made per row, so stats run in one pass.
+    ``exported_tasks`` (one row per task with an export) is joined (a
+    broadcast while it is under the planner's threshold); the choice is made per row, so stats run in one pass.
     """
-    from .joins import join_small
-
     flag = exported_tasks.select(F.col(task_col), F.lit(True).alias("_has_export")).distinct()
-    j = join_small(rows, flag, [task_col], "left")
+    j = rows.join(flag, [task_col], "left")
     has = F.coalesce(F.col("_has_export"), F.lit(False))
     return (j.withColumn("tokens", F.when(has, F.col(exported_tokens)).otherwise(F.col(raw_tokens)))
              .withColumn("token_source", F.when(has, F.lit("exported_generation_file"))

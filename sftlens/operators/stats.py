@@ -49,7 +49,7 @@ def exact_percentiles_from_hist(hist: DataFrame, group_cols: Sequence[str], valu
     w_run = w_all.orderBy(F.col(value_col)).rowsBetween(Window.unboundedPreceding, 0)
     h = (hist.withColumn("_cum", F.sum(count_col).over(w_run))
              .withColumn("_n", F.sum(count_col).over(w_all)))
-    v = F.col(value_col).cast("bigint")
+    v = F.col(value_col)
     lo_rank = h["_cum"] - F.col(count_col)  # rows strictly below this value
     aggs = [F.first("_n").alias("_n")]
     for p in pcts:
@@ -66,7 +66,8 @@ def exact_percentiles_from_hist(hist: DataFrame, group_cols: Sequence[str], valu
         k = F.lit(p / 100.0) * (n - 1)
         f = F.floor(k)
         lo, hi = F.col(f"_lo{name}"), F.col(f"_hi{name}")
-        val = (F.when(n == 1, lo.cast("double"))
+        lo, hi = lo.cast("double"), hi.cast("double")
+        val = (F.when(n == 1, lo)
                 .when(f + 1 >= n, F.col("_vmax").cast("double"))
                 .otherwise(lo + (hi - lo) * (k - f)))
         cols.append(val.alias(name))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..session import materialize
+from .quality import later_rows
 from ..functions.variant import extract_doc_id, extract_output, extract_prompt, field, is_none, py_str, typed_key
 
 ERROR_SCHEMA = "task string, line bigint, code string, detail string"
@@ -48,60 +49,60 @@ def _explode_rules(df: DataFrame, rules: Sequence[Column], task_col: str, line_c
     return e.select("task", "line", F.col("_e.code").alias("code"), F.col("_e.detail").alias("detail"))
 
 
-def repeats(df: DataFrame, group_cols: Sequence[str], key_col: str, line_col: str,
+def repeats(df: DataFrame, group_cols: Sequence[str], key_col: str, order_cols: str | Sequence[str],
             code: str, detail: Column) -> DataFrame:
-    """Every occurrence of a key after its first (by line) within ``group_cols``."""
-    keys = [*group_cols, key_col]
-    first = (df.groupBy(*keys).agg(F.min(line_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-               .where(F.col("_n") > 1).drop("_n"))
-    rep = df.join(first, keys).where(F.col(line_col) > F.col("_first"))
-    return rep.select(F.col(group_cols[0]).alias("task"), F.col(line_col).cast("bigint").alias("line"),
-                      F.lit(code).alias("code"), detail.alias("detail"))
+    """Every occurrence of a key after its first (in ``order_cols``) within ``group_cols``:
+    ``group_cols, line, code, detail``; rows that tie with the first count as repeats too."""
+    order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    rep = later_rows(df, [*group_cols, key_col], order)
+    return rep.select(*group_cols, F.col(order[-1]).cast("bigint").alias("line"), F.lit(code).alias("code"), detail.alias("detail"))
 
 
-def count_mismatches(actual: DataFrame, expected: DataFrame | None, task_col: str = "task") -> DataFrame:
+def count_mismatches(actual: DataFrame, expected: DataFrame | None, scope: str | Sequence[str] = "task") -> DataFrame:
     """Count rule: ``expected > 0 and actual != expected`` (missing actual = 0)."""
+    cols = [scope] if isinstance(scope, str) else list(scope)
+    e, a = F.col("expected").cast("bigint"), F.coalesce(F.col("actual"), F.lit(0)).cast("bigint")
     if expected is None:
-        return actual.sparkSession.createDataFrame([], ERROR_SCHEMA)
-    j = expected.join(actual, task_col, "left")
-    a = F.coalesce(F.col("actual"), F.lit(0)).cast("bigint")
-    e = F.col("expected").cast("bigint")
-    return (j.where((e > 0) & (a != e))
-             .select(F.col(task_col).alias("task"), F.lit(None).cast("bigint").alias("line"),
-                     F.lit("count_mismatch").alias("code"),
-                     F.format_string("actual=%d, expected=%d", a, e).alias("detail")))
+        return actual.limit(0).select(*cols, F.lit(None).cast("bigint").alias("line"), F.lit("").alias("code"), F.lit("").alias("detail"))
+    return (expected.join(actual, cols, "left").where((e > 0) & (a != e))
+            .select(*cols, F.lit(None).cast("bigint").alias("line"), F.lit("count_mismatch").alias("code"),
+                    F.format_string("actual=%d, expected=%d", a, e).alias("detail")))
 
 
 def _facts(parsed: DataFrame, rules: Sequence[Column], key: Column, disp: Column, has_key: Column,
-           task_col: str, line_col: str) -> DataFrame:
+           scope: Sequence[str], line_col: str) -> DataFrame:
     """One pass over the wide parsed rows -> a narrow per-row table (rule hits, typed key),
     written once to the shared checkpoint folder; every file-level rule reads that instead
     of re-parsing the JSON."""
     ok = ~F.col("parse_error")
+    file = F.col("file") if "file" in parsed.columns else F.lit("")
     facts = parsed.select(
-        F.col(task_col).alias("task"), F.col(line_col).cast("bigint").alias("line"),
-        F.col("parse_error"),
+        *scope, file.alias("_file"), F.col(line_col).cast("bigint").alias("line"), F.col("parse_error"),
         F.when(ok, F.array_compact(F.array(*rules))).alias("_rules"),
         F.when(ok & has_key, key).alias("_key"), F.when(ok & has_key, disp).alias("_disp"))
     return materialize(facts, "validate-facts")
 
 
-def _file_errors(facts: DataFrame, expected: DataFrame | None, dup_code: str, dup_prefix: str) -> DataFrame:
-    errs = facts.where(~F.col("parse_error")).select(
-        "task", "line", F.explode("_rules").alias("_e")).select(
-        "task", "line", F.col("_e.code").alias("code"), F.col("_e.detail").alias("detail"))
+def _file_errors(facts: DataFrame, expected: DataFrame | None, dup_code: str, dup_prefix: str, scope: Sequence[str]) -> DataFrame:
+    errs = facts.where(~F.col("parse_error")).select(*scope, "line", F.explode("_rules").alias("_e")).select(
+        *scope, "line", F.col("_e.code").alias("code"), F.col("_e.detail").alias("detail"))
     bad = facts.where(F.col("parse_error")).select(
-        "task", "line", F.lit("parse_error").alias("code"), F.lit(None).cast("string").alias("detail"))
-    keyed = facts.where(F.col("_key").isNotNull())
-    dups = repeats(keyed, ["task"], "_key", "line", dup_code, F.concat(F.lit(dup_prefix), F.col("_disp")))
-    actual = facts.groupBy("task").agg(F.count(F.lit(1)).alias("actual"))
-    return errs.unionByName(bad).unionByName(dups).unionByName(count_mismatches(actual, expected, "task"))
+        *scope, "line", F.lit("parse_error").alias("code"), F.lit(None).cast("string").alias("detail"))
+    keyed = facts.where(F.col("_key").isNotNull()).select(*scope, "_file", "line", "_key", "_disp")
+    dups = repeats(keyed, scope, "_key", ["_file", "line"], dup_code, F.concat(F.lit(dup_prefix), F.col("_disp")))
+    actual = facts.groupBy(*scope).agg(F.count(F.lit(1)).alias("actual"))
+    return errs.unionByName(bad).unionByName(dups).unionByName(count_mismatches(actual, expected, scope))
 
 
 def validate_samples(parsed: DataFrame, expected: DataFrame | None = None,
-                     task_col: str = "task", line_col: str = "line") -> DataFrame:
-    """V1 over ``parse_jsonl(..., on_error='collect')`` output (``task, line, v, parse_error``).
-
+                     scope: Sequence[str] = ("task",), line_col: str = "line") -> DataFrame:
+    """V1 over ``parse_jsonl(..., on_error='collect')`` output (scope columns, ``line, v,
+    parse_error`` and, for rows from files, ``file``): ``scope, line, code, detail``.
+
+    ``scope`` names what is one samples file in the reference: ``("task",)`` for the rows of
+    one run, ``("model", "task", "file")`` for a folder of many.  Ids repeat within a scope,
+    in the order (file, line); ``expected`` has the scope columns and ``expected``.  Missing and
+    empty files have no rows: see :func:`missing_files`.
     Corrupt lines count toward ``actual`` (as in the reference) and produce
     ``parse_error``; ids compare by typed value, so ``0`` and ``"0"`` differ.
     Runs one job eagerly (the narrow facts table); the result is lazy.
@@ -114,8 +115,14 @@ def validate_samples(parsed: DataFrame, expected: DataFrame | None = None,
         _rule((extract_prompt(v) == "") & is_none(field(v, "doc")), "missing_prompt"),
     ]
     did = extract_doc_id(v, F.col(line_col))
-    facts = _facts(parsed, row_rules, typed_key(did), py_str(did), F.lit(True), task_col, line_col)
-    return _file_errors(facts, expected, "duplicate_doc_id", "doc_id=")
+    facts = _facts(parsed, row_rules, typed_key(did), py_str(did), F.lit(True), scope, line_col)
+    return _file_errors(facts, expected, "duplicate_doc_id", "doc_id=", scope)
+
+
+def missing_files(files: DataFrame, listing: DataFrame, path_col: str = "path", task_col: str = "task") -> DataFrame:
+    """V1/V3: a samples or export file that is not there or has no bytes: ``task, line, code,
+    detail`` with codes ``file_missing`` (no name), ``file_not_found`` and ``file_empty``."""
+    return file_rules(files, listing, path_col, "file", task_col)
 
 
 def export_record_rules(v: Column, expected_method: str = "llama_tokenizer") -> list[Column]:
@@ -140,14 +147,15 @@ def export_record_rules(v: Column, expected_method: str = "llama_tokenizer") ->
 
 def validate_export_file(parsed: DataFrame, expected: DataFrame | None = None,
                          expected_method: str = "llama_tokenizer",
-                         task_col: str = "task", line_col: str = "line") -> DataFrame:
+                         scope: Sequence[str] = ("task",), line_col: str = "line") -> DataFrame:
     """V3 (+V2 per row) over ``parse_jsonl(..., on_error='collect')`` of exported files;
-    ``sample_id`` repeats are errors, NULL ids are ignored."""
+    ``sample_id`` repeats within a scope (in the order file, line) are errors, NULL ids are
+    ignored.  ``scope`` and missing files as in :func:`validate_samples`."""
     v = F.col("v")
     sid = field(v, "sample_id")
     facts = _facts(parsed, export_record_rules(v, expected_method), typed_key(sid), py_str(sid),
-                   ~is_none(sid), task_col, line_col)
-    return _file_errors(facts, expected, "duplicate_sample_id", "sample_id=")
+                   ~is_none(sid), scope, line_col)
+    return _file_errors(facts, expected, "duplicate_sample_id", "sample_id=", scope)
 
 
 def file_rules(files: DataFrame, listing: DataFrame, path_col: str, code_prefix: str,

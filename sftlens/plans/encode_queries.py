@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sql_py_strip
 from ..functions.tokenize import CodePointTokenizer
-from ..operators.encode import DEFAULT_MAX_SEQ_LENGTH, collate_batches, encode_records, encode_stats
+from ..operators.encode import collate_batches, encode_records, encode_stats
 from .sft_queries import _PAIRS_SQL, _unified
 
 BATCH_SIZE = 4
+MAX_LENGTH = 512  # low enough that some records are too long
 N_SHARDS = 4
 TOKENIZER = CodePointTokenizer()
 
@@ -24,8 +25,10 @@ def _ids_hash(col: str):
 
 
 def _encoded(spark: SparkSession, sf_dir: str, keep_all: bool) -> DataFrame:
+    """Records of index % 11 = 4 lose their completion, which the encoder must skip."""
     u = _unified(spark, sf_dir, keep_skipped=False)
-    return encode_records(u, TOKENIZER, DEFAULT_MAX_SEQ_LENGTH, keep_all=keep_all)
+    u = u.withColumn("completion", F.when(F.col("metadata.raw_index") % 11 == 4, "").otherwise(F.col("completion")))
+    return encode_records(u, TOKENIZER, MAX_LENGTH, keep_all=keep_all)
 
 
 def q_sft_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +61,11 @@ _ENC_SQL = "WITH " + _PAIRS_SQL.format(strip_u=sql_py_strip("user_text"),
 unified AS (
   SELECT '{'convs'}_' || CAST(raw_index AS VARCHAR) AS id, raw_index,
     '### Problem:' || chr(10) || problem || chr(10) || chr(10) || '### Solution:' || chr(10) AS prompt,
+    raw_index % 11 = 4 AS empty,
     CASE WHEN suffix(completion, chr(3)) THEN completion ELSE completion || chr(3) END AS comp
   FROM rec WHERE problem <> '' AND completion <> ''),
 enc AS (
-  SELECT id, raw_index, length(prompt) AS np, length(prompt) + length(comp) AS n_input,
+  SELECT id, raw_index, empty, length(prompt) AS np, length(prompt) + length(comp) AS n_input,
     list_transform(string_split(prompt || comp, ''), lambda ch: unicode(ch)) AS ids,
     list_concat(list_transform(range(length(prompt)), lambda i: -100),
                 list_transform(string_split(comp, ''), lambda ch: unicode(ch))) AS labels
@@ -73,19 +77,19 @@ SELECT id, CAST(n_input AS BIGINT) AS n_input, CAST(np AS BIGINT) AS n_masked,
   CAST(n_input AS BIGINT) AS mask_sum,
   substr(sha256(array_to_string(ids, ',')), 1, 16) AS ids_hash,
   substr(sha256(array_to_string(labels, ',')), 1, 16) AS labels_hash
-FROM enc WHERE n_input <= {DEFAULT_MAX_SEQ_LENGTH}
+FROM enc WHERE NOT empty AND n_input <= {MAX_LENGTH}
 """
 
 SQL_SFT_ENCODE_STATS = _ENC_SQL + f"""
 SELECT CAST(count(*) AS BIGINT) AS total,
-  CAST(count(*) FILTER (WHERE n_input <= {DEFAULT_MAX_SEQ_LENGTH}) AS BIGINT) AS kept,
-  CAST(0 AS BIGINT) AS skipped_empty,
-  CAST(count(*) FILTER (WHERE n_input > {DEFAULT_MAX_SEQ_LENGTH}) AS BIGINT) AS skipped_too_long
+  CAST(count(*) FILTER (WHERE NOT empty AND n_input <= {MAX_LENGTH}) AS BIGINT) AS kept,
+  CAST(count(*) FILTER (WHERE empty) AS BIGINT) AS skipped_empty,
+  CAST(count(*) FILTER (WHERE NOT empty AND n_input > {MAX_LENGTH}) AS BIGINT) AS skipped_too_long
 FROM enc
 """
 
 SQL_SFT_COLLATE = _ENC_SQL + f""",
-kept AS (SELECT *, raw_index % {N_SHARDS} AS shard FROM enc WHERE n_input <= {DEFAULT_MAX_SEQ_LENGTH}),
+kept AS (SELECT *, raw_index % {N_SHARDS} AS shard FROM enc WHERE NOT empty AND n_input <= {MAX_LENGTH}),
 b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY shard ORDER BY raw_index) - 1) / {BATCH_SIZE}) AS BIGINT) AS batch
       FROM kept),
 p AS (SELECT *, max(n_input) OVER (PARTITION BY shard, batch) AS padded_len FROM b)

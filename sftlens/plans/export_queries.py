@@ -120,7 +120,10 @@ def task_manifests(spark: SparkSession) -> DataFrame:
 
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_jsonl(sample_lines(spark, sf_dir), on_error="fail")
+    return _export(spark, parse_jsonl(sample_lines(spark, sf_dir), on_error="fail"))
+
+
+def _export(spark: SparkSession, parsed: DataFrame) -> DataFrame:
     return flatten_samples(parsed, task_catalog(spark), manifest_settings(task_manifests(spark)),
                            model_name=F.col("model"), model_path=F.concat(F.lit("/models/"), F.col("model")),
                            git_commit=GIT_COMMIT, created_at=CREATED_AT, tokenizer=TOKENIZER)
@@ -131,8 +134,9 @@ def q_export_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_export_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P17 on the clean export: expected empty."""
-    return publication_violations(exported(spark, sf_dir))
+    """P17 on the export of the faulty samples, whose corrupt lines the ``drop`` policy skips."""
+    parsed = parse_jsonl(sample_lines(spark, sf_dir, faults=True), on_error="drop")
+    return publication_violations(_export(spark, parsed))
 
 
 def _expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,10 +223,16 @@ SELECT lang AS model_name, '/models/' || lang AS model_path, 'meta-llama/Llama-3
 FROM e
 """
 
-SQL_EXPORT_VIOLATIONS = """
-SELECT CAST(NULL AS VARCHAR) AS task, CAST(NULL AS BIGINT) AS line, CAST(NULL AS VARCHAR) AS sample_id,
-  CAST(NULL AS VARCHAR) AS code
-FROM documents WHERE false
+SQL_EXPORT_VIOLATIONS = "WITH" + _TASK_SQL + """,
+s AS (
+  SELECT task, CAST(doc_id + 1 AS BIGINT) AS line, doc_id % 17 = 9 OR doc_id % 19 = 11 AS no_out, doc_id % 23 = 13 AS no_prompt,
+    task || ':' || CAST(CASE WHEN doc_id % 13 = 7 THEN doc_id - 4 ELSE doc_id END AS VARCHAR) AS sample_id
+  FROM d WHERE doc_id % 11 <> 5)
+SELECT task, line, sample_id, CASE WHEN no_out THEN 'empty_raw_output' ELSE 'empty_prompt' END AS code
+FROM s WHERE no_out OR no_prompt
+UNION ALL
+SELECT task, line, sample_id, 'duplicate_sample_id' FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY line) AS rn FROM s) WHERE rn > 1
 """
 
 SQL_VALIDATE_SAMPLES = "WITH" + _TASK_SQL + """,

@@ -132,8 +132,7 @@ def q_judge_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = lines.select("task").distinct()
     (lines.where(~F.col("task").contains("5")).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
           .write.partitionBy("task").json(f"{base}/results"))
-    task_names = [r[0] for r in tasks.collect()]  # one row per task (a short list)
-    results = discover_first(list_files(spark, [f"{base}/results"]), task_names,
+    results = discover_first(list_files(spark, [f"{base}/results"]), tasks,
                              ["task={task}/*.json", "results_{task}_*.json"])
     export_failures = tasks.where(F.col("task").endswith("3")).select(
         "task", F.lit("row count mismatch").alias("error"))

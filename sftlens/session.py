@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 # Settings the jobs are designed around on a large cluster (apply in spark-submit or
-# the session builder; nothing here is required for correctness).
+# the session builder; nothing here is required for correctness: the parsers set the one
+# setting that they depend on).
 CLUSTER_CONF = {
     "spark.sql.adaptive.enabled": "true",                       # runtime re-planning
     "spark.sql.adaptive.coalescePartitions.enabled": "true",    # start high, merge small
@@ -50,8 +52,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (a bare local test session) do we create one of our own.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a local
+    master gets a folder of its own; any other raises, since executors would each
+    write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="sftlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

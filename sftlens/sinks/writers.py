@@ -40,13 +40,17 @@ def publish_validated(df: DataFrame, path: str, validate, expected_count: int |
 
     The number of rows written is observed during the write itself
     (``df.observe``), so no extra pass is needed; it becomes the expected count
-    of the read-back validation, whose count rule then catches any loss.
-    ``validate(parsed_df, expected_df) -> errors_df`` runs on the staged copy
-    (e.g. :func:`sftlens.operators.validate.validate_export_file`); only its first
-    few violations reach the driver, for the message.  Returns the row count.
+    of the read-back validation, whose count rule then catches any loss.  An export
+    without rows, records that P17 refuses (blank fields, a sample id that repeats in any of the
+    part files) and violations of ``validate(parsed_df, expected_df) -> errors_df`` (e.g.
+    :func:`sftlens.operators.validate.validate_export_file`) stop the publication; only
+    the first few reach the driver, for the message.  Returns the row count.
     """
     from pyspark.sql import Observation
 
+    from ..functions.variant import as_string, key
+    from ..operators.export import publication_violations
+    from ..session import materialize
     from ..sources.jsonl import read_jsonl
 
     spark = df.sparkSession
@@ -56,11 +60,17 @@ def publish_validated(df: DataFrame, path: str, validate, expected_count: int |
     written = int(obs.get["rows"])
     fs, sp, jvm = _fs(spark, staging)
     try:
+        if not written:
+            raise PublishError("no rows to publish")
         if expected_count is not None and written != expected_count:
             raise PublishError(f"expected {expected_count} rows but wrote {written}")
-        parsed = read_jsonl(spark, staging + "/*.json", on_error="collect").withColumn("task", F.lit(task))
-        expected = spark.createDataFrame([(task, written)], "task string, expected long")
-        bad = validate(parsed, expected).limit(5).collect()
+        parsed = read_jsonl(spark, staging + "/*.json", on_error="collect").withColumn("task", F.lit(task)).drop("text")
+        parsed = materialize(parsed, "staged")
+        fields = [as_string("v", key(c)).alias(c) for c in ("sample_id", "raw_output", "prompt", "question")]
+        bad = publication_violations(parsed.select("task", "file", "line", *fields), ["file", "line"]).limit(5).collect()
+        if not bad:
+            expected = spark.createDataFrame([(task, written)], "task string, expected long")
+            bad = validate(parsed, expected).limit(5).collect()
         if bad:
             raise PublishError(f"validation failed: {[tuple(r) for r in bad]}")
         dest = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,15 +1,14 @@
 """SC1/SC2: JSON-lines scan with a dense per-file line number and three error policies.
 
 Line numbers: ``spark.read.text`` splits a file into blocks; within one block
-rows keep file order.  We tag every row with (file, block start) and its
-``monotonically_increasing_id`` (whose low 33 bits are the row's position in
-its partition), count rows per block (one small row per file split -- bounded
-by the number of splits, so broadcastable after a size check), turn those
-counts into per-file running offsets with a window over that small table,
-write that table once, and add the offsets back: two passes over the text,
-like ``zipWithIndex``.  No row is ever funnelled through one task, and there is no
-Python round trip (unlike ``rdd.zipWithIndex``).  Blank lines keep their
-number, as in the reference.
+rows keep file order.  The files are scanned once: every row is tagged with
+``monotonically_increasing_id`` (partition in the high bits, position in the low
+33) and written to a table in the shared checkpoint folder.  From that table come
+the rows per (partition, file) -- a few numbers per file split -- and their running
+offsets per file, which are added back by a join on the partition number: a
+broadcast join as long as that narrow table is under the broadcast threshold in
+bytes.  How the table is split when it is read again does not matter, since the tag
+travels as a column.  Blank lines keep their number, as in the reference.
 """
 from __future__ import annotations
 
@@ -17,24 +16,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
-from ..operators.joins import join_small
 from ..session import materialize
 
 POLICIES = ("fail", "collect", "drop")
+# A repeated key in an object is not an error: the last one wins, as in Python.
+LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def number_lines(raw: DataFrame, base: int = 1) -> DataFrame:
-    """Add ``line`` to rows ``text, file, _blk`` read from text files (batch or micro-batch)."""
-    raw = raw.withColumn("_mid", F.monotonically_increasing_id())
-    blocks = raw.groupBy("file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    """Add ``line`` to rows ``text, file, _blk`` read from text files (batch or micro-batch).
+
+    One pass over the files; rows come back exactly once, whatever the split sizes or cores
+    of the two steps."""
+    tagged = materialize(raw.withColumn("_mid", F.monotonically_increasing_id()), "lines")
+    part = F.shiftright("_mid", 33)
+    blocks = tagged.groupBy("file", "_blk", part.alias("_pid")).agg(
+        F.min("_mid").alias("_from"), F.max("_mid").alias("_to"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # one row per file split: written once, so the size check and the join do not
-    # each re-read the text to recount it
-    blocks = materialize(blocks.select("file", "_blk", "_m0", "_off"), "line-blocks")
-    joined = join_small(raw, blocks, ["file", "_blk"])
+    # numbers only, and written, so that the planner knows its bytes
+    blocks = materialize(blocks.select(F.col("_pid").alias("_bpid"), "_from", "_to", "_off"), "line-blocks")
+    joined = tagged.join(blocks, (part == F.col("_bpid")) & F.col("_mid").between(F.col("_from"), F.col("_to")))
     keep = [c for c in raw.columns if c not in ("_mid", "_blk")]
-    return joined.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(base)).alias("line"))
+    return joined.select(*keep, (F.col("_off") + F.col("_mid") - F.col("_from") + F.lit(base)).alias("line"))
 
 
 def text_with_blocks(df: DataFrame) -> DataFrame:
@@ -59,6 +63,7 @@ def parse_jsonl(lines: DataFrame, on_error: str = "fail", text_col: str = "text"
     """
     if on_error not in POLICIES:
         raise ValueError(f"on_error must be one of {POLICIES}")
+    lines.sparkSession.conf.set(LAST_KEY_WINS, "true")
     body = lines.where(~is_blank(text_col))
     stripped = py_strip(text_col)
     if on_error == "fail":
@@ -77,6 +82,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], on_error: str = "fail
 
 def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SC3: one JSON document per file -> ``file, v`` (``v`` NULL when unreadable)."""
+    spark.conf.set(LAST_KEY_WINS, "true")
     paths = [path] if isinstance(path, str) else list(path)
     raw = spark.read.option("wholetext", "true").text(paths)
     return raw.select(F.col("_metadata.file_path").alias("file"),

@@ -81,31 +81,37 @@ def _glob_part(g: str) -> str:
     return "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in g)
 
 
-def _glob_rx(pattern: str, task: str) -> str:
-    head, sep, tail = pattern.partition("{task}")
-    body = _glob_part(head) + (re.escape(task) + _glob_part(tail) if sep else "")
-    return ("(^|/)" if "/" in pattern else "^") + body + "$"
-
-
-def discover_first(listing: DataFrame, tasks: list[str], patterns: list[str]) -> DataFrame:
+def discover_first(listing: DataFrame, tasks: DataFrame, patterns: list[str]) -> DataFrame:
     """SC8: per task, the first (sorted) path matching any of the glob patterns
-    (``{task}`` is substituted); a pattern without ``/`` is matched against the
+    (``{task}`` is substituted, once); a pattern without ``/`` is matched against the
     file name, one with ``/`` against the end of the path (like ``**/pattern``).
-    A file matched by several patterns counts once.  Each listed file is tagged
-    with the tasks it matches (the task list is short), then one aggregate keeps
-    the minimum path -- no join.  Tasks with no match get a NULL path."""
+
+    ``tasks`` (column ``task``) and ``listing`` stay distributed: what follows the pattern's
+    literal start gives the candidate task names of a file -- its beginnings, as long as a
+    path segment -- which are joined to the tasks; the whole pattern is then checked on the
+    joined rows, and one aggregate keeps the minimum path.  Tasks with no match get a NULL path.
+    """
+    tasks = tasks.select("task").distinct()
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    tags = []
-    for t in tasks:
-        hit = None
-        for p in patterns:
-            c = (F.col("path") if "/" in p else name).rlike(_glob_rx(p, t))
-            hit = c if hit is None else (hit | c)
-        tags.append(F.when(hit, F.lit(t)))
-    tagged = listing.select("path", F.explode(F.array_compact(F.array(*tags))).alias("task"))
-    found = tagged.groupBy("task").agg(F.min("path").alias("path"))
-    all_tasks = listing.sparkSession.createDataFrame([(t,) for t in tasks], "task string")
-    return all_tasks.join(found, "task", "left")
+    found = None
+    for p in patterns:
+        head, sep, tail = p.partition("{task}")
+        subject = F.col("path") if "/" in p else name
+        start = ("(^|/)" if "/" in p else "^") + _glob_part(head)
+        if not sep:
+            hit = listing.where(subject.rlike(start + "$")).agg(F.min("path").alias("path")).where("path is not null")
+            hit = tasks.crossJoin(F.broadcast(hit))  # one row
+        else:
+            group = 2 if "/" in p else 1
+            rest = F.regexp_extract(subject, start + "([^/]+)" + ("" if "/" in tail else "[^/]*$"), group)
+            files = listing.select("path", subject.alias("_subject"), rest.alias("_rest")).where("_rest <> ''")
+            files = files.withColumn("task", F.explode(F.transform(F.sequence(F.lit(1), F.length("_rest")),
+                                                                   lambda n: F.col("_rest").substr(F.lit(1), n))))
+            quoted = F.concat(F.lit("\\Q"), F.col("task"), F.lit("\\E"))
+            rx = F.concat(F.lit(start), quoted, F.lit(_glob_part(tail) + "$"))
+            hit = files.join(tasks, "task").where(F.regexp_like("_subject", rx)).select("task", "path")
+        found = hit if found is None else found.unionByName(hit)
+    return tasks.join(found.groupBy("task").agg(F.min("path").alias("path")), "task", "left")
 
 
 def file_status(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def ingest_samples(spark: SparkSession, landing_glob: str, sink: str, checkpoint
                                 .withColumn("model", F.regexp_extract("file", PATH_MODEL, 1))
         # parsed once, written once: validation and flattening both read this table
         parsed = materialize(parse_jsonl(lines, on_error="collect").drop("text"), "ingest-parsed")
-        validate_samples(parsed).write.mode("overwrite").parquet(f"{sink}/errors/batch_id={batch_id}")
+        validate_samples(parsed, scope=("model", "task", "file")).write.mode("overwrite").parquet(f"{sink}/errors/batch_id={batch_id}")
         good = parsed.where(~F.col("parse_error"))
         flatten(good).write.mode("overwrite").parquet(f"{sink}/exported/batch_id={batch_id}")
         batches.append(batch_id)

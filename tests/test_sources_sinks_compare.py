@@ -39,9 +39,9 @@ def test_active_run_pointer(spark, tmp_dir):
 def test_discover_first(spark, tmp_dir):
     for name in ("samples_t1_2024-02.jsonl", "samples_t1_2024-01.jsonl", "other.jsonl", "x/samples_t2_a.jsonl"):
         _write(os.path.join(tmp_dir, name), "{}")
-    found = {r["task"]: r["path"] for r in discover_first(list_files(spark, [tmp_dir]), ["t1", "t2", "t3"],
-                                                          ["samples_{task}_*.jsonl", "samples_{task}*.jsonl"])
-             .collect()}
+    found = {r["task"]: r["path"] for r in discover_first(
+        list_files(spark, [tmp_dir]), spark.createDataFrame([("t1",), ("t2",), ("t3",)], "task string"),
+        ["samples_{task}_*.jsonl", "samples_{task}*.jsonl"]).collect()}
     assert found["t1"].endswith("samples_t1_2024-01.jsonl") and found["t2"].endswith("samples_t2_a.jsonl")
     assert found["t3"] is None
 
