@@ -69,7 +69,8 @@ class Codec:
         self.split = regex.compile(pattern)
         # a blank before a letter or digit always starts a pre-token, whatever precedes it
         self.chunks, self.odd = re.compile(r" (?=[^\W_])"), re.compile(r" (?![^\W_])")
-        self.memo, self.said = Memo(self._piece_ids, 400_000), Memo(self._said, 400_000)
+        # 250 and 120 MB at most: merging costs far more than composing a chunk from merged pieces
+        self.memo, self.said = Memo(self._piece_ids, 1_000_000), Memo(self._said, 400_000)
         self.byte_ids = [self.ranks.get(bytes([i])) for i in range(256)]
         self.words = [0] * (self.size // 256 + 1)  # all zero between calls
 
@@ -138,10 +139,10 @@ class Codec:
             i = after[i]
         return out
 
-    def _piece_ids(self, piece: str) -> list[int]:
-        return self.merge(piece.encode("utf-8"))
+    def _piece_ids(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.merge(piece.encode("utf-8")))
 
-    def chunk_ids(self, chunk: str) -> list[int]:
+    def chunk_ids(self, chunk: str) -> tuple[int, ...] | list[int]:
         if chunk[1:].isalpha() and chunk[0] == " ":  # one pre-token
             return self.memo[chunk]
         return [i for piece in self.split.findall(chunk) for i in self.memo[piece]]
