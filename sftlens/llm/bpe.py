@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker
+from .common import per_worker, small_batches
 
 SHORT = 64  # pieces up to this many characters are memoised
 
@@ -203,6 +203,7 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str, id_col: str = "do
 
 def digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_tokens, ids_sha256, decoded_sha256."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,16 @@ def per_worker(key, make):
     return store["value"]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel to Python in batches of at most so many rows: a batch, and what is made
+    of it, then takes tens of MB."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(conf)) > rows:
+        spark.conf.set(conf, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return read_table(spark, sf_dir, name)
 
 
@@ -113,6 +122,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         self.spark, self.job, self.paths = spark, job, {}
         spark.conf.set(self.CLEANUP, "true")
+        small_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_dir(self.spark, f"{self.job}-{name}")

@@ -18,8 +18,8 @@
 The benchmark is taken in slices of ``ITEMS`` items, so what is broadcast has a size bound whatever the
 table's size.  Steps 1 and 3 read the documents without a shuffle of text.
 
-Edge cases: null and empty texts and items match nothing; items without three content words need
-all their words in order; repeated rows give equal rows; equal items are all reported; empty tables give
+Edge cases: null and empty texts and items match nothing; items without three content words
+need all their words one after the other, and match nothing if they have fewer than ``SHORTEST``; repeated rows give equal rows; equal items are all reported; empty tables give
 an empty result; other columns are ignored.
 """
 from __future__ import annotations
@@ -32,12 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK, SPAN = 16, 3
 RANK, EXTRA, POWER = 64, 8, 2
 COSINE = 0.35
 CONTENT_IDF = 1.0
 COPY, PARAPHRASE, ANSWER = 0.7, 0.4, 0.6
 ITEMS = 5000
+SHORTEST = 5  # words of an item that is looked up literally
 TASKS = 16
 BATCH_WORDS = 300_000
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -178,6 +181,8 @@ class Searcher:
             sentences = [s for x in SENTENCE.split(text) if len(s := self.vocabulary.ids(x))]
             need = ids[self.content[ids]]
             strict = len(need) < 3
+            if strict and len(ids) < SHORTEST:
+                continue
             tail = [s[self.content[s]] for s in sentences if self.content[s].any()]
             self.items.append((item_id, ids if strict else need, tail[-1] if tail else need, strict, len(ids)))
             weights = w if len(own) else np.ones(1)
@@ -187,8 +192,8 @@ class Searcher:
         norm = np.array(norms)
         kept = (self.rows.astype(float) ** 2).sum(axis=1)
         # <w, i> in the space stands for kept / norm^2 of the true product
-        self.scale = np.divide(norm, kept, out=np.full(len(norm), np.inf), where=kept > 1e-9)
-        strict = [i for i, x in enumerate(self.items) if x[3] or not np.isfinite(self.scale[i])]
+        self.scale = np.divide(norm, kept, out=np.zeros(len(norm)), where=kept > 1e-9)
+        strict = [i for i, x in enumerate(self.items) if x[3] or not self.scale[i]]
         self.exact: dict[int, list[int]] = {}  # items the space can't hold are looked up by their rarest term
         for i in strict:
             ids = self.items[i][1]
@@ -227,7 +232,7 @@ class Searcher:
         for s in range(0, len(at), 4096):
             part = at[s:s + 4096]
             cos = (window[part] @ self.rows.T) * self.scale / length[part, None]
-            w, item = np.nonzero(np.isfinite(cos) & (cos >= COSINE))
+            w, item = np.nonzero(cos >= COSINE)
             for k, i in zip(w.tolist(), item.tolist(), strict=True):
                 b = int(part[k])
                 d = int(np.searchsorted(starts, b, "right")) - 1
@@ -243,16 +248,17 @@ class Searcher:
             item_id, need, tail, strict, n = self.items[i]
             lo, hi = max(0, lo - n), hi + n
             part = ids[lo:hi]
+            if strict:
+                if len(part) >= n and (at := np.flatnonzero((np.lib.stride_tricks.sliding_window_view(part, n) == need).all(axis=1))).size:
+                    out.append((item_id, cos, 1.0, "copy", lo + int(at[0])))
+                continue
             part = part[part >= 0]
-            if not strict:
-                part = part[self.content[part]]
+            part = part[self.content[part]]
             # far apart windows of one item: slide, so that a subsequence stays local
-            best = self._local(need, ids, lo, hi, n, strict) if hi - lo > 4 * n + 2 * BLOCK * SPAN else (common_subsequence(need, part), lo, part)
+            best = self._local(need, ids, lo, hi, n) if hi - lo > 4 * n + 2 * BLOCK * SPAN else (common_subsequence(need, part), lo, part)
             ratio = best[0] / len(need)
             kind = None
-            if strict:
-                kind = "copy" if ratio == 1 else None
-            elif ratio >= COPY:
+            if ratio >= COPY:
                 kind = "copy"
             elif ratio >= PARAPHRASE and best[0] >= 4 and common_subsequence(tail, best[2]) >= ANSWER * len(tail):
                 kind = "paraphrase"
@@ -260,13 +266,12 @@ class Searcher:
                 out.append((item_id, cos, ratio, kind, best[1]))
         return out
 
-    def _local(self, need, ids, lo, hi, n, strict):
+    def _local(self, need, ids, lo, hi, n):
         best = (-1, lo, ids[:0])
         for s in range(lo, hi, n + BLOCK):
             part = ids[s:s + 3 * n + 2 * BLOCK]
             part = part[part >= 0]
-            if not strict:
-                part = part[self.content[part]]
+            part = part[self.content[part]]
             got = common_subsequence(need, part)
             if got > best[0]:
                 best = (got, s, part)
@@ -287,6 +292,7 @@ class Searcher:
 
 def _slices(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator:
     """A broadcast of ``Searcher``'s arguments for each slice of the benchmark."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("t")).where("t is not null and item_id is not null")
     slices = -(-bench.count() // ITEMS)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LOG2_BUCKETS = 15
 BUCKETS = 1 << LOG2_BUCKETS
 ROUNDS = 40          # EM stops earlier once proportions settle
@@ -207,6 +209,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
 def tag(docs: DataFrame, model: tuple[list[str], np.ndarray], out: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the predicted language in column ``out``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

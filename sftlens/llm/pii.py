@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -37,6 +38,9 @@ LABELLED = (
     "look at the dot on that page", "he was at home and at work", "meet me at noon in the com room",
     "the server [ip|10.20.30.40] is down", "from [ip|192.168.0.17]: refused", "ping [ip|8.8.4.4] twice",
     "host [ip|172.16.254.1] and host [ip|203.0.113.9], port 8080", "le [ip|97.51.17.173] ueadoos",
+    "[ip|10.1.2.3]", "seen [ip|44.55.66.77] and left", "or [ip|198.51.100.23] or", "ether anon [ip|64.147.79.24] inon it",
+    "[email|q.w@e.example.com]", "[card|30569309025904]", "a [card|4222222222222220] b", "[phone|+7 495 123 45 67]",
+    "is at [phone|(415) 555-0101] now", "[phone|(646) 555-0155]", "was (see) there", "in (1999) and (42) of",
     "version 4.0.1 of the tool", "see section 3.2.1.4000 below", "licensed under version 2.0.", "BY-NC 4.0.",
     "card [card|4111111111111111] was charged", "pay with [card|5500 0055 5555 5559] now",
     "la carte [card|4012-8888-8888-1881] est", "number [card|378282246310005] on file", "leurre [card|6011111111111117] esllra",
@@ -327,6 +331,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 def redact(docs: DataFrame, text_col: str = "text", labelled=LABELLED) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind in brackets; null stays null.
     Overlapping spans become one mark of the first one's kind."""
+    small_batches(docs.sparkSession)
     tagger = Tagger(labelled)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
