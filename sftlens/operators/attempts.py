@@ -82,6 +82,16 @@ def first_success(attempts: DataFrame, task_col: str = "task", order_col: str =
         F.when(~ok_first & F.col("_first_hard").isNotNull(), F.col("_hard_pos")).cast("bigint").alias("stop_attempt"))
 
 
+def winning_config(verdicts: DataFrame, ladder=FALLBACK_LADDER, task_col: str = "task") -> DataFrame:
+    """L3: the configuration under which a task succeeded: its verdict (:func:`first_success`)
+    with the ladder row of the winning attempt; NULL without a success, or where the recorded attempts
+    go beyond the ladder."""
+    rows = verdicts.sparkSession.createDataFrame(ladder, "fallback_level int, max_num_batched_tokens int, max_num_seqs int, "
+                                                         "gpu_memory_utilization double, enable_prefix_caching boolean")
+    return verdicts.join(rows, F.col("successful_attempt") == F.col("fallback_level"), "left").select(
+        task_col, "outcome", *rows.columns)
+
+
 def parse_telemetry(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """SC7: comma-separated samples -> ``mem_used`` as an integer (``int(float(x))``);
     rows with fewer than two fields or a non-numeric second field are dropped."""

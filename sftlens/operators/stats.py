@@ -75,8 +75,9 @@ def exact_percentiles_from_hist(hist: DataFrame, group_cols: Sequence[str], valu
     return out.select(*g, *cols, *extra)
 
 
-def _hist_aggs(max_gen_toks: int) -> list:
-    thr = max_gen_toks - TRUNCATION_MARGIN
+def _hist_aggs(max_gen_toks: int | str) -> list:
+    """``max_gen_toks``: a number, or the name of a column of the histogram."""
+    thr = (F.col(max_gen_toks) if isinstance(max_gen_toks, str) else F.lit(max_gen_toks)) - TRUNCATION_MARGIN
     return [
         F.sum("_cnt").alias("actual_samples"),
         F.sum(F.col("_tok") * F.col("_cnt")).cast("bigint").alias("total_output_tokens"),
@@ -89,12 +90,12 @@ def _hist_aggs(max_gen_toks: int) -> list:
 
 def token_stats(df: DataFrame, model_col: str = "model", task_col: str = "task",
                 tokens_col: str = "tokens", output_col: str | None = "output",
-                key_col: str | None = "key", max_gen_toks: int = 32768) -> DataFrame:
+                key_col: str | None = "key", max_gen_toks: int | str = 32768) -> DataFrame:
     """Per (model, task) stats plus the pooled per-model row (A1 + A2).
 
     The pooled row is computed from the pooled token counts (not averaged task
     stats).  ``level`` is ``task`` or ``overall``; on ``overall`` rows ``task``
-    is NULL.  Plan: one partial+final aggregate to a (group, tokens) histogram
+    is NULL.  ``max_gen_toks`` is a number or a column that is constant within a model.  Plan: one partial+final aggregate to a (group, tokens) histogram
     for both levels at once (GROUPING SETS), everything else from that
     histogram; duplicates (rows minus distinct keys *within a task*, summed for
     the pooled row as in the reference) from a second aggregate that reads the
@@ -102,13 +103,14 @@ def token_stats(df: DataFrame, model_col: str = "model", task_col: str = "task",
     """
     blank = is_blank(output_col) if output_col else F.lit(False)
     base = df.select(F.col(model_col).alias("_m"), F.col(task_col).alias("_t"),
-                     F.col(tokens_col).cast("bigint").alias("_tok"), blank.alias("_blank"))
+                     F.col(tokens_col).cast("bigint").alias("_tok"), blank.alias("_blank"),
+                     (F.col(max_gen_toks) if isinstance(max_gen_toks, str) else F.lit(max_gen_toks)).alias("_cap"))
     hist = (base.groupingSets([("_m", "_t", "_tok"), ("_m", "_tok")], "_m", "_t", "_tok")
                 .agg(F.grouping("_t").alias("_lvl"),
                      F.count(F.lit(1)).alias("_cnt"),
-                     F.count_if("_blank").alias("_empty")))
+                     F.count_if("_blank").alias("_empty"), F.max("_cap").alias("_cap")))
     keys = ["_m", "_t", "_lvl"]
-    out = exact_percentiles_from_hist(hist, keys, "_tok", "_cnt", PERCENTILES, _hist_aggs(max_gen_toks))
+    out = exact_percentiles_from_hist(hist, keys, "_tok", "_cnt", PERCENTILES, _hist_aggs("_cap"))
     out = out.select(*keys, *[F.col(f"p{p}").cast("bigint").alias(f"p{p}") for p in PERCENTILES],
                      *[c for c in out.columns if c not in keys and c not in {f"p{p}" for p in PERCENTILES}])
     if key_col:

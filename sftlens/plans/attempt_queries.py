@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.attempts import attempt_rollup, classify_attempts, first_success, parse_telemetry, peak
+from ..operators.attempts import attempt_rollup, classify_attempts, first_success, parse_telemetry, peak, winning_config
 from .common import table
 
 # Stand-in log lines per event type.
@@ -59,6 +59,10 @@ def q_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_success(classified(spark, sf_dir))
 
 
+def q_ladder_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winning_config(first_success(classified(spark, sf_dir)))
+
+
 def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     mem = F.when(F.col("event_type") == "error", F.lit("N/A")).otherwise(F.col("value").cast("string"))
@@ -109,6 +113,13 @@ SELECT task,
 FROM c
 """
 
+SQL_LADDER_CONFIG = f"""
+SELECT v.task, v.outcome, l.* FROM ({SQL_FIRST_SUCCESS}) v
+LEFT JOIN (VALUES (1, 8192, 32, CAST(0.90 AS DOUBLE), true), (2, 4096, 16, 0.90, true), (3, 2048, 8, 0.88, true), (4, 2048, 4, 0.88, false))
+  l(fallback_level, max_num_batched_tokens, max_num_seqs, gpu_memory_utilization, enable_prefix_caching)
+  ON v.successful_attempt = l.fallback_level
+"""
+
 SQL_TELEMETRY_PEAK = """
 SELECT user_id AS gpu, CAST(greatest(coalesce(max(trunc(value)), 0), 0) AS BIGINT) AS peak
 FROM events WHERE event_type <> 'error' GROUP BY 1
@@ -122,8 +133,8 @@ FROM events WHERE event_type <> 'error' GROUP BY 1
 """
 
 QUERIES = {"attempt_status": q_attempt_status, "attempt_rollup": q_attempt_rollup,
-           "first_success": q_first_success, "telemetry_peak": q_telemetry_peak,
+           "first_success": q_first_success, "ladder_config": q_ladder_config, "telemetry_peak": q_telemetry_peak,
            "telemetry_peak_window": q_telemetry_peak_window}
 ORACLES = {"attempt_status": SQL_ATTEMPT_STATUS, "attempt_rollup": SQL_ATTEMPT_ROLLUP,
-           "first_success": SQL_FIRST_SUCCESS, "telemetry_peak": SQL_TELEMETRY_PEAK,
+           "first_success": SQL_FIRST_SUCCESS, "ladder_config": SQL_LADDER_CONFIG, "telemetry_peak": SQL_TELEMETRY_PEAK,
            "telemetry_peak_window": SQL_TELEMETRY_PEAK_WINDOW}

@@ -73,7 +73,10 @@ def q_config_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row per model: written once, read by the matrix and by the pair verdicts
-    s = materialize(run_stats(spark, sf_dir), "run-stats")
+    return _matrix(spark, materialize(run_stats(spark, sf_dir), "run-stats"))
+
+
+def _matrix(spark: SparkSession, s: DataFrame) -> DataFrame:
     # The two comparability rows describe the first requested pair (en, fr).
     pair = pair_runs(s, spark.createDataFrame(PAIRS[:1], "model_a string, model_b string"))
     return comparison_matrix(s, run_names(s), pair=pair)
@@ -176,9 +179,10 @@ def q_comparison_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sinks.writers import write_comparison
 
     out = scratch_dir(spark, "comparison")
-    matrix = q_compare_models(spark, sf_dir)
+    s = materialize(run_stats(spark, sf_dir), "run-stats")
+    matrix = _matrix(spark, s)
     models = [c for c in matrix.columns if c != "metric"]
-    write_comparison(matrix, out, models)
+    write_comparison(matrix, out, models, s)
     schema = "metric string, " + ", ".join(f"{m} double" for m in models)
     return spark.read.schema(schema).option("header", "true").csv(f"{out}/csv")
 

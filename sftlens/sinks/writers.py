@@ -85,20 +85,48 @@ def publish_validated(df: DataFrame, path: str, validate, expected_count: int |
         raise
 
 
-def write_comparison(matrix: DataFrame, out_dir: str, models: list[str]) -> None:
-    """SK3: the (<= 40-row) matrix as ``json/``, ``csv/`` and ``comparison.md``.
+# The configuration rows of the comparison, in order.
+CONFIG_ROWS = ("max_gen_toks", "max_model_len", "max_num_batched_tokens", "max_num_seqs", "gpu_memory_utilization",
+               "enable_prefix_caching", "enable_chunked_prefill", "dtype", "vllm_version", "lm_eval_version")
 
-    JSON and CSV are ordinary single-partition Spark writes (the matrix is one
-    row per metric); the Markdown table is rendered from those few rows and
-    written through the cluster file system.
+
+def _ordered(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """Rows in the order of ``key`` in ``order`` (others after them, by name), as one partition:
+    there is a row per metric."""
+    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(key)), F.lit(0)), F.lit(len(order) + 1))
+    return rows.coalesce(1).sortWithinPartitions(at, key)
+
+
+def write_comparison(matrix: DataFrame, out_dir: str, models: list[str], stats: DataFrame | None = None,
+                     model_col: str = "model_name") -> None:
+    """SK3: the (<= 40-row) matrix as ``json/``, ``csv/`` and ``comparison.md``, metrics in the
+    reference's order.
+
+    With ``stats`` (one record per run) there is also ``document/``, one JSON object with all
+    records under their names and the two verdicts, and a configuration section in the
+    Markdown.  All writes are single-partition Spark writes of a row per metric or run;
+    the Markdown is rendered from those few rows and written through the cluster file system.
     """
-    m = matrix.coalesce(1)
+    from ..operators.compare import MATRIX_METRICS
+
+    m = _ordered(matrix, "metric", MATRIX_METRICS)
     m.write.mode("overwrite").json(f"{out_dir}/json")
     m.write.mode("overwrite").option("header", "true").csv(f"{out_dir}/csv")
+    lines = ["# Generation comparison", "", "## Overall", "", "| Metric | " + " | ".join(models) + " |", "|---|" + "---|" * len(models)]
     rows = m.collect()
-    lines = ["| Metric | " + " | ".join(models) + " |", "|---|" + "---|" * len(models)]
     for r in rows:
         lines.append(f"| {r['metric']} | " + " | ".join(str(r[x]) for x in models) + " |")
+    if stats is not None:
+        verdicts = {r["metric"]: bool(r[models[0]]) for r in rows if r["metric"] in ("config_comparable", "throughput_comparable")}
+        runs = stats.where(F.col(model_col).isin(*models))
+        record = F.map_from_entries(F.collect_list(F.struct(F.col(model_col), F.struct(*runs.columns))))
+        runs.agg(F.lit("generation_only").alias("generation_mode"), F.lit(False).alias("accuracy_reported"), record.alias("runs"),
+                 *[F.lit(x).alias(name) for name, x in verdicts.items()]).write.mode("overwrite").json(f"{out_dir}/document")
+        by_name = {r[model_col]: r for r in runs.collect()}
+        lines += ["", "## Configuration", "", "| Parameter | " + " | ".join(models) + " |", "|---|" + "---|" * len(models)]
+        for name in CONFIG_ROWS:
+            if name in stats.columns:
+                lines.append(f"| {name} | " + " | ".join(str(by_name[x][name]) if x in by_name else "None" for x in models) + " |")
     fs, p, jvm = _fs(matrix.sparkSession, f"{out_dir}/comparison.md")
     out = fs.create(p, True)
     try:

@@ -124,10 +124,18 @@ def test_config_comparability(spark):
 def test_write_comparison(spark, tmp_dir):
     from sftlens.sinks.writers import write_comparison
 
-    m = spark.createDataFrame([("p50", 1.0, 2.0), ("tokens_per_s", 3.5, 0.0)], "metric string, a double, b double")
+    m = spark.createDataFrame([("throughput_comparable", 0.0, 0.0), ("tokens_per_s", 3.5, 0.0), ("p50", 1.0, 2.0),
+                               ("config_comparable", 1.0, 1.0)], "metric string, a double, b double")
     out = os.path.join(tmp_dir, "cmp")
-    write_comparison(m, out, ["a", "b"])
+    stats = spark.createDataFrame([("a", 8192, "bf16"), ("b", 4096, None)], "model_name string, max_num_batched_tokens int, dtype string")
+    write_comparison(m, out, ["a", "b"], stats)
+    doc = spark.read.json(os.path.join(out, "document")).first()
+    assert doc["config_comparable"] and not doc["throughput_comparable"] and doc["runs"]["b"]["max_num_batched_tokens"] == 4096
+    csv = [f for f in os.listdir(os.path.join(out, "csv")) if f.endswith(".csv")]
+    order = [x.split(",")[0] for x in open(os.path.join(out, "csv", csv[0])).read().splitlines()]
+    assert order == ["metric", "p50", "tokens_per_s", "config_comparable", "throughput_comparable"]
     md = open(os.path.join(out, "comparison.md")).read()
     assert "| Metric | a | b |" in md and "| tokens_per_s | 3.5 | 0.0 |" in md
-    assert spark.read.json(os.path.join(out, "json")).count() == 2
-    assert spark.read.option("header", "true").csv(os.path.join(out, "csv")).count() == 2
+    assert "| max_num_batched_tokens | 8192 | 4096 |" in md and "| dtype | bf16 | None |" in md
+    assert spark.read.json(os.path.join(out, "json")).count() == 4
+    assert spark.read.option("header", "true").csv(os.path.join(out, "csv")).count() == 4
