@@ -41,7 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class WordHash(dict):
-    """bytes -> 64-bit hash, memoised; the memo is bounded."""
+    """bytes -> 64-bit hash, memoised; the memo is bounded.  Starting one lets go of what an
+    earlier job left in the worker (``per_worker``)."""
+
+    def __init__(self):
+        super().__init__()
+        per_worker(None, lambda: None)
 
     def __missing__(self, word):
         if len(self) >= MEMO_WORDS:
