@@ -22,7 +22,7 @@ def per_worker(key, make):
     """``make()`` once per Python worker process: tasks that run there later get the same
     object.  One object is held at a time."""
     store = sys.modules.setdefault("_sftlens_per_worker", types.ModuleType("_sftlens_per_worker")).__dict__
-    if store.get("key") != key:
+    if "value" not in store or store["key"] != key:
         store.update(key=key, value=make())
     return store["value"]
 
@@ -99,10 +99,10 @@ def split_by_keys(df: DataFrame, keys: DataFrame, key: str, key_in_keys: str | N
     """Rows of ``df`` whose ``key`` is certainly not in ``keys`` (null keys too), and the others.
 
     A bitmap of hashed keys (1 MB whatever the input) is broadcast as rows of 4 KB, so no row of
-    ``df`` is shuffled.  ``keys`` must be cheap to read.
+    ``df`` is shuffled.  ``keys`` must be cheap to read; both columns must be of one type.
     """
     n = 1 << log2_bits
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(n))
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(n))
     maps = bitmap_rows(keys, bit(key_in_keys or key)).withColumnsRenamed({"block": "_block", "bits": "_bits"})
     byte = F.conv(F.hex(F.expr("substring(_bits, cast((_pos % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     cols = [F.col(f"`{c}`") for c in df.columns]
@@ -160,7 +160,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
         cur = keep.write(small, str(i + 1))
         keep.drop("large", str(i))
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.countDistinct("u")).first()
+        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now[0] == now[2] and tuple(now) == state:  # every node points at one head, and no round changes that
             break
         state = tuple(now)

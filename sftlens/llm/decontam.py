@@ -25,6 +25,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,24 +33,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import per_worker, small_batches
 
 BLOCK, SPAN = 16, 3
 RANK, EXTRA, POWER = 64, 8, 2
 COSINE = 0.35
-CONTENT_IDF = 1.0
+CONTENT_IDF = 2.5  # words in fewer than one passage of twelve
 COPY, PARAPHRASE, ANSWER = 0.7, 0.4, 0.6
 ITEMS = 5000
 SHORTEST = 5  # words of an item that is looked up literally
 TASKS = 16
 BATCH_WORDS = 300_000
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+FLAGS = 4_000_000  # bytes in which a task marks passages and terms
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‹›“”„‘’‚…–—·•§¶©®™°\u00ad"
 SENTENCE = re.compile(r"[.!?\n]+\s*")
 RESULT = "item_id bigint, cosine double, lcs_ratio double, kind string, start bigint"
 
 
 def term(word: str) -> str:
-    return EDGES.sub("", word.lower())
+    """A word without case and without punctuation around it."""
+    return word.lower().strip(EDGES)
 
 
 class Vocabulary(dict):
@@ -77,25 +80,27 @@ def passage_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tup
     """Passages of all documents, and how many hold each term."""
     size, v = BLOCK * SPAN, len(terms)
 
+    job = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, df, total = Vocabulary(terms), np.zeros(v, np.int64), 0
+        vocabulary = per_worker(("terms", job), lambda: Vocabulary(terms))
+        df, total = np.zeros(v, np.int64), 0
+        seen = np.zeros((max(1, FLAGS // v), v), bool)  # passage x term
+        used = 0
         for b in batches:
-            parts, at, words = [], 0, 0
-            for t in [*b["t"], None]:
+            for t in b["t"]:
                 ids = vocabulary.ids(t)
-                if len(ids):
-                    parts.append((np.arange(len(ids)) // size + at) * v + ids)
-                    parts[-1][ids < 0] = -1
-                    at += -(-len(ids) // size)
-                    words += len(ids)
-                if parts and (words >= BATCH_WORDS or t is None):
-                    keys = np.concatenate(parts)
-                    df += np.bincount(np.unique(keys[keys >= 0]) % v, minlength=v)
-                    total, parts, at, words = total + at, [], 0, 0
-            if parts:
-                keys = np.concatenate(parts)
-                df += np.bincount(np.unique(keys[keys >= 0]) % v, minlength=v)
-                total += at
+                total += -(-len(ids) // size)
+                for s in range(0, len(ids), size * len(seen)):
+                    part = ids[s:s + size * len(seen)]
+                    n = -(-len(part) // size)
+                    if used + n > len(seen):
+                        df += seen[:used].sum(axis=0)
+                        seen[:used], used = False, 0
+                    at = np.flatnonzero(part >= 0)
+                    seen[used + at // size, part[at]] = True
+                    used += n
+        df += seen[:used].sum(axis=0)
         at = df.nonzero()[0]
         yield pd.DataFrame({"term": np.append(at, -1).astype(np.int32), "n": np.append(df[at], total)})
 
@@ -192,8 +197,10 @@ class Searcher:
         norm = np.array(norms)
         kept = (self.rows.astype(float) ** 2).sum(axis=1)
         # <w, i> in the space stands for kept / norm^2 of the true product
-        self.scale = np.divide(norm, kept, out=np.zeros(len(norm)), where=kept > 1e-9)
-        strict = [i for i, x in enumerate(self.items) if x[3] or not self.scale[i]]
+        scale = np.divide(norm, kept, out=np.zeros(len(norm)), where=kept > 1e-9)
+        self.rows = (self.rows * scale[:, None]).astype(np.float32)
+        self.longest = float(np.sqrt((self.rows.astype(float) ** 2).sum(axis=1)).max(initial=0.0))
+        strict = [i for i, x in enumerate(self.items) if x[3] or not scale[i]]
         self.exact: dict[int, list[int]] = {}  # items the space can't hold are looked up by their rarest term
         for i in strict:
             ids = self.items[i][1]
@@ -228,10 +235,11 @@ class Searcher:
         m = total - SPAN + 1
         window = sum(latent[i:m + i] for i in range(SPAN))
         length = np.sqrt(sum(norm[i:m + i] for i in range(SPAN)))
-        at = np.flatnonzero(window.any(axis=1) & (length > 0))
+        # no item can be nearer than the window's length in the space allows
+        at = np.flatnonzero(np.sqrt(np.einsum("ij,ij->i", window, window)) * self.longest >= 0.999 * COSINE * np.maximum(length, 1e-9))
         for s in range(0, len(at), 4096):
             part = at[s:s + 4096]
-            cos = (window[part] @ self.rows.T) * self.scale / length[part, None]
+            cos = (window[part] / length[part, None].astype(np.float32)) @ self.rows.T
             w, item = np.nonzero(cos >= COSINE)
             for k, i in zip(w.tolist(), item.tolist(), strict=True):
                 b = int(part[k])
@@ -255,7 +263,7 @@ class Searcher:
             part = part[part >= 0]
             part = part[self.content[part]]
             # far apart windows of one item: slide, so that a subsequence stays local
-            best = self._local(need, ids, lo, hi, n) if hi - lo > 4 * n + 2 * BLOCK * SPAN else (common_subsequence(need, part), lo, part)
+            best = self._local(need, ids, lo, hi, n) if hi - lo > 4 * n + 2 * BLOCK * SPAN else (self._common(need, part), lo, part)
             ratio = best[0] / len(need)
             kind = None
             if ratio >= COPY:
@@ -266,13 +274,21 @@ class Searcher:
                 out.append((item_id, cos, ratio, kind, best[1]))
         return out
 
+    @staticmethod
+    def _common(need, part) -> int:
+        """Longest common subsequence, or 0 if too few of the words are there at all."""
+        here = set(part.tolist())
+        if sum(x in here for x in need.tolist()) < PARAPHRASE * len(need):
+            return 0
+        return common_subsequence(need, part)
+
     def _local(self, need, ids, lo, hi, n):
         best = (-1, lo, ids[:0])
         for s in range(lo, hi, n + BLOCK):
             part = ids[s:s + 3 * n + 2 * BLOCK]
             part = part[part >= 0]
             part = part[self.content[part]]
-            got = common_subsequence(need, part)
+            got = self._common(need, part)
             if got > best[0]:
                 best = (got, s, part)
         return best
@@ -313,9 +329,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, {RESULT}"
     result = docs.sparkSession.createDataFrame([], schema)
     for shared in _slices(docs, benchmark, text_col, item_col, item_text_col):
+        job = uuid.uuid4().hex
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            searcher = Searcher(*shared.value)
+        def run(batches: Iterator[pd.DataFrame], shared=shared, job=job) -> Iterator[pd.DataFrame]:
+            searcher = per_worker(("searcher", job), lambda: Searcher(*shared.value))
             for b in batches:
                 rows = [(i, *hit) for i, hits in zip(b["id"], searcher.search(b["t"].tolist()), strict=True) for hit in hits]
                 if rows:
@@ -334,9 +351,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def _is_clean(shared):
+    job = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        searcher = Searcher(*shared.value)
+        searcher = per_worker(("searcher", job), lambda: Searcher(*shared.value))
         for b in batches:
             yield pd.Series([not hits for hits in searcher.search(b.tolist())], dtype=bool)
 
