@@ -2,8 +2,8 @@
 
 1. Examples: up to ``PER_CLASS`` labelled documents of each class, those with the lowest hash
    of their id (a bounded sample of labelled rows; classes keep their true weight).
-2. Terms: words and word beginnings (4 to 8 letters) whose presence depends on the label
-   (chi-square over the examples), ``TERMS`` at most.  Document frequencies of the terms are
+2. Terms: words and word beginnings (4 to 8 letters) whose presence raises the share of toxic
+   examples (chi-square), ``TERMS`` at most, none that another term implies.  Document frequencies of the terms are
    counted over all documents.
 3. Index: examples with equal vectors form one entry that carries the class weights.  Each term
    has a posting list cut into blocks of entries, with the largest weight of each block.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, per_worker, split_by_keys
 
 PER_CLASS = 6000
-TERMS = 1000
+TERMS = 400
 MIN_DOCS = 4
 CHI2 = 25.0
 K = 20
@@ -93,7 +93,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, tex
 
 
 def select_terms(sample: DataFrame) -> tuple[list[str], dict[int, int]]:
-    """Terms by chi-square, best first, and examples by class."""
+    """Terms by chi-square, best first, and how many examples a class has."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: list[Counter] = [Counter(), Counter()]
@@ -118,9 +118,16 @@ def select_terms(sample: DataFrame) -> tuple[list[str], dict[int, int]]:
             return [], {1: pos, 0: neg}
         a, b, n = F.col("a"), F.col("b"), float(pos + neg)
         chi2 = n * F.pow(a * neg - b * pos, 2) / ((a + b) * (n - a - b) * pos * neg)
-        best = got.where((F.col("term") != "") & (a + b >= MIN_DOCS) & (a + b < n)).withColumn("chi2", chi2) \
-            .where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-        return [r.term for r in best.collect()], {1: pos, 0: neg}
+        best = got.where((F.col("term") != "") & (a + b >= MIN_DOCS) & (a * neg > b * pos)).withColumn("chi2", chi2) \
+            .where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(4 * TERMS)
+        names: list[str] = []
+        held: dict[tuple[int, int], list[str]] = {}
+        for r in best.collect():  # a beginning that is as frequent as one already taken says the same
+            alike = held.setdefault((r.a, r.b), [])
+            if len(names) < TERMS and not any(r.term.startswith(t) or t.startswith(r.term) for t in alike):
+                alike.append(r.term)
+                names.append(r.term)
+        return names, {1: pos, 0: neg}
     finally:
         got.unpersist()
 
