@@ -95,9 +95,9 @@ def flatten_samples(samples: DataFrame, catalog: DataFrame, settings: DataFrame,
     a = doc_field(v, F.col("answer_field"))
     sol = doc_field(v, F.col("solution_field"))
     s = (s.withColumn("_did", did)
-          .withColumn("doc_id", py_str(F.col("_did")))
+          .withColumn("doc_id", F.col("_did"))  # keeps its JSON type
           .withColumn("doc_id_key", typed_key(F.col("_did")))
-          .withColumn("sample_id", F.concat_ws(":", F.col(task_col), F.col("doc_id")))
+          .withColumn("sample_id", F.concat_ws(":", F.col(task_col), py_str(F.col("_did"))))
           .withColumn("question", F.coalesce(py_str(q), F.lit("")))
           .withColumn("gold_answer", F.when(~is_none(a), py_str(a)))
           .withColumn("gold_solution", F.when(~is_none(sol), py_str(sol)))

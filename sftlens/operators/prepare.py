@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS, field, first_truthy_text, is_none, py_str
+from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS, field, first_truthy_text, is_none
 from ..session import materialize
 from .indexing import dense_index
 
@@ -38,13 +38,12 @@ def unify_records(df: DataFrame, dataset: str, v_col: str = "v", index_col: str
 
     Rows whose problem or completion is empty are dropped (P5); with
     ``keep_skipped`` they are kept and flagged by ``kept = false`` so one pass
-    can also produce the counters.  ``metadata.answer`` is ``str(answer)``
-    (``""`` when the key is missing, NULL when it is JSON null).
+    can also produce the counters.  ``metadata.answer`` keeps its JSON
+    value as a VARIANT (``""`` when the key is missing, NULL when it is JSON null).
     """
     pairs = extract_pair(df, v_col)
     ans = field(v_col, "answer")
-    answer = F.when(F.col(v_col).isNotNull() & ans.isNull(), F.lit("")) \
-              .when(is_none(ans), F.lit(None).cast("string")).otherwise(py_str(ans))
+    answer = F.when(F.col(v_col).isNotNull() & ans.isNull(), F.lit("").cast("variant")).when(~is_none(ans), ans)
     out = pairs.select(
         F.concat(F.lit(f"{dataset}_"), F.col(index_col).cast("string")).alias("id"),
         F.lit(f"local_{dataset}").alias("source"),

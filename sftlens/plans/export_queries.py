@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import CodePointTokenizer
+from ..functions.variant import py_str
 from ..operators.export import EXPORT_COLUMNS, flatten_samples, manifest_settings, publication_violations
 from ..operators.validate import validate_export_file, validate_samples
 from ..sources.catalog import TASK_CATALOG, task_catalog
@@ -130,7 +131,7 @@ def _export(spark: SparkSession, parsed: DataFrame) -> DataFrame:
 
 
 def q_export_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exported(spark, sf_dir).select(*EXPORT_COLUMNS, "line")
+    return exported(spark, sf_dir).select(*EXPORT_COLUMNS, "line").withColumn("doc_id", py_str(F.col("doc_id")))
 
 
 def q_export_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

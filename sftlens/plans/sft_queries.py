@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, sql_py_strip
-from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS
+from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS, is_none, py_str
 from ..operators.indexing import dense_index
 from ..operators.prepare import prepare_counters, sample_exact, unify_records
 from .common import json_string_literal, standin_file, table
@@ -85,7 +85,7 @@ def _unified(spark: SparkSession, sf_dir: str, keep_skipped: bool) -> DataFrame:
 def q_sft_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _unified(spark, sf_dir, keep_skipped=False)
     return u.select("id", "source", "prompt", "completion",
-                    F.col("metadata.answer").alias("answer"), F.col("metadata.raw_index").alias("raw_index"))
+                    F.when(~is_none(F.col("metadata.answer")), py_str(F.col("metadata.answer"))).alias("answer"), F.col("metadata.raw_index").alias("raw_index"))
 
 
 def q_sft_counters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.variant import py_str
 from ..operators.export import EXPORT_COLUMNS, flatten_samples, manifest_settings
 from ..session import scratch_dir
 from ..sources.catalog import TASK_CATALOG, task_catalog
@@ -43,7 +44,7 @@ def q_ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         (lines.where(cond).select("model", "task", "text").write.partitionBy("model", "task")
               .text(f"{base}/landing/{stage}"))
         ingest_samples(spark, f"{base}/landing/*/*/*", f"{base}/sink", f"{base}/checkpoint", flatten)
-    return read_ingested(spark, f"{base}/sink").select(*EXPORT_COLUMNS)
+    return read_ingested(spark, f"{base}/sink").select(*EXPORT_COLUMNS).withColumn("doc_id", py_str(F.col("doc_id")))
 
 
 def q_telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

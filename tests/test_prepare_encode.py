@@ -18,9 +18,10 @@ def test_unify_records(spark):
     flagged = unify_records(_raw(spark, objs), "limo", keep_skipped=True)
     got = {r["id"]: r for r in flagged.collect()}
     assert got["limo_0"]["prompt"] == "### Problem:\nP\n\n### Solution:\n" and got["limo_0"]["kept"]
-    assert got["limo_0"]["metadata"]["answer"] == "3" and got["limo_0"]["source"] == "local_limo"
+    assert got["limo_0"]["metadata"]["answer"].toPython() == 3  # keeps its JSON type
+    assert got["limo_0"]["source"] == "local_limo"
     assert not got["limo_1"]["kept"]  # "  " is chosen, then strips to empty
-    assert not got["limo_2"]["kept"] and got["limo_3"]["kept"] and got["limo_3"]["metadata"]["answer"] == ""
+    assert not got["limo_2"]["kept"] and got["limo_3"]["kept"] and got["limo_3"]["metadata"]["answer"].toPython() == ""
     c = prepare_counters(flagged).first()
     assert (c["total"], c["kept"], c["skipped"]) == (4, 2, 2)
 
