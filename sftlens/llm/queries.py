@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmlextract, jaccard, langid, neardup, pii, substring, toxicity, urlfilter
+from . import bpe, decontam, htmlextract, jaccard, langid, neardup, oracles, pii, substring, toxicity, urlfilter
 from .common import table
 
 
@@ -74,4 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+# The others rest on a learnt model or a tokenizer, which SQL cannot express; tests/llm has brute force versions.
+ORACLES: dict[str, str] = {
+    "op1_embedding_neardup": oracles.OP1,
+    "op2_substring_dedup": oracles.OP2,
+    "op6_ngram_jaccard": oracles.OP6,
+}
