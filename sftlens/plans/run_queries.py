@@ -1,8 +1,10 @@
 """Run-level queries.
 
 ``run_rollup``: the attempt stand-in's tasks (``events.user_id``) belong to
-run ``user_id % 5``; a task's error is its stop reason when the ladder stopped;
-its results file is ``results_<task>.json``.  ``prefer_exported``: a
+run ``user_id div 20``, so a run has 20 tasks however many users there are; a task that the
+ladder stopped has a manifest with status ``failed``, one without success (id % 7 = 3) none, and
+id % 5 = 1 an export file that is not there; its results file is ``results_<task>.json``, except for
+even ids, which have none.  ``prefer_exported``: a
 ``documents`` task (source) has an exported file when any of its documents
 carries a quality-1 label; exported counts are code points, raw ones the
 whitespace estimate.  ``method_audit`` / ``export_counters`` run on the
@@ -16,36 +18,39 @@ from pyspark.sql import functions as F
 from ..functions.text import sql_ws_token_count, whitespace_token_count
 from ..operators.attempts import attempt_rollup, first_success
 from ..operators.export import export_counters
-from ..operators.runs import prefer_exported, run_rollup
+from ..operators.runs import prefer_exported, run_rollup, task_errors
 from ..operators.stats import method_audit, token_stats_flat
 from .attempt_queries import classified
 from .common import table
 from .export_queries import _TASK_SQL, export_lines_with_faults, exported
 from .stats_queries import sql_percentile
 
-N_RUNS = 5
+TASKS_PER_RUN = 20
 
 
 def q_run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = classified(spark, sf_dir)
     roll = attempt_rollup(c).join(first_success(c), "task")
+    t, ok = F.col("task"), F.col("outcome") == "success"
+    manifest = F.try_parse_json(F.when(~(~ok & (t % 7 == 3)), F.to_json(F.struct(
+        F.when(F.col("outcome") == "stopped", "failed").otherwise("complete").alias("status"), F.lit("complete").alias("export_status"),
+        F.concat(F.lit("/exports/"), t.cast("string")).alias("exported_generation_file")))))
+    roll = roll.withColumn("m", manifest).withColumn("_size", F.when(t % 5 != 1, F.lit(9).cast("bigint"))).withColumn("_id", t).withColumn(
+        "task", t.cast("string"))
     tasks = roll.select(
-        F.concat(F.lit("run_"), (F.col("task") % N_RUNS).cast("string")).alias("run_id"),
-        F.col("task").cast("string").alias("task"), "pipeline_elapsed_seconds",
-        "successful_attempt_elapsed_seconds", "failed_attempt_elapsed_seconds",
-        F.col("attempts").alias("expected"),
-        F.when(F.col("outcome") == "success", F.col("successful_attempt")).otherwise(F.lit(0)).alias("actual"),
-        F.when(F.col("outcome") == "stopped", F.array(F.format_string("stopped at attempt %d", F.col("stop_attempt"))))
-         .otherwise(F.array().cast("array<string>")).alias("errors"),
-        F.concat(F.lit("results_"), F.col("task").cast("string"), F.lit(".json")).alias("results_file"))
-    r = run_rollup(tasks)
-    return r.select("run_id", F.col("n_tasks").cast("bigint").alias("n_tasks"),
+        F.concat(F.lit("run_"), F.floor(F.col("_id") / TASKS_PER_RUN).cast("string")).alias("run_id"), "_id", "task", "pipeline_elapsed_seconds",
+        "successful_attempt_elapsed_seconds", "failed_attempt_elapsed_seconds", F.col("attempts").alias("expected"),
+        F.when(ok, F.col("successful_attempt")).otherwise(F.lit(0)).alias("actual"), task_errors(F.col("m"), F.col("_size")).alias("errors"),
+        F.when(F.col("_id") % 2 == 1, F.concat(F.lit("results_"), "task", F.lit(".json"))).alias("results_file"),
+        F.try_variant_get("m", "$.exported_generation_file", "string").alias("exported_file"), ok.alias("all_succeeded"))
+    r = run_rollup(tasks, order_col="_id")
+    return r.select("run_id", F.col("n_tasks").cast("bigint").alias("n_tasks"), "status",
                     *[F.col(c).cast("bigint").alias(c) for c in ("pipeline_elapsed_seconds",
                                                                  "successful_attempt_elapsed_seconds",
                                                                  "failed_attempt_elapsed_seconds")],
                     F.aggregate(F.map_values("expected_sample_counts"), F.lit(0).cast("bigint"),
                                 lambda a, x: a + x).alias("total_expected"),
-                    F.size("completion_errors").cast("bigint").alias("n_errors"), "results_file")
+                    F.size("exported_files").cast("bigint").alias("n_exported"), F.array_join("completion_errors", "; ").alias("errors"), "results_file")
 
 
 def q_prefer_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +95,21 @@ m AS (SELECT task, min(attempt) FILTER (WHERE status = 'success') AS ok,
              coalesce(sum(el) FILTER (WHERE status = 'success'), 0) AS succ,
              coalesce(sum(el) FILTER (WHERE status <> 'success'), 0) AS fail
       FROM a GROUP BY 1),
-t AS (SELECT m.*, NOT (ok IS NOT NULL AND (hard IS NULL OR ok < hard)) AND hard IS NOT NULL AS stopped FROM m)
-SELECT 'run_' || CAST(task % 5 AS VARCHAR) AS run_id, CAST(count(*) AS BIGINT) AS n_tasks,
+t AS (SELECT m.*, NOT (ok IS NOT NULL AND (hard IS NULL OR ok < hard)) AND hard IS NOT NULL AS stopped FROM m),
+e AS (SELECT *, task % 7 = 3 AND (stopped OR ok IS NULL) AS gone FROM t),
+x AS (SELECT *, CASE WHEN gone THEN ['task ' || CAST(task AS VARCHAR) || ': no manifest']
+                ELSE list_filter([CASE WHEN stopped THEN 'task ' || CAST(task AS VARCHAR) || ': not complete' END,
+                                  CASE WHEN task % 5 = 1 THEN 'task ' || CAST(task AS VARCHAR) || ': export file not found' END],
+                                 lambda s: s IS NOT NULL) END AS errs,
+        NOT stopped AND ok IS NOT NULL AS fine FROM e)
+SELECT 'run_' || CAST(task // 20 AS VARCHAR) AS run_id, CAST(count(*) AS BIGINT) AS n_tasks,
+  CASE WHEN bool_and(fine) AND sum(len(errs)) = 0 THEN 'complete' ELSE 'incomplete' END AS status,
   CAST(sum(pipe) AS BIGINT) AS pipeline_elapsed_seconds, CAST(sum(succ) AS BIGINT) AS successful_attempt_elapsed_seconds,
   CAST(sum(fail) AS BIGINT) AS failed_attempt_elapsed_seconds, CAST(sum(attempts) AS BIGINT) AS total_expected,
-  CAST(count(*) FILTER (WHERE stopped) AS BIGINT) AS n_errors,
-  min('results_' || CAST(task AS VARCHAR) || '.json') AS results_file
-FROM t GROUP BY 1
+  CAST(count(*) FILTER (WHERE NOT gone) AS BIGINT) AS n_exported,
+  coalesce(array_to_string(flatten(list(errs ORDER BY task)), '; '), '') AS errors,
+  'results_' || CAST(min(task) FILTER (WHERE task % 2 = 1) AS VARCHAR) || '.json' AS results_file
+FROM x GROUP BY 1, task // 20
 """
 
 SQL_PREFER_EXPORTED = f"""

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sftlens.operators.runs import catalog_consistency, judge_completion, run_rollup
+from sftlens.operators.runs import catalog_consistency, judge_completion, run_rollup, task_errors
 from sftlens.sources.catalog import catalog_with_generation
 
 
@@ -33,3 +33,23 @@ def test_judge_completion(spark):
     assert got["t1"]["status"] == "complete" and got["t1"]["completion_errors"] == []
     assert got["t2"]["status"] == "incomplete" and got["t3"]["status"] == "incomplete"
     assert got["t4"]["status"] == "incomplete" and got["t4"]["completion_errors"][0].startswith("export failed")
+
+
+def test_judge_completion_of_limits_and_files(spark):
+    tasks = spark.createDataFrame(
+        [("ok", "s", 32768, 40960), ("gen", "s", 4096, 40960), ("len", "s", 32768, 16384), ("none", None, 32768, 40960), ("bad", "s", 32768, 32768)],
+        "task string, sample_file string, max_gen_toks int, max_model_len int")
+    errs = spark.createDataFrame([], "task string, line long, code string, detail string")
+    results = spark.createDataFrame([(t, "r.json", t != "bad") for t in ("ok", "gen", "len", "none", "bad")], "task string, path string, parses boolean")
+    got = {r["task"]: r["completion_errors"] for r in judge_completion(tasks, errs, results).collect()}
+    assert got == {"ok": [], "gen": ["max_gen_toks is not the required one"], "len": ["max_model_len is below max_gen_toks"],
+                   "none": ["sample file not found"], "bad": ["results file does not parse"]}
+
+
+def test_task_errors(spark):
+    docs = [('{"status":"complete","export_status":"complete","exported_generation_file":"/f"}', 5),
+            ('{"status":"running","export_status":"failed","exported_generation_file":"/f"}', 0), ('{"status":"complete","export_status":"complete"}', None), (None, None)]
+    df = spark.createDataFrame([(f"t{i}", d, n) for i, (d, n) in enumerate(docs)], "task string, d string, n long")
+    got = [r[0] for r in df.orderBy("task").select(task_errors(F.try_parse_json("d"), F.col("n"))).collect()]
+    assert got == [[], ["task t1: not complete", "task t1: export file is empty", "task t1: export not complete"],
+                   ["task t2: no export file named"], ["task t3: no manifest"]]
