@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, per_worker, split_by_keys
 
-PER_CLASS = 6000
-TERMS = 400
+PER_CLASS = 2000
+TERMS = 200
 MIN_DOCS = 4
 CHI2 = 25.0
 K = 20
@@ -64,9 +64,8 @@ class Terms(dict):
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         got = tuple(self.index[f] for f in features(token) if f in self.index)
-        if len(self) >= 400_000:
-            self.clear()
-        self[token] = got
+        if len(self) < 400_000:
+            self[token] = got
         return got
 
     def counts(self, text: str | None) -> dict[int, int]:
