@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 from ..sources.tables import read_table
 
-# Entries kept by a worker's word-hash memo before it starts afresh (about 100 MB).
+# Entries kept by a word-hash memo (about 100 MB).
 MEMO_WORDS = 400_000
 BITMAP_BLOCK = 32768  # bits in one bitmap_construct_agg result
 
@@ -49,9 +49,9 @@ class WordHash(dict):
         per_worker(None, lambda: None)
 
     def __missing__(self, word):
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO_WORDS:
+            self[word] = h
         return h
 
     def array(self, words) -> np.ndarray:
@@ -150,8 +150,13 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     keep = Scratch(edges.sparkSession, name)
     cur = keep.write(edges.where("src <> dst")
                      .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "0")
-    state = None
-    for i in range(max_rounds):
+    for i in range(max_rounds + 1):
+        # stars: every node points at one head, and no head points anywhere
+        n, nodes = cur.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+        if n == nodes and cur.select("v").join(cur.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
+        if i == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = keep.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -160,11 +165,5 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
         cur = keep.write(small, str(i + 1))
         keep.drop("large", str(i))
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now[0] == now[2] and tuple(now) == state:  # every node points at one head, and no round changes that
-            break
-        state = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     heads = cur.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads.distinct())

@@ -14,10 +14,12 @@ a signature.  The number of classes follows a set's size (powers of two; a set n
 signs for both).  How often a low shingle occurs is counted over all documents; the frequent ones
 travel as a bitmap of fixed size, whose collisions only turn rare shingles into frequent ones.
 
-Verification.  Classes that share a signature are first compared with the smallest and the largest
-class of that signature; pairs that remain between different components follow.  So a group
-of n near copies costs about 2 n comparisons, not n * n, and no link between components is missed.
-Pairs are compared on their low shingles first (a bound that loses nothing), then in full.
+Verification.  In each signature one class, chosen by a hash that differs between signatures and
+rounds, is compared with the others; links merge components.  Rounds go on while the pairs
+between different components of a signature are many (four times its rows), then all those pairs
+are compared.  So a group of n near copies, each linked to some of the others, costs about n
+times its signatures, not n * n, and no link between components is missed.  Pairs are compared
+on their low shingles first (a bound that loses nothing), then in full.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null texts and texts without words
 have an empty set and link with nothing; rows with a null id get no component; repeated
@@ -36,6 +38,8 @@ from .common import Scratch, WordHash, collect_bitmap, connected_components, mix
 
 FREQUENT = 8        # documents from which a shingle counts as frequent
 LOG2_BITMAP = 24
+TURNS = 4           # rounds of one class against the others, before all pairs that are left
+FEW = 4.0           # pairs per row of a signature from which another round is cheaper
 SMALL = 64          # sets up to this size keep all shingles at hand
 MUL = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -201,9 +205,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         signed_rows = signed_rows.where("sigs is not null").unionByName(
             keep.write(sign(again.join(missing.select("doc_id", "cls"), ["doc_id", "cls"], "left_semi"), bitmap, percent, True), "signed-again"))
     sigs = signed_rows.select("cls", "n", F.explode("sigs").alias("sig"))
-    shared = sigs.groupBy("sig").agg(F.min(F.struct("n", "cls")).alias("lo"), F.max(F.struct("n", "cls")).alias("hi")).where("lo.cls <> hi.cls")
-    members = keep.write(sigs.join(shared, "sig").select("sig", "cls", "n", F.col("lo.cls").alias("lo"), F.col("lo.n").alias("nlo"),
-                                                        F.col("hi.cls").alias("hi"), F.col("hi.n").alias("nhi")), "members")
+    shared = sigs.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("sig")
+    members = keep.write(sigs.join(shared, "sig", "left_semi").withColumn("component", F.col("cls")), "members")
 
     def ordered(df: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) that sizes allow."""
@@ -225,22 +228,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         links = overlap_filter(left, full, percent, True).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         return keep.write(links, name + "-links")
 
-    star = members.select(F.col("lo").alias("a"), F.col("nlo").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb")).union(
-        members.select(F.col("hi").alias("a"), F.col("nhi").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb")))
-    star = keep.write(ordered(star), "star")
-    links = verified(star, "one")
-    comp = keep.write(connected_components(links, "jaccard-components"), "comp")
-    # signatures whose classes are in several components: the pairs between those components
-    placed = members.select("sig", "cls", "n").join(comp.withColumnRenamed("node", "cls"), "cls", "left") \
-        .withColumn("component", F.coalesce("component", "cls"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    mixed = keep.write(placed.join(mixed, "sig", "left_semi"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-                   & size_ok("x.n", "y.n", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
-    cross = ordered(cross).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(keep.write(cross, "cross"), "two")
-    comp = keep.write(connected_components(links.union(more), "jaccard-components"), "comp-all")
+    live, comp, tested, turn = members, None, None, 0
+    while True:
+        # one class per signature, another for each signature and turn, stands for the others
+        heads = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(turn)).alias("h"), "cls", "n", "component")).alias("r"))
+        pairs = live.join(heads, "sig").where("component <> r.component")
+        last = turn == TURNS
+        if turn and not last:
+            per = live.groupBy("sig", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("sig").agg(
+                F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+            rows, crossing = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
+            last = crossing <= FEW * rows
+        if last:  # all pairs between components
+            x, y = live.alias("x"), live.alias("y")
+            pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
+                           & size_ok("x.n", "y.n", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
+        else:
+            pairs = pairs.select(F.col("r.cls").alias("a"), F.col("r.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+        pairs = ordered(pairs)
+        pairs = keep.write(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{turn}")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = verified(pairs, str(turn))
+        if not links.isEmpty():
+            # a star per component stands for the links known so far
+            known_links = links if comp is None else links.union(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+            comp = keep.write(connected_components(known_links, "jaccard-components"), f"comp-{turn}")
+        if last:
+            break
+        placed = members.drop("component")
+        if comp is None:
+            placed = placed.withColumn("component", F.col("cls"))
+        else:
+            placed = placed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+        live = keep.write(placed.join(mixed, "sig", "left_semi").select("cls", "n", "sig", "component"), f"live-{turn}")
+        if live.isEmpty():
+            break
+        turn += 1
+    if comp is None:
+        comp = spark.createDataFrame([], "node bigint, component bigint")
     placed = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = keep.write(placed, "placed")
     heads = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -248,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     narrow = every.select("doc_id", "n", "cls")
     out = narrow.join(ids, "cls", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
                                                  F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    keep.drop("signed", "members", "packed", "star", "cross", "mixed", "comp", "comp-all", "placed")
+    keep.drop(*[name for name in keep.paths if name not in ("sets", "ids")])
     return out
 
 
