@@ -65,9 +65,8 @@ class Vocabulary(dict):
     def __missing__(self, word):
         t = term(word)
         got = self.index.get(t, -1) if t else -2
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = got
+        if len(self) < 400_000:
+            self[word] = got
         return got
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -173,7 +172,8 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 class Searcher:
     def __init__(self, terms, idf, other, space, items):
         """``items``: (item_id, text); ``other``: idf of words outside the benchmark."""
-        self.vocabulary, self.idf, self.space = Vocabulary(terms), idf, space
+        self.vocabulary, self.idf = Vocabulary(terms), idf
+        self.weighted = (space * idf[:, None]).astype(np.float32)
         self.square = np.append(idf ** 2, other ** 2)
         self.content = idf >= CONTENT_IDF
         self.items, rows, norms = [], [], []
@@ -228,7 +228,7 @@ class Searcher:
         if not hit.any():
             return out
         own, where = ids[hit], block[hit]
-        rows = self.space[own] * self.idf[own, None].astype(np.float32)
+        rows = self.weighted[own]
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         latent = np.zeros((total, rows.shape[1]), np.float32)
         latent[where[first]] = np.add.reduceat(rows, first, axis=0)
