@@ -41,7 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with open(RANKS, "rb") as f:
-        return bpe.digests(docs, f.read(), public_tokenizers.PATTERN)
+        return bpe.digests(docs, f.read(), public_tokenizers.PATTERN, memo=60_000)  # the join before it leaves little memory
 
 
 STAGES = [

@@ -32,24 +32,19 @@ from pyspark.sql import functions as F
 from .common import per_worker, small_batches
 
 SHORT = 64  # pieces up to this many characters are memoised
+MEMO = 400_000  # merged pieces, and chunks with their digests' parts, that a worker remembers (about 300 MB)
 
 
 class Memo(dict):
-    """``make`` remembered for short keys, in two generations of ``size / 2`` entries: what was
-    used since the last turnover survives the next one.  Read with ``memo[key]``."""
+    """``make`` remembered for the first ``size`` short keys.  Read with ``memo[key]``."""
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.half, self.old = make, size // 2, {}
+        self.make, self.size = make, size
 
     def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= SHORT:
-            if len(self) >= self.half:
-                self.old = dict(self)
-                self.clear()
+        value = self.make(key)
+        if len(key) <= SHORT and len(self) < self.size:
             self[key] = value
         return value
 
@@ -62,15 +57,18 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one rank table.  ``pattern`` splits texts into pre-tokens."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, memo: int = MEMO):
         self.ranks = parse_ranks(rank_file)
         self.size = max(self.ranks.values(), default=0) + 1
         self.token = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern)
         # a blank before a letter or digit always starts a pre-token, whatever precedes it
         self.chunks, self.odd = re.compile(r" (?=[^\W_])"), re.compile(r" (?![^\W_])")
-        # 250 and 120 MB at most: merging costs far more than composing a chunk from merged pieces
-        self.memo, self.said = Memo(self._piece_ids, 1_000_000), Memo(self._said, 400_000)
+        self.memo, self.said = Memo(self._piece_ids, memo), Memo(self._said, memo)
+        # left id << 17 | right id -> rank of their join
+        rank_of = self.ranks.get
+        self.pairs = {left << 17 | right: rank for token, rank in self.ranks.items() for i in range(1, len(token))
+                      if (left := rank_of(token[:i])) is not None and (right := rank_of(token[i:])) is not None}
         self.byte_ids = [self.ranks.get(bytes([i])) for i in range(256)]
         self.words = [0] * (self.size // 256 + 1)  # all zero between calls
 
@@ -78,15 +76,15 @@ class Codec:
         """Ids of one pre-token, by the rank queue: ``words[g]`` marks the non-empty ranks of a
         group of 256 ranks, ``top`` the non-empty groups, ``buckets[r]`` holds the positions
         of rank r (one as an int, more as a heap)."""
-        rank_of = self.ranks.get
-        whole = rank_of(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        rank_of = self.pairs.get
         n, words, buckets, top = len(piece), self.words, {}, 0
         ids = [self.byte_ids[b] for b in piece]  # id of the part that starts at a position
         after, before = list(range(1, n + 2)), list(range(-1, n))
         # the rank a position waits for; a popped entry that differs is stale
-        want: list[int | None] = [rank_of(piece[i:i + 2]) for i in range(n - 1)]
+        want: list[int | None] = [rank_of(x << 17 | y) for x, y in zip(ids, ids[1:])]
         want.append(None)
         fresh = [(r, i) for i, r in enumerate(want) if r is not None]
         while True:
@@ -123,14 +121,14 @@ class Codec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                want[i] = w = rank_of(piece[i:after[k]])
+                want[i] = w = rank_of(r << 17 | ids[k])
                 if w is not None:
                     fresh.append((w, i))
             else:
                 want[i] = None
             h = before[i]
             if h >= 0:
-                want[h] = w = rank_of(piece[h:k])
+                want[h] = w = rank_of(ids[h] << 17 | r)
                 if w is not None:
                     fresh.append((w, h))
         out, i = [], 0
@@ -201,13 +199,14 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str, id_col: str = "do
     return encoded.select(id_col, "ids").mapInPandas(run, f"`{id_col}` {kind}, decoded binary")
 
 
-def digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+    """One row per document: n_tokens, ids_sha256, decoded_sha256.  ``memo`` trades a worker's memory
+    for time."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = per_worker(("bpe", pattern, hash(shared.value)), lambda: Codec(shared.value, pattern))
+        codec = per_worker(("bpe", pattern, hash(shared.value), memo), lambda: Codec(shared.value, pattern, memo))
         for b in batches:
             rows = [codec.digest(t) for t in b[text_col]]
             yield pd.DataFrame({id_col: b[id_col], "n_tokens": np.array([r[0] for r in rows], np.int64),

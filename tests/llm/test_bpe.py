@@ -29,9 +29,9 @@ def test_long_and_odd_pieces(text):
     assert CODEC.encode(text) == REFERENCE.encode_ordinary(text)
 
 
-def test_small_memo_gives_the_same():
-    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
-    codec.memo, codec.said = bpe.Memo(codec._piece_ids, 4), bpe.Memo(codec._said, 4)
+@pytest.mark.parametrize("size", [0, 4, 1000])
+def test_small_memo_gives_the_same(size):
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN, size)
     for text in ("the cat sat on the mat", "one two three four five six", "the cat sat on the mat") * 2:
         ids = REFERENCE.encode_ordinary(text)
         assert codec.digest(text)[:2] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
