@@ -28,9 +28,9 @@ def test_telemetry_stream_drops_late_samples(spark, tmp_dir):
             f.write("\n".join(lines) + "\n")
 
     stage("b1", ["2026/07/19 10:00:05, 30000, 46068, 90", "2026/07/19 12:30:00, 45000, 46068, 99"])
-    telemetry_peaks(spark, f"{landing}/*", sink, ck)
+    assert telemetry_peaks(spark, f"{landing}/*", sink, ck)["dropped"] == 0
     # 10:00 is far behind the watermark (12:30 - 10 min): its window is closed
     stage("b2", ["2026/07/19 10:00:10, 46000, 46068, 99", "2026/07/19 12:40:00, 41000, 46068, 99"])
-    telemetry_peaks(spark, f"{landing}/*", sink, ck)
+    assert telemetry_peaks(spark, f"{landing}/*", sink, ck)["dropped"] == 1
     peaks = {r["window_start"].hour: r["peak"] for r in read_peaks(spark, sink).collect()}
     assert peaks == {10: 30000, 12: 45000}
