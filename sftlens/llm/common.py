@@ -85,7 +85,7 @@ def collect_bitmap(df: DataFrame, bit: Column, log2_bits: int) -> np.ndarray:
     """The bitmap as ``2**log2_bits / 8`` bytes: its size is a parameter, whatever the input."""
     out = np.zeros((1 << log2_bits) // 8, dtype=np.uint8)
     step = BITMAP_BLOCK // 8
-    for block, bits in bitmap_rows(df, bit).toLocalIterator():
+    for block, bits in bitmap_rows(df, bit).collect():  # as many bytes as the bitmap
         out[block * step:(block + 1) * step] = np.frombuffer(bytes(bits), np.uint8)
     return out
 

@@ -314,7 +314,7 @@ def _slices(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     slices = -(-bench.count() // ITEMS)
     for k in range(slices):
         part = bench.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(slices)) == k)
-        items = [(r.item_id, r.t) for r in part.orderBy("item_id", "t").toLocalIterator()]  # about ITEMS rows
+        items = sorted((r.item_id, r.t) for r in part.collect())  # about ITEMS rows
         terms = sorted({t for _, text in items for w in text.split() if (t := term(w))})
         if not terms:
             continue

@@ -14,8 +14,9 @@ a signature.  The number of classes follows a set's size (powers of two; a set n
 signs for both).  How often a low shingle occurs is counted over all documents; the frequent ones
 travel as a bitmap of fixed size, whose collisions only turn rare shingles into frequent ones.
 
-Verification.  In each signature one class, chosen by a hash that differs between signatures and
-rounds, is compared with the others; links merge components.  Rounds go on while the pairs
+Verification.  Classes that share a signature of fewer than ``FREQUENT`` rows are all compared.  In a
+larger one, one class, chosen by a hash that differs between signatures and rounds, is
+compared with the others; links merge components.  Rounds go on while the pairs
 between different components of a signature are many (four times its rows), then all those pairs
 are compared.  So a group of n near copies, each linked to some of the others, costs about n
 times its signatures, not n * n, and no link between components is missed.  Pairs are compared
@@ -205,8 +206,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         signed_rows = signed_rows.where("sigs is not null").unionByName(
             keep.write(sign(again.join(missing.select("doc_id", "cls"), ["doc_id", "cls"], "left_semi"), bitmap, percent, True), "signed-again"))
     sigs = signed_rows.select("cls", "n", F.explode("sigs").alias("sig"))
-    shared = sigs.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("sig")
-    members = keep.write(sigs.join(shared, "sig", "left_semi").withColumn("component", F.col("cls")), "members")
+    shared = sigs.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    members = keep.write(sigs.join(shared.select("sig", "size"), "sig").withColumn("component", F.col("cls")), "members")
 
     def ordered(df: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) that sizes allow."""
@@ -228,23 +229,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         links = overlap_filter(left, full, percent, True).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         return keep.write(links, name + "-links")
 
-    live, comp, tested, turn = members, None, None, 0
+    def all_pairs(rows: DataFrame) -> DataFrame:
+        """Pairs of classes that share a signature and lie in different components."""
+        x, y = rows.alias("x"), rows.alias("y")
+        return x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
+                      & size_ok("x.n", "y.n", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
+
+    def one_against_the_others(rows: DataFrame, turn: int) -> DataFrame:
+        """A class per signature, another for each signature and turn, with the others."""
+        heads = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(turn)).alias("h"), "cls", "n", "component")).alias("r"))
+        return rows.join(heads, "sig").where("component <> r.component").select(
+            F.col("r.cls").alias("a"), F.col("r.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+
+    large = members.where(F.col("size") >= FREQUENT)
+    live, comp, tested, turn = large, None, None, 0
     while True:
-        # one class per signature, another for each signature and turn, stands for the others
-        heads = live.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(turn)).alias("h"), "cls", "n", "component")).alias("r"))
-        pairs = live.join(heads, "sig").where("component <> r.component")
         last = turn == TURNS
         if turn and not last:
             per = live.groupBy("sig", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("sig").agg(
                 F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
             rows, crossing = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
             last = crossing <= FEW * rows
-        if last:  # all pairs between components
-            x, y = live.alias("x"), live.alias("y")
-            pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-                           & size_ok("x.n", "y.n", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
-        else:
-            pairs = pairs.select(F.col("r.cls").alias("a"), F.col("r.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+        pairs = all_pairs(live) if last else one_against_the_others(live, turn)
+        if not turn:  # small signatures once and for all
+            pairs = pairs.union(all_pairs(members.where(F.col("size") < FREQUENT)))
         pairs = ordered(pairs)
         pairs = keep.write(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{turn}")
         tested = pairs if tested is None else tested.union(pairs)
@@ -255,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             comp = keep.write(connected_components(known_links, "jaccard-components"), f"comp-{turn}")
         if last:
             break
-        placed = members.drop("component")
+        placed = large.drop("component")
         if comp is None:
             placed = placed.withColumn("component", F.col("cls"))
         else:

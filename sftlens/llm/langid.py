@@ -79,7 +79,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         .select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sums = (rows.mapInPandas(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
             .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")))  # BUCKETS entries at most
-    found = {r.lang: r.c for r in sums.toLocalIterator() if r.c}
+    found = {r.lang: r.c for r in sums.collect() if r.c}  # BUCKETS entries a language
     langs = sorted(found)
     counts = np.zeros((BUCKETS, len(langs)))
     for j, lang in enumerate(langs):
