@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 from ..sources.tables import read_table
 
-# Entries kept by a word-hash memo (about 100 MB).
-MEMO_WORDS = 400_000
+# Entries kept by a word-hash memo (about 40 MB).
+MEMO_WORDS = 150_000
 BITMAP_BLOCK = 32768  # bits in one bitmap_construct_agg result
 
 
@@ -27,7 +27,7 @@ def per_worker(key, make):
     return store["value"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Whole texts travel to Python in batches of at most so many rows: a batch, and what is made
     of it, then takes tens of MB."""
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -15,7 +15,7 @@ signs for both).  How often a low shingle occurs is counted over all documents;
 travel as a bitmap of fixed size, whose collisions only turn rare shingles into frequent ones.
 
 Verification.  Classes that share a signature of fewer than ``FREQUENT`` rows are all compared.  In a
-larger one, one class, chosen by a hash that differs between signatures and rounds, is
+larger one, one class, chosen by one of a few hash orders that rounds renew, is
 compared with the others; links merge components.  Rounds go on while the pairs
 between different components of a signature are many (four times its rows), then all those pairs
 are compared.  So a group of n near copies, each linked to some of the others, costs about n
@@ -40,6 +40,7 @@ from .common import Scratch, WordHash, collect_bitmap, connected_components, mix
 FREQUENT = 8        # documents from which a shingle counts as frequent
 LOG2_BITMAP = 24
 TURNS = 4           # rounds of one class against the others, before all pairs that are left
+HEADS = 6           # orders by which a round chooses classes
 FEW = 4.0           # pairs per row of a signature from which another round is cheaper
 SMALL = 64          # sets up to this size keep all shingles at hand
 MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -236,8 +237,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                       & size_ok("x.n", "y.n", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
 
     def one_against_the_others(rows: DataFrame, turn: int) -> DataFrame:
-        """A class per signature, another for each signature and turn, with the others."""
-        heads = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(turn)).alias("h"), "cls", "n", "component")).alias("r"))
+        """A class per signature with the others.  It is the first by one of ``HEADS`` orders, which a turn
+        renews, so the signatures that a group shares name few different ones."""
+        order = F.xxhash64("cls", F.pmod("sig", F.lit(HEADS)), F.lit(turn))
+        heads = rows.groupBy("sig").agg(F.min(F.struct(order.alias("h"), "cls", "n", "component")).alias("r"))
         return rows.join(heads, "sig").where("component <> r.component").select(
             F.col("r.cls").alias("a"), F.col("r.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
 
