@@ -1,19 +1,21 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by word counts and common subsequences, with latent semantic cosines.
 
 1. Terms are the lower-cased words of the benchmark; their frequencies are counted over passages of
    all documents (``BLOCK * SPAN`` words each), which gives the idf weights.
 2. A randomised SVD of the benchmark's TF-IDF passages, computed by Spark in passes over the table (a
    range finder with power iterations; tasks return partial sums of terms x rank), gives the
-   latent space.
-3. Every window of every document (``SPAN`` blocks of ``BLOCK`` words, one block apart) is projected and
-   compared with every item.  A window is a candidate for an item if their cosine, estimated in
-   the latent space and divided by the part of the item that the space keeps, reaches ``COSINE``.
-   The window's norm counts words outside the benchmark too, at the highest idf.
-4. A candidate passage is checked word by word: the longest common subsequence of the item's content
-   words (those in few passages) with the passage, widened by the item's length on both sides.  An item
-   is leaked if ``COPY`` of its content words follow in order, or ``PARAPHRASE`` of them if the
-   passage also has the answer: ``ANSWER`` of the content words of the item's last sentence, in
-   order.
+   latent space, which gives the reported cosines.
+3. Every document is cut into overlapping stretches for each item length (``Searcher.grid``: any span of
+   up to twice the item's words lies in one).  A stretch is a candidate for an item if it holds as many of the
+   item's content words as the check below asks for at least.  That counts every occurrence, so
+   the search is never stricter than the check; words outside the benchmark don't matter.
+4. A candidate stretch is checked word by word: the longest common subsequence of the item's content
+   words (those in few passages) with the stretch.  An item is leaked if ``COPY`` of its content words
+   follow in order, or ``PARAPHRASE`` of them if the stretch also has the answer: ``ANSWER`` of the
+   content words of the item's last sentence, in order.
+5. ``cosine`` is the best one of the windows (``SPAN`` blocks of ``BLOCK`` words, one block apart) of the
+   reported stretch, estimated in the latent space and divided by the part of the item that
+   the space keeps.  The window's norm counts words outside the benchmark too, at the highest idf.
 
 The benchmark is taken in slices of ``ITEMS`` items, so what is broadcast has a size bound whatever the
 table's size.  Steps 1 and 3 read the documents without a shuffle of text.
@@ -24,8 +26,10 @@ an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +41,10 @@ from .common import per_worker, small_batches
 
 BLOCK, SPAN = 16, 3
 RANK, EXTRA, POWER = 64, 8, 2
-COSINE = 0.35
 CONTENT_IDF = 2.5  # words in fewer than one passage of twelve
 COPY, PARAPHRASE, ANSWER = 0.7, 0.4, 0.6
 ITEMS = 5000
+GROUP = 256  # items of one length whose words are counted at once
 SHORTEST = 5  # words of an item that is looked up literally
 TASKS = 16
 BATCH_WORDS = 300_000
@@ -199,100 +203,124 @@ class Searcher:
         # <w, i> in the space stands for kept / norm^2 of the true product
         scale = np.divide(norm, kept, out=np.zeros(len(norm)), where=kept > 1e-9)
         self.rows = (self.rows * scale[:, None]).astype(np.float32)
-        self.longest = float(np.sqrt((self.rows.astype(float) ** 2).sum(axis=1)).max(initial=0.0))
-        strict = [i for i, x in enumerate(self.items) if x[3] or not scale[i]]
-        self.exact: dict[int, list[int]] = {}  # items the space can't hold are looked up by their rarest term
-        for i in strict:
-            ids = self.items[i][1]
-            self.exact.setdefault(int(ids[np.argmax(idf[ids])]), []).append(i)
-
-    def candidates(self, texts: list[np.ndarray]) -> list[dict[int, tuple[float, int, int]]]:
-        """Per text: item -> (best cosine, first and last word of its candidate windows)."""
+        self.exact: dict[int, list[int]] = {}  # strict items are looked up by their rarest term
+        lengths: dict[int, list[int]] = {}
+        for i, (_, ids, _, strict, n) in enumerate(self.items):
+            if strict:
+                self.exact.setdefault(int(ids[np.argmax(idf[ids])]), []).append(i)
+            else:
+                lengths.setdefault(-(-n // BLOCK), []).append(i)
+        self.rarest = np.zeros(len(idf) + 1, bool)
+        self.rarest[list(self.exact)] = True
+        self.groups = [self._group(blocks, own[s:s + GROUP]) for blocks, own in sorted(lengths.items()) for s in range(0, len(own), GROUP)]
+
+    def _group(self, blocks: int, own: list[int]) -> tuple:
+        """Items of one length in blocks: (length, items, words the check asks for, postings by term)."""
+        pairs = sorted({(int(t), k) for k, i in enumerate(own) for t in self.items[i][1]})
+        first = np.searchsorted([t for t, _ in pairs], np.arange(len(self.idf) + 2))  # the last term is any other word
+        return blocks, np.array(own), np.array([self.least(len(self.items[i][1])) for i in own]), first, np.array([k for _, k in pairs])
+
+    @staticmethod
+    def least(words: int) -> int:
+        """Words of an item that the check asks for at least, in order."""
+        return min(math.ceil(COPY * words - 1e-9), max(4, math.ceil(PARAPHRASE * words - 1e-9)))
+
+    @staticmethod
+    def grid(blocks: int) -> tuple[int, int]:
+        """Distance and length, in blocks, of the stretches for items of ``blocks`` blocks."""
+        return blocks + 1, 3 * blocks + 2
+
+    def candidates(self, texts: list[np.ndarray]) -> list[dict[int, list[tuple[int, int]]]]:
+        """Per text: item -> (first word, end) of the stretches that may leak it."""
         out: list[dict] = [{} for _ in texts]
-        blocks = np.array([-(-len(t) // BLOCK) for t in texts])
-        starts = np.cumsum(blocks + SPAN - 1) - (blocks + SPAN - 1)
-        total = int((blocks + SPAN - 1).sum()) + SPAN
         ids = np.concatenate(texts) if texts else np.zeros(0, np.int32)
         if not len(ids) or not self.items:
             return out
+        blocks = np.array([-(-len(t) // BLOCK) for t in texts])
+        starts, total = np.cumsum(blocks) - blocks, int(blocks.sum())
         block = np.concatenate([s + np.arange(len(t)) // BLOCK for s, t in zip(starts, texts, strict=True)])
-        norm = np.bincount(block, weights=self.square[ids], minlength=total)
-        for i in np.flatnonzero(np.isin(ids, list(self.exact))) if self.exact else ():
-            d = int(np.searchsorted(starts, block[i], "right")) - 1
+        doc = np.repeat(np.arange(len(texts)), blocks)  # of each block
+        for i in np.flatnonzero(self.rarest[ids]) if self.exact else ():
+            d = int(doc[block[i]])
             at = int((block[i] - starts[d]) * BLOCK)
             for item in self.exact[int(ids[i])]:
-                c, s, e = out[d].get(item, (0.0, at, at))
-                out[d][item] = (c, min(s, at), max(e, at + BLOCK))
-        hit = ids >= 0
-        hit[hit] = self.content[ids[hit]]
-        if not hit.any():
-            return out
-        own, where = ids[hit], block[hit]
-        rows = self.weighted[own]
-        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-        latent = np.zeros((total, rows.shape[1]), np.float32)
-        latent[where[first]] = np.add.reduceat(rows, first, axis=0)
-        m = total - SPAN + 1
-        window = sum(latent[i:m + i] for i in range(SPAN))
-        length = np.sqrt(sum(norm[i:m + i] for i in range(SPAN)))
-        # no item can be nearer than the window's length in the space allows
-        at = np.flatnonzero(np.sqrt(np.einsum("ij,ij->i", window, window)) * self.longest >= 0.999 * COSINE * np.maximum(length, 1e-9))
-        for s in range(0, len(at), 4096):
-            part = at[s:s + 4096]
-            cos = (window[part] / length[part, None].astype(np.float32)) @ self.rows.T
-            w, item = np.nonzero(cos >= COSINE)
-            for k, i in zip(w.tolist(), item.tolist(), strict=True):
-                b = int(part[k])
-                d = int(np.searchsorted(starts, b, "right")) - 1
-                at0 = (b - int(starts[d])) * BLOCK
-                c, lo, hi = out[d].get(i, (0.0, at0, at0))
-                out[d][i] = (max(c, float(cos[k, i])), min(lo, at0), max(hi, at0 + SPAN * BLOCK))
+                n = self.items[item][4]
+                out[d].setdefault(item, []).append((max(0, at - n), at + BLOCK + n))
+        known = ids >= 0
+        ids, block = ids[known], block[known]
+        inside = np.arange(total) - starts[doc]
+        for length, own, least, first, postings in self.groups:
+            size = first[ids + 1] - first[ids]
+            at = np.flatnonzero(size)
+            size = size[at]
+            last = np.cumsum(size)
+            if not len(at):
+                continue
+            items = postings[np.arange(last[-1]) + np.repeat(first[ids[at]] - last + size, size)]
+            held = np.zeros((total + 1, len(own)), np.int64)
+            np.cumsum(np.bincount(np.repeat(block[at], size) * len(own) + items, minlength=total * len(own)).reshape(total, len(own)), axis=0, out=held[1:])
+            step, span = self.grid(length)
+            # a stretch behind one that reaches the end of the text has nothing of its own
+            rows = np.flatnonzero((inside % step == 0) & ((inside == 0) | (inside - step + span < blocks[doc])))
+            ends = np.minimum(rows + span, (starts + blocks)[doc[rows]])
+            for r, k in np.argwhere(held[ends] - held[rows] >= least).tolist():
+                d, lo = int(doc[rows[r]]), int(inside[rows[r]]) * BLOCK
+                out[d].setdefault(int(own[k]), []).append((lo, lo + span * BLOCK))
         return out
 
-    def verify(self, ids: np.ndarray, found: dict[int, tuple[float, int, int]]) -> list[tuple]:
+    def verify(self, ids: np.ndarray, found: dict[int, list[tuple[int, int]]]) -> list[tuple]:
         """(item_id, cosine, ratio, kind, start) of leaked items."""
-        out = []
-        for i, (cos, lo, hi) in sorted(found.items()):
+        out, parts = [], {}
+        for i, stretches in sorted(found.items()):
             item_id, need, tail, strict, n = self.items[i]
-            lo, hi = max(0, lo - n), hi + n
-            part = ids[lo:hi]
             if strict:
-                if len(part) >= n and (at := np.flatnonzero((np.lib.stride_tricks.sliding_window_view(part, n) == need).all(axis=1))).size:
-                    out.append((item_id, cos, 1.0, "copy", lo + int(at[0])))
+                for lo, hi in stretches:
+                    part = ids[lo:hi]
+                    if len(part) >= n and (at := np.flatnonzero((np.lib.stride_tricks.sliding_window_view(part, n) == need).all(axis=1))).size:
+                        out.append((item_id, self._cosine(part, i), 1.0, "copy", lo + int(at[0])))
+                        break
                 continue
-            part = part[part >= 0]
-            part = part[self.content[part]]
-            # far apart windows of one item: slide, so that a subsequence stays local
-            best = self._local(need, ids, lo, hi, n) if hi - lo > 4 * n + 2 * BLOCK * SPAN else (self._common(need, part), lo, part)
-            ratio = best[0] / len(need)
+            best = (-1, 0, 0, ids[:0])
+            for lo, hi in stretches:
+                if (lo, hi) not in parts:
+                    part = ids[lo:hi]
+                    part = part[part >= 0]
+                    part = part[self.content[part]]
+                    parts[lo, hi] = part, Counter(part.tolist())
+                part, here = parts[lo, hi]
+                got = self._common(need, part, here)
+                if got > best[0]:
+                    best = (got, lo, hi, part)
+            got, lo, hi, part = best
+            ratio = got / len(need)
             kind = None
             if ratio >= COPY:
                 kind = "copy"
-            elif ratio >= PARAPHRASE and best[0] >= 4 and common_subsequence(tail, best[2]) >= ANSWER * len(tail):
+            elif ratio >= PARAPHRASE and got >= 4 and common_subsequence(tail, part) >= ANSWER * len(tail):
                 kind = "paraphrase"
             if kind:
-                out.append((item_id, cos, ratio, kind, best[1]))
+                out.append((item_id, self._cosine(ids[lo:hi], i), ratio, kind, lo))
         return out
 
-    @staticmethod
-    def _common(need, part) -> int:
+    def _cosine(self, ids: np.ndarray, item: int) -> float:
+        """Best cosine of the windows of a stretch with the item."""
+        block = np.arange(len(ids)) // BLOCK
+        total = max(int(block[-1]) + 1, SPAN)
+        norm = np.bincount(block, weights=self.square[ids], minlength=total)
+        hit = ids >= 0
+        hit[hit] = self.content[ids[hit]]
+        dot = np.bincount(block[hit], weights=self.weighted[ids[hit]] @ self.rows[item], minlength=total)
+        dot, norm = (np.convolve(x, np.ones(SPAN), "valid") for x in (dot, norm))
+        return float((dot / np.sqrt(np.maximum(norm, 1e-9))).max())
+
+    @classmethod
+    def _common(cls, need, part, here: Counter) -> int:
         """Longest common subsequence, or 0 if too few of the words are there at all."""
-        here = set(part.tolist())
-        if sum(x in here for x in need.tolist()) < PARAPHRASE * len(need):
+        words = need.tolist()
+        if sum(min(n, here[x]) for x, n in Counter(words).items() if x in here) < cls.least(len(words)):
             return 0
         return common_subsequence(need, part)
 
-    def _local(self, need, ids, lo, hi, n):
-        best = (-1, lo, ids[:0])
-        for s in range(lo, hi, n + BLOCK):
-            part = ids[s:s + 3 * n + 2 * BLOCK]
-            part = part[part >= 0]
-            part = part[self.content[part]]
-            got = self._common(need, part)
-            if got > best[0]:
-                best = (got, s, part)
-        return best
-
     def search(self, texts: list[str | None]) -> Iterator[list[tuple]]:
         group, size = [], 0
         for t in [*texts, None]:
