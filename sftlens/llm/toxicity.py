@@ -1,15 +1,17 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples, by exact cosine of weighted TF-IDF vectors.
 
 1. Examples: up to ``PER_CLASS`` labelled documents of each class, those with the lowest hash
    of their id (a bounded sample of labelled rows; classes keep their true weight).
-2. Terms: words and word beginnings (4 to 8 letters) whose presence raises the share of toxic
-   examples (chi-square), ``TERMS`` at most, none that another term implies.  Document frequencies of the terms are
-   counted over all documents.
-3. Index: examples with equal vectors form one entry that carries the class weights.  Each term
-   has a posting list cut into blocks of entries, with the largest weight of each block.
-4. Score: for a document's vector the block maxima bound every block's cosines; the blocks with the
-   highest bounds are opened first, then those whose bound reaches the K-th best cosine found, so
-   the neighbours are exact.  Neighbours vote with weight cosine squared, together with a small prior.
+2. Terms: all words and word beginnings (4 to 8 letters) of the examples, of either class, as 64-bit hashes.  Their
+   document frequencies are counted over all documents.  A term weighs its idf times 1 + the root of
+   its chi-square between the classes, so no term falls below its TF-IDF and telling ones lead.
+3. Index: examples with equal vectors form one entry that carries the class weights.  Entries are ordered so that
+   like ones share a block.  A term in one of ``DENSE`` entries or more has a row of weights and its
+   largest weight in each block; others have a posting list.
+4. Score: a document's cosines over posting lists, plus the block maxima of the other terms, bound every block's
+   cosines; the blocks with the highest bounds are opened first, then those whose bound reaches the
+   K-th best cosine found, so the neighbours are exact (weights are single precision, cosines within ``TIE`` count as
+   equal).  Neighbours vote with weight cosine squared, together with a small prior.
    Documents whose vector is zero get the rate of the examples whose vector is zero.
 
 Equal vectors are scored once per task (bounded memo).
@@ -25,22 +27,25 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, per_worker, split_by_keys
 
 PER_CLASS = 2000
-TERMS = 200
-MIN_DOCS = 4
-CHI2 = 25.0
 K = 20
 BLOCK = 64
 FIRST = 8  # blocks opened before the first bound is known
+DENSE = 16
+TIE = 1e-6
 MEMO = 100_000
+TOKENS = 100_000  # tokens counted at a time
+WORDS = 200_000  # distinct tokens whose terms are kept
 PRIOR = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,24 +61,59 @@ def features(token: str) -> list[str]:
 
 
 class Terms(dict):
-    """Token -> numbers of its selected terms (memoised, bounded)."""
+    """Token -> its place among the tokens met, whose term numbers are kept (bounded)."""
 
-    def __init__(self, names):
+    def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.index = {t: i for i, t in enumerate(names)}
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        got = tuple(self.index[f] for f in features(token) if f in self.index)
-        if len(self) < 400_000:
-            self[token] = got
-        return got
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for ids in filter(None, map(self.__getitem__, (text or "").split())):
-            for i in ids:
-                out[i] = out.get(i, 0) + 1
-        return out
+        self.hashes = hashes
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.ends, self.flat = [], np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def __missing__(self, token: str) -> int:
+        self[token] = at = len(self)
+        self.new.append(token)
+        return at
+
+    def _learn(self) -> None:
+        found = [[xxhash.xxh3_64_intdigest(f) for f in features(t)] for t in self.new]
+        token = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        h = np.fromiter(chain.from_iterable(found), np.uint64, len(token))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[at] == h
+        self.flat = np.append(self.flat, at[hit].astype(np.int32))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.bincount(token[hit], minlength=len(found))))
+        self.new = []
+
+    def counts(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms in order, their counts) of each text."""
+        group, size = [], 0
+        for t in texts:
+            group.append((t or "").split())
+            size += len(group[-1])
+            if size >= TOKENS:
+                yield from self._counts(group)
+                group, size = [], 0
+        yield from self._counts(group)
+
+    def _counts(self, group: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(self) > WORDS:
+            self.forget()
+        sizes = [len(x) for x in group]
+        token = np.fromiter(map(self.__getitem__, chain.from_iterable(group)), np.int64, sum(sizes))
+        if self.new:
+            self._learn()
+        n, v = self.ends[token + 1] - self.ends[token], len(self.hashes)
+        text = np.repeat(np.repeat(np.arange(len(group)), sizes), n)
+        last = np.cumsum(n)
+        terms = self.flat[np.arange(len(text)) + np.repeat(self.ends[token] - last + n, n)]
+        key, count = np.unique(text * v + terms, return_counts=True)
+        first = np.searchsorted(key, np.arange(len(group) + 1) * v)
+        terms = (key % v).astype(np.int32)
+        for i, j in zip(first[:-1], first[1:], strict=True):
+            yield terms[i:j], count[i:j]
 
 
 def examples(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
@@ -91,132 +131,157 @@ def examples(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, tex
     return keep.write(rows.join(chosen, "_id"), "examples"), counts
 
 
-def select_terms(sample: DataFrame) -> tuple[list[str], dict[int, int]]:
-    """Terms by chi-square, best first, and how many examples a class has."""
+def select_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Hashes of all terms of the examples in order, their chi-square, and how many examples a class has."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: list[Counter] = [Counter(), Counter()]
-        rows = [0, 0]
         for b in batches:
             for text, y in zip(b["text"], b["toxic"]):
                 sums[y].update({f for t in set((text or "").split()) for f in features(t)})
-                rows[y] += 1
         for y in (0, 1):
-            if rows[y]:
-                yield pd.DataFrame({"term": ["", *sums[y].keys()], "toxic": y, "n": np.array([rows[y], *sums[y].values()], np.int64)})
-
-    # the shuffle drops to rows that matter: a term's counts meet once per task and class
-    got = sample.mapInPandas(count, "term string, toxic int, n bigint").groupBy("term").agg(
-        F.sum(F.expr("if(toxic = 1, n, 0)")).alias("a"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("b")).cache()
-    try:
-        total = got.where("term = ''").first()
-        if total is None:
-            return [], {}
-        pos, neg = total.a, total.b
-        if not pos or not neg:
-            return [], {1: pos, 0: neg}
-        a, b, n = F.col("a"), F.col("b"), float(pos + neg)
-        chi2 = n * F.pow(a * neg - b * pos, 2) / ((a + b) * (n - a - b) * pos * neg)
-        best = got.where((F.col("term") != "") & (a + b >= MIN_DOCS) & (a * neg > b * pos)).withColumn("chi2", chi2) \
-            .where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(4 * TERMS)
-        names: list[str] = []
-        held: dict[tuple[int, int], list[str]] = {}
-        for r in best.collect():  # a beginning that is as frequent as one already taken says the same
-            alike = held.setdefault((r.a, r.b), [])
-            if len(names) < TERMS and not any(r.term.startswith(t) or t.startswith(r.term) for t in alike):
-                alike.append(r.term)
-                names.append(r.term)
-        return names, {1: pos, 0: neg}
-    finally:
-        got.unpersist()
-
-
-def document_frequencies(docs: DataFrame, text_col: str, names: list[str]) -> tuple[int, np.ndarray]:
+            if sums[y]:
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, sums[y]), np.uint64, len(sums[y]))
+                yield pd.DataFrame({"term": h.view(np.int64), "toxic": y, "n": np.fromiter(sums[y].values(), np.int64, len(h))})
+
+    sampled = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    pos, neg = sampled.get(1, 0), sampled.get(0, 0)
+    if not pos or not neg:
+        return np.zeros(0, np.uint64), np.zeros(0), sampled
+    # the terms of at most 2 * PER_CLASS examples, about
+    got = sample.mapInPandas(count, "term bigint, toxic int, n bigint").groupBy("term").agg(
+        F.sum(F.expr("if(toxic = 1, n, 0)")).alias("a"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("b")).toArrow()
+    terms = got["term"].to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    a, b, n = got["a"].to_numpy()[order].astype(float), got["b"].to_numpy()[order].astype(float), pos + neg
+    chi2 = n * (a * neg - b * pos) ** 2 / ((a + b) * np.maximum(n - a - b, 0.5) * pos * neg)
+    return terms[order], chi2, sampled
+
+
+def document_frequencies(docs: DataFrame, text_col: str, hashes: np.ndarray) -> tuple[int, np.ndarray]:
     """Rows of ``docs`` and, per term, how many hold it; counted over all rows."""
+    shared, job = docs.sparkSession.sparkContext.broadcast(hashes), uuid.uuid4().hex
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = per_worker(("terms", hash(tuple(names))), lambda: Terms(names)).__getitem__
-        df = np.zeros(len(names) + 1, np.int64)
+        terms = per_worker(("terms", job), lambda: Terms(shared.value))
+        df = np.zeros(len(terms.hashes) + 1, np.int64)
         for b in batches:
-            for text in b["text"]:
-                df[-1] += 1
-                hit = {i for ids in set(map(of, (text or "").split())) for i in ids}
-                if hit:
-                    df[list(hit)] += 1
+            df[-1] += len(b)
+            for own, _ in terms.counts(b["text"]):
+                df[own] += 1
         at = df.nonzero()[0]
         yield pd.DataFrame({"term": at.astype(np.int32), "n": df[at]})
 
-    got = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    df = np.zeros(len(names) + 1, np.int64)
-    for r in got.collect():  # a row per term
-        df[r.term] = r.n
+    got = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(hashes) + 1, np.int64)
+    df[got["term"].to_numpy()] = got["n"].to_numpy()  # a row per term
     return int(df[-1]), df[:-1]
 
 
+def together(vectors: list[tuple], entry: np.ndarray, row: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+    """Order of the entries by halving along principal axes of their frequent terms (entry, row, weight)."""
+    x = np.zeros((len(vectors), rows), np.float32)
+    x[entry, row] = w
+    start = np.random.default_rng(7).standard_normal(rows).astype(np.float32)
+
+    def halve(at: np.ndarray) -> list[np.ndarray]:
+        if len(at) <= BLOCK:
+            return [at]
+        own = x[at] - x[at].mean(axis=0)
+        axis = start
+        for _ in range(4):
+            axis = own.T @ (own @ axis)
+            axis /= max(float(np.sqrt(axis @ axis)), 1e-12)
+        at = at[np.argsort(own @ axis, kind="stable")]
+        half = -(-len(at) // (2 * BLOCK)) * BLOCK
+        return halve(at[:half]) + halve(at[half:])
+
+    return np.concatenate(halve(np.arange(len(vectors))))
+
+
+def flatten(vectors: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(distinct terms, entry, place of the term among them, weight) of all weights, and which terms are frequent."""
+    sizes = [len(v[0]) for v in vectors]
+    entry = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
+    known, place = np.unique(np.concatenate([np.asarray(v[0], np.int32) for v in vectors] or [np.zeros(0, np.int32)]), return_inverse=True)
+    w = np.concatenate([np.asarray(v[1], np.float32) for v in vectors] or [np.zeros(0, np.float32)])
+    return known, entry, place.astype(np.int32), w, np.bincount(place, minlength=len(known)) * DENSE >= max(1, len(vectors))
+
+
 class Index:
-    """Examples under an inverted index with block maxima."""
+    """Examples under an inverted index; frequent terms with block maxima."""
 
     def __init__(self, vectors: list[tuple]):
         """``vectors``: (terms, unit weights, toxic weight, other weight, an id), distinct."""
         self.ids = [v[4] for v in vectors]
         self.pos = np.array([v[2] for v in vectors])
         self.neg = np.array([v[3] for v in vectors])
-        self.size, blocks = len(vectors), -(-len(vectors) // BLOCK)
-        lists: dict[int, tuple[list[int], list[float]]] = {}
-        for i, (terms, weights, *_) in enumerate(vectors):
-            for t, w in zip(terms, weights, strict=True):
-                ids, ws = lists.setdefault(t, ([], []))
-                ids.append(i)
-                ws.append(w)
-        self.lists = {t: (np.array(ids), np.array(ws)) for t, (ids, ws) in lists.items()}
-        self.row = {t: i for i, t in enumerate(self.lists)}
-        self.tops = np.zeros((len(self.lists), blocks))
-        for t, (ids, ws) in self.lists.items():
-            np.maximum.at(self.tops[self.row[t]], ids // BLOCK, ws)
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        self.known, entry, place, w, frequent = flatten(vectors)
+        self.slot = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        held = frequent[place]
+        self.dense = np.zeros((self.blocks, int(frequent.sum()), BLOCK), np.float32)
+        e = entry[held]
+        self.dense[e // BLOCK, self.slot[place[held]], e % BLOCK] = w[held]
+        self.tops = np.ascontiguousarray(self.dense.max(axis=2).T)  # frequent term x block
+        entry, place, w = entry[~held], place[~held], w[~held]
+        order = np.argsort(place, kind="stable")
+        self.entry, self.w = entry[order], w[order]
+        self.first = np.searchsorted(place[order], np.arange(len(self.known) + 1))
 
     def nearest(self, terms, weights, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the k nearest entries and of all that tie with the last."""
-        own = [(t, w) for t, w in zip(terms, weights, strict=True) if t in self.lists]
-        if not own:
+        terms, weights = np.asarray(terms), np.asarray(weights, float)
+        place = np.searchsorted(self.known, terms)
+        here = place < len(self.known)
+        here[here] = self.known[place[here]] == terms[here]
+        if not here.any():
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.array([w for _, w in own]) @ self.tops[[self.row[t] for t, _ in own]]
-        ids = np.concatenate([self.lists[t][0] for t, _ in own])
-        ws = np.concatenate([w * self.lists[t][1] for t, w in own])
-        block = ids // BLOCK
-        opened = np.zeros(len(bound), bool)
-        cos, kth = np.zeros(self.size), 0.0
+        place, weights = place[here], weights[here]
+        slot = self.slot[place]
+        rare = place[slot < 0]
+        n = self.first[rare + 1] - self.first[rare]
+        last = np.cumsum(n)
+        at = np.arange(last[-1] if len(n) else 0) + np.repeat(self.first[rare] - last + n, n)
+        cos = np.bincount(self.entry[at], weights=self.w[at] * np.repeat(weights[slot < 0], n), minlength=self.blocks * BLOCK).astype(float).reshape(-1, BLOCK)
+        rows, q = slot[slot >= 0], weights[slot >= 0].astype(np.float32)
+        bound = cos.max(axis=1) + q @ self.tops[rows]
+        opened, kth = np.zeros(len(bound), bool), 0.0
         for _ in range(2):  # the blocks with the highest bounds, then all that may still matter
-            todo = (bound > 0) & (bound >= kth - 1e-9) & ~opened
+            todo = (bound > 0) & (bound >= kth - 2 * TIE) & ~opened
             if not opened.any() and len(bound) > FIRST:
                 todo &= bound >= np.partition(bound, -FIRST)[-FIRST]
             if not todo.any():
                 break
             opened |= todo
-            here = todo[block]
-            cos += np.bincount(ids[here], weights=ws[here], minlength=self.size)
+            for b in np.flatnonzero(todo) if len(rows) else ():
+                cos[b] += q @ self.dense[b].take(rows, axis=0)
             if self.size >= k:
-                kth = np.partition(cos, -k)[-k]
-        at = np.flatnonzero(cos >= max(kth - 1e-9, 1e-12))
+                kth = np.partition(cos.ravel()[:self.size], -k)[-k]
+        cos = cos.ravel()[:self.size]
+        at = np.flatnonzero(cos >= max(kth - TIE, 1e-12))
         return at, cos[at]
 
 
 class Scorer:
-    def __init__(self, names, idf, entries, zero_rate: float, prior: float):
-        self.terms, self.idf, self.index = Terms(names), idf, Index(entries)
+    def __init__(self, hashes, weight, entries, zero_rate: float, prior: float):
+        self.terms, self.weight, self.index = Terms(hashes), weight, Index(entries)
         self.zero_rate, self.prior, self.memo = zero_rate, prior, {}
 
-    def vector(self, counts: dict[int, int]) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        return unit(counts, self.idf)
+    def scores(self, texts) -> Iterator[tuple[float, list]]:
+        """Score and the ids of up to three of the nearest examples, of each text."""
+        if not len(self.terms.hashes):
+            yield from ((self.zero_rate, []) for _ in texts)
+            return
+        yield from (self.score(*own) for own in self.terms.counts(texts))
 
-    def score(self, text: str | None) -> tuple[float, list]:
-        """Score and the ids of up to three of the nearest examples."""
-        counts = self.terms.counts(text)
-        if not counts:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
+        if not len(terms):
             return self.zero_rate, []
-        key = tuple(sorted(counts.items()))
+        key = xxhash.xxh3_128_digest(terms.tobytes() + counts.tobytes())
         got = self.memo.get(key)
         if got is None:
-            ids, cos = self.index.nearest(*self.vector(counts))
+            ids, cos = self.index.nearest(terms, unit(terms, counts, self.weight))
             vote = cos ** 2
             pos, neg = (vote * self.index.pos[ids]).sum(), (vote * self.index.neg[ids]).sum()
             best = np.lexsort((ids, -cos))[:3]
@@ -227,46 +292,50 @@ class Scorer:
         return got
 
 
-def unit(counts: dict[int, int], idf: np.ndarray) -> tuple[tuple[int, ...], tuple[float, ...]]:
-    """Terms in order and their weights (1 + log tf) idf, scaled to length 1."""
-    terms = tuple(sorted(counts))
-    w = [(1 + math.log(counts[t])) * float(idf[t]) for t in terms]
-    norm = math.sqrt(sum(x * x for x in w)) or 1.0
-    return terms, tuple(x / norm for x in w)
+def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights (1 + log tf) ``weight`` of the terms, scaled to length 1."""
+    w = (1 + np.log(counts)) * weight[terms]
+    return w / (math.sqrt(w @ w) or 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple:
     """Arguments of ``Scorer``; ``learn`` marks the documents whose labels may be learnt."""
     sample, counts = examples(docs, labels, learn, id_col, text_col)
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    names, sampled = select_terms(sample)
-    if not names:
-        return [], np.zeros(0), [], rate, rate
-    rows, df = document_frequencies(docs, text_col, names)
-    idf = np.log((1 + rows) / (1 + df)) + 1
+    hashes, chi2, sampled = select_terms(sample)
+    if not len(hashes):
+        return hashes, chi2, [], rate, rate
+    rows, df = document_frequencies(docs, text_col, hashes)
+    weight = (np.log((1 + rows) / (1 + df)) + 1) * (1 + np.sqrt(chi2))
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms(names)
+        terms = Terms(shared.value)
         for b in batches:
-            got = [terms.counts(t) for t in b["text"]]
-            yield pd.DataFrame({"_id": b["_id"], "toxic": b["toxic"], "key": [" ".join(f"{t}:{n}" for t, n in sorted(c.items())) for c in got]})
+            got = list(terms.counts(b["text"]))
+            yield pd.DataFrame({"_id": b["_id"], "toxic": b["toxic"], "terms": [t.astype(np.int32).tobytes() for t, _ in got],
+                                "counts": [n.astype(np.int32).tobytes() for _, n in got]})
 
     # at most 2 * PER_CLASS examples, about
     kind = dict(sample.dtypes)["_id"]
-    grouped = sample.mapInPandas(vectors, f"_id {kind}, toxic int, key string").groupBy("key").agg(
+    grouped = sample.mapInPandas(vectors, f"_id {kind}, toxic int, terms binary, counts binary").groupBy("terms", "counts").agg(
         F.min("_id").alias("one"), F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).collect()
     worth = {y: counts.get(y, 0) / max(1, sampled.get(y, 0)) for y in (0, 1)}
     least = min((w for w in worth.values() if w), default=1.0)
     entries, zero = [], rate
-    for r in sorted(grouped, key=lambda r: r.key):
-        pos, neg = r.pos * worth[1] / least, r.neg * worth[0] / least
-        if not r.key:
+    for r in sorted(grouped, key=lambda r: (bytes(r["terms"]), bytes(r["counts"]))):
+        pos, neg = r["pos"] * worth[1] / least, r["neg"] * worth[0] / least
+        if not r["terms"]:
             zero = pos / (pos + neg)
             continue
-        c = {int(t): int(n) for t, n in (x.split(":") for x in r.key.split(" "))}
-        entries.append((*unit(c, idf), pos, neg, r.one))
-    entries.sort(key=lambda e: (e[0], e[1]))  # like vectors share blocks, which makes the bounds tight
-    return names, idf, entries, zero, rate
+        terms, n = np.frombuffer(bytes(r["terms"]), np.int32), np.frombuffer(bytes(r["counts"]), np.int32)
+        entries.append((terms, unit(terms, n, weight).astype(np.float32), pos, neg, r["one"]))
+    if entries:
+        _, entry, place, w, frequent = flatten(entries)
+        held = frequent[place]
+        order = together(entries, entry[held], (np.cumsum(frequent) - 1)[place[held]], w[held], int(frequent.sum()))
+        entries = [entries[i] for i in order]  # like vectors share blocks, which makes the bounds tight
+    return hashes, weight, entries, zero, rate
 
 
 def scores(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +345,7 @@ def scores(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = per_worker(("scorer", job), lambda: Scorer(*shared.value))
         for b in batches:
-            got = [scorer.score(t) for t in b[text_col]]
+            got = list(scorer.scores(b[text_col]))
             yield pd.DataFrame({id_col: b[id_col], "score": np.array([g[0] for g in got], float), "evidence": [g[1] for g in got]})
 
     kind = dict(docs.dtypes)[id_col]

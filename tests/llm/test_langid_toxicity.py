@@ -91,3 +91,34 @@ def test_toxicity_scores(spark):
     assert {r["score"] for r in toxicity.scores(docs, one).collect()} == {0.0}
     empty = toxicity.fit(docs.where(F.lit(False)), table, learn)
     assert toxicity.scores(docs.where(F.lit(False)), empty).count() == 0
+
+
+def test_documents_without_telling_terms_have_neighbours(spark):
+    """Every term of the examples is in the vectors, of either class: scores and neighbours by brute force."""
+    rng = np.random.default_rng(9)
+    bad = ["vilgor", "trasmun", "ekelpot"]
+    rows = [(i, words(rng, "abc"[i % 3] * 2, 25) + (" " + " ".join(rng.choice(bad, 3)) if i % 4 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    learn = langid.remainder("doc_id", 5) != 0
+    model = toxicity.fit(docs, table, learn)
+    got = {r["doc_id"]: r for r in toxicity.scores(docs, model).collect()}
+    learnt = [r["doc_id"] for r in docs.where(learn).collect()]
+    counts = [{} for _ in rows]
+    for c, (_, text) in zip(counts, rows, strict=True):
+        for f in (f for t in text.split() for f in toxicity.features(t)):
+            c[f] = c.get(f, 0) + 1
+    names = sorted({f for i in learnt for f in counts[i]})
+    tf = np.array([[1 + np.log(c[f]) if f in c else 0 for f in names] for c in counts])
+    y = np.array([i % 4 == 0 for i in learnt])
+    held, n, pos = tf[learnt] > 0, len(learnt), y.sum()
+    a, b = held[y].sum(axis=0), held[~y].sum(axis=0)
+    chi2 = n * (a * (n - pos) - b * pos) ** 2.0 / ((a + b) * np.maximum(n - a - b, 0.5) * pos * (n - pos))
+    x = tf * (np.log((1 + len(rows)) / (1 + (tf > 0).sum(axis=0))) + 1) * (1 + np.sqrt(chi2))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for i in range(len(rows)):
+        cos = x[learnt] @ x[i]
+        at = cos >= np.sort(cos)[-toxicity.K] - toxicity.TIE
+        vote = cos[at] ** 2
+        assert abs((vote @ y[at] + toxicity.PRIOR * pos / n) / (vote.sum() + toxicity.PRIOR) - got[i]["score"]) < 1e-4
+        assert got[i]["evidence"] == [learnt[j] for j in np.argsort(-cos)[:3]]
