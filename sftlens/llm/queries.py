@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmlextract, jaccard, langid, neardup, oracles, pii, substring, toxicity, urlfilter
+from . import bpe, decontam, exactdedup, fillmiddle, filteraudit, htmlextract, jaccard, langid, neardup, oracles, pii, substring, toxicity, urlfilter
 from .common import table
 
 
@@ -61,6 +61,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fillmiddle.transform(table(spark, sf_dir, "documents"))
+    return fillmiddle.restore(moved).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_interactions": op11_filter_interactions,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 # The others rest on a learnt model or a tokenizer, which SQL cannot express; tests/llm has brute force versions.
@@ -79,4 +97,7 @@ ORACLES: dict[str, str] = {
     "op1_embedding_neardup": oracles.OP1,
     "op2_substring_dedup": oracles.OP2,
     "op6_ngram_jaccard": oracles.OP6,
+    "op11_filter_interactions": oracles.OP11,
+    "op12_fill_in_middle": oracles.OP12,
+    "op13_exact_dedup": oracles.OP13,
 }
