@@ -46,7 +46,7 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "bigint"):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), Scratch(spark, "digestindex")
         self.table = f"sftlens_digests_{xxhash.xxh3_64_hexdigest(self.path)}"
         jvm = spark.sparkContext._jvm
         spec = jvm.org.apache.hadoop.fs.Path(f"{self.path}/spec")
@@ -60,23 +60,26 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def new(self, batch: DataFrame) -> DataFrame:
-        """First occurrences in ``batch`` (id, row, digest) of the texts that the index lacks."""
+    def firsts(self, batch: DataFrame) -> DataFrame:
+        """First occurrence (digest, id, row) of each text of ``batch`` (id, row, digest), written once."""
         first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
-        once = batch.groupBy("digest").agg(first).select("digest", "first.id", "first.row")
-        return once.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        return self.keep.write(batch.groupBy("digest").agg(first).select("digest", "first.id", "first.row"), "firsts")
+
+    def new(self, firsts: DataFrame) -> DataFrame:
+        """Rows of ``firsts`` whose text the index lacks: they are dealt as its buckets are, the index stays where it is."""
+        return firsts.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
     def add(self, batch: DataFrame) -> None:
-        """Append what ``new`` gives: one sorted file for each bucket that gets rows."""
-        self.new(batch).repartition(self.buckets, "digest").write.insertInto(self.table)
+        """Append the texts that the index lacks: one sorted file for each bucket that gets rows."""
+        self.new(self.firsts(batch)).write.insertInto(self.table)
+        self.keep.drop("firsts")
         self.spark.catalog.refreshTable(self.table)
 
-    def decide(self, batch: DataFrame) -> DataFrame:
-        """Per row of ``batch`` (all of it added before): id, keep_id, group_size (equal rows of the batch), kept, digest."""
+    def groups(self, batch: DataFrame) -> DataFrame:
+        """Per text of ``batch`` (all of it added before): digest, keep_id, keep_row, group_size (its rows in the batch)."""
+        sizes = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")).repartition(self.buckets, "digest")
         first = self.rows().select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))
-        groups = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")).join(first.hint("merge"), "digest")
-        return batch.join(groups, "digest").select(
-            "id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest")
+        return sizes.join(first.hint("merge"), "digest")
 
     def close(self) -> None:
         """Forget the table in this session; its files stay."""
@@ -98,10 +101,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part = sum((F.coalesce(F.col("id") > c, F.lit(True)).cast("int") for c in sorted(set(cuts))), F.lit(0))
     for i in range(len(set(cuts)) + 1):
         index.add(rows.where(part == i))
-    out = index.decide(rows).select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-    out = keep.write(out, "decisions")
+    groups = keep.write(index.groups(rows), "groups")  # both sides of the next join are then shuffled, so hot texts are split
     index.close()
+    out = keep.write(rows.join(groups, "digest").select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size",
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256")), "decisions")
     keep.paths["index"] = path
-    keep.drop("index", "digests")
+    keep.drop("index", "digests", "groups")
     return out

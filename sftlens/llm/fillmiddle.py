@@ -17,7 +17,7 @@ gives an empty result; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ MARK = (0, 2, 1)  # sentinel of prefix, middle and suffix
 
 def check_sentinels(sentinels: tuple[bytes, ...]) -> None:
     """Sentinels must be found again next to any text: none holds or overlaps another or itself."""
-    for a, b in [*permutations(sentinels, 2), *zip(sentinels, sentinels)]:
-        if not a or (a in b and a is not b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
+    for (i, a), (j, b) in product(enumerate(sentinels), repeat=2):
+        if not a or (i != j and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
             raise ValueError(f"sentinels {a!r} and {b!r} cannot be told apart")
 
 
