@@ -17,25 +17,27 @@ from ..session import materialize
 def later_rows(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """Every row of a key after its first in ``order_cols``: rows minus one per key.
 
-    Rows that tie with the first (equal in all ``order_cols``) count too: all but one of them are
-    returned, so no repeat is lost when positions repeat (lines of several files, say).
-    The added column ``_first`` holds the first position.  NULL keys are keys; rows need not
-    be distinct.
+    Rows that tie with the first (equal in all ``order_cols``) count too: the one that is least in its other
+    columns is the first, all others are returned as they are, so no repeat is lost when positions repeat
+    (lines of several files, say).  The added column ``_first`` holds the first position.  NULL keys are keys;
+    rows need not be distinct; all columns must be orderable.
     """
-    df = df.withColumn("_at", F.struct(*order_cols))
-    head = df.groupBy(*key_cols).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    head = head.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)], "_first")
+    rest = [c for c in df.columns if c not in {*key_cols, *order_cols}]
+    df = df.withColumn("_at", F.struct(*order_cols, *rest))
+    head = df.groupBy(*key_cols).agg(F.min("_at").alias("_head"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    head = head.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)], "_head",
+                       F.struct(*[F.col(f"_head.{c}").alias(c) for c in order_cols]).alias("_first"))
     same = None
     for i, k in enumerate(key_cols):
         c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         same = c if same is None else same & c
     hit = df.join(head, same).drop(*[f"_k{i}" for i in range(len(key_cols))])
-    later = hit.where(F.col("_at") > F.col("_first")).drop("_at")
-    ties = hit.where(F.col("_at") == F.col("_first")).drop("_at")
-    cols = [c for c in ties.columns if c not in key_cols]
-    ties = (ties.groupBy(*key_cols).agg(*[F.min(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"))
-            .where("_n > 1").withColumn("_again", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n")))))
-    return later.unionByName(ties.select(*later.columns))
+    later = hit.where(F.col("_at") > F.col("_head")).drop("_at", "_head")
+    alike = hit.where(F.col("_at").eqNullSafe(F.col("_head"))).drop("_at", "_head")  # whole copies of the first row
+    cols = [c for c in alike.columns if c not in key_cols]
+    alike = (alike.groupBy(*key_cols).agg(*[F.min(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_n"))
+             .where("_n > 1").withColumn("_again", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n")))))
+    return later.unionByName(alike.select(*later.columns))
 
 
 def repeat_rows(df: DataFrame, key_cols: Sequence[str], line_col: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..session import materialize
+from ..sources.filestatus import path_status
 from .quality import later_rows
 from ..functions.variant import extract_doc_id, extract_output, extract_prompt, field, is_none, py_str, typed_key
 
@@ -94,15 +95,21 @@ def _file_errors(facts: DataFrame, expected: DataFrame | None, dup_code: str, du
     return errs.unionByName(bad).unionByName(dups).unionByName(count_mismatches(actual, expected, scope))
 
 
-def validate_samples(parsed: DataFrame, expected: DataFrame | None = None,
-                     scope: Sequence[str] = ("task",), line_col: str = "line") -> DataFrame:
+def _with_files(errors: DataFrame, files: DataFrame | None, scope: Sequence[str]) -> DataFrame:
+    """``errors`` and those of the named files (scope columns, ``path``) that are not there or have no bytes."""
+    return errors if files is None else errors.unionByName(file_rules(files, path_status(files), "path", "file", scope))
+
+
+def validate_samples(parsed: DataFrame, expected: DataFrame | None = None, scope: Sequence[str] = ("task",),
+                     line_col: str = "line", files: DataFrame | None = None) -> DataFrame:
     """V1 over ``parse_jsonl(..., on_error='collect')`` output (scope columns, ``line, v,
     parse_error`` and, for rows from files, ``file``): ``scope, line, code, detail``.
 
     ``scope`` names what is one samples file in the reference: ``("task",)`` for the rows of
     one run, ``("model", "task", "file")`` for a folder of many.  Ids repeat within a scope,
     in the order (file, line); ``expected`` has the scope columns and ``expected``.  Missing and
-    empty files have no rows: see :func:`missing_files`.
+    empty files have no rows in ``parsed``: ``files`` (scope columns, ``path``) names those that should be
+    there, and tasks ask the file system for them (codes as in :func:`missing_files`).
     Corrupt lines count toward ``actual`` (as in the reference) and produce
     ``parse_error``; ids compare by typed value, so ``0`` and ``"0"`` differ.
     Runs one job eagerly (the narrow facts table); the result is lazy.
@@ -116,7 +123,7 @@ def validate_samples(parsed: DataFrame, expected: DataFrame | None = None,
     ]
     did = extract_doc_id(v, F.col(line_col))
     facts = _facts(parsed, row_rules, typed_key(did), py_str(did), F.lit(True), scope, line_col)
-    return _file_errors(facts, expected, "duplicate_doc_id", "doc_id=", scope)
+    return _with_files(_file_errors(facts, expected, "duplicate_doc_id", "doc_id=", scope), files, scope)
 
 
 def missing_files(files: DataFrame, listing: DataFrame, path_col: str = "path", task_col: str = "task") -> DataFrame:
@@ -146,28 +153,29 @@ def export_record_rules(v: Column, expected_method: str = "llama_tokenizer") ->
 
 
 def validate_export_file(parsed: DataFrame, expected: DataFrame | None = None,
-                         expected_method: str = "llama_tokenizer",
-                         scope: Sequence[str] = ("task",), line_col: str = "line") -> DataFrame:
+                         expected_method: str = "llama_tokenizer", scope: Sequence[str] = ("task",),
+                         line_col: str = "line", files: DataFrame | None = None) -> DataFrame:
     """V3 (+V2 per row) over ``parse_jsonl(..., on_error='collect')`` of exported files;
     ``sample_id`` repeats within a scope (in the order file, line) are errors, NULL ids are
-    ignored.  ``scope`` and missing files as in :func:`validate_samples`."""
+    ignored.  ``scope`` and ``files`` as in :func:`validate_samples`."""
     v = F.col("v")
     sid = field(v, "sample_id")
     facts = _facts(parsed, export_record_rules(v, expected_method), typed_key(sid), py_str(sid),
                    ~is_none(sid), scope, line_col)
-    return _file_errors(facts, expected, "duplicate_sample_id", "sample_id=", scope)
+    return _with_files(_file_errors(facts, expected, "duplicate_sample_id", "sample_id=", scope), files, scope)
 
 
 def file_rules(files: DataFrame, listing: DataFrame, path_col: str, code_prefix: str,
-               task_col: str = "task") -> DataFrame:
-    """A named file must exist and be non-empty: ``files`` (task, path) left-joined to a
-    ``binaryFile`` listing (``path, length``; content is never read)."""
+               task_col: str | Sequence[str] = "task") -> DataFrame:
+    """A named file must exist and be non-empty: ``files`` (task or scope columns, path) left-joined to
+    ``path, length`` of what exists (``sources.filestatus``; content is never read)."""
     j = files.join(listing.select(F.col("path").alias("_p"), F.col("length").alias("_len")),
                    F.col(path_col) == F.col("_p"), "left")
     code = (F.when(F.coalesce(F.length(F.col(path_col)), F.lit(0)) == 0, F.lit(f"{code_prefix}_missing"))
              .when(F.col("_p").isNull(), F.lit(f"{code_prefix}_not_found"))
              .when(F.col("_len") == 0, F.lit(f"{code_prefix}_empty")))
-    return j.where(code.isNotNull()).select(F.col(task_col).alias("task"), F.lit(None).cast("bigint").alias("line"),
+    who = [F.col(task_col).alias("task")] if isinstance(task_col, str) else [F.col(c) for c in task_col]
+    return j.where(code.isNotNull()).select(*who, F.lit(None).cast("bigint").alias("line"),
                                             code.alias("code"), F.col(path_col).cast("string").alias("detail"))
 
 

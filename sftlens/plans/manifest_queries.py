@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.validate import validate_run_manifests, validate_task_manifests
 from ..session import scratch_dir
 from ..sinks.writers import write_jsonl
-from ..sources.manifests import file_status, named_files
+from ..sources.filestatus import path_status
 from .common import table
 
 
@@ -53,7 +53,7 @@ def q_validate_task_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n").alias("expected_sample_count"), F.col("actual").alias("actual_sample_count"),
         F.col("n").alias("exported_sample_count")))
     manifests = g.select(F.concat_ws("/", "model", "task").alias("task"), F.parse_json(m).alias("m"))
-    listing = file_status(spark, named_files(manifests, F.try_variant_get("m", "$.exported_generation_file", "string")))
+    listing = path_status(manifests.select(F.try_variant_get("m", "$.exported_generation_file", "string").alias("path")))
     errs = validate_task_manifests(manifests, listing)
     return errs.select("task", "code", F.when(~F.col("code").startswith("export_file"), F.col("detail")).alias("detail"))
 
@@ -77,8 +77,7 @@ def q_validate_run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     # fr records predict_only as a string, which the rule must reject
     m = F.when(mdl == "fr", F.regexp_replace(m, '"predict_only":true', '"predict_only":"true"')).otherwise(m)
     manifests = runs.select(F.concat(F.lit("run_"), mdl).alias("run_id"), F.parse_json(m).alias("m"))
-    files = [r[0] for r in g.select("file").distinct().collect()]
-    errs = validate_run_manifests(manifests, file_status(spark, files))
+    errs = validate_run_manifests(manifests, path_status(g, "file"))
     return errs.select("task", "code", F.when(~F.col("code").startswith("export_file"), F.col("detail")).alias("detail"))
 
 

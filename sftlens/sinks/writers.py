@@ -163,3 +163,30 @@ def output_name(model: Column, task: Column, limit: int | None = None) -> Column
     """SK4: ``<model>_<benchmark>[_smoke<limit>]`` (use as a partition value or file stem)."""
     suffix = f"_smoke{limit}" if limit is not None else ""
     return F.concat(model_short(model), F.lit("_"), bench_short(task), F.lit(suffix))
+
+
+def write_files(df: DataFrame, path_col: str = "path", content_col: str = "content") -> int:
+    """One file per row, written by the tasks: a result tree of many small documents.  Returns the number of files.
+
+    A file is written under its final name in one go, so a task that runs again writes the same bytes; an empty content gives a
+    file without bytes.  Folders are made as needed, paths are what ``sources.filestatus`` can reach.
+    """
+    import pyarrow as pa
+
+    from ..sources.filestatus import resolve
+
+    def run(batches):
+        made, n = set(), 0
+        for batch in batches:
+            for uri, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                where, path = resolve(uri)
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:
+                    where.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with where.open_output_stream(path, compression=None) as f:
+                    f.write((content or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.select(path_col, content_col).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from .filestatus import path_status
 
 
 def scan_json_tree(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -86,27 +87,31 @@ def discover_first(listing: DataFrame, tasks: DataFrame, patterns: list[str]) ->
     (``{task}`` is substituted, once); a pattern without ``/`` is matched against the
     file name, one with ``/`` against the end of the path (like ``**/pattern``).
 
-    ``tasks`` (column ``task``) and ``listing`` stay distributed: what follows the pattern's
-    literal start gives the candidate task names of a file -- its beginnings, as long as a
-    path segment -- which are joined to the tasks; the whole pattern is then checked on the
-    joined rows, and one aggregate keeps the minimum path.  Tasks with no match get a NULL path.
+    ``tasks`` (column ``task``) and ``listing`` stay distributed: the path segment that holds the task's name gives
+    candidates -- its parts after the pattern's literal start (after any letter if a wildcard stands before the name), of the
+    lengths that task names have -- which are joined to the tasks; the whole pattern is then checked on
+    the joined rows, and one aggregate keeps the minimum path.  Tasks with no match get a NULL path.
+    ``listing`` may be ``list_files`` or, with files of no bytes, ``filestatus.list_tree``.
     """
     tasks = tasks.select("task").distinct()
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    # at most as many lengths as a path segment is long
+    lengths = F.array(*[F.lit(r[0]) for r in tasks.select(F.length("task")).distinct().collect() if r[0]]).cast("array<int>")
     found = None
     for p in patterns:
         head, sep, tail = p.partition("{task}")
-        subject = F.col("path") if "/" in p else name
-        start = ("(^|/)" if "/" in p else "^") + _glob_part(head)
+        subject = F.regexp_extract("path", r"((?:[^/]+/){%d}[^/]+)$" % p.count("/"), 1)
+        start = "^" + _glob_part(head)
         if not sep:
             hit = listing.where(subject.rlike(start + "$")).agg(F.min("path").alias("path")).where("path is not null")
             hit = tasks.crossJoin(F.broadcast(hit))  # one row
         else:
-            group = 2 if "/" in p else 1
-            rest = F.regexp_extract(subject, start + "([^/]+)" + ("" if "/" in tail else "[^/]*$"), group)
-            files = listing.select("path", subject.alias("_subject"), rest.alias("_rest")).where("_rest <> ''")
-            files = files.withColumn("task", F.explode(F.transform(F.sequence(F.lit(1), F.length("_rest")),
-                                                                   lambda n: F.col("_rest").substr(F.lit(1), n))))
+            before = head.rsplit("/", 1)[-1]
+            segment = F.element_at(F.split(subject, "/"), head.count("/") + 1)
+            files = listing.select("path", subject.alias("_subject"), segment.alias("_segment")).where("_segment <> ''")
+            first = F.sequence(F.lit(1), F.length("_segment")) if set("*?") & set(before) else F.array(F.lit(len(before) + 1))
+            names = F.flatten(F.transform(first, lambda i: F.transform(F.filter(lengths, lambda n: i + n - 1 <= F.length("_segment")),
+                                                                       lambda n: F.col("_segment").substr(i, n))))
+            files = files.withColumn("task", F.explode(F.array_distinct(names)))
             quoted = F.concat(F.lit("\\Q"), F.col("task"), F.lit("\\E"))
             rx = F.concat(F.lit(start), quoted, F.lit(_glob_part(tail) + "$"))
             hit = files.join(tasks, "task").where(F.regexp_like("_subject", rx)).select("task", "path")
@@ -115,34 +120,8 @@ def discover_first(listing: DataFrame, tasks: DataFrame, patterns: list[str]) ->
 
 
 def file_status(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, length`` for the named files (or Spark output folders) that exist, empty included.
-
-    For the handful of files manifests name (one per task): a metadata call per
-    path through the cluster file system.  A scan-based listing cannot be used
-    here because file scans skip zero-length files, and "empty" must differ
-    from "missing".
-    """
-    sc = spark.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    found = []
-    for p in sorted({p for p in paths if p}):
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hp.getFileSystem(conf)
-        if not fs.exists(hp):
-            continue
-        st = fs.getFileStatus(hp)
-        if st.isFile():
-            found.append((p, int(st.getLen())))
-        else:  # a Spark output folder stands for one file: the size of its data parts
-            parts = [x for x in fs.listStatus(hp)
-                     if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
-            found.append((p, int(sum(x.getLen() for x in parts))))
-    return spark.createDataFrame(found, "path string, length long")
-
-
-def named_files(manifests: DataFrame, path_expr) -> list[str]:
-    """The distinct file paths a manifest table names (bounded by the number of manifests)."""
-    return [r[0] for r in manifests.select(path_expr.alias("p")).where("p IS NOT NULL").distinct().collect()]
+    """``path, length`` of a few literal paths; :func:`filestatus.path_status` takes a table of them."""
+    return path_status(spark.createDataFrame([(p,) for p in paths], "path string"))
 
 
 def scan_partitioned_tree(spark: SparkSession, path: str) -> DataFrame:
