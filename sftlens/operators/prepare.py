@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.text import py_strip
 from ..functions.variant import COMPLETION_FIELDS, PROBLEM_FIELDS, field, first_truthy_text, is_none
 from ..session import materialize
-from .indexing import dense_index
 
 # The SFT prompt template.
 PROMPT_PREFIX = "### Problem:\n"
 PROMPT_SUFFIX = "\n\n### Solution:\n"
+FETCH = 4096  # keys of a bucket that the driver sorts
 
 
 def format_prompt(problem) -> Column:
@@ -67,37 +67,50 @@ def sample_key(seed: int, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def sample_exact(df: DataFrame, n: int | None, seed: int, id_col: str) -> DataFrame:
+def cut_key(keys: DataFrame, n: int, distinct_keys: bool = False) -> bytes | None:
+    """The ``n``-th smallest of the 16-byte keys in column ``k`` by radix selection; None if there are no more than ``n``.
+
+    One mergeable count by the first two bytes (at most 65,536 rows reach the driver) names the bucket that holds
+    rank ``n``.  Only that bucket is looked at again: by two more bytes while it has more than ``FETCH`` keys, else
+    its keys are fetched.  ValueError for a missing or repeated key; ``distinct_keys`` leaves out the
+    shuffle of keys that finds repeated ones.
+    """
+    counts = keys.withColumn("c", F.lit(1).cast("bigint")) if distinct_keys else keys.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    prefix, rank = b"", n
+    while len(prefix) < 16:
+        inside = counts.where(F.substring("k", 1, len(prefix)) == F.lit(prefix)) if prefix else counts
+        buckets = inside.groupBy(F.substring("k", 1, len(prefix) + 2).alias("p")).agg(F.sum("c").alias("n"), F.max("c").alias("most")).collect()
+        if any(b["p"] is None or b["most"] > 1 for b in buckets):
+            raise ValueError("ids must be present and distinct to draw an exact sample")
+        if not prefix and rank >= sum(b["n"] for b in buckets):
+            return None
+        for size, prefix in sorted(((b["n"], bytes(b["p"])) for b in buckets), key=lambda x: x[1]):
+            if rank <= size:
+                break
+            rank -= size
+        if size <= FETCH:
+            found = keys.where(F.substring("k", 1, len(prefix)) == F.lit(prefix)).collect()
+            return sorted(bytes(r["k"]) for r in found)[rank - 1]
+    return prefix
+
+
+def sample_exact(df: DataFrame, n: int | None, seed: int, id_col: str, distinct_ids: bool = False, write_keys: bool = False) -> DataFrame:
     """L1: exactly ``n`` rows uniformly without replacement when ``n < count``; else all rows.
 
-    Rows are ranked by ``md5(seed:id)`` (ties by id); ids must be present and distinct, else
-    ValueError.  The narrow table (id, key) is written once and everything below reads it.
-    A threshold on the first 60 bits of the key is taken from ``percentile_approx`` at a
-    fraction slightly above ``n / count``; only rows at or below it stay candidates.  If
-    the approximation undershoots (fewer than ``n`` candidates) the fraction is widened
-    and the step repeated, so the result is always the exact top-n.  The ~1.1 n
-    candidates get a distributed dense rank, and the chosen ids are semi-joined back, so
-    long texts never pass through the ranking.  The driver only sees counts and the threshold.
+    Rows are ranked by ``md5(seed:id)``; the key at rank ``n`` is found by :func:`cut_key` (two or three jobs over the id
+    column alone), and the sample is a filter on that key: no join, no ranking of rows, nothing is shuffled but the
+    keys that the check for repeated ids needs.  Ids must be present and distinct, else ValueError; with
+    ``distinct_ids`` the caller vouches for the latter and even that shuffle goes.  ``write_keys`` writes the keys
+    first, for a ``df`` that is expensive to compute.
     """
     if n is None:
         return df
-    hexkey = sample_key(seed, id_col)
-    keyed = materialize(df.select(F.col(id_col).alias("_sid"), hexkey.alias("_skey")), "sample-keys") \
-        .withColumn("_sk60", F.conv(F.substring("_skey", 1, 15), 16, 10).cast("long"))
-    total = keyed.count()
-    if n >= total:
-        return df
-    if keyed.groupBy("_sid").count().where((F.col("count") > 1) | F.col("_sid").isNull()).limit(1).count():
-        raise ValueError(f"{id_col} must be present and distinct to draw an exact sample")
-    frac = min(1.0, n / total * 1.1 + 100.0 / total)
-    while True:
-        t = keyed.agg(F.percentile_approx("_sk60", frac, 10000)).first()[0]
-        cand = keyed.where(F.col("_sk60") <= t)
-        if frac >= 1.0 or cand.count() >= n:
-            break
-        frac = min(1.0, frac * 2)
-    chosen = dense_index(cand, ["_skey", "_sid"], out="_rk").where(F.col("_rk") < n).select("_sid")
-    return df.join(chosen, df[id_col] == chosen["_sid"], "left_semi")
+    if n <= 0:
+        return df.limit(0)
+    key = F.unhex(sample_key(seed, id_col))
+    keys = df.select(key.alias("k"))
+    cut = cut_key(materialize(keys, "sample-keys") if write_keys else keys, n, distinct_ids)
+    return df if cut is None else df.where(key <= F.lit(cut))
 
 
 def prepare_to_jsonl(raw: DataFrame, dataset: str, out_path: str, sample_size: int | None = None,
@@ -115,7 +128,7 @@ def prepare_to_jsonl(raw: DataFrame, dataset: str, out_path: str, sample_size: i
     seen = Observation(f"prepare-{dataset}")
     flagged = unify_records(raw, dataset, v_col, index_col, keep_skipped=True).observe(
         seen, F.count(F.lit(1)).alias("total"), F.count_if("kept").alias("kept"))
-    records = sample_exact(flagged.where("kept").drop("kept"), sample_size, seed, "id")
+    records = sample_exact(flagged.where("kept").drop("kept"), sample_size, seed, "id", distinct_ids=True, write_keys=True)  # ids are line numbers
     wrote = Observation(f"prepare-{dataset}-written")
     write_jsonl(records.observe(wrote, F.count(F.lit(1)).alias("written")), out_path)
     c, w = seen.get, wrote.get
