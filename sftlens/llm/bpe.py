@@ -2,7 +2,7 @@
 
 Method: a rank queue of hierarchical bitmaps.  The bytes of a pre-token form a doubly
 linked list; every adjacent pair with a merge rank puts its left position into the bucket
-of that rank.  Three levels of bitmaps mark the non-empty ranks, find-first-set (lowest set
+of that rank.  Two levels of bitmaps mark the non-empty ranks, find-first-set (lowest set
 bit of a Python int) gives the next rank, and positions whose pair has changed since they
 were queued are skipped.  A pre-token of n bytes takes O(n) queue operations, so megabyte
 long pre-tokens (a run of letters, of spaces) stay linear.  Buckets are queues in position

@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,9 +53,15 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     if not page:
         return out
     stack: list[tuple[str, tuple[str, ...]]] = []  # open block-level tags, each with all features so far
+    still_open: Counter = Counter()  # tags on the stack
     parts: list[str] = []
     links = linked = 0
 
+    def close() -> str:
+        tag = stack.pop()[0]
+        still_open[tag] -= 1
+        return tag
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -82,25 +89,25 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if m.group("end"):
             if tag in BLOCK:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if still_open[tag]:  # else there is nothing to look for, however deep the page is
+                    while close() != tag:
+                        pass
             elif tag == "a" and links:
                 links -= 1
         elif tag in BLOCK:
             flush()
             if tag in ENDS_P and stack and stack[-1][0] == "p":
-                stack.pop()
+                close()
             if tag in ALONE and stack and ALONE.get(stack[-1][0]) == ALONE[tag]:
-                stack.pop()
-            if tag not in VOID and len(stack) < 200:
+                close()
+            if tag not in VOID:
                 attrs = m.group("attrs")
                 have = stack[-1][1] if stack else ()
                 new = {"t_" + tag}
                 if "=" in attrs:
                     for x in NAMES.finditer(attrs):
                         new.update("k_" + w for w in PART.findall((x.group(1) or x.group(2) or x.group(3) or "").lower()))
+                still_open[tag] += 1
                 stack.append((tag, tuple(sorted(set(have) | new)) if not new <= set(have) else have))
         elif tag == "br":
             parts.append(" ")

@@ -31,8 +31,9 @@ BUCKETS = 1 << LOG2_BUCKETS
 ROUNDS = 40          # EM stops earlier once proportions settle
 SETTLED = 1e-3
 OVERLAP = 3.0        # a character is part of three trigrams
+UNKNOWN = 0.75       # a document with more than this share of trigrams that no language explains is rejected
 CELLS = 400_000      # distinct trigrams handled at a time
-ALPHABET = 0x30000   # code points that are looked up; none above is a letter
+ALPHABET = 0x110000  # all code points
 
 
 def letters() -> np.ndarray:
@@ -114,23 +115,12 @@ def em(like: np.ndarray, n: np.ndarray, starts: np.ndarray, allowed: np.ndarray)
     return out, ll
 
 
-def infer(texts: list[str | None], langs: list[str], probs: np.ndarray, is_letter: np.ndarray) -> list[tuple[str, float, list[str], list[float]]]:
-    """(language, its proportion, selected languages, their proportions) of each text."""
-    out: list = [("und", 0.0, [], [])] * len(texts)
+def runs(texts: list[str | None], is_letter: np.ndarray) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+    """(places, trigram buckets and their counts) of the texts with a letter, about ``CELLS`` buckets at a time."""
     at, parts, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal size
-        if at:
-            for i, row in zip(at, _infer(parts, langs, probs), strict=True):
-                out[i] = row
-        at.clear()
-        parts.clear()
-        size = 0
-
     for i, t in enumerate(texts):
         g = trigrams(t, is_letter)
-        if not len(g) or not langs:
+        if not len(g):
             continue
         if len(g) < 3000:
             bucket, n = np.unique(g, return_counts=True)
@@ -142,8 +132,34 @@ def infer(texts: list[str | None], langs: list[str], probs: np.ndarray, is_lette
         parts.append((bucket, n))
         size += len(bucket)
         if size >= CELLS:
-            flush()
-    flush()
+            yield at, parts
+            at, parts, size = [], [], 0
+    if at:
+        yield at, parts
+
+
+def infer(texts: list[str | None], langs: list[str], probs: np.ndarray, is_letter: np.ndarray) -> list[tuple[str, float, list[str], list[float]]]:
+    """(language, its proportion, selected languages, their proportions) of each text."""
+    out: list = [("und", 0.0, [], [])] * len(texts)
+    for at, parts in runs(texts, is_letter) if langs else ():
+        for i, row in zip(at, _infer(parts, langs, probs), strict=True):
+            out[i] = row
+    return out
+
+
+def unknown_shares(texts: list[str | None], probs: np.ndarray, is_letter: np.ndarray) -> np.ndarray:
+    """Share of each text's trigrams that falls to a component which draws all trigrams alike, in a mixture with the
+    learnt languages; 1 for a text without a letter, 0 for any other if no language was learnt."""
+    out = np.ones(len(texts))
+    probs = np.column_stack([probs, np.full(BUCKETS, 1 / BUCKETS, np.float32)])
+    for at, parts in runs(texts, is_letter):
+        if probs.shape[1] == 1:
+            out[at] = 0.0
+            continue
+        sizes = np.array([len(b) for b, _ in parts])
+        n = np.concatenate([c for _, c in parts]).astype(np.float32)
+        shares, _ = em(probs[np.concatenate([b for b, _ in parts])], n, np.cumsum(sizes) - sizes, np.ones((len(parts), probs.shape[1])))
+        out[at] = shares[:, -1]
     return out
 
 
@@ -220,6 +236,20 @@ def tag(docs: DataFrame, model: tuple[list[str], np.ndarray], out: str, text_col
     return docs.withColumn(out, F.pandas_udf(run, "string")(F.col(text_col)))
 
 
+def known(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", most: float = UNKNOWN) -> DataFrame:
+    """The rows of ``docs`` in a learnt language: those with a letter of which at most the share ``most`` falls to the
+    unknown component (``unknown_shares``).  If nothing was learnt, all rows with a letter."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model[1])
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        probs, is_letter = shared.value, letters()
+        for b in batches:
+            yield pd.Series(unknown_shares(b.tolist(), probs, is_letter) <= most)
+
+    return docs.where(F.pandas_udf(run, "boolean")(F.col(text_col)))
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string")) % n

@@ -54,7 +54,6 @@ def features(token: str) -> list[str]:
     """Words of a blank-separated token, and their beginnings."""
     out = []
     for w in WORD.findall(token.lower()):
-        w = w[:40]
         out.append(w + " ")
         out += [w[:n] for n in range(4, min(len(w), 8) + 1)]
     return out

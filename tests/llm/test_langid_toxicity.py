@@ -122,3 +122,29 @@ def test_documents_without_telling_terms_have_neighbours(spark):
         vote = cos[at] ** 2
         assert abs((vote @ y[at] + toxicity.PRIOR * pos / n) / (vote.sum() + toxicity.PRIOR) - got[i]["score"]) < 1e-4
         assert got[i]["evidence"] == [learnt[j] for j in np.argsort(-cos)[:3]]
+
+
+def test_documents_in_no_learnt_language(spark):
+    rng = np.random.default_rng(4)
+    speak = lambda voc, n: " ".join(rng.choice(voc, n))
+    one, two = ["der", "garten", "scheint", "hell", "und"], ["the", "garden", "is", "shining", "bright"]
+    rows = [(i, speak(one if i % 2 else two, 40), "de" if i % 2 else "en") for i in range(60)]
+    odd = [(100, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 9), (101, "zq xv jk " * 30), (102, "12 !"), (103, None), (104, "")]
+    mixed = [(110, speak(one, 20) + " " + speak(two, 20)), (111, "garden"), (112, speak(two, 30) + " qx" * 20)]
+    docs = spark.createDataFrame(rows + [(*r, None) for r in odd + mixed], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.known(docs, langid.train(docs)).collect()}
+    assert kept == set(range(60)) | {110, 111, 112}
+    nothing = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["doc_id"] for r in langid.known(docs, nothing).collect()} == kept | {100, 101}
+    assert langid.known(docs.where("false"), nothing).count() == 0
+
+
+def test_letters_of_every_plane():
+    is_letter = langid.letters()
+    assert len(langid.trigrams("\U00030000\U00031350", is_letter)) and not len(langid.trigrams("\U0001f600 1", is_letter))
+    got = langid.infer(["\U00030000"], ["x"], np.full((langid.BUCKETS, 1), 1 / langid.BUCKETS, np.float32), is_letter)
+    assert got[0][0] == "x"
+
+
+def test_long_words_are_whole_terms():
+    assert toxicity.features("a" * 60 + "b") != toxicity.features("a" * 60 + "c")

@@ -144,6 +144,13 @@ def test_pipeline_stages_and_run(spark):
     assert not any(b in t for b in bench for t in frame.text[frame.doc_id.isin(clean)])
 
 
+def test_open_tags_at_any_depth():
+    page = "<main><p>Story of the river.</p></main><aside class='ad'><p>Buy now</p></aside><section class='comments'><p>Nice one</p></section>"
+    deep = htmlextract.blocks("<div>" * 2500 + page)
+    assert [(set(f) - {"t_div"}, t) for f, t, _ in deep] == [(set(f), t) for f, t, _ in htmlextract.blocks(page)]
+    assert htmlextract.blocks("<div>" * 30_000 + "</ul>" * 30_000 + "x")[-1][1] == "x"
+
+
 def test_registered():
     names = list(entry.queries())
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
