@@ -19,7 +19,7 @@ from ..operators.runs import catalog_consistency
 from ..operators.stats import token_stats
 from ..session import scratch_dir
 from ..sources.jsonl import read_lines
-from ..streaming.ingest import ingest_samples
+from ..streaming.ingest import REPEAT, ingest_samples, short_counts
 from .common import generations, table
 from .export_queries import _TASK_SQL, sample_lines
 from .stats_queries import sql_percentile
@@ -104,6 +104,38 @@ SELECT model, task, code, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY 1, 2, 3
 """
 
 
+def q_ingest_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 with state over two runs: even documents land first, odd ones next, in files of their own.  With the faults of the
+    samples (``id % 13 = 7`` reuses the id four before; every seventh sample of the first run lands again in the second)
+    the repeats are those over all files of a (model, task), and the counts exceed the expected ones by the
+    samples that landed twice."""
+    base = scratch_dir(spark, "ingest-repeats")
+    lines = sample_lines(spark, sf_dir, faults=True)
+    parts = (lines.where("line % 2 = 1"), lines.where("line % 2 = 0").unionByName(lines.where("line % 14 = 1")))
+    for stage, part in zip(("stage1", "stage2"), parts):
+        part.select("model", "task", "text").repartition("model", "task").write.partitionBy("model", "task").text(f"{base}/landing/{stage}")
+        ingest_samples(spark, f"{base}/landing/*/*/*", f"{base}/sink", f"{base}/checkpoint", lambda good: good.select("model", "task", "line"), state=f"{base}/state")
+    expected = lines.groupBy("model", "task").agg(F.count(F.lit(1)).alias("expected"))
+    repeats = spark.read.schema(REPEAT).parquet(f"{base}/sink/repeats").groupBy("model", "task").agg(F.count(F.lit(1)).alias("repeats"))
+    off = short_counts(spark, f"{base}/state", expected).withColumn("surplus", F.col("actual") - F.col("expected"))
+    return repeats.join(off.select("model", "task", "surplus"), ["model", "task"], "full_outer").select(
+        "model", "task", F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("surplus", F.lit(0)).alias("surplus"))
+
+
+SQL_INGEST_REPEATS = "WITH" + _TASK_SQL + """,
+s AS (
+  SELECT lang AS model, task, doc_id % 11 = 5 AS corrupt,
+    CASE WHEN doc_id % 13 = 7 THEN 'n' || CAST(doc_id - 4 AS VARCHAR) WHEN doc_id % 29 = 3 THEN 's' || CAST(doc_id AS VARCHAR)
+         ELSE 'n' || CAST(doc_id AS VARCHAR) END AS k, doc_id + 1 AS line
+  FROM d),
+landed AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE line % 14 = 1),
+r AS (SELECT model, task, sum(n - 1) AS repeats FROM (SELECT model, task, k, count(*) AS n FROM landed WHERE NOT corrupt GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c AS (SELECT model, task, count(*) FILTER (WHERE line % 14 = 1) AS surplus FROM s GROUP BY 1, 2)
+SELECT c.model, c.task, CAST(coalesce(repeats, 0) AS BIGINT) AS repeats, surplus FROM c LEFT JOIN r ON c.model = r.model AND c.task = r.task
+WHERE coalesce(repeats, 0) > 0 OR surplus > 0
+"""
+
+
 def q_catalog_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("lang", "source").distinct()
     odd = F.col("lang") == "de"
@@ -129,7 +161,7 @@ SELECT catalog, count(*) = count(DISTINCT source) AS names_unique, count(DISTINC
 FROM c GROUP BY 1
 """
 
-QUERIES = {"file_lines": q_file_lines, "token_stats_faults": q_token_stats_faults, "ingest_errors": q_ingest_errors,
+QUERIES = {"file_lines": q_file_lines, "token_stats_faults": q_token_stats_faults, "ingest_errors": q_ingest_errors, "ingest_repeats": q_ingest_repeats,
            "catalog_check": q_catalog_check}
-ORACLES = {"file_lines": SQL_FILE_LINES, "token_stats_faults": SQL_TOKEN_STATS_FAULTS, "ingest_errors": SQL_INGEST_ERRORS,
+ORACLES = {"file_lines": SQL_FILE_LINES, "token_stats_faults": SQL_TOKEN_STATS_FAULTS, "ingest_errors": SQL_INGEST_ERRORS, "ingest_repeats": SQL_INGEST_REPEATS,
            "catalog_check": SQL_CATALOG_CHECK}

@@ -4,6 +4,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -74,7 +77,30 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     import uuid
 
-    return f"{base.rstrip('/')}/sftlens-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/sftlens-{name}-{uuid.uuid4().hex[:12]}"
+    made = _SCOPE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders named inside are deleted at the end, for work whose results are all written by then
+    (a micro-batch, say).  DataFrames over them must not be used afterwards."""
+    made: list[str] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def materialize(df, name: str):
