@@ -103,9 +103,12 @@ def py_str(v, path: str = "") -> Column:
 
 
 def first_truthy_text(v, fields: Sequence[str]) -> Column:
-    """``str(row.get(f1) or row.get(f2) or ... or "")`` over the given field names."""
-    choices = [F.when(truthy(v, key(f)), py_str(v, key(f))) for f in fields]
-    return F.coalesce(*choices, F.lit(""))
+    """``str(row.get(f1) or row.get(f2) or ... or "")`` over the given field names.
+
+    The values go through one lambda each for truth and text: spelt out per field, the branches of six fields
+    make more generated code than one method may hold."""
+    chosen = F.filter(F.array(*[at(v, key(f)) for f in fields]), lambda x: truthy(x))
+    return F.coalesce(F.get(F.transform(chosen, lambda x: py_str(x)), 0), F.lit(""))
 
 
 def _output_from(v, path: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, whitespace_token_count
+from ..functions.text import is_blank, py_strip, whitespace_token_count
 from ..functions.variant import extract_doc_id, extract_output, field, is_none, py_str, typed_key
 from .compare import generation_complete, tokens_per_s
 from .stats import token_stats
@@ -28,6 +28,14 @@ def _get(m: Column, name: str, kind: str = "string") -> Column:
     return F.try_variant_get(m, f"$['{name}']", kind)
 
 
+def python_int(v: Column) -> Column:
+    """``int(x or 0)`` of a JSON value, 0 where Python raises: numbers are cut, texts must be whole numbers."""
+    kind, text = F.schema_of_variant(v), py_strip(F.try_variant_get(v, "$", "string"))
+    return F.coalesce(F.when(kind == "STRING", F.when(text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint")))
+                      .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
+                      .when(~kind.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(v, "$", "double").cast("bigint")), F.lit(0))
+
+
 def duplicate_key(v: Column, line: Column) -> Column:
     """A4: what makes a row a repeat within its file -- ``sample_id``, else the typed doc id,
     else the line number, all in one set."""
@@ -65,7 +73,7 @@ def analyze_runs(runs: DataFrame, task_manifests: DataFrame, listing: DataFrame,
     :func:`sftlens.sources.manifests.active_runs`).
 
     ``rows``: ``file, line, v`` of all sample and export files, malformed lines dropped.
-    Exported rows count ``output_token_count`` (0 if it is no integer) and ``raw_output``; raw
+    Exported rows count ``output_token_count`` (see :func:`python_int`) and ``raw_output``; raw
     sample rows count the white-space words of the extracted output.  ``task_stats`` holds one entry per
     task of the run (as many as its manifest names).  A run with ``error`` gives a record with the
     error, not complete, and no statistics.
@@ -75,7 +83,7 @@ def analyze_runs(runs: DataFrame, task_manifests: DataFrame, listing: DataFrame,
     named = rows.join(files.select("root", "task", "token_source", F.col("path").alias("file")), "file")
     exported = F.col("token_source") == "exported_generation_file"
     output = F.when(exported, F.coalesce(py_str(field(v, "raw_output")), F.lit(""))).otherwise(extract_output(v))
-    count = F.coalesce(_get(v, "output_token_count", "double").cast("bigint"), F.lit(0))
+    count = python_int(field(v, "output_token_count"))
     facts = named.select("root", "task", output.alias("_out"), F.when(exported, count).alias("_count"), duplicate_key(v, F.col("line")).alias("key")) \
         .select("root", "task", "key", F.when(is_blank("_out"), "").otherwise("x").alias("output"),
                 F.coalesce("_count", whitespace_token_count("_out")).alias("tokens"))
@@ -110,6 +118,21 @@ def analyze_runs(runs: DataFrame, task_manifests: DataFrame, listing: DataFrame,
                                                           F.col("total_expected_samples"), F.col("empty_output_count")))
 
 
+def run_warnings(runs: DataFrame, task_manifests: DataFrame, listing: DataFrame, rows: DataFrame,
+                 expected_method: str = "llama_tokenizer") -> DataFrame:
+    """A12 for the runs of :func:`analyze_runs`: ``root, position, task, line, warning`` -- a row per exported record that
+    counted its tokens by another method.  Ordered by task position in the run and line, a run's
+    rows are the list of its record; they stay rows because they grow with the data.  Equal texts of a task come once."""
+    files = chosen_files(runs, task_manifests, listing).where("token_source = 'exported_generation_file'")
+    tasks = runs.where("error is null").select("root", F.posexplode(_get(F.col("m"), "tasks", "array<string>")).alias("position", "task"))
+    v = field("v", "output_token_count_method")
+    odd = rows.withColumn("method", F.when(~is_none(v), py_str(v))).where((F.col("method") != "") & (F.col("method") != expected_method))
+    named = odd.join(files.select("root", "task", F.col("path").alias("file")), "file").join(tasks, ["root", "task"])
+    line = F.col("line").cast("bigint")
+    warning = F.format_string("line %d: output_token_count_method='%s'", line, F.col("method"))
+    return named.select("root", "position", "task", line.alias("line"), warning.alias("warning")).distinct()
+
+
 def resume_reasons(manifests: DataFrame, sample_errors: DataFrame, export_errors: DataFrame, listing: DataFrame,
                    max_gen_toks: int = 32768) -> DataFrame:
     """``task, reason`` -- why a task must run again, NULL if it may be skipped.
@@ -129,6 +152,7 @@ def resume_reasons(manifests: DataFrame, sample_errors: DataFrame, export_errors
          .join(bad(sample_errors, "_n_sample"), "task", "left").join(bad(export_errors, "_n_export"), "task", "left"))
     complete = lambda name: F.coalesce(_get(m, name) == "complete", F.lit(False))
     length_ok = F.floor(F.coalesce(_get(m, "max_model_len", "double"), F.lit(0.0))) >= max_gen_toks
+    # The names of the reasons, in the order of the checks.
     checks = [
         ("manifest_parse_error", m.isNotNull()), ("not_complete", complete("status")),
         ("config_mismatch", _is_number(m, "max_gen_toks", max_gen_toks) & length_ok),

@@ -5,7 +5,8 @@ sources.  The tree (pointer, run manifest, task manifests) and the files are wri
 samples per task, and a folder of exported records for the tasks whose number is no multiple of 3.  Faults:
 ``es`` has no pointer, ``de`` an unreadable run manifest, ``fr`` status ``incomplete`` and blank outputs where
 id % 41 = 7; id % 11 = 5 writes a corrupt line; id % 13 = 4 repeats a key (one sample id, one doc id); id % 17 = 3
-exports a token count that is no number.  ``en`` has a generation cap of 600 tokens.
+exports a token count that is no number, id % 17 = 5 one that is a text with a fraction, id % 17 = 6 one as a text; id % 19 = 2 counts its
+tokens by another method.  ``en`` has a generation cap of 600 tokens.
 
 ``resume_reasons``: every (lang, source) pair is a task; ``(number of the source + rank of the lang) % 9``
 picks the fault, one for each reason and none for 8.
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_ws_token_count
-from ..operators.analysis import analyze_runs, resume_reasons
+from ..operators.analysis import analyze_runs, resume_reasons, run_warnings
 from ..operators.validate import validate_export_file, validate_samples
 from ..session import scratch_dir
 from ..sources.jsonl import parse_jsonl, read_lines
@@ -39,10 +40,13 @@ def _write_files(d: DataFrame, base: str) -> None:
     text = F.when(blank, F.lit('""')).otherwise(json_string_literal(F.col("text")))
     again = i % 13 == 4
     sample = F.concat(F.lit('{"doc_id":'), F.when(again, F.lit("1")).otherwise(i.cast("string")), F.lit(',"resps":[['), text, F.lit("]]}"))
-    count = F.when(i % 17 == 3, F.lit('"n/a"')).otherwise((F.col("n_chars") % 1000).cast("string"))
+    chars = (F.col("n_chars") % 1000).cast("string")
+    count = (F.when(i % 17 == 3, F.lit('"n/a"')).when(i % 17 == 5, F.concat(F.lit('"'), chars, F.lit('.7"')))
+             .when(i % 17 == 6, F.concat(F.lit('" '), chars, F.lit('"'))).otherwise(chars))
+    method = F.when(i % 19 == 2, F.lit('"split_estimate"')).when(i % 19 == 5, "null").when(i % 19 == 7, F.lit('""')).otherwise(F.lit('"llama_tokenizer"'))
     sid = F.when(again, F.lit('"again"')).when(i % 13 == 6, F.lit("null")).otherwise(F.concat(F.lit('"s'), i.cast("string"), F.lit('"')))
     export = F.concat(F.lit('{"sample_id":'), sid, F.lit(',"doc_id":'), i.cast("string"), F.lit(',"raw_output":'), text,
-                      F.lit(',"output_token_count":'), count, F.lit("}"))
+                      F.lit(',"output_token_count":'), count, F.lit(',"output_token_count_method":'), method, F.lit("}"))
     lines = d.select("root", "task", F.explode(F.array(
         F.struct(F.lit("samples").alias("kind"), sample.alias("value")),
         F.struct(F.when(F.col("k") % 3 != 0, "export").alias("kind"), export.alias("value")))).alias("x"), "doc_id") \
@@ -71,7 +75,8 @@ def _write_tree(d: DataFrame, base: str) -> None:
     rm.unionByName(tm).unionByName(pointer).write.partitionBy("root", "run_id", "task").json(f"{base}/tree")
 
 
-def q_analyze_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Active runs, their task manifests, the listed files and the parsed rows of all files."""
     base = scratch_dir(spark, "analysis")
     d = _docs(spark, sf_dir)
     _write_files(d, base)
@@ -82,14 +87,32 @@ def q_analyze_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.concat(F.lit(f"{base}/files"), F.regexp_extract("path", r"/files(/root=[^/]+/task=[^/]+/kind=[^/]+)/[^/]*$", 1))
     listing = list_files(spark, [f"{base}/files"], "*.txt").select(folder.alias("path")).distinct()
     rows = parse_jsonl(read_lines(spark, [f"{base}/files/*/*/*/*.txt"]), on_error="drop")
-    rows = rows.withColumnRenamed("file", "path").select(folder.alias("file"), "line", "v")
-    out = analyze_runs(runs, task_manifests_of(tree, runs), listing, rows)
+    return runs, task_manifests_of(tree, runs), listing, rows.withColumnRenamed("file", "path").select(folder.alias("file"), "line", "v")
+
+
+def q_analyze_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analyze_runs(*_run_inputs(spark, sf_dir))
     exports = F.size(F.filter("task_stats", lambda t: t["token_source"] == "exported_generation_file"))
     return out.select("root", "model_name", F.col("error").isNotNull().alias("is_error"), "manifest_status", "total_expected_samples", "total_actual_samples",
                       "empty_output_count", "duplicate_count", "total_output_tokens", "p50", "p95", "max_output_tokens", "possibly_truncated_count",
                       "tokens_per_s", "generation_complete", F.coalesce(F.when(F.col("task_stats").isNotNull(), exports), F.lit(0)).cast("bigint").alias("n_exports"))
 
 
+def q_run_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warnings of each task (files number their own lines), with the task's position in its run."""
+    w = run_warnings(*_run_inputs(spark, sf_dir))
+    plain = F.regexp_replace("warning", "^line [0-9]+: ", "")
+    return w.groupBy("root", "position", "task", plain.alias("warning")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("n_lines"))
+
+
+SQL_RUN_WARNINGS = """
+WITH t AS (SELECT lang AS root, source AS task, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS position FROM documents GROUP BY 1, 2)
+SELECT root, CAST(position AS INTEGER) AS position, task, 'output_token_count_method=' || chr(39) || 'split_estimate' || chr(39) AS warning, count(*) AS n, count(*) AS n_lines
+FROM documents d JOIN t ON d.lang = t.root AND d.source = t.task
+WHERE doc_id % 19 = 2 AND doc_id % 11 <> 5 AND root NOT IN ('es', 'de') AND CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 3 <> 0
+GROUP BY root, position, task
+"""
+
 SQL_ANALYZE_RUNS = f"""
 WITH d AS (SELECT doc_id, n_chars, lang AS root, source AS task, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 3 <> 0 AS exported,
              CASE WHEN lang = 'fr' AND doc_id % 41 = 7 THEN '' ELSE text END AS text,
@@ -97,7 +120,7 @@ WITH d AS (SELECT doc_id, n_chars, lang AS root, source AS task, CAST(regexp_ext
                   ELSE CAST(doc_id AS VARCHAR) END AS k
            FROM documents),
 r AS (SELECT * FROM d WHERE doc_id % 11 <> 5 AND root NOT IN ('es', 'de')),
-t AS (SELECT *, CASE WHEN exported THEN CASE WHEN doc_id % 17 = 3 THEN 0 ELSE n_chars % 1000 END
+t AS (SELECT *, CASE WHEN exported THEN CASE WHEN doc_id % 17 IN (3, 5) THEN 0 ELSE n_chars % 1000 END
                      WHEN text = '' THEN 0 ELSE {sql_ws_token_count('text')} END AS tokens FROM r),
 du AS (SELECT root, sum(c - 1) AS dups FROM (SELECT root, task, k, count(*) AS c FROM r GROUP BY 1, 2, 3) GROUP BY 1),
 st AS (SELECT root, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tot, count(*) FILTER (WHERE trim(text) = '') AS empty, list_sort(list(tokens)) AS sl,
@@ -153,5 +176,5 @@ WITH t AS (SELECT lang || '/' || source AS task, (CAST(regexp_extract(source, '(
            FROM documents GROUP BY lang, source)
 SELECT task, CASE f """ + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REASONS)) + " END AS reason FROM t"
 
-QUERIES = {"analyze_runs": q_analyze_runs, "resume_reasons": q_resume_reasons}
-ORACLES = {"analyze_runs": SQL_ANALYZE_RUNS, "resume_reasons": SQL_RESUME_REASONS}
+QUERIES = {"analyze_runs": q_analyze_runs, "run_warnings": q_run_warnings, "resume_reasons": q_resume_reasons}
+ORACLES = {"analyze_runs": SQL_ANALYZE_RUNS, "run_warnings": SQL_RUN_WARNINGS, "resume_reasons": SQL_RESUME_REASONS}

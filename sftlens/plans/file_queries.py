@@ -1,4 +1,4 @@
-"""Queries over trees of one file per document (SC3, SC4, SC8, V1, V4).
+"""Queries over trees of one file per document (SC3, SC4, SC8, V1, V4, V6).
 
 Stand-in: every document is one sample file ``<model>/<task>/<doc_id>.jsonl`` (``lang`` and ``source``), written by the tasks
 of one Spark job.  By ``doc_id % 10``: 3 was never written, 7 has no bytes, 5 is not named by its manifest; all
@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.runs import judge_completion
 from ..operators.validate import validate_samples
 from ..session import scratch_dir
 from ..sinks.writers import write_files
 from ..sources.filestatus import list_tree, named_lengths, path_status
-from ..sources.jsonl import read_jsonl
+from ..sources.jsonl import parse_jsonl, read_json_documents, read_jsonl
 from ..sources.manifests import active_runs, discover_first, scan_json_tree, task_manifests_of
 from .common import table
 
@@ -104,6 +105,35 @@ def q_active_runs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                F.coalesce("n", F.lit(0)).alias("n_task_manifests"))
 
 
+def q_completion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 with a faulty task for every rule, over files that tasks list and read (SC8).
+
+    A task is a (model, source) pair; its number plus the code of the model's first letter, modulo 8, is its fault: 0 no results
+    file, 1 results that do not parse, 2 no sample file, 3 blank outputs, 4 another ``max_gen_toks``, 5 a shorter ``max_model_len``,
+    6 a failed export, 7 none.
+    """
+    root = scratch_dir(spark, "completion-tree")
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.concat_ws("-", "lang", "source").alias("task"),
+                                                 ((F.regexp_extract("source", r"(\d+)$", 1).cast("int") + F.ascii("lang")) % 8).alias("f"))
+    tasks, f = d.select("task", "f").distinct(), F.col("f")
+    results = tasks.where("f <> 0").select(F.concat(F.lit(f"{root}/out/results_"), "task", F.lit("_1.json")).alias("path"), F.when(f == 1, "{ cut").otherwise("{}").alias("content"))
+    samples = tasks.where("f <> 2").select(F.concat(F.lit(f"{root}/out/"), "task", F.lit("/samples.jsonl")).alias("path"), F.lit("listed only").alias("content"))
+    write_files(results.unionByName(samples))
+    tree = list_tree(spark, root).where("is_file")
+    first = discover_first(tree, tasks, ["results_{task}_*.json"])
+    parsed = read_json_documents(spark, f"{root}/out/results_*.json").select(
+        F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), F.col("v").isNotNull().alias("parses"))
+    results = first.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).join(parsed, "name", "left").select("task", "path", "parses")
+    found = discover_first(tree, tasks, ["{task}/samples.jsonl"]).withColumnRenamed("path", "sample_file")
+    line = F.to_json(F.struct("doc_id", F.lit("p").alias("prompt"), F.array(F.when(f == 3, " ").otherwise(F.col("n_chars").cast("string"))).alias("resps")))
+    lines = parse_jsonl(d.select("task", F.col("doc_id").alias("line"), line.alias("text")), on_error="collect")
+    expected = d.groupBy("task").agg(F.count(F.lit(1)).alias("expected"))
+    judged = judge_completion(
+        tasks.join(found, "task", "left").withColumns({"max_gen_toks": F.when(f == 4, 4096).otherwise(32768), "max_model_len": F.when(f == 5, 16384).otherwise(40960)}),
+        validate_samples(lines, expected), results, tasks.where(f == 6).select("task", F.lit("no rows").alias("error")))
+    return judged.select("task", "status", F.array_join("completion_errors", "; ").alias("errors"))
+
+
 SQL_FILE_AUDIT = """
 WITH d AS (SELECT lang || '/' || source || '/' || doc_id AS sample, doc_id % 10 AS k FROM documents)
 SELECT sample, CASE k WHEN 3 THEN 'file_not_found' WHEN 5 THEN 'file_missing' ELSE 'file_empty' END AS code FROM d WHERE k IN (3, 5, 7)
@@ -131,5 +161,12 @@ SELECT lang AS model, CASE lang WHEN 'es' THEN NULL WHEN 'fr' THEN NULL WHEN 'de
 FROM documents GROUP BY lang
 """
 
-QUERIES = {"file_audit": q_file_audit, "tree_listing": q_tree_listing, "first_results": q_first_results, "active_runs_files": q_active_runs_files}
-ORACLES = {"file_audit": SQL_FILE_AUDIT, "tree_listing": SQL_TREE_LISTING, "first_results": SQL_FIRST_RESULTS, "active_runs_files": SQL_ACTIVE_RUNS_FILES}
+SQL_COMPLETION_RULES = """
+SELECT lang || '-' || source AS task, CASE f WHEN 7 THEN 'complete' ELSE 'incomplete' END AS status,
+  CASE f WHEN 0 THEN 'results file not found' WHEN 1 THEN 'results file does not parse' WHEN 2 THEN 'sample file not found' WHEN 3 THEN 'sample validation: empty_output'
+         WHEN 4 THEN 'max_gen_toks is not the required one' WHEN 5 THEN 'max_model_len is below max_gen_toks' WHEN 6 THEN 'export failed: no rows' ELSE '' END AS errors
+FROM (SELECT DISTINCT lang, source, (CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) + ascii(lang)) % 8 AS f FROM documents)
+"""
+
+QUERIES = {"completion_rules": q_completion_rules, "file_audit": q_file_audit, "tree_listing": q_tree_listing, "first_results": q_first_results, "active_runs_files": q_active_runs_files}
+ORACLES = {"completion_rules": SQL_COMPLETION_RULES, "file_audit": SQL_FILE_AUDIT, "tree_listing": SQL_TREE_LISTING, "first_results": SQL_FIRST_RESULTS, "active_runs_files": SQL_ACTIVE_RUNS_FILES}

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from sftlens.operators.analysis import python_int
 from sftlens.operators.runs import catalog_consistency, judge_completion, run_rollup, task_errors
 from sftlens.sources.catalog import catalog_with_generation
 
@@ -53,3 +54,9 @@ def test_task_errors(spark):
     got = [r[0] for r in df.orderBy("task").select(task_errors(F.try_parse_json("d"), F.col("n"))).collect()]
     assert got == [[], ["task t1: not complete", "task t1: export file is empty", "task t1: export not complete"],
                    ["task t2: no export file named"], ["task t3: no manifest"]]
+
+
+def test_token_counts_as_python_reads_them(spark):
+    cases = {'5': 5, '"5"': 5, '" 7 "': 7, '"4.7"': 0, '4.7': 4, '-2.9': -2, '"n/a"': 0, 'true': 1, 'false': 0, 'null': 0, '""': 0, '[]': 0, '[3]': 0, '{"a": 1}': 0, '"+1_000"': 1000, '"1__0"': 0, '1e3': 1000}
+    df = spark.createDataFrame([(k,) for k in cases], "j string").select("j", python_int(F.parse_json("j")).alias("n"))
+    assert {r["j"]: r["n"] for r in df.collect()} == cases
