@@ -19,8 +19,13 @@ larger one, one class, chosen by one of a few hash orders that rounds renew, is
 compared with the others; links merge components.  Rounds go on while the pairs
 between different components of a signature are many (four times its rows), then all those pairs
 are compared.  So a group of n near copies, each linked to some of the others, costs about n
-times its signatures, not n * n, and no link between components is missed.  Pairs are compared
-on their low shingles first (a bound that loses nothing), then in full.
+times its signatures, not n * n, and no link between components is missed.
+
+A class carries the parities of its shingles in ``SKETCH`` x 64 hash buckets.  A shingle that only one of two sets
+has changes one parity, so the sets differ in at least as many shingles as parities; the join on signatures
+drops a pair that differs in more than the threshold allows while it still holds both rows.  So texts that share a
+passage, but little else, never become pairs, whatever the number of signatures that they share.  What is
+left is compared on low shingles (another bound that loses nothing), then in full.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null texts and texts without words
 have an empty set and link with nothing; rows with a null id get no component; repeated
@@ -42,6 +47,7 @@ LOG2_BITMAP = 24
 TURNS = 4           # rounds of one class against the others, before all pairs that are left
 HEADS = 6           # orders by which a round chooses classes
 FEW = 4.0           # pairs per row of a signature from which another round is cheaper
+SKETCH = 8          # longs of parities of a class
 SMALL = 64          # sets up to this size keep all shingles at hand
 MUL = np.uint64(0x9E3779B97F4A7C15)
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -69,6 +75,12 @@ def class_key(s: np.ndarray) -> int:
     return int(signed(mix64(np.array([total & MASK], np.uint64)))[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of the shingles in each of ``SKETCH * 64`` hash buckets, whether there is an odd number; as longs."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(17)).astype(np.int64) % (SKETCH * 64), minlength=SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def low_bound(percent: int) -> int:
     """Hashes below this are low: twice the share that a partner may miss."""
     return -(1 << 63) + int(min(0.9, 2 * (100 - percent) / 100) * (1 << 64))
@@ -118,7 +130,7 @@ def signatures(n: int, s: np.ndarray, bitmap: np.ndarray, percent: int, complete
 
 
 def sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, low_only: bool) -> DataFrame:
-    """(doc_id, n, cls, tokens): the low shingles of each document, or all of small sets."""
+    """(doc_id, n, cls, tokens, sketch): the low shingles of each document, or all of small sets."""
     bound = low_bound(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,10 +139,11 @@ def sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, low_
             rows = [shingle_set(t, k, words) for t in b["t"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.fromiter(map(len, rows), np.int64, len(rows)),
                                 "cls": [class_key(s) for s in rows],
-                                "tokens": [s[s < bound] if low_only and len(s) > SMALL else s for s in rows]})
+                                "tokens": [s[s < bound] if low_only and len(s) > SMALL else s for s in rows],
+                                "sketch": [parities(s) for s in rows]})
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")) \
-        .mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, n bigint, cls bigint, tokens array<bigint>")
+        .mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, n bigint, cls bigint, tokens array<bigint>, sketch array<bigint>")
 
 
 def sign(rows: DataFrame, bitmap, percent: int, complete: bool) -> DataFrame:
@@ -151,6 +164,13 @@ def size_ok(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def parity_ok(x: str, y: str, percent: int):
+    """False only for pairs that differ in more shingles than two sets of their sizes may (columns ``x`` and ``y``.n, .p0 ..)."""
+    differ = " + ".join(f"bit_count({x}.p{i} ^ {y}.p{i})" for i in range(SKETCH))
+    both = f"({x}.n + {y}.n)"
+    return F.expr(f"{differ} <= {both} - 2 * (({percent} * {both} + {99 + percent}) div {100 + percent})")
+
+
 def overlap_filter(pairs: DataFrame, sets_of: DataFrame, percent: int, full: bool) -> DataFrame:
     """Pairs (a, b, na, nb) whose sets reach the threshold; with ``full`` false ``sets_of`` holds
     low shingles only and pairs are kept unless those alone rule them out."""
@@ -194,7 +214,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keep = Scratch(spark, "jaccard")
     every = keep.write(sets(docs, k, percent, id_col, text_col, True), "sets")
     known = every.where("doc_id is not null")
-    classes = keep.write(known.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes = keep.write(known.where("n > 0").groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    parity = [f"p{i}" for i in range(SKETCH)]
+    sketches = classes.select("cls", *[F.col("sketch")[i].alias(p) for i, p in enumerate(parity)])
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi")
     low = known.select(F.explode("tokens").alias("t")).where(F.col("t") < low_bound(percent)) \
         .groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
@@ -208,7 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             keep.write(sign(again.join(missing.select("doc_id", "cls"), ["doc_id", "cls"], "left_semi"), bitmap, percent, True), "signed-again"))
     sigs = signed_rows.select("cls", "n", F.explode("sigs").alias("sig"))
     shared = sigs.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    members = keep.write(sigs.join(shared.select("sig", "size"), "sig").withColumn("component", F.col("cls")), "members")
+    members = keep.write(sigs.join(shared.select("sig", "size"), "sig").withColumn("component", F.col("cls")).join(sketches, "cls"), "members")
 
     def ordered(df: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) that sizes allow."""
@@ -234,15 +257,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         """Pairs of classes that share a signature and lie in different components."""
         x, y = rows.alias("x"), rows.alias("y")
         return x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-                      & size_ok("x.n", "y.n", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
+                      & size_ok("x.n", "y.n", percent) & parity_ok("x", "y", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
 
     def one_against_the_others(rows: DataFrame, turn: int) -> DataFrame:
         """A class per signature with the others.  It is the first by one of ``HEADS`` orders, which a turn
         renews, so the signatures that a group shares name few different ones."""
         order = F.xxhash64("cls", F.pmod("sig", F.lit(HEADS)), F.lit(turn))
-        heads = rows.groupBy("sig").agg(F.min(F.struct(order.alias("h"), "cls", "n", "component")).alias("r"))
-        return rows.join(heads, "sig").where("component <> r.component").select(
-            F.col("r.cls").alias("a"), F.col("r.n").alias("na"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+        heads = rows.groupBy("sig").agg(F.min(F.struct(order.alias("h"), "cls", "n", "component", *parity)).alias("r"))
+        y = heads.select(F.col("sig").alias("s"), "r.*").alias("y")
+        near = (F.col("x.sig") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & size_ok("x.n", "y.n", percent) & parity_ok("x", "y", percent)
+        return rows.alias("x").join(y, near).select(
+            F.col("y.cls").alias("a"), F.col("y.n").alias("na"), F.col("x.cls").alias("b"), F.col("x.n").alias("nb"))
 
     large = members.where(F.col("size") >= FREQUENT)
     live, comp, tested, turn = large, None, None, 0
@@ -272,7 +297,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         else:
             placed = placed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        live = keep.write(placed.join(mixed, "sig", "left_semi").select("cls", "n", "sig", "component"), f"live-{turn}")
+        live = keep.write(placed.join(mixed, "sig", "left_semi").select("cls", "n", "sig", "component", *parity), f"live-{turn}")
         if live.isEmpty():
             break
         turn += 1

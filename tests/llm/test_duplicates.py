@@ -77,6 +77,43 @@ def test_jaccard_repeated_rows_null_ids_and_dedup(spark):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.deduplicate(empty).count() == 0
 
 
+def test_parities_never_drop_a_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 60, 400, 3000):
+        for percent in (80, 85):
+            for _ in range(40):
+                s = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+                t = np.union1d(s[rng.random(len(s)) > 0.12 * rng.random()], rng.integers(-2**63, 2**63 - 1, int(n * 0.12 * rng.random())))
+                both = len(np.intersect1d(s, t))
+                differ = int(sum(bin(int(x) & (1 << 64) - 1).count("1") for x in jaccard.parities(s) ^ jaccard.parities(t)))
+                assert differ <= len(s) + len(t) - 2 * both
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    assert differ <= len(s) + len(t) - 2 * -(-percent * (len(s) + len(t)) // (100 + percent))
+
+
+def test_texts_that_share_passages_are_no_pairs(spark):
+    """Hundreds of texts of the same passages in other words, and their near copies: brute force, and no pair but near copies is compared."""
+    rng = np.random.default_rng(5)
+    voc = [f"w{i}" for i in range(4000)]
+    shared = [" ".join(rng.choice(voc, 30)) for _ in range(6)]
+    rows = []
+    for i in range(400):
+        parts = [shared[j] for j in rng.choice(6, 4, replace=False)] + [" ".join(rng.choice(voc, 25))]
+        rows.append((2 * i, " ".join(parts)))
+        if i % 20 == 0:
+            rows.append((2 * i + 1, rows[-1][1] + " end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = jaccard.overlap_filter
+    try:
+        jaccard.overlap_filter = lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, 5, 80).collect()}
+    finally:
+        jaccard.overlap_filter = real
+    assert got == brute_jaccard(rows, 5, 80)
+    assert max(seen) < len(rows)
+
+
 def test_signatures_of_linked_sets_meet():
     """Any two sets at the threshold share a signature, whatever share of shingles is frequent."""
     rng = np.random.default_rng(8)
