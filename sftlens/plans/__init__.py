@@ -5,13 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis_queries, attempt_queries, compare_queries, encode_queries, export_queries, fault_queries, file_queries, grading_queries, manifest_queries, preflight_queries, publication_queries, quality_queries, run_queries, selection_queries, sft_queries, sql_queries, stats_queries, stream_queries
+from . import analysis_queries, attempt_queries, compare_queries, encode_queries, export_queries, fault_queries, file_queries, grading_queries, increment_queries, manifest_queries, preflight_queries, publication_queries, quality_queries, run_queries, selection_queries, sft_queries, sql_queries, stats_queries, stream_queries
 
 _MODULES = (stats_queries, sft_queries, encode_queries, preflight_queries, quality_queries,
             export_queries, grading_queries, attempt_queries,
             compare_queries, run_queries, manifest_queries, stream_queries, fault_queries,
             analysis_queries, file_queries, selection_queries, sql_queries,
-            publication_queries)
+            publication_queries, increment_queries)
 
 
 def build_standins(spark: SparkSession, sf_dir: str) -> None:

@@ -28,6 +28,16 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition
     w.json(path)
 
 
+def rewrite_partitions(df: DataFrame, path: str, pending: DataFrame, partition_by: tuple[str, ...]) -> None:
+    """SK1 for the partitions named by the rows of ``pending`` (J4's table) alone: they are replaced by the rows of ``df``,
+    the files of all others stay as they are.  A pending partition without rows keeps its old files.
+
+    ``pending`` has a row per task, so the semi-join is a filter where ``df`` is read."""
+    chosen = df.join(pending.select(*partition_by).distinct(), list(partition_by), "left_semi")
+    (chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
+     .partitionBy(*partition_by).json(path))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
