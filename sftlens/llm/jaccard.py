@@ -15,17 +15,17 @@ signs for both).  How often a low shingle occurs is counted over all documents;
 travel as a bitmap of fixed size, whose collisions only turn rare shingles into frequent ones.
 
 Verification.  Classes that share a signature of fewer than ``FREQUENT`` rows are all compared.  In a
-larger one, one class, chosen by one of a few hash orders that rounds renew, is
-compared with the others; links merge components.  Rounds go on while the pairs
-between different components of a signature are many (four times its rows), then all those pairs
-are compared.  So a group of n near copies, each linked to some of the others, costs about n
-times its signatures, not n * n, and no link between components is missed.
+larger one, one class, chosen by one of a few hash orders, is compared with the others; links merge
+components.  Then the pairs between different components that still share a signature are compared.  So a
+group of n near copies, each linked to some of the others, costs about n times its signatures in pairs,
+not n * n, and no link between components is missed.
 
 A class carries the parities of its shingles in ``SKETCH`` x 64 hash buckets.  A shingle that only one of two sets
 has changes one parity, so the sets differ in at least as many shingles as parities; the join on signatures
 drops a pair that differs in more than the threshold allows while it still holds both rows.  So texts that share a
 passage, but little else, never become pairs, whatever the number of signatures that they share.  What is
-left is compared on low shingles (another bound that loses nothing), then in full.
+left is compared on low shingles (another bound that loses nothing), then in full.  The join itself still looks at
+every two rows of a signature that lie in different components.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null texts and texts without words
 have an empty set and link with nothing; rows with a null id get no component; repeated
@@ -44,9 +44,7 @@ from .common import Scratch, WordHash, collect_bitmap, connected_components, mix
 
 FREQUENT = 8        # documents from which a shingle counts as frequent
 LOG2_BITMAP = 24
-TURNS = 4           # rounds of one class against the others, before all pairs that are left
-HEADS = 6           # orders by which a round chooses classes
-FEW = 4.0           # pairs per row of a signature from which another round is cheaper
+HEADS = 6           # orders by which a class of a large signature is chosen
 SKETCH = 8          # longs of parities of a class
 SMALL = 64          # sets up to this size keep all shingles at hand
 MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -259,48 +257,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
                       & size_ok("x.n", "y.n", percent) & parity_ok("x", "y", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
 
-    def one_against_the_others(rows: DataFrame, turn: int) -> DataFrame:
-        """A class per signature with the others.  It is the first by one of ``HEADS`` orders, which a turn
-        renews, so the signatures that a group shares name few different ones."""
-        order = F.xxhash64("cls", F.pmod("sig", F.lit(HEADS)), F.lit(turn))
+    def one_against_the_others(rows: DataFrame) -> DataFrame:
+        """A class per signature with the others.  It is the first by one of ``HEADS`` orders, so the signatures
+        that a group shares name few different ones."""
+        order = F.xxhash64("cls", F.pmod("sig", F.lit(HEADS)))
         heads = rows.groupBy("sig").agg(F.min(F.struct(order.alias("h"), "cls", "n", "component", *parity)).alias("r"))
         y = heads.select(F.col("sig").alias("s"), "r.*").alias("y")
         near = (F.col("x.sig") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & size_ok("x.n", "y.n", percent) & parity_ok("x", "y", percent)
         return rows.alias("x").join(y, near).select(
             F.col("y.cls").alias("a"), F.col("y.n").alias("na"), F.col("x.cls").alias("b"), F.col("x.n").alias("nb"))
 
+    def merged(links: DataFrame, name: str) -> DataFrame | None:
+        return None if links.isEmpty() else keep.write(connected_components(links, "jaccard-components"), name)
+
     large = members.where(F.col("size") >= FREQUENT)
-    live, comp, tested, turn = large, None, None, 0
-    while True:
-        last = turn == TURNS
-        if turn and not last:
-            per = live.groupBy("sig", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("sig").agg(
-                F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-            rows, crossing = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
-            last = crossing <= FEW * rows
-        pairs = all_pairs(live) if last else one_against_the_others(live, turn)
-        if not turn:  # small signatures once and for all
-            pairs = pairs.union(all_pairs(members.where(F.col("size") < FREQUENT)))
-        pairs = ordered(pairs)
-        pairs = keep.write(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = verified(pairs, str(turn))
-        if not links.isEmpty():
-            # a star per component stands for the links known so far
-            known_links = links if comp is None else links.union(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-            comp = keep.write(connected_components(known_links, "jaccard-components"), f"comp-{turn}")
-        if last:
-            break
-        placed = large.drop("component")
-        if comp is None:
-            placed = placed.withColumn("component", F.col("cls"))
-        else:
-            placed = placed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        live = keep.write(placed.join(mixed, "sig", "left_semi").select("cls", "n", "sig", "component", *parity), f"live-{turn}")
-        if live.isEmpty():
-            break
-        turn += 1
+    pairs = keep.write(ordered(one_against_the_others(large).union(all_pairs(members.where(F.col("size") < FREQUENT)))), "pairs-0")
+    comp = merged(verified(pairs, "0"), "comp-0")
+    placed = large.drop("component")
+    if comp is None:
+        placed = placed.withColumn("component", F.col("cls"))
+    else:
+        placed = placed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    live = keep.write(placed.join(mixed, "sig", "left_semi").select("cls", "n", "sig", "component", *parity), "live")
+    more = keep.write(ordered(all_pairs(live)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs-1")
+    if not more.isEmpty():
+        links = verified(more, "1")
+        if comp is not None:  # a star per component stands for the links known so far
+            links = links.union(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        comp = merged(links, "comp-1")
     if comp is None:
         comp = spark.createDataFrame([], "node bigint, component bigint")
     placed = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
