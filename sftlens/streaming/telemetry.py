@@ -23,27 +23,40 @@ from ..operators.attempts import parse_telemetry
 TS_FORMAT = "yyyy/MM/dd HH:mm:ss"
 
 
-def telemetry_peaks(spark: SparkSession, landing_glob: str, sink: str, checkpoint: str,
-                    window: str = "1 hour", watermark: str = "10 minutes") -> dict[str, int]:
+def telemetry_peaks(spark: SparkSession, landing_glob: str, sink: str, checkpoint: str, window: str = "1 hour",
+                    watermark: str = "10 minutes", max_files_per_trigger: int | None = None) -> dict[str, int]:
     """Run until the landing folder is drained: ``batches`` run and rows ``dropped`` by the watermark
     (partial maxima per window and micro-batch count as a row each)."""
-    lines = spark.readStream.format("text").load(landing_glob)
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    lines = reader.load(landing_glob)
     t = parse_telemetry(lines).withColumn(
         "ts", F.to_timestamp(py_strip(F.split(F.col("value"), ",", -1)[0]), TS_FORMAT))
     agg = (t.where(F.col("ts").isNotNull()).withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("w")).agg(F.max("mem_used").alias("peak")))
     batches: list[int] = []
+    running: list = []
+    dropped: dict[tuple, int] = {}
+
+    def note() -> None:
+        """A query keeps its last 100 progress reports only, so they are gathered with every micro-batch."""
+        for q in running:
+            for p in q.recentProgress:
+                dropped[p.runId, p.batchId, p.timestamp] = sum(int(op.numRowsDroppedByWatermark) for op in p.stateOperators)
 
     def process(df: DataFrame, batch_id: int) -> None:
+        note()
         df.select(F.col("w.start").alias("window_start"), "peak") \
           .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         batches.append(batch_id)
 
     q = (agg.writeStream.outputMode("update").foreachBatch(process)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    running.append(q)
     q.awaitTermination()
-    dropped = sum(int(op.numRowsDroppedByWatermark) for p in q.recentProgress for op in p.stateOperators)
-    return {"batches": len(batches), "dropped": dropped}
+    note()
+    return {"batches": len(batches), "dropped": sum(dropped.values())}
 
 
 def read_peaks(spark: SparkSession, sink: str) -> DataFrame:
