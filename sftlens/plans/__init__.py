@@ -21,6 +21,7 @@ def build_standins(spark: SparkSession, sf_dir: str) -> None:
         export_queries.sample_lines(spark, sf_dir, faults)
     export_queries.export_lines_with_faults(spark, sf_dir)
     sft_queries.raw_sft_lines(spark, sf_dir)
+    file_queries.sample_tree(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

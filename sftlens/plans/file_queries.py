@@ -21,7 +21,7 @@ from .common import table
 _BUILT: dict[tuple, str] = {}
 
 
-def _sample_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+def sample_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """(root, manifests ``sample, path``); the tree is written once per application and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "lang", "source", "doc_id").alias("sample"))
@@ -39,7 +39,7 @@ def _sample_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 
 def q_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1 with its file rule: every named file is asked for by the tasks, then its lines are validated."""
-    root, manifests = _sample_tree(spark, sf_dir)
+    root, manifests = sample_tree(spark, sf_dir)
     parsed = read_jsonl(spark, f"{root}/*/*/*.jsonl", on_error="collect", base=1)
     parsed = parsed.withColumn("sample", F.regexp_extract("file", r"([^/]+/[^/]+/[^/]+)\.jsonl$", 1))
     parsed = parsed.join(manifests.where("path IS NOT NULL").select("sample"), "sample", "left_semi")  # unnamed files are not read
@@ -50,7 +50,7 @@ def q_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing itself, by model and task: files, files without bytes, bytes, and what the folder stands for."""
-    root, _ = _sample_tree(spark, sf_dir)
+    root, _ = sample_tree(spark, sf_dir)
     tree = list_tree(spark, root, depth=2)
     rel = F.split(F.substring("folder", len(root) + 2, 10_000), "/")
     per = (tree.where("is_file").select(F.element_at(rel, 1).alias("model"), F.element_at(rel, 2).alias("task"), "folder", "length")
