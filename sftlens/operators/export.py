@@ -87,7 +87,7 @@ def flatten_samples(samples: DataFrame, catalog: DataFrame, settings: DataFrame,
     if "model" in settings.columns:
         st = st.withColumnRenamed("model", "_st_model")
         on = on & (F.col("model") == F.col("_st_model"))
-    s = s.join(st, on, "left").drop("_st_task", "_st_model")
+    s = s.join(F.broadcast(st), on, "left").drop("_st_task", "_st_model")  # unhinted, rows of unknown size would shuffle the samples by task
     for name, default in MANIFEST_DEFAULTS.items():
         s = s.withColumn(name, F.coalesce(F.col(name), F.lit(default).cast(MANIFEST_TYPES[name])))
     did = extract_doc_id(v, F.col(line_col))

@@ -43,10 +43,10 @@ def catalog_with_generation(spark: SparkSession) -> DataFrame:
 
 
 def with_catalog(df: DataFrame, catalog: DataFrame, task_col: str = "task") -> DataFrame:
-    """Left join the catalog (a handful of rows, which the planner broadcasts) and fill the defaults for an unknown task: ``benchmark =
+    """Left join the catalog (a handful of rows, broadcast: the planner does not know their size) and fill the defaults for an unknown task: ``benchmark =
     upper(task)``, path/split ``unknown``, lower-case field names."""
     cat = catalog.withColumnRenamed("task", "_cat_task")
-    j = df.join(cat, df[task_col] == F.col("_cat_task"), "left")
+    j = df.join(F.broadcast(cat), df[task_col] == F.col("_cat_task"), "left")
     t = F.col(task_col)
     return (j.withColumn("benchmark", F.coalesce("benchmark", F.upper(t)))
              .withColumn("dataset_path", F.coalesce("dataset_path", F.lit("unknown")))

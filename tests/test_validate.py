@@ -103,3 +103,19 @@ def test_manifest_rules(spark, tmp_dir):
               .select("run_id", F.parse_json("s").alias("m"))
     got = sorted((r["task"], r["code"]) for r in validate_run_manifests(rm, listing).collect())
     assert got == [("r1/b", "export_file_missing"), ("r1/b", "task_count")]
+
+
+def test_export_does_not_shuffle_samples_by_task(spark):
+    """Rows of unknown size (the manifests, the catalog) must not make the planner join by task: few tasks have all samples."""
+    from sftlens.functions.tokenize import CodePointTokenizer
+    from sftlens.operators.export import flatten_samples, manifest_settings
+    from sftlens.plans.export_queries import task_manifests
+    from sftlens.sources.catalog import task_catalog
+    from sftlens.sources.jsonl import parse_jsonl
+
+    lines = spark.range(4).selectExpr("if(id < 2, 'local_math500_32k', 'local_aime24_32k') AS task", "id AS line", "concat('{\"doc_id\": ', id, '}') AS text")
+    e = flatten_samples(parse_jsonl(lines), task_catalog(spark), manifest_settings(task_manifests(spark)), model_name="m", model_path="p",
+                        git_commit="g", created_at="c", tokenizer=CodePointTokenizer())
+    plan = e._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert sorted(r["sample_id"] for r in e.collect()) == ["local_aime24_32k:2", "local_aime24_32k:3", "local_math500_32k:0", "local_math500_32k:1"]
