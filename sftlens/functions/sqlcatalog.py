@@ -2,8 +2,10 @@
 
 ``register(spark)`` creates temporary SQL functions: scalars for the fields of a sample and for answers, rule sets
 that give an array of errors, and ``grade``, which takes the name of a grader from the catalog row.  They are
-expressions that Catalyst inlines where they are called (an argument is bound once, however often the body uses it),
-so a query in plain SQL has the plan of the DataFrame operators, without Python:
+expressions that Catalyst inlines where they are called, so a query in plain SQL has the plan of the DataFrame
+operators, without Python.  A body that uses a JSON value several times takes it through a lambda (``call``): a filter that
+Catalyst infers from it and pushes down (an inner join's key is not null, an exploded array not empty) would else hold
+the parse of the text once for every use:
 
     SELECT task, line, inline(errors) FROM (SELECT task, line, sample_errors(text) AS errors FROM samples)
     SELECT avg(grade(c.grader, g.output, b.doc, c.answer_field, c.solution_field)) FROM ...
@@ -14,6 +16,8 @@ themselves by their texts.  Values and steps are those of ``functions.mathnorm``
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from ..operators.validate import MIN_MAX_MODEL_LEN, REQUIRED_MAX_GEN_TOKS, REQUIRED_NONEMPTY
@@ -52,47 +56,76 @@ def blank_field(name: str) -> str:
 
 
 PIECES = "slice(p, 2, greatest(size(p) - 1, 1))"  # what follows the first separator
+JSON: dict[str, tuple[str, ...]] = {}  # parameters and body of the functions of JSON values
+
+
+def define(name: str, args: str, returns: str, body: str) -> tuple[str, str, str, str]:
+    """A function whose arguments are evaluated once each, wherever it is inlined."""
+    names = tuple(re.findall(r"(?:^|, )([a-z]\w*) ", args))
+    JSON[name] = (*names, body)
+    return name, args, returns, call(name, *names)
+
+
+def call(name: str, *args: str) -> str:
+    """A function of ``JSON`` applied to expressions, in built-in functions only: lambdas can't call SQL functions."""
+    *names, text = JSON[name]
+    for param, arg in zip(reversed(names), reversed(args), strict=True):
+        text = f"get(transform(array({arg}), {param} -> {text}), 0)"
+    return text
+
+
+def none(x: str) -> str:
+    return f"({x} IS NULL OR is_variant_null({x}))"
+
+
+def stripped(x: str) -> str:
+    return f"trim(BOTH {lit(PY_WHITESPACE)} FROM {x})"
+
+
+def blank(x: str) -> str:
+    return f"coalesce(trim(LEADING {lit(PY_WHITESPACE)} FROM {x}) = '', true)"
+
+
 FRACTION = """CASE WHEN left(x, 1) = '{' THEN x
   WHEN substring(x, 2, 1) <> '{' THEN concat('{', left(x, 1), '}{', substring(x, 2, 1), '}', substring(x, 3))
   ELSE concat('{', left(x, 1), '}', substring(x, 2)) END"""
 
 SCALARS: list[tuple[str, str, str, str]] = [
     # texts
-    ("py_strip", "s STRING", "STRING", f"trim(BOTH {lit(PY_WHITESPACE)} FROM s)"),
-    ("is_blank", "s STRING", "BOOLEAN", "coalesce(length(py_strip(s)) = 0, true)"),
+    ("py_strip", "s STRING", "STRING", stripped("s")),
+    ("is_blank", "s STRING", "BOOLEAN", blank("s")),
     ("content_hash", "s STRING", "STRING", "substring(sha2(s, 256), 1, 16)"),
     ("whitespace_tokens", "s STRING", "BIGINT",
      f"CAST(coalesce(regexp_count(concat(' ', translate(s, {lit(PY_WHITESPACE)}, {lit(' ' * len(PY_WHITESPACE))})), ' [^ ]'), 0) AS BIGINT)"),
     # JSON values
     ("json_is_none", "v VARIANT", "BOOLEAN", "v IS NULL OR is_variant_null(v)"),
-    ("json_text", "v VARIANT", "STRING", """CASE WHEN v IS NULL THEN NULL WHEN schema_of_variant(v) = 'VOID' THEN 'None'
+    define("json_text", "v VARIANT", "STRING", """CASE WHEN v IS NULL THEN NULL WHEN schema_of_variant(v) = 'VOID' THEN 'None'
        WHEN schema_of_variant(v) = 'STRING' THEN try_variant_get(v, '$', 'string')
        WHEN schema_of_variant(v) = 'BOOLEAN' THEN if(try_variant_get(v, '$', 'boolean'), 'True', 'False') ELSE to_json(v) END"""),
-    ("json_truthy", "v VARIANT", "BOOLEAN", f"""CASE WHEN json_is_none(v) THEN false
+    define("json_truthy", "v VARIANT", "BOOLEAN", f"""CASE WHEN {none('v')} THEN false
        WHEN schema_of_variant(v) = 'BOOLEAN' THEN try_variant_get(v, '$', 'boolean')
        WHEN schema_of_variant(v) = 'STRING' THEN try_variant_get(v, '$', 'string') <> ''
        WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN {at('[0]')} IS NOT NULL
        WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN schema_of_variant(v) <> 'OBJECT<>'
        ELSE coalesce(try_variant_get(v, '$', 'double') <> 0, true) END"""),
-    ("json_equals", "v VARIANT, n DOUBLE", "BOOLEAN",
+    define("json_equals", "v VARIANT, n DOUBLE", "BOOLEAN",
      "coalesce(schema_of_variant(v) RLIKE '^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)' AND try_variant_get(v, '$', 'double') = n, false)"),
-    ("number_key", "v VARIANT, d DOUBLE, whole DECIMAL(38, 0)", "STRING",
+    define("number_key", "v VARIANT, d DOUBLE, whole DECIMAL(38, 0)", "STRING",
      "concat('n:', if((schema_of_variant(v) RLIKE '^(TINYINT|SMALLINT|INT|BIGINT)' OR d = floor(d)) AND whole IS NOT NULL, CAST(whole AS STRING), CAST(d AS STRING)))"),
-    ("typed_key", "v VARIANT", "STRING", """CASE WHEN schema_of_variant(v) = 'BOOLEAN' THEN concat('n:', CAST(CAST(try_variant_get(v, '$', 'boolean') AS INT) AS STRING))
-       WHEN schema_of_variant(v) RLIKE '^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)' THEN number_key(v, try_variant_get(v, '$', 'double'), try_variant_get(v, '$', 'decimal(38,0)'))
+    define("typed_key", "v VARIANT", "STRING", f"""CASE WHEN schema_of_variant(v) = 'BOOLEAN' THEN concat('n:', CAST(CAST(try_variant_get(v, '$', 'boolean') AS INT) AS STRING))
+       WHEN schema_of_variant(v) RLIKE '^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)' THEN {call('number_key', 'v', "try_variant_get(v, '$', 'double')", "try_variant_get(v, '$', 'decimal(38,0)')")}
        WHEN schema_of_variant(v) = 'STRING' THEN concat('s:', try_variant_get(v, '$', 'string')) ELSE concat('j:', to_json(v)) END"""),
     # fields of a sample
-    ("first_output", "v VARIANT", "STRING", f"""CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' AND schema_of_variant({at('[0]')}) LIKE 'ARRAY%' AND {at('[0][0]')} IS NOT NULL
-         THEN json_text({at('[0][0]')})
+    define("first_output", "v VARIANT", "STRING", f"""CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' AND schema_of_variant({at('[0]')}) LIKE 'ARRAY%' AND {at('[0][0]')} IS NOT NULL
+         THEN {call('json_text', at('[0][0]'))}
        WHEN schema_of_variant(v) LIKE 'ARRAY%' AND schema_of_variant({at('[0]')}) = 'STRING' THEN {at('[0]', kind='string')} END"""),
-    ("sample_output", "v VARIANT", "STRING", f"coalesce(first_output({at('.resps')}), first_output({at('.filtered_resps')}), '')"),
-    ("first_group", "m MAP<STRING, VARIANT>", "VARIANT", "coalesce(try_element_at(m, 'gen_args_0'), try_element_at(m, array_min(map_keys(m))))"),
-    ("sample_prompt", "v VARIANT", "STRING", f"""coalesce(
-       json_text(first_group(map_filter(transform_values(try_cast({at('.arguments')} AS MAP<STRING, VARIANT>), (k, g) -> {at('.arg_0', 'g')}),
-                                        (k, x) -> x IS NOT NULL AND NOT is_variant_null(x)))),
-       first_output({at('.arguments')}), CASE WHEN NOT json_is_none({at('.prompt')}) THEN json_text({at('.prompt')}) END, '')"""),
-    ("sample_doc_id", "v VARIANT, line BIGINT", "VARIANT",
-     f"CASE WHEN NOT json_is_none({at('.doc_id')}) THEN {at('.doc_id')} WHEN NOT json_is_none({at('.id')}) THEN {at('.id')} ELSE CAST(line AS VARIANT) END"),
+    define("sample_output", "v VARIANT", "STRING", f"coalesce({call('first_output', at('.resps'))}, {call('first_output', at('.filtered_resps'))}, '')"),
+    define("first_group", "m MAP<STRING, VARIANT>", "VARIANT", "coalesce(try_element_at(m, 'gen_args_0'), try_element_at(m, array_min(map_keys(m))))"),
+    define("sample_prompt", "v VARIANT", "STRING", f"""coalesce(
+       {call('json_text', call('first_group', f"map_filter(transform_values(try_cast({at('.arguments')} AS MAP<STRING, VARIANT>), (k, g) -> {at('.arg_0', 'g')}), (k, x) -> x IS NOT NULL AND NOT is_variant_null(x))"))},
+       {call('first_output', at('.arguments'))}, CASE WHEN NOT {none(at('.prompt'))} THEN {call('json_text', at('.prompt'))} END, '')"""),
+    define("sample_doc_id", "v VARIANT, line BIGINT", "VARIANT",
+     f"CASE WHEN NOT {none(at('.doc_id'))} THEN {at('.doc_id')} WHEN NOT {none(at('.id'))} THEN {at('.id')} ELSE CAST(line AS VARIANT) END"),
     ("doc_field", "doc VARIANT, name STRING", "VARIANT", "try_element_at(try_cast(doc AS MAP<STRING, VARIANT>), name)"),
     # answers
     ("last_at", "s STRING, what STRING", "INT", "CASE WHEN instr(reverse(s), reverse(what)) = 0 THEN 0 ELSE length(s) - instr(reverse(s), reverse(what)) - length(what) + 2 END"),
@@ -137,20 +170,20 @@ SCALARS: list[tuple[str, str, str, str]] = [
 
 ERRORS = "ARRAY<STRUCT<code: STRING, detail: STRING>>"
 RULE_SETS: list[tuple[str, str, str, str]] = [
-    ("sample_rules", "v VARIANT", ERRORS, rules(
-        error("is_blank(sample_output(v))", "empty_output"),
-        error(f"json_is_none({at('.resps')}) AND json_is_none({at('.filtered_resps')})", "missing_resps"),
-        error(f"sample_prompt(v) = '' AND json_is_none({at('.doc')})", "missing_prompt"))),
-    ("sample_errors", "text STRING", ERRORS, "sample_rules(try_parse_json(py_strip(text)))"),
-    ("export_rules", "v VARIANT, method STRING", ERRORS, rules(
+    define("sample_rules", "v VARIANT", ERRORS, rules(
+        error(blank(call('sample_output', 'v')), "empty_output"),
+        error(f"{none(at('.resps'))} AND {none(at('.filtered_resps'))}", "missing_resps"),
+        error(f"{call('sample_prompt', 'v')} = '' AND {none(at('.doc'))}", "missing_prompt"))),
+    ("sample_errors", "text STRING", ERRORS, call("sample_rules", f"try_parse_json({stripped('text')})")),
+    define("export_rules", "v VARIANT, method STRING", ERRORS, rules(
         *[error(blank_field(name), "empty_field", lit(name)) for name in REQUIRED_NONEMPTY],
-        error(f"json_is_none({at('.doc_id')})", "missing_doc_id"),
+        error(none(at('.doc_id')), "missing_doc_id"),
         error("NOT array_contains(map_keys(try_cast(v AS MAP<STRING, VARIANT>)), 'gold_answer')", "missing_gold_answer"),
-        error(f"NOT json_equals({at('.max_gen_toks')}, {REQUIRED_MAX_GEN_TOKS})", "bad_max_gen_toks", f"json_text({at('.max_gen_toks')})"),
+        error(f"NOT {call('json_equals', at('.max_gen_toks'), f'CAST({REQUIRED_MAX_GEN_TOKS} AS DOUBLE)')}", "bad_max_gen_toks", call('json_text', at('.max_gen_toks'))),
         error(f"floor(coalesce({at('.max_model_len', kind='double')}, 0)) < {MIN_MAX_MODEL_LEN}", "short_max_model_len"),
         error(f"floor(coalesce({at('.output_token_count', kind='double')}, 0)) <= 0", "bad_output_token_count"),
         error(f"coalesce({at('.output_token_count_method', kind='string')}, '') <> method", "bad_token_method", f"coalesce({at('.output_token_count_method', kind='string')}, '')"))),
-    ("export_errors", "text STRING, method STRING", ERRORS, "export_rules(try_parse_json(py_strip(text)), method)"),
+    ("export_errors", "text STRING, method STRING", ERRORS, call("export_rules", f"try_parse_json({stripped('text')})", "method")),
 ]
 
 

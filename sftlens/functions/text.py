@@ -40,8 +40,11 @@ def py_strip(x) -> Column:
 
 
 def is_blank(x) -> Column:
-    """True when the text is empty after ``py_strip`` (NULL counts as blank)."""
-    return F.coalesce(F.length(py_strip(x)) == 0, F.lit(True))
+    """True when the text is empty after ``py_strip`` (NULL counts as blank).
+
+    Trimmed at the left end only, which stops at the first other character: the right end would have every
+    character of the text located first."""
+    return F.coalesce(F.ltrim(_c(x), F.lit(PY_WHITESPACE)) == "", F.lit(True))
 
 
 def whitespace_token_count(x) -> Column:

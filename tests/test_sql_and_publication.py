@@ -114,3 +114,15 @@ def test_a_pointer_that_moves_meanwhile(spark, tmp_dir):
     with pytest.raises(PublishError, match="meanwhile"):
         publish(one, root, publish_another)
     assert [r["i"] for r in read_current(spark, root, "i long").collect()] == [2]
+
+
+@pytest.mark.parametrize("query, most", [("SAMPLE_ERRORS", 9), ("EXPORT_ERRORS", 11)])
+def test_filters_that_are_pushed_down_parse_a_text_once(spark, query, most):
+    from sftlens.plans import sql_queries
+
+    register(spark)
+    lines = spark.range(5).selectExpr("'t' AS task", "id AS line", "concat('{\"id\": ', id, '}') AS text")
+    expected = spark.createDataFrame([("t", 5)], "task string, expected long")
+    named = {"lines": lines, "expected": expected} if query == "SAMPLE_ERRORS" else {"lines": lines, "method": "x"}
+    plan = spark.sql(getattr(sql_queries, query), **named)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") <= most  # 226 and 57 when every use of a value had its own parse
