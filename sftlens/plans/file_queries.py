@@ -14,7 +14,7 @@ from ..operators.validate import validate_samples
 from ..session import scratch_dir
 from ..sinks.writers import write_files
 from ..sources.filestatus import list_tree, named_lengths, path_status
-from ..sources.jsonl import parse_jsonl, read_json_documents, read_jsonl
+from ..sources.jsonl import parse_jsonl, read_json_documents, read_named_lines
 from ..sources.manifests import active_runs, discover_first, scan_json_tree, task_manifests_of
 from .common import table
 
@@ -40,9 +40,9 @@ def sample_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 def q_file_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1 with its file rule: every named file is asked for by the tasks, then its lines are validated."""
     root, manifests = sample_tree(spark, sf_dir)
-    parsed = read_jsonl(spark, f"{root}/*/*/*.jsonl", on_error="collect", base=1)
-    parsed = parsed.withColumn("sample", F.regexp_extract("file", r"([^/]+/[^/]+/[^/]+)\.jsonl$", 1))
-    parsed = parsed.join(manifests.where("path IS NOT NULL").select("sample"), "sample", "left_semi")  # unnamed files are not read
+    sample = F.substring("file", len(root) + 2, 10_000)
+    named = manifests.where(F.substring("path", len(root) + 2, 10_000).rlike(r"^[^/]+/[^/]+/[^/]+\.jsonl$"))  # <model>/<task>/<sample>.jsonl; unnamed files are not read
+    parsed = parse_jsonl(read_named_lines(named), on_error="collect").withColumn("sample", F.regexp_replace(sample, r"\.jsonl$", ""))
     expected = manifests.withColumn("expected", F.lit(1))
     errors = validate_samples(parsed, expected.drop("path"), scope=("sample",), files=manifests)
     return errors.select("sample", "code")

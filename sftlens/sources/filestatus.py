@@ -129,7 +129,12 @@ def named_lengths(tree: DataFrame) -> DataFrame:
 
 
 def path_status(paths: DataFrame, path_col: str = "path") -> DataFrame:
-    """``path, length`` for the distinct paths of a table that exist; null and empty names are left out.
+    """``path, length`` for the distinct paths of a table that exist; null and empty names are left out."""
+    return path_kinds(paths, path_col).select("path", "length")
+
+
+def path_kinds(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """``path_status`` and ``is_file``.
 
     The distinct is the shuffle that deals the paths, so a few hot folders are spread over all tasks.
     """
@@ -144,10 +149,10 @@ def path_status(paths: DataFrame, path_col: str = "path") -> DataFrame:
             for where, asked in by_system.values():
                 for (name, path), info in zip(asked, where.get_file_info([p for _, p in asked])):
                     if info.type == fs.FileType.File:
-                        found.append((name, info.size))
+                        found.append((name, info.size, True))
                     elif info.type == fs.FileType.Directory:
-                        found.append((name, sum(i.size for i in children(where, path) if i.type == fs.FileType.File and is_data(i.base_name))))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64())], names=["path", "length"])
+                        found.append((name, sum(i.size for i in children(where, path) if i.type == fs.FileType.File and is_data(i.base_name)), False))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], names=["path", "length", "is_file"])
 
     named = paths.select(F.col(path_col).cast("string").alias("path")).where("path <> ''").distinct()
-    return named.mapInArrow(run, "path string, length bigint")
+    return named.mapInArrow(run, "path string, length bigint, is_file boolean")

@@ -12,11 +12,15 @@ travels as a column.  Blank lines keep their number, as in the reference.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
 from ..session import materialize
+from .filestatus import path_kinds, resolve
 
 POLICIES = ("fail", "collect", "drop")
 # A repeated key in an object is not an error: the last one wins, as in Python.
@@ -53,6 +57,55 @@ def read_lines(spark: SparkSession, path: str | list[str], base: int = 1) -> Dat
     return number_lines(text_with_blocks(spark.read.text(paths)), base)
 
 
+WHOLE = 32 << 20  # bytes up to which a task reads a file in one go
+COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+HELD = 4 << 20  # bytes of lines that a task holds before it passes them on
+
+
+def read_named_lines(paths: DataFrame, path_col: str = "path", base: int = 1, whole: int = WHOLE) -> DataFrame:
+    """Lines of the distinct files that a table names: ``text, file, line`` as :func:`read_lines` numbers them, ``file`` as named.
+
+    For trees of many small files: the names are dealt over tasks, which read and number the lines, so neither the
+    driver nor the plan of a scan lists files.  Files of more than ``whole`` bytes, compressed ones and folders (whose
+    files keep their own names) are left to :func:`read_lines`, which splits files.  Names without a file have no lines.
+    """
+    spark = paths.sparkSession
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        text, file, line = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(file, pa.string()), pa.array(line, pa.int64())], names=["text", "file", "line"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                where, path = resolve(name)
+                with where.open_input_stream(path, compression=None) as f:
+                    data = f.read()
+                for n, text in enumerate(data.removeprefix(b"\xef\xbb\xbf").splitlines(), base):
+                    held.append((text, name, n))
+                    size += len(text) + 100
+                    if size >= HELD:
+                        yield batch_of(held)
+                        held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    found = materialize(path_kinds(paths, path_col).where("length > 0"), "named-files")
+    small = F.col("is_file") & (F.col("length") <= whole) & ~F.col("path").rlike(COMPRESSED)
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: the rows are names, not the bytes to be read
+    lines = found.where(small).select("path").repartition(deal, "path").mapInArrow(read, "text binary, file string, line bigint")
+    lines = lines.select(F.col("text").cast("string").alias("text"), "file", "line")
+    large = found.where(~small).select("path")
+    names = [r["path"] for r in large.toLocalIterator()]  # as few as their bytes allow
+    if not names:
+        return lines
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    rest = read_lines(spark, names, base).withColumn("_as", plain(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))))
+    rest = rest.join(F.broadcast(large.withColumn("_as", plain(F.col("path")))), "_as", "left")
+    return lines.unionByName(rest.select("text", F.coalesce("path", "file").alias("file"), F.col("line").cast("bigint").alias("line")))
+
+
 def parse_jsonl(lines: DataFrame, on_error: str = "fail", text_col: str = "text") -> DataFrame:
     """Parse non-blank lines into ``v VARIANT``.
 

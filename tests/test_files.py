@@ -96,3 +96,19 @@ def test_ties_come_back_as_they_are(spark):
     got = sorted((tuple(r)[:4] for r in later_rows(df, ["key"], ["at"]).select("key", "at", "a", "b").collect()), key=str)
     assert got == sorted([rows[1], rows[2], rows[3], rows[5], rows[7]], key=str)
     assert {r["_first"]["at"] for r in later_rows(df, ["key"], ["at"]).where("key = 'k'").collect()} == {1}
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 7])
+def test_named_files_are_read_by_tasks(spark, tmp_dir, whole, monkeypatch):
+    """Lines and numbers of the files that a table names, as the scan gives them, without the scan for small files."""
+    from sftlens.sources import jsonl
+
+    names = {"a b/x+%.jsonl": "1\n\n2\r\n3", "m/y.jsonl": "﻿é\rz\n", "m/z.jsonl": "", "m/unnamed.jsonl": "no"}
+    make_tree(spark, tmp_dir, names)
+    asked = [f"{tmp_dir}/{n}" for n in ("a b/x+%.jsonl", "m/y.jsonl", "m/z.jsonl", "m/none.jsonl", "m/y.jsonl")] + [None]
+    paths = spark.createDataFrame([(p,) for p in asked], "path string")
+    scans = []
+    monkeypatch.setattr(jsonl, "read_lines", lambda spark, path, base=1, old=jsonl.read_lines: scans.append(len(path)) or old(spark, path, base))
+    got = sorted(map(tuple, jsonl.read_named_lines(paths, base=0, whole=whole).select("file", "line", "text").collect()))
+    assert got == [(asked[0], i, t) for i, t in enumerate(["1", "", "2", "3"])] + [(asked[1], 0, "é"), (asked[1], 1, "z")]
+    assert scans == ([] if whole > 8 else [1])
