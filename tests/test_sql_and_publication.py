@@ -126,3 +126,16 @@ def test_filters_that_are_pushed_down_parse_a_text_once(spark, query, most):
     named = {"lines": lines, "expected": expected} if query == "SAMPLE_ERRORS" else {"lines": lines, "method": "x"}
     plan = spark.sql(getattr(sql_queries, query), **named)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(") <= most  # 226 and 57 when every use of a value had its own parse
+
+
+def test_publications_read_one_export(spark, tmp_dir, monkeypatch):
+    """The samples are parsed and flattened once, however often their records are published."""
+    from sftlens.plans import export_queries, publication_queries
+
+    spark.range(8).selectExpr("id AS doc_id", "'out' AS text", "'en' AS lang", "'src' AS source", "3L AS n_chars").write.parquet(f"{tmp_dir}/documents.parquet")
+    read = []
+    monkeypatch.setattr(publication_queries, "publish", lambda df, *a, old=publication.publish, **k: read.append(df.inputFiles()) or old(df, *a, **k))
+    got = publication_queries.q_publish_by_pointer(spark, tmp_dir)
+    assert sorted((r["sample_id"].split(":")[1], r["rows_before"], r["third_refused"]) for r in got.collect()) == [(str(i), 4, True) for i in range(8)]
+    lines = set(export_queries.sample_lines(spark, tmp_dir).inputFiles())
+    assert len(read) == 3 and all(not lines & set(files) for files in read)
