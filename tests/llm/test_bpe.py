@@ -1,4 +1,5 @@
 """Byte-level BPE against the tiktoken library and by round trip."""
+import base64
 import hashlib
 
 import pytest
@@ -37,6 +38,34 @@ def test_small_memo_gives_the_same(size):
         assert codec.digest(text)[:2] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_new_pre_tokens_of_all_texts_share_one_queue(monkeypatch):
+    codec, queues = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
+    joined = codec._join
+    monkeypatch.setattr(codec, "_join", lambda ids, *rest: queues.append(len(ids)) or joined(ids, *rest))
+    texts = [f"qz{i}vrx zzk{i}! plomb{'abc' * i}ard, a\0b\1c" for i in range(50)] + [None, ""]
+    for room in (bpe.MEMO, 20):  # all chunks are new, then some remembered
+        codec.room, codec.said, codec.raw = room, bpe.Known(), bpe.Known()
+        for _ in range(2):
+            for t, (n, ids, decoded) in zip(texts, codec.digests(texts), strict=True):
+                want = REFERENCE.encode_ordinary(t or "")
+                assert (n, ids) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+                assert decoded == hashlib.sha256((t or "").encode()).hexdigest()
+    assert sum(n > 100 for n in queues) <= 8  # the first words of texts and the other ones, per call
+
+
+def test_table_whose_joins_rank_before_their_parts():
+    words = [b"ab", b"ba", b"aa", b"aab", b"aba", b"abab", b"baab", b"bb", b"abb", b"aaaa", b"bbb"]
+    ranks = words[::-1] + [bytes([i]) for i in range(256)]
+    data = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(ranks))
+    codec, pattern = bpe.Codec(data, r"[^ ]+| +"), r"[^ ]+| +"
+    reference = tiktoken.Encoding("odd", pat_str=pattern, mergeable_ranks=bpe.parse_ranks(data), special_tokens={})
+    assert not codec.ordered
+    for n in range(3, 9):
+        for i in range(1 << n):
+            text = f"{i:0{n}b}".replace("0", "a").replace("1", "b")
+            assert codec.encode(text) == reference.encode_ordinary(text)
+
+
 def test_digests_and_round_trip_of_rows(spark):
     texts = [None, "", "Hello, wörld!  it's 12\n", "Hello, wörld!  it's 12\n", "z" * 500]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
