@@ -16,16 +16,19 @@ travel as a bitmap of fixed size, whose collisions only turn rare shingles into
 
 Verification.  Classes that share a signature of fewer than ``FREQUENT`` rows are all compared.  In a
 larger one, one class, chosen by one of a few hash orders, is compared with the others; links merge
-components.  Then the pairs between different components that still share a signature are compared.  So a
-group of n near copies, each linked to some of the others, costs about n times its signatures in pairs,
-not n * n, and no link between components is missed.
+components.  Signatures that still lie in different components then choose again, each by an order of its own, so
+a class meets as many others as it has signatures.  Then the pairs between different components that still share a
+signature are compared.  So a group of n near copies, each linked to some of the others, costs about n times its signatures
+in pairs, not n * n, and no link between components is missed.
 
 A class carries the parities of its shingles in ``SKETCH`` x 64 hash buckets.  A shingle that only one of two sets
 has changes one parity, so the sets differ in at least as many shingles as parities; the join on signatures
 drops a pair that differs in more than the threshold allows while it still holds both rows.  So texts that share a
 passage, but little else, never become pairs, whatever the number of signatures that they share.  What is
-left is compared on low shingles (another bound that loses nothing), then in full.  The join itself still looks at
-every two rows of a signature that lie in different components.
+left is compared on low shingles (another bound that loses nothing), then in full.  Near copies share most of their
+signatures, and so most of the ``LOWEST`` smallest ones too: the last step's join keeps such a pair at the smallest of these
+that both have, once instead of at every signature.  The join itself still looks at every two rows of a signature that lie in
+different components.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null texts and texts without words
 have an empty set and link with nothing; rows with a null id get no component; repeated
@@ -45,6 +48,7 @@ from .common import Scratch, WordHash, collect_bitmap, connected_components, mix
 FREQUENT = 8        # documents from which a shingle counts as frequent
 LOG2_BITMAP = 24
 HEADS = 6           # orders by which a class of a large signature is chosen
+LOWEST = 16         # signatures of a class by which pairs that share many are met once
 SKETCH = 8          # longs of parities of a class
 SMALL = 64          # sets up to this size keep all shingles at hand
 MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -169,6 +173,12 @@ def parity_ok(x: str, y: str, percent: int):
     return F.expr(f"{differ} <= {both} - 2 * (({percent} * {both} + {99 + percent}) div {100 + percent})")
 
 
+def first_meeting():
+    """False where ``x`` and ``y`` share a smaller signature than the row's that is among the ``lowest`` of both: they
+    meet there too.  (A smaller one that is among them is the least that they share, so they meet at least once.)"""
+    return F.expr("coalesce(array_min(array_intersect(x.lowest, y.lowest)) >= x.sig, true)")
+
+
 def overlap_filter(pairs: DataFrame, sets_of: DataFrame, percent: int, full: bool) -> DataFrame:
     """Pairs (a, b, na, nb) whose sets reach the threshold; with ``full`` false ``sets_of`` holds
     low shingles only and pairs are kept unless those alone rule them out."""
@@ -251,41 +261,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         links = overlap_filter(left, full, percent, True).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         return keep.write(links, name + "-links")
 
-    def all_pairs(rows: DataFrame) -> DataFrame:
+    def all_pairs(rows: DataFrame, also=F.lit(True)) -> DataFrame:
         """Pairs of classes that share a signature and lie in different components."""
         x, y = rows.alias("x"), rows.alias("y")
         return x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-                      & size_ok("x.n", "y.n", percent) & parity_ok("x", "y", percent)).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
+                      & size_ok("x.n", "y.n", percent) & parity_ok("x", "y", percent) & also).select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb"))
 
-    def one_against_the_others(rows: DataFrame) -> DataFrame:
-        """A class per signature with the others.  It is the first by one of ``HEADS`` orders, so the signatures
-        that a group shares name few different ones."""
-        order = F.xxhash64("cls", F.pmod("sig", F.lit(HEADS)))
+    def one_against_the_others(rows: DataFrame, orders: int | None) -> DataFrame:
+        """A class per signature with the others.  It is the first by one of ``orders`` orders, so the signatures
+        that a group shares name few different ones; with None each signature has an order of its own."""
+        order = F.xxhash64("cls", F.pmod("sig", F.lit(orders)) if orders else F.col("sig"))
         heads = rows.groupBy("sig").agg(F.min(F.struct(order.alias("h"), "cls", "n", "component", *parity)).alias("r"))
         y = heads.select(F.col("sig").alias("s"), "r.*").alias("y")
         near = (F.col("x.sig") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & size_ok("x.n", "y.n", percent) & parity_ok("x", "y", percent)
         return rows.alias("x").join(y, near).select(
             F.col("y.cls").alias("a"), F.col("y.n").alias("na"), F.col("x.cls").alias("b"), F.col("x.n").alias("nb"))
 
-    def merged(links: DataFrame, name: str) -> DataFrame | None:
-        return None if links.isEmpty() else keep.write(connected_components(links, "jaccard-components"), name)
-
-    large = members.where(F.col("size") >= FREQUENT)
-    pairs = keep.write(ordered(one_against_the_others(large).union(all_pairs(members.where(F.col("size") < FREQUENT)))), "pairs-0")
-    comp = merged(verified(pairs, "0"), "comp-0")
-    placed = large.drop("component")
-    if comp is None:
-        placed = placed.withColumn("component", F.col("cls"))
-    else:
-        placed = placed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    live = keep.write(placed.join(mixed, "sig", "left_semi").select("cls", "n", "sig", "component", *parity), "live")
-    more = keep.write(ordered(all_pairs(live)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs-1")
-    if not more.isEmpty():
-        links = verified(more, "1")
-        if comp is not None:  # a star per component stands for the links known so far
+    def merged(links: DataFrame, comp: DataFrame | None, name: str) -> DataFrame | None:
+        """Components by ``links`` and those so far, of which a star each stands for its links."""
+        if links.isEmpty():
+            return comp
+        if comp is not None:
             links = links.union(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-        comp = merged(links, "comp-1")
+        return keep.write(connected_components(links, "jaccard-components"), name)
+
+    lowest = signed_rows.select("cls", F.slice("sigs", 1, LOWEST).alias("lowest"))
+
+    def mixed(rows: DataFrame, comp: DataFrame | None, name: str) -> DataFrame:
+        """``rows`` of the signatures that lie in different components, and in which."""
+        if comp is None:
+            placed = rows.withColumn("component", F.col("cls"))
+        else:
+            placed = rows.drop("component").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        sig = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+        return keep.write(placed.join(sig, "sig", "left_semi"), name)
+
+    rows = members.where(F.col("size") >= FREQUENT).select("cls", "n", "sig", "component", *parity)
+    done = keep.write(ordered(one_against_the_others(rows, HEADS).union(all_pairs(members.where(F.col("size") < FREQUENT)))), "pairs-0")
+    comp = merged(verified(done, "0"), None, "comp-0")
+    for i, last in enumerate((False, True), 1):
+        rows = mixed(rows, comp, f"live-{i}")
+        found = all_pairs(rows.join(lowest, "cls"), first_meeting()) if last else one_against_the_others(rows, None)
+        pairs = keep.write(ordered(found).join(done.select("a", "b"), ["a", "b"], "left_anti"), f"pairs-{i}")
+        if not pairs.isEmpty():
+            comp = merged(verified(pairs, str(i)), comp, f"comp-{i}")
+            done = done.union(pairs)
     if comp is None:
         comp = spark.createDataFrame([], "node bigint, component bigint")
     placed = classes.select("cls", "rep").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -208,3 +208,46 @@ def test_split_by_keys_loses_nothing(spark):
     out, maybe = split_by_keys(df, keys, "id", "k")
     assert out.columns == maybe.columns == df.columns and out.count() + maybe.count() == 501
     assert {r[0] for r in maybe.select("id").collect()} >= {i * 7 for i in range(60)} and out.where("id is null").count() == 1
+
+
+def test_pairs_that_share_many_signatures_are_met_once(spark, monkeypatch):
+    """Chains of near copies, of which a class links to its neighbours only: the last step finds what the stars miss."""
+    import random
+
+    from sftlens.llm import jaccard
+
+    rng, rows = random.Random(5), []
+    for g in range(3):
+        words = [f"w{g}x{i}" for i in range(120)]
+        for i in range(40):
+            at = rng.randrange(len(words))
+            words[at] = f"n{g}y{i}"
+            rows.append((len(rows), " ".join(words)))
+    met = []
+    write = jaccard.Scratch.write
+    monkeypatch.setattr(jaccard.Scratch, "write", lambda self, df, name: met.append((name, df)) or write(self, df, name))
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+
+    sets = [frozenset(tuple(w[i:i + 4]) for i in range(len(w) - 3)) for w in (t.split() for _, t in rows)]
+    want = list(range(len(rows)))
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if want[a] != want[b] and 100 * len(x & sets[b]) >= 85 * len(x | sets[b]):
+                lo, hi = sorted((want[a], want[b]))
+                want = [lo if c == hi else c for c in want]
+    assert got == dict(enumerate(want))
+    assert [n for n, _ in met if n.startswith("pairs")] == ["pairs-0", "pairs-1", "pairs-2"]
+
+
+def test_first_meeting_keeps_a_pair_at_one_shared_signature(spark):
+    from pyspark.sql import functions as F
+
+    from sftlens.llm import jaccard
+
+    sides = {"x": [1, 4, 6, 9], "y": [2, 4, 6, 9], "z": [7, 8, 9, 11]}
+    rows = [(k, s, v[:3]) for k, v in sides.items() for s in v]
+    t = spark.createDataFrame(rows, "cls string, sig long, lowest array<long>")
+    x, y = t.alias("x"), t.alias("y")
+    got = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & jaccard.first_meeting())
+    assert sorted((r[0], r[3], r[1]) for r in got.collect()) == [("x", "y", 4), ("x", "z", 9), ("y", "z", 9)]
