@@ -45,8 +45,9 @@ DENSE = 16
 TIE = 1e-6
 MEMO = 100_000
 TOKENS = 100_000  # tokens counted at a time
-WORDS = 200_000  # distinct tokens whose terms are kept
+WORDS = 300_000  # distinct tokens whose terms are kept
 PRIOR = 0.5
+SHORTEST, LONGEST = 4, 8  # letters of beginnings
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -55,35 +56,68 @@ def features(token: str) -> list[str]:
     out = []
     for w in WORD.findall(token.lower()):
         out.append(w + " ")
-        out += [w[:n] for n in range(4, min(len(w), 8) + 1)]
+        out += [w[:n] for n in range(SHORTEST, min(len(w), LONGEST) + 1)]
     return out
 
 
 class Terms(dict):
-    """Token -> its place among the tokens met, whose term numbers are kept (bounded)."""
+    """Token -> its place among the tokens met, whose term numbers are kept: of the first ``WORDS`` ones for good,
+    of later ones while their texts are counted."""
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
         self.hashes = hashes
-        self.forget()
+        self.new, self.late, self.ends, self.flat = [], [], np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        self.clear()
-        self.new, self.ends, self.flat = [], np.zeros(1, np.int64), np.zeros(0, np.int32)
+        for t in self.late:
+            del self[t]
+        self.late, self.ends = [], self.ends[:WORDS + 1]
+        self.flat = self.flat[:self.ends[-1]]
 
     def __missing__(self, token: str) -> int:
         self[token] = at = len(self)
         self.new.append(token)
         return at
 
-    def _learn(self) -> None:
-        found = [[xxhash.xxh3_64_intdigest(f) for f in features(t)] for t in self.new]
-        token = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        h = np.fromiter(chain.from_iterable(found), np.uint64, len(token))
+    def _find(self, features: list[str]) -> np.ndarray:
+        """Numbers of the terms among ``features``; -1: none."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, features), np.uint64, len(features))
+        order = np.argsort(h)  # neighbours are found in the same part of the table
+        h = h[order]
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        self.flat = np.append(self.flat, at[hit].astype(np.int32))
-        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.bincount(token[hit], minlength=len(found))))
+        out = np.empty(len(h), np.int64)
+        out[order] = np.where(self.hashes[at] == h, at, -1)
+        return out
+
+    def _learn(self) -> None:
+        """The terms of each new token.  Terms come with all their beginnings, so a word one of whose beginnings is
+        no term has no longer one either, nor is it a term itself."""
+        words, token = [], []
+        for i, t in enumerate(self.new):
+            t = t.lower()
+            if t.isalpha():
+                words.append(t)
+                token.append(i)
+            else:
+                own = WORD.findall(t)
+                words += own
+                token += [i] * len(own)
+        token, size = np.array(token, np.int64), np.fromiter(map(len, words), np.int64, len(words))
+        alive, whole, found = np.flatnonzero(size >= SHORTEST), size < SHORTEST, []
+        for n in range(SHORTEST, LONGEST + 1):
+            at = self._find([words[i][:n] for i in alive.tolist()])
+            alive, at = alive[at >= 0], at[at >= 0]
+            found.append((token[alive], at))
+            whole[alive] = (size[alive] == n) | (n == LONGEST)
+            alive = alive[size[alive] > n]
+        whole = np.flatnonzero(whole)
+        at = self._find([words[i] + " " for i in whole.tolist()])
+        found.append((token[whole[at >= 0]], at[at >= 0]))
+        token, at = (np.concatenate(x) for x in zip(*found))
+        self.flat = np.append(self.flat, at[np.argsort(token, kind="stable")].astype(np.int32))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.bincount(token, minlength=len(self.new))))
+        self.late += self.new[max(0, WORDS - len(self) + len(self.new)):]
         self.new = []
 
     def counts(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -217,6 +251,8 @@ class Index:
         self.neg = np.array([v[3] for v in vectors])
         self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         self.known, entry, place, w, frequent = flatten(vectors)
+        self.places = np.full(int(self.known.max(initial=-1)) + 1, -1, np.int32)  # of a term among the known ones
+        self.places[self.known] = np.arange(len(self.known), dtype=np.int32)
         self.slot = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
         held = frequent[place]
         self.dense = np.zeros((self.blocks, int(frequent.sum()), BLOCK), np.float32)
@@ -225,24 +261,23 @@ class Index:
         self.tops = np.ascontiguousarray(self.dense.max(axis=2).T)  # frequent term x block
         entry, place, w = entry[~held], place[~held], w[~held]
         order = np.argsort(place, kind="stable")
-        self.entry, self.w = entry[order], w[order]
+        self.entry, self.w = entry[order].astype(np.int64), w[order].astype(float)  # as they are summed
         self.first = np.searchsorted(place[order], np.arange(len(self.known) + 1))
 
     def nearest(self, terms, weights, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the k nearest entries and of all that tie with the last."""
         terms, weights = np.asarray(terms), np.asarray(weights, float)
-        place = np.searchsorted(self.known, terms)
-        here = place < len(self.known)
-        here[here] = self.known[place[here]] == terms[here]
+        here = terms < len(self.places)
+        here[here] = self.places[terms[here]] >= 0
         if not here.any():
             return np.zeros(0, np.int64), np.zeros(0)
-        place, weights = place[here], weights[here]
+        place, weights = self.places[terms[here]], weights[here]
         slot = self.slot[place]
         rare = place[slot < 0]
         n = self.first[rare + 1] - self.first[rare]
         last = np.cumsum(n)
         at = np.arange(last[-1] if len(n) else 0) + np.repeat(self.first[rare] - last + n, n)
-        cos = np.bincount(self.entry[at], weights=self.w[at] * np.repeat(weights[slot < 0], n), minlength=self.blocks * BLOCK).astype(float).reshape(-1, BLOCK)
+        cos = np.bincount(self.entry.take(at), weights=self.w.take(at) * np.repeat(weights[slot < 0], n), minlength=self.blocks * BLOCK).astype(float, copy=False).reshape(-1, BLOCK)
         rows, q = slot[slot >= 0], weights[slot >= 0].astype(np.float32)
         bound = cos.max(axis=1) + q @ self.tops[rows]
         opened, kth = np.zeros(len(bound), bool), 0.0
@@ -254,7 +289,7 @@ class Index:
                 break
             opened |= todo
             for b in np.flatnonzero(todo) if len(rows) else ():
-                cos[b] += q @ self.dense[b].take(rows, axis=0)
+                cos[b] += q @ self.dense[b].take(rows, axis=0, mode="clip")  # none is out of range; numpy then copies without a buffer
             if self.size >= k:
                 kth = np.partition(cos.ravel()[:self.size], -k)[-k]
         cos = cos.ravel()[:self.size]

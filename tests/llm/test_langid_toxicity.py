@@ -148,3 +148,31 @@ def test_letters_of_every_plane():
 
 def test_long_words_are_whole_terms():
     assert toxicity.features("a" * 60 + "b") != toxicity.features("a" * 60 + "c")
+
+
+def test_terms_of_tokens_by_their_beginnings(monkeypatch):
+    """As every feature looked up by itself, whatever is remembered; frequent tokens are not learnt again."""
+    import numpy as np
+    import xxhash
+
+    from sftlens.llm import toxicity
+
+    known = ["gorblin", "gorbles", "the", "straße", "²x", "abc", "abcdefghijkl", "ab1cd"]
+    table = np.unique(np.array([xxhash.xxh3_64_intdigest(f) for t in known for f in toxicity.features(t)], np.uint64))
+    texts = ["The gorbling, GORBLIN the the", None, "", "abcdefghijkl abcdefghi abcd straßen STRASSE ²x x² ab1cd Ⅷ", "l'abc gorbles-abc the"] * 3
+    learnt = []
+    monkeypatch.setattr(toxicity, "TOKENS", 4)
+    for words in (0, 3, 1000):
+        monkeypatch.setattr(toxicity, "WORDS", words)
+        terms = toxicity.Terms(table)
+        learn = terms._learn
+        monkeypatch.setattr(terms, "_learn", lambda learn=learn, terms=terms: learnt.append((words, list(terms.new))) or learn())
+        for t, (own, count) in zip(texts, terms.counts(texts), strict=True):
+            want = {}
+            for f in (f for w in (t or "").split() for f in toxicity.features(w)):
+                at = np.flatnonzero(table == np.uint64(xxhash.xxh3_64_intdigest(f)))
+                for i in at.tolist():
+                    want[i] = want.get(i, 0) + 1
+            assert dict(zip(own.tolist(), count.tolist())) == want and own.tolist() == sorted(want)
+        assert len(terms) <= words + 20
+    assert sum("The" in new for words, new in learnt if words == 3) == 1
