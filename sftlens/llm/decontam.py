@@ -56,7 +56,7 @@ RESULT = "item_id bigint, cosine double, lcs_ratio double, kind string, start bi
 
 def term(word: str) -> str:
     """A word without case and without punctuation around it."""
-    return word.lower().strip(EDGES)
+    return word.lower() if word.isalpha() else word.lower().strip(EDGES)
 
 
 class Vocabulary(dict):
@@ -79,6 +79,14 @@ class Vocabulary(dict):
         return out[out != -2] if len(out) and out.min() == -2 else out
 
 
+def column_sums(flags: np.ndarray) -> np.ndarray:
+    """How often each column is true; summed in bytes, as many rows at a time as these can count."""
+    out = np.zeros(flags.shape[1], np.int64)
+    for s in range(0, len(flags), 255):
+        out += flags[s:s + 255].view(np.uint8).sum(axis=0, dtype=np.uint8)
+    return out
+
+
 def passage_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tuple[int, np.ndarray]:
     """Passages of all documents, and how many hold each term."""
     size, v = BLOCK * SPAN, len(terms)
@@ -98,12 +106,12 @@ def passage_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tup
                     part = ids[s:s + size * len(seen)]
                     n = -(-len(part) // size)
                     if used + n > len(seen):
-                        df += seen[:used].sum(axis=0)
+                        df += column_sums(seen[:used])
                         seen[:used], used = False, 0
                     at = np.flatnonzero(part >= 0)
                     seen[used + at // size, part[at]] = True
                     used += n
-        df += seen[:used].sum(axis=0)
+        df += column_sums(seen[:used])
         at = df.nonzero()[0]
         yield pd.DataFrame({"term": np.append(at, -1).astype(np.int32), "n": np.append(df[at], total)})
 

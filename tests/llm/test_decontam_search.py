@@ -64,3 +64,13 @@ def test_search_finds_what_the_check_accepts(spark):
     found = decontam.leaks(docs, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want)
     assert {r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()} == {k for k, _ in rows} - {k for k, _ in want}
+
+
+def test_passages_are_counted_beyond_a_byte():
+    import numpy as np
+
+    from sftlens.llm import decontam
+
+    flags = np.random.default_rng(2).random((1000, 7)) < np.array([0, 0.1, 0.3, 0.5, 0.9, 1, 1])
+    for n in (0, 1, 254, 255, 256, 600, 1000):
+        assert decontam.column_sums(flags[:n]).tolist() == [int(c.sum()) for c in flags[:n].T]
