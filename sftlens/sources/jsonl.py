@@ -127,6 +127,15 @@ def parse_jsonl(lines: DataFrame, on_error: str = "fail", text_col: str = "text"
     return parsed.withColumn("parse_error", F.col("v").isNull())
 
 
+def number_and_parse(raw: DataFrame) -> DataFrame:
+    """:func:`number_lines`, then :func:`parse_jsonl` with ``collect``, of ``text, file, _blk`` in one pass: lines are parsed when
+    they are tagged, so only the parsed rows are written.  The numbers are added where the result is read."""
+    raw.sparkSession.conf.set(LAST_KEY_WINS, "true")
+    blank = is_blank("text")
+    lines = number_lines(raw.select(F.when(~blank, F.try_parse_json(py_strip("text"))).alias("v"), blank.alias("_blank"), "file", "_blk"))
+    return lines.where(~F.col("_blank")).select("file", "line", "v", F.col("v").isNull().alias("parse_error"))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], on_error: str = "fail",
                base: int = 1) -> DataFrame:
     """SC1+SC2: ``file, line, v`` (plus ``text, parse_error`` for ``collect``)."""

@@ -27,7 +27,7 @@ from ..functions.variant import extract_doc_id, py_str, typed_key
 from ..operators.quality import reconcile_counts
 from ..operators.validate import validate_samples
 from ..session import materialize, scratch_scope
-from ..sources.jsonl import number_lines, parse_jsonl, text_with_blocks
+from ..sources.jsonl import number_and_parse, text_with_blocks
 
 # The landing layout: <landing>/<stage>/model=<model>/task=<task>/<file>.
 PATH_MODEL = r"/model=([^/]+)/"
@@ -51,10 +51,9 @@ def ingest_samples(spark: SparkSession, landing_glob: str, sink: str, checkpoint
 
     def process(df: DataFrame, batch_id: int) -> None:
         with scratch_scope(spark):
-            lines = number_lines(df).withColumn("task", F.regexp_extract("file", PATH_TASK, 1)) \
-                                    .withColumn("model", F.regexp_extract("file", PATH_MODEL, 1))
-            # parsed once, written once: validation, flattening and state read this table
-            parsed = materialize(parse_jsonl(lines, on_error="collect").drop("text"), "ingest-parsed")
+            # read and parsed once, written once: validation, flattening and state read that table
+            parsed = number_and_parse(df).withColumn("task", F.regexp_extract("file", PATH_TASK, 1)) \
+                                         .withColumn("model", F.regexp_extract("file", PATH_MODEL, 1))
             validate_samples(parsed, scope=("model", "task", "file")).write.mode("overwrite").parquet(f"{sink}/errors/batch_id={batch_id}")
             good = parsed.where(~F.col("parse_error"))
             flatten(good).write.mode("overwrite").parquet(f"{sink}/exported/batch_id={batch_id}")

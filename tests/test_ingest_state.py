@@ -65,3 +65,19 @@ def test_scratch_scope(spark):
         spark.range(1).write.parquet(inside)
         assert spark.read.parquet(inside).count() == 1
     assert not os.path.exists(inside.removeprefix("file:")) and spark.read.parquet(outside).agg(F.sum("id")).first()[0] == 0
+
+
+def test_lines_are_parsed_when_they_are_numbered(spark, tmp_path, monkeypatch):
+    """As numbering, then parsing: blank lines keep their number, malformed ones are marked; no text is written."""
+    from sftlens.sources import jsonl
+
+    for name, lines in (("a", ['{"x": 1}', "", "{bad", ' {"x": 2, "x": 3} ']), ("b", ["   ", "null", "[1]"] * 50)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    raw = jsonl.text_with_blocks(spark.read.text(str(tmp_path)))
+    shown = lambda df: sorted((r["file"], r["line"], str(r["v"]), r["parse_error"]) for r in
+                              df.selectExpr("file", "line", "to_json(v) v", "parse_error").collect())
+    want = shown(jsonl.parse_jsonl(jsonl.number_lines(raw), on_error="collect"))
+    written, write = [], jsonl.materialize
+    monkeypatch.setattr(jsonl, "materialize", lambda df, name: written.append(df.columns) or write(df, name))
+    assert shown(jsonl.number_and_parse(raw)) == want and len(want) == 103
+    assert not any("text" in columns for columns in written)
