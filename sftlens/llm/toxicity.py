@@ -6,15 +6,16 @@
    document frequencies are counted over all documents.  A term weighs its idf times 1 + the root of
    its chi-square between the classes, so no term falls below its TF-IDF and telling ones lead.
 3. Index: examples with equal vectors form one entry that carries the class weights.  Entries are ordered so that
-   like ones share a block.  A term in one of ``DENSE`` entries or more has a row of weights and its
+   like ones share a block.  A term in one of ``DENSE`` entries or more has a column of weights and its
    largest weight in each block; others have a posting list.
 4. Score: a document's cosines over posting lists, plus the block maxima of the other terms, bound every block's
    cosines; the blocks with the highest bounds are opened first, then those whose bound reaches the
    K-th best cosine found, so the neighbours are exact (weights are single precision, cosines within ``TIE`` count as
-   equal).  Neighbours vote with weight cosine squared, together with a small prior.
+   equal).  The documents of a batch that open a block do so by one product of matrices; what comes near the K-th best is
+   weighed again in double precision, document by document, so a score does not depend on the batch.  Neighbours vote with weight cosine squared, together with a small prior.
    Documents whose vector is zero get the rate of the examples whose vector is zero.
 
-Equal vectors are scored once per task (bounded memo).
+Equal vectors are scored once per worker (bounded memo).
 
 Edge cases: null and empty texts have the zero vector; without labelled rows of both classes
 every score is the share of toxic labels (0 without labels); ties in cosine are all counted;
@@ -45,6 +46,7 @@ DENSE = 16
 TIE = 1e-6
 MEMO = 100_000
 TOKENS = 100_000  # tokens counted at a time
+TOGETHER = 120_000  # terms of texts whose neighbours are looked up together
 WORDS = 300_000  # distinct tokens whose terms are kept
 PRIOR = 0.5
 SHORTEST, LONGEST = 4, 8  # letters of beginnings
@@ -149,6 +151,11 @@ class Terms(dict):
             yield terms[i:j], count[i:j]
 
 
+def learnt(hashes: np.ndarray) -> dict:
+    """What a Python worker keeps for these terms: the tokens it has met, which counting and scoring share."""
+    return per_worker(("toxicity", xxhash.xxh3_128_digest(hashes.tobytes())), lambda: {"terms": Terms(hashes)})
+
+
 def examples(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
     """(_id, text, toxic) of the sampled labelled rows, and how many labelled rows a class has.
     Ids are joined and sampled first; only texts that are likely in the sample are shuffled."""
@@ -193,10 +200,10 @@ def select_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, i
 
 def document_frequencies(docs: DataFrame, text_col: str, hashes: np.ndarray) -> tuple[int, np.ndarray]:
     """Rows of ``docs`` and, per term, how many hold it; counted over all rows."""
-    shared, job = docs.sparkSession.sparkContext.broadcast(hashes), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = per_worker(("terms", job), lambda: Terms(shared.value))
+        terms = learnt(shared.value)["terms"]
         df = np.zeros(len(terms.hashes) + 1, np.int64)
         for b in batches:
             df[-1] += len(b)
@@ -250,56 +257,72 @@ class Index:
         self.pos = np.array([v[2] for v in vectors])
         self.neg = np.array([v[3] for v in vectors])
         self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        self.known, entry, place, w, frequent = flatten(vectors)
-        self.places = np.full(int(self.known.max(initial=-1)) + 1, -1, np.int32)  # of a term among the known ones
-        self.places[self.known] = np.arange(len(self.known), dtype=np.int32)
-        self.slot = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-        held = frequent[place]
-        self.dense = np.zeros((self.blocks, int(frequent.sum()), BLOCK), np.float32)
-        e = entry[held]
-        self.dense[e // BLOCK, self.slot[place[held]], e % BLOCK] = w[held]
-        self.tops = np.ascontiguousarray(self.dense.max(axis=2).T)  # frequent term x block
+        known, entry, place, w, frequent = flatten(vectors)
+        order = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")  # the frequent ones first, as they are met most
+        rank = np.empty(len(known), np.int32)
+        rank[order] = np.arange(len(known), dtype=np.int32)
+        self.places = np.full(int(known.max(initial=-1)) + 1, -1, np.int32)  # of a term among the known ones
+        self.places[known] = rank
+        place, self.dense = rank[place], int(frequent.sum())
+        held = place < self.dense
+        self.near = np.zeros((self.blocks * BLOCK, self.dense), np.float32)  # entry x frequent term
+        self.near[entry[held], place[held]] = w[held]
+        self.tops = np.ascontiguousarray(self.near.reshape(self.blocks, BLOCK, self.dense).max(axis=1).T)  # frequent term x block
         entry, place, w = entry[~held], place[~held], w[~held]
         order = np.argsort(place, kind="stable")
-        self.entry, self.w = entry[order].astype(np.int64), w[order].astype(float)  # as they are summed
-        self.first = np.searchsorted(place[order], np.arange(len(self.known) + 1))
+        self.lists = np.column_stack([entry[order].astype(np.int32), w[order].astype(np.float32).view(np.int32)]).ravel().view(np.int64)  # entry and weight side by side
+        self.first = np.searchsorted(place[order], np.arange(len(known) + 1))
 
     def nearest(self, terms, weights, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of the k nearest entries and of all that tie with the last."""
-        terms, weights = np.asarray(terms), np.asarray(weights, float)
+        return next(self.nearest_all([(np.asarray(terms), np.asarray(weights, float))], k))
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for each (terms, weights).  Those that open a block do so by one product of matrices."""
+        if not queries:
+            return
+        total, width = len(queries), self.blocks * BLOCK
+        query = np.repeat(np.arange(total), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate(x) for x in zip(*queries))
         here = terms < len(self.places)
         here[here] = self.places[terms[here]] >= 0
-        if not here.any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        place, weights = self.places[terms[here]], weights[here]
-        slot = self.slot[place]
-        rare = place[slot < 0]
-        n = self.first[rare + 1] - self.first[rare]
-        last = np.cumsum(n)
-        at = np.arange(last[-1] if len(n) else 0) + np.repeat(self.first[rare] - last + n, n)
-        cos = np.bincount(self.entry.take(at), weights=self.w.take(at) * np.repeat(weights[slot < 0], n), minlength=self.blocks * BLOCK).astype(float, copy=False).reshape(-1, BLOCK)
-        rows, q = slot[slot >= 0], weights[slot >= 0].astype(np.float32)
-        bound = cos.max(axis=1) + q @ self.tops[rows]
-        opened, kth = np.zeros(len(bound), bool), 0.0
-        for _ in range(2):  # the blocks with the highest bounds, then all that may still matter
-            todo = (bound > 0) & (bound >= kth - 2 * TIE) & ~opened
-            if not opened.any() and len(bound) > FIRST:
-                todo &= bound >= np.partition(bound, -FIRST)[-FIRST]
-            if not todo.any():
-                break
+        place, query, weights = self.places[terms[here]], query[here], weights[here]
+        held = place < self.dense
+        listed, ends = np.zeros((total, width)), np.cumsum(np.bincount(query[~held], minlength=total))
+        rare, rarely = place[~held], weights[~held]
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):  # one at a time, so that it stays in the processor's cache
+            n = self.first[rare[a:b] + 1] - self.first[rare[a:b]]
+            last = np.cumsum(n)
+            if b > a:
+                at = np.arange(last[-1]) + np.repeat(self.first[rare[a:b]] - last + n, n)
+                own = self.lists.take(at)
+                listed[i] = np.bincount(own.view(np.int32)[::2], weights=own.view(np.float32)[1::2] * np.repeat(rarely[a:b], n), minlength=width)
+        exact = np.zeros((total, self.dense))
+        exact[query[held], place[held]] = weights[held]
+        q, cos = exact.astype(np.float32), listed.astype(np.float32)
+        bound = cos.reshape(total, self.blocks, BLOCK).max(axis=2) + q @ self.tops
+        opened, kth = np.zeros(bound.shape, bool), np.zeros(total)
+        for first in (True, False):  # the blocks with the highest bounds, then all that may still matter
+            todo = (bound > 0) & (bound >= kth[:, None] - 2 * TIE) & ~opened
+            if first and self.blocks > FIRST:
+                todo &= bound >= np.partition(bound, -FIRST, axis=1)[:, -FIRST, None]
             opened |= todo
-            for b in np.flatnonzero(todo) if len(rows) else ():
-                cos[b] += q @ self.dense[b].take(rows, axis=0, mode="clip")  # none is out of range; numpy then copies without a buffer
+            for b in np.flatnonzero(todo.any(axis=0)):
+                own, block = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                cos[own, block] += q[own] @ self.near[block].T
             if self.size >= k:
-                kth = np.partition(cos.ravel()[:self.size], -k)[-k]
-        cos = cos.ravel()[:self.size]
-        at = np.flatnonzero(cos >= max(kth - TIE, 1e-12))
-        return at, cos[at]
+                kth = np.partition(cos[:, :self.size], -k, axis=1)[:, -k].astype(float)
+        for i in range(total):  # what comes near the last of them is weighed again, in double precision and alone
+            at = np.flatnonzero(cos[i, :self.size] >= max(kth[i] - 2 * TIE, 1e-12))
+            own = listed[i, at] + self.near[at] @ exact[i]
+            least = np.partition(own, -k)[-k] - TIE if len(own) >= k else 0.0
+            keep = own >= max(least, 1e-12)
+            yield at[keep], own[keep]
 
 
 class Scorer:
-    def __init__(self, hashes, weight, entries, zero_rate: float, prior: float):
-        self.terms, self.weight, self.index = Terms(hashes), weight, Index(entries)
+    def __init__(self, hashes, weight, entries, zero_rate: float, prior: float, terms: Terms | None = None):
+        self.terms, self.weight, self.index = Terms(hashes) if terms is None else terms, weight, Index(entries)
         self.zero_rate, self.prior, self.memo = zero_rate, prior, {}
 
     def scores(self, texts) -> Iterator[tuple[float, list]]:
@@ -307,23 +330,29 @@ class Scorer:
         if not len(self.terms.hashes):
             yield from ((self.zero_rate, []) for _ in texts)
             return
-        yield from (self.score(*own) for own in self.terms.counts(texts))
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        if not len(terms):
-            return self.zero_rate, []
-        key = xxhash.xxh3_128_digest(terms.tobytes() + counts.tobytes())
-        got = self.memo.get(key)
-        if got is None:
-            ids, cos = self.index.nearest(terms, unit(terms, counts, self.weight))
+        held, size = [], 0
+        for own in self.terms.counts(texts):
+            held.append(own)
+            size += len(own[0])
+            if size >= TOGETHER:
+                yield from self._scores(held)
+                held, size = [], 0
+        yield from self._scores(held)
+
+    def _scores(self, held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list]]:
+        keys = [xxhash.xxh3_128_digest(terms.tobytes() + counts.tobytes()) if len(terms) else b"" for terms, counts in held]
+        new = {key: own for key, own in zip(keys, held, strict=True) if key and key not in self.memo}
+        found = {b"": (self.zero_rate, [])}
+        for key, (ids, cos) in zip(new, self.index.nearest_all([(terms, unit(terms, counts, self.weight)) for terms, counts in new.values()]), strict=True):
             vote = cos ** 2
             pos, neg = (vote * self.index.pos[ids]).sum(), (vote * self.index.neg[ids]).sum()
             best = np.lexsort((ids, -cos))[:3]
-            got = float((pos + PRIOR * self.prior) / (pos + neg + PRIOR)), [self.index.ids[ids[i]] for i in best]
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
+            found[key] = float((pos + PRIOR * self.prior) / (pos + neg + PRIOR)), [self.index.ids[ids[i]] for i in best]
+        out = [found[key] if key in found else self.memo[key] for key in keys]
+        if len(self.memo) + len(found) > MEMO:
+            self.memo.clear()
+        self.memo |= found
+        return out
 
 
 def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -377,7 +406,12 @@ def scores(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
     shared, job = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = per_worker(("scorer", job), lambda: Scorer(*shared.value))
+        kept = learnt(shared.value[0])
+        if job not in kept:
+            for other in kept.keys() - {"terms"}:
+                del kept[other]
+            kept[job] = Scorer(*shared.value, kept["terms"])
+        scorer = kept[job]
         for b in batches:
             got = list(scorer.scores(b[text_col]))
             yield pd.DataFrame({id_col: b[id_col], "score": np.array([g[0] for g in got], float), "evidence": [g[1] for g in got]})

@@ -66,6 +66,53 @@ def test_neighbours_are_exact():
         assert np.allclose(got, cos[ids])
 
 
+def test_neighbours_of_a_batch_equal_those_alone_and_brute_force():
+    rng = np.random.default_rng(5)
+    rate = np.concatenate([np.full(30, 0.4), np.full(400, 0.01)])  # terms with columns, terms with posting lists
+    x = (rng.random((1500, 430)) < rate) * (rng.random((1500, 430)) + 0.1).astype(np.float32)
+    x = (x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]).astype(np.float32)
+    x = x[x.any(axis=1)]
+    index = toxicity.Index([(np.flatnonzero(r), r[r > 0], 1.0, 1.0, i) for i, r in enumerate(x)])
+    assert index.blocks > 2 * toxicity.FIRST and 0 < index.dense < 430 and len(index.lists)
+    unknown = (np.array([500, 9000]), np.array([0.6, 0.8]))
+    queries = [unknown] + [(np.flatnonzero(r), r[r > 0].astype(float)) for r in x[:300]] + [(np.array([40, 700]), np.array([0.6, 0.8]))]
+    got = list(index.nearest_all(queries))
+    assert len(got) == len(queries) and not len(got[0][0])
+    for (terms, w), (ids, cos) in zip(queries, got):
+        alone, own = index.nearest(terms, w)
+        assert ids.tolist() == alone.tolist() and np.allclose(cos, own, rtol=0, atol=1e-12)
+        q = np.zeros(9001)
+        q[terms] = w
+        every = x.astype(float) @ q[:430]
+        kth = np.sort(every)[-toxicity.K]
+        assert ids.tolist() == np.flatnonzero(every >= max(kth - toxicity.TIE, 1e-12)).tolist()
+        assert np.allclose(cos, every[ids], rtol=0, atol=1e-12)
+    assert list(index.nearest_all([])) == []
+
+
+def test_scores_do_not_depend_on_the_batch(monkeypatch):
+    import xxhash
+
+    rng = np.random.default_rng(6)
+    texts = [words(rng, "aa", 12) for _ in range(150)] + ["", None, words(rng, "aa", 3)]
+    table = np.unique(np.array([xxhash.xxh3_64_intdigest(f) for t in texts[:100] for w in t.split() for f in toxicity.features(w)], np.uint64))
+    weight = rng.random(len(table)) + 0.5
+    seen = {(t.tobytes(), n.tobytes()): (t, n) for t, n in toxicity.Terms(table).counts(texts[:100])}
+    model = table, weight, [(t, toxicity.unit(t, n, weight), i % 2, 1 - i % 2, i) for i, (t, n) in enumerate(seen.values())], 0.25, 0.5
+    want = list(toxicity.Scorer(*model).scores(texts + texts[:20]))
+    assert want[150] == want[151] == (0.25, []) and want[:20] == want[-20:]
+    monkeypatch.setattr(toxicity, "TOGETHER", 1)
+    monkeypatch.setattr(toxicity, "MEMO", 3)
+    got = list(toxicity.Scorer(*model).scores(texts + texts[:20]))
+    assert [e for _, e in got] == [e for _, e in want] and np.allclose([s for s, _ in got], [s for s, _ in want], rtol=0, atol=1e-12)
+
+
+def test_counting_and_scoring_share_the_tokens_met():
+    table = np.array([1, 5, 9], np.uint64)
+    first = toxicity.learnt(table)
+    assert toxicity.learnt(table.copy()) is first and toxicity.learnt(table[:2])["terms"] is not first["terms"]
+
+
 def test_toxicity_scores(spark):
     rng = np.random.default_rng(7)
     bad = ["vilgor", "trasmun", "ekelpot"]
