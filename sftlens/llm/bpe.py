@@ -33,7 +33,7 @@ from .common import per_worker, small_batches
 
 SHORT = 64  # pieces up to this many characters are memoised
 MEMO = 400_000  # merged pieces, and chunks with their digests' parts, that a worker remembers (about 300 MB)
-GROUP = 4_000_000  # characters of texts whose new chunks are merged together
+GROUP = 1_000_000  # characters of texts whose new chunks are merged together (about 100 MB of a worker)
 RANKS = 256  # ranks of a bucket
 
 

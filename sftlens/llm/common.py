@@ -20,9 +20,10 @@ BITMAP_BLOCK = 32768  # bits in one bitmap_construct_agg result
 
 def per_worker(key, make):
     """``make()`` once per Python worker process: tasks that run there later get the same
-    object.  One object is held at a time."""
+    object.  One object is held at a time; the last one goes before the next is made."""
     store = sys.modules.setdefault("_sftlens_per_worker", types.ModuleType("_sftlens_per_worker")).__dict__
     if "value" not in store or store["key"] != key:
+        store.pop("value", None)
         store.update(key=key, value=make())
     return store["value"]
 

@@ -1,6 +1,7 @@
 """Byte-level BPE against the tiktoken library and by round trip."""
 import base64
 import hashlib
+import weakref
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from sftlens.llm import bpe  # noqa: E402
+from sftlens.llm import bpe, common  # noqa: E402
 
 with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
     RANKS = f.read()
@@ -78,3 +79,23 @@ def test_digests_and_round_trip_of_rows(spark):
     back = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.digests(docs.where(F.lit(False)), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_merging_holds_a_bounded_part_of_a_large_batch(monkeypatch):
+    codec, sizes, merge = bpe.Codec(RANKS, public_tokenizers.PATTERN, 1000), [], bpe.Codec.merge
+    monkeypatch.setattr(bpe.Codec, "merge", lambda self, chunks: sizes.append(sum(map(len, chunks))) or merge(self, chunks))
+    texts = [" ".join(f"w{i * 20_000 + j:x}" for j in range(20_000)) for i in range(22)]
+    got = list(codec.digests(texts))
+    assert sum(sizes) > 2_900_000 and max(sizes) < 1_300_000
+    for text, (n, ids, _) in list(zip(texts, got, strict=True))[::7]:
+        want = REFERENCE.encode_ordinary(text)
+        assert (n, ids) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+
+
+def test_a_worker_lets_go_of_what_an_earlier_job_left():
+    class Held:
+        pass
+
+    ref = weakref.ref(common.per_worker("one", Held))
+    assert ref() is common.per_worker("one", Held)
+    assert common.per_worker("two", lambda: ref() is None)
