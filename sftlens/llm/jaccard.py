@@ -131,21 +131,26 @@ def signatures(n: int, s: np.ndarray, bitmap: np.ndarray, percent: int, complete
     return np.unique(np.concatenate(out))
 
 
-def sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, low_only: bool) -> DataFrame:
-    """(doc_id, n, cls, tokens, sketch): the low shingles of each document, or all of small sets."""
+def sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, low_only: bool, pack: bool = False) -> DataFrame:
+    """(doc_id, n, cls, tokens, sketch): the low shingles of each document, or all of small sets.  With ``pack``
+    (cls, n, set) as of ``_pack``, by the same Python worker."""
     bound = low_bound(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHash()
         for b in batches:
             rows = [shingle_set(t, k, words) for t in b["t"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.fromiter(map(len, rows), np.int64, len(rows)),
-                                "cls": [class_key(s) for s in rows],
-                                "tokens": [s[s < bound] if low_only and len(s) > SMALL else s for s in rows],
-                                "sketch": [parities(s) for s in rows]})
+            n, cls = np.fromiter(map(len, rows), np.int64, len(rows)), [class_key(s) for s in rows]
+            if pack:
+                yield pd.DataFrame({"cls": cls, "n": n, "set": [s.tobytes() for s in rows]})
+            else:
+                yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "cls": cls,
+                                    "tokens": [s[s < bound] if low_only and len(s) > SMALL else s for s in rows],
+                                    "sketch": [parities(s) for s in rows]})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")) \
-        .mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, n bigint, cls bigint, tokens array<bigint>, sketch array<bigint>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInPandas(
+        run, "cls bigint, n bigint, set binary" if pack else
+        f"doc_id {dict(docs.dtypes)[id_col]}, n bigint, cls bigint, tokens array<bigint>, sketch array<bigint>")
 
 
 def sign(rows: DataFrame, bitmap, percent: int, complete: bool) -> DataFrame:
@@ -234,7 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     signed_rows = keep.write(sign(reps, bitmap, percent, False), "signed")
     missing = signed_rows.where("sigs is null")
     if not missing.isEmpty():
-        again = sets(semi_join_prefiltered(docs, missing.select(F.col("doc_id").alias(id_col)), id_col), k, percent, id_col, text_col, False)
+        # written, since two Python steps in a stage would double the workers that an executor holds from then on
+        again = keep.write(sets(semi_join_prefiltered(docs, missing.select(F.col("doc_id").alias(id_col)), id_col), k, percent, id_col, text_col, False), "sets-again")
         signed_rows = signed_rows.where("sigs is not null").unionByName(
             keep.write(sign(again.join(missing.select("doc_id", "cls"), ["doc_id", "cls"], "left_semi"), bitmap, percent, True), "signed-again"))
     sigs = signed_rows.select("cls", "n", F.explode("sigs").alias("sig"))
@@ -257,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             .join(classes.select("cls", F.col("rep").alias(id_col)), "cls")
         need = keep.write(need, name + "-need")
         text = semi_join_prefiltered(docs, need, id_col)
-        full = keep.write(_pack(sets(text, k, percent, id_col, text_col, False)).dropDuplicates(["cls"]), name + "-full")
+        full = keep.write(sets(text, k, percent, id_col, text_col, False, True).dropDuplicates(["cls"]), name + "-full")
         links = overlap_filter(left, full, percent, True).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         return keep.write(links, name + "-links")
 

@@ -251,3 +251,25 @@ def test_first_meeting_keeps_a_pair_at_one_shared_signature(spark):
     x, y = t.alias("x"), t.alias("y")
     got = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & jaccard.first_meeting())
     assert sorted((r[0], r[3], r[1]) for r in got.collect()) == [("x", "y", 4), ("x", "z", 9), ("y", "z", 9)]
+
+
+def test_no_stage_of_the_join_holds_two_python_steps(spark, monkeypatch):
+    rng, rows = np.random.default_rng(4), []
+    for base in range(40):
+        text = [f"w{base}x{i}" for i in range(205)]
+        for copy in range(9):
+            own = list(text)
+            own[int(rng.integers(205))] = f"new{copy}"
+            rows.append((len(rows), " ".join(own)))
+    plans, write = {}, jaccard.Scratch.write
+
+    def noted(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, df, name)
+
+    monkeypatch.setattr(jaccard.Scratch, "write", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 9 for i in range(len(rows))}
+    assert "signed-again" in plans and "0-full" in plans  # sets that are made a second time
+    assert {name for name, plan in plans.items() if plan.count("MapInPandas") > 1} == set()
