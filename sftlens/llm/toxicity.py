@@ -12,7 +12,7 @@
    cosines; the blocks with the highest bounds are opened first, then those whose bound reaches the
    K-th best cosine found, so the neighbours are exact (weights are single precision, cosines within ``TIE`` count as
    equal).  The documents of a batch that open a block do so by one product of matrices; what comes near the K-th best is
-   weighed again in double precision, document by document, so a score does not depend on the batch.  Neighbours vote with weight cosine squared, together with a small prior.
+   weighed again document by document, so a score does not depend on the batch.  Neighbours vote with weight cosine squared, together with a small prior.
    Documents whose vector is zero get the rate of the examples whose vector is zero.
 
 Equal vectors are scored once per worker (bounded memo).
@@ -297,9 +297,9 @@ class Index:
                 at = np.arange(last[-1]) + np.repeat(self.first[rare[a:b]] - last + n, n)
                 own = self.lists.take(at)
                 listed[i] = np.bincount(own.view(np.int32)[::2], weights=own.view(np.float32)[1::2] * np.repeat(rarely[a:b], n), minlength=width)
-        exact = np.zeros((total, self.dense))
-        exact[query[held], place[held]] = weights[held]
-        q, cos = exact.astype(np.float32), listed.astype(np.float32)
+        rows, own_q = place[held], weights[held].astype(np.float32)
+        q, cos = np.zeros((total, self.dense), np.float32), listed.astype(np.float32)
+        q[query[held], rows] = own_q
         bound = cos.reshape(total, self.blocks, BLOCK).max(axis=2) + q @ self.tops
         opened, kth = np.zeros(bound.shape, bool), np.zeros(total)
         for first in (True, False):  # the blocks with the highest bounds, then all that may still matter
@@ -312,9 +312,12 @@ class Index:
                 cos[own, block] += q[own] @ self.near[block].T
             if self.size >= k:
                 kth = np.partition(cos[:, :self.size], -k, axis=1)[:, -k].astype(float)
-        for i in range(total):  # what comes near the last of them is weighed again, in double precision and alone
+        ends = np.cumsum(np.bincount(query[held], minlength=total))
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):  # what comes near the last of them is weighed again, alone
             at = np.flatnonzero(cos[i, :self.size] >= max(kth[i] - 2 * TIE, 1e-12))
-            own = listed[i, at] + self.near[at] @ exact[i]
+            x = np.zeros((b - a, -(-len(at) // BLOCK) * BLOCK), np.float32)
+            x[:, :len(at)] = self.near[np.ix_(at, rows[a:b])].T
+            own = listed[i, at] + (own_q[a:b] @ x)[:len(at)]
             least = np.partition(own, -k)[-k] - TIE if len(own) >= k else 0.0
             keep = own >= max(least, 1e-12)
             yield at[keep], own[keep]

@@ -80,13 +80,13 @@ def test_neighbours_of_a_batch_equal_those_alone_and_brute_force():
     assert len(got) == len(queries) and not len(got[0][0])
     for (terms, w), (ids, cos) in zip(queries, got):
         alone, own = index.nearest(terms, w)
-        assert ids.tolist() == alone.tolist() and np.allclose(cos, own, rtol=0, atol=1e-12)
+        assert ids.tolist() == alone.tolist() and cos.tolist() == own.tolist()
         q = np.zeros(9001)
         q[terms] = w
         every = x.astype(float) @ q[:430]
         kth = np.sort(every)[-toxicity.K]
         assert ids.tolist() == np.flatnonzero(every >= max(kth - toxicity.TIE, 1e-12)).tolist()
-        assert np.allclose(cos, every[ids], rtol=0, atol=1e-12)
+        assert np.allclose(cos, every[ids], rtol=0, atol=1e-6)
     assert list(index.nearest_all([])) == []
 
 
@@ -104,7 +104,7 @@ def test_scores_do_not_depend_on_the_batch(monkeypatch):
     monkeypatch.setattr(toxicity, "TOGETHER", 1)
     monkeypatch.setattr(toxicity, "MEMO", 3)
     got = list(toxicity.Scorer(*model).scores(texts + texts[:20]))
-    assert [e for _, e in got] == [e for _, e in want] and np.allclose([s for s, _ in got], [s for s, _ in want], rtol=0, atol=1e-12)
+    assert got == want
 
 
 def test_counting_and_scoring_share_the_tokens_met():
