@@ -30,10 +30,12 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,10 @@ GROUP = 256  # items of one length whose words are counted at once
 SHORTEST = 5  # words of an item that is looked up literally
 TASKS = 16
 BATCH_WORDS = 300_000
+LETTERS = 1_000_000  # characters whose words are looked up at once
 FLAGS = 4_000_000  # bytes in which a task marks passages and terms
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‹›“”„‘’‚…–—·•§¶©®™°\u00ad"
+ASCII_EDGES = "".join(filter(str.isascii, EDGES))
 SENTENCE = re.compile(r"[.!?\n]+\s*")
 RESULT = "item_id bigint, cosine double, lcs_ratio double, kind string, start bigint"
 
@@ -60,11 +64,13 @@ def term(word: str) -> str:
 
 
 class Vocabulary(dict):
-    """Blank-separated word -> term number; -1: another word, -2: no word at all.  Memoised, bounded."""
+    """Blank-separated word -> term number; -1: another word, -2: no word at all.  Words of ASCII are looked up by
+    Arrow, many texts at once; others one by one, memoised and bounded."""
 
     def __init__(self, terms: list[str]):
         super().__init__()
         self.index = {t: i for i, t in enumerate(terms)}
+        self.values = pa.array([*terms, ""], pa.large_string())
 
     def __missing__(self, word):
         t = term(word)
@@ -74,9 +80,31 @@ class Vocabulary(dict):
         return got
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return out[out != -2] if len(out) and out.min() == -2 else out
+        return next(self.all_ids([text]))
+
+    def all_ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Term numbers of the words of each text."""
+        group, size = [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size >= LETTERS:
+                yield from self._ids(group)
+                group, size = [], 0
+        yield from self._ids(group)
+
+    def _ids(self, group: list[str]) -> Iterator[np.ndarray]:
+        lists = pc.utf8_split_whitespace(pa.array(group, pa.large_string()))  # white space as in str.split, blank edges give an empty word
+        words, ends = lists.flatten(), lists.offsets.to_numpy()
+        out = pc.index_in(pc.ascii_trim(pc.ascii_lower(words), ASCII_EDGES), self.values).fill_null(-1).to_numpy().copy()
+        out[out == len(self.index)] = -2
+        other = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+        if len(other):
+            out[other] = np.fromiter(map(self.__getitem__, words.take(pa.array(other)).to_numpy(zero_copy_only=False)), np.int32, len(other))
+        kept = out != -2
+        ends = np.append(0, np.cumsum(kept))[ends]
+        out = out[kept]
+        return (out[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True))
 
 
 def column_sums(flags: np.ndarray) -> np.ndarray:
@@ -99,8 +127,7 @@ def passage_frequencies(docs: DataFrame, text_col: str, terms: list[str]) -> tup
         seen = np.zeros((max(1, FLAGS // v), v), bool)  # passage x term
         used = 0
         for b in batches:
-            for t in b["t"]:
-                ids = vocabulary.ids(t)
+            for ids in vocabulary.all_ids(b["t"]):
                 total += -(-len(ids) // size)
                 for s in range(0, len(ids), size * len(seen)):
                     part = ids[s:s + size * len(seen)]
@@ -146,8 +173,8 @@ def latent_space(items: DataFrame, terms: list[str], idf: np.ndarray, rank: int
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             vocabulary, out = Vocabulary(terms), np.zeros((v, width))
             for b in batches:
-                for t in b["t"]:
-                    own, w = weights_of(vocabulary.ids(t), idf)
+                for ids in vocabulary.all_ids(b["t"]):
+                    own, w = weights_of(ids, idf)
                     if len(own):
                         w = w / np.sqrt((w * w).sum())
                         out[own] += np.outer(w, w @ shared.value[own])
@@ -205,6 +232,7 @@ class Searcher:
             weights = w if len(own) else np.ones(1)
             rows.append(weights @ space[own] if len(own) else np.zeros(space.shape[1]))
             norms.append(np.sqrt((idf[ids] ** 2).sum()))
+        self.needs = [(list(Counter(need.tolist()).items()), self.least(len(need))) for _, need, *_ in self.items]
         self.rows = np.array(rows, np.float32).reshape(len(rows), space.shape[1])
         norm = np.array(norms)
         kept = (self.rows.astype(float) ** 2).sum(axis=1)
@@ -265,7 +293,7 @@ class Searcher:
             if not len(at):
                 continue
             items = postings[np.arange(last[-1]) + np.repeat(first[ids[at]] - last + size, size)]
-            held = np.zeros((total + 1, len(own)), np.int64)
+            held = np.zeros((total + 1, len(own)), np.int32)
             np.cumsum(np.bincount(np.repeat(block[at], size) * len(own) + items, minlength=total * len(own)).reshape(total, len(own)), axis=0, out=held[1:])
             step, span = self.grid(length)
             # a stretch behind one that reaches the end of the text has nothing of its own
@@ -296,7 +324,7 @@ class Searcher:
                     part = part[self.content[part]]
                     parts[lo, hi] = part, Counter(part.tolist())
                 part, here = parts[lo, hi]
-                got = self._common(need, part, here)
+                got = self._common(i, part, here)
                 if got > best[0]:
                     best = (got, lo, hi, part)
             got, lo, hi, part = best
@@ -321,18 +349,16 @@ class Searcher:
         dot, norm = (np.convolve(x, np.ones(SPAN), "valid") for x in (dot, norm))
         return float((dot / np.sqrt(np.maximum(norm, 1e-9))).max())
 
-    @classmethod
-    def _common(cls, need, part, here: Counter) -> int:
+    def _common(self, item: int, part: np.ndarray, here: Counter) -> int:
         """Longest common subsequence, or 0 if too few of the words are there at all."""
-        words = need.tolist()
-        if sum(min(n, here[x]) for x, n in Counter(words).items() if x in here) < cls.least(len(words)):
+        counts, least = self.needs[item]
+        if sum([min(n, here[x]) for x, n in counts if x in here]) < least:
             return 0
-        return common_subsequence(need, part)
+        return common_subsequence(self.items[item][1], part)
 
     def search(self, texts: list[str | None]) -> Iterator[list[tuple]]:
         group, size = [], 0
-        for t in [*texts, None]:
-            ids = self.vocabulary.ids(t)
+        for ids in self.vocabulary.all_ids([*texts, None]):
             group.append(ids)
             size += len(ids)
             if size >= BATCH_WORDS:

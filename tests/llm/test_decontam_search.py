@@ -74,3 +74,17 @@ def test_passages_are_counted_beyond_a_byte():
     flags = np.random.default_rng(2).random((1000, 7)) < np.array([0, 0.1, 0.3, 0.5, 0.9, 1, 1])
     for n in (0, 1, 254, 255, 256, 600, 1000):
         assert decontam.column_sums(flags[:n]).tolist() == [int(c.sum()) for c in flags[:n].T]
+
+
+def test_words_are_numbered_as_one_by_one_and_ascii_ones_not_in_python():
+    terms = sorted({"copy", "i̇", "k", "naïve", "straße", "σας", "it's", "42"})
+    spaces = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    words = ["Copy", "(copy)", "copy\x00", "İ", "K", "«Naïve»", "STRASSE", "Straße", "ΣΑΣ", "ΣΑΣ.", "It's", "--", "«»", "…42…", "­", "co­py", "zz"]
+    texts = [None, "", " ", *(f"{a}{s}{b}" for s in spaces for a, b in itertools.product(words, repeat=2)), spaces.join(words)]
+    index = {t: i for i, t in enumerate(terms)}
+    want = [[index.get(t, -1) for w in (x or "").split() if (t := decontam.term(w))] for x in texts]
+    vocabulary = decontam.Vocabulary(terms)
+    got = list(vocabulary.all_ids(texts))
+    assert [x.tolist() for x in got] == want and {x.dtype for x in got} == {np.dtype(np.int32)}
+    assert vocabulary.ids(texts[-1]).tolist() == want[-1]
+    assert not any(map(str.isascii, vocabulary))
