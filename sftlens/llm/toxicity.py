@@ -28,15 +28,17 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, per_worker, split_by_keys
+from .common import Scratch, mix64, per_worker, split_by_keys
 
 PER_CLASS = 2000
 K = 20
@@ -45,12 +47,14 @@ FIRST = 8  # blocks opened before the first bound is known
 DENSE = 16
 TIE = 1e-6
 MEMO = 100_000
-TOKENS = 100_000  # tokens counted at a time
+TOKENS = 100_000  # tokens counted at a time, taken as ``LETTERS`` characters each
+LETTERS = 6
 TOGETHER = 120_000  # terms of texts whose neighbours are looked up together
 WORDS = 300_000  # distinct tokens whose terms are kept
 PRIOR = 0.5
 SHORTEST, LONGEST = 4, 8  # letters of beginnings
 WORD = re.compile(r"[^\W\d_]+")
+PLAIN = bytes(i if i < 128 and chr(i).isalpha() else 32 for i in range(256))  # letters of ASCII, else blanks
 
 
 def features(token: str) -> list[str]:
@@ -62,26 +66,35 @@ def features(token: str) -> list[str]:
     return out
 
 
+def packed(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each word of ASCII letters, and which words have up to 16 letters, whose bits tell them apart: up to 8
+    letters as they are, mixed with those that follow."""
+    _, ends, data = words.buffers()
+    data = (data or pa.py_buffer(b"")).to_pybytes() + bytes(16)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # from each byte on
+    ends = np.frombuffer(ends, np.int64)[:len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    size, masks = np.diff(ends), np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    start = ends[:-1]
+    head = eight[start] & masks[np.minimum(size, 8)]
+    tail = eight[np.minimum(start + 8, len(eight) - 1)] & masks[np.clip(size - 8, 0, 8)]
+    return head ^ mix64(tail), size <= 16
+
+
 class Terms(dict):
     """Token -> its place among the tokens met, whose term numbers are kept: of the first ``WORDS`` ones for good,
-    of later ones while their texts are counted."""
+    of later ones while their texts are counted.  Tokens of ASCII are met as their words, others whole; words of up to 16
+    letters are not in the dictionary but found by ``keys``, 64 bits each, in order."""
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
         self.hashes = hashes
-        self.new, self.late, self.ends, self.flat = [], [], np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new, self.ends, self.flat = [], np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        for t in self.late:
-            del self[t]
-        self.late, self.ends = [], self.ends[:WORDS + 1]
+        self.ends = self.ends[:WORDS + 1]
         self.flat = self.flat[:self.ends[-1]]
 
-    def __missing__(self, token: str) -> int:
-        self[token] = at = len(self)
-        self.new.append(token)
-        return at
-
     def _find(self, features: list[str]) -> np.ndarray:
         """Numbers of the terms among ``features``; -1: none."""
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, features), np.uint64, len(features))
@@ -95,16 +108,13 @@ class Terms(dict):
     def _learn(self) -> None:
         """The terms of each new token.  Terms come with all their beginnings, so a word one of whose beginnings is
         no term has no longer one either, nor is it a term itself."""
-        words, token = [], []
-        for i, t in enumerate(self.new):
-            t = t.lower()
-            if t.isalpha():
-                words.append(t)
-                token.append(i)
-            else:
-                own = WORD.findall(t)
-                words += own
-                token += [i] * len(own)
+        lower = "\n".join(self.new).lower().split("\n")  # as one by one: no token holds white space
+        alpha = np.fromiter(map(str.isalpha, lower), bool, len(lower))
+        words, token = list(compress(lower, alpha)), np.flatnonzero(alpha).tolist()
+        for i in np.flatnonzero(~alpha).tolist():
+            own = WORD.findall(lower[i])
+            words += own
+            token += [i] * len(own)
         token, size = np.array(token, np.int64), np.fromiter(map(len, words), np.int64, len(words))
         alive, whole, found = np.flatnonzero(size >= SHORTEST), size < SHORTEST, []
         for n in range(SHORTEST, LONGEST + 1):
@@ -119,30 +129,59 @@ class Terms(dict):
         token, at = (np.concatenate(x) for x in zip(*found))
         self.flat = np.append(self.flat, at[np.argsort(token, kind="stable")].astype(np.int32))
         self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.bincount(token, minlength=len(self.new))))
-        self.late += self.new[max(0, WORDS - len(self) + len(self.new)):]
         self.new = []
 
     def counts(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(terms in order, their counts) of each text."""
         group, size = [], 0
         for t in texts:
-            group.append((t or "").split())
+            group.append(t or "")
             size += len(group[-1])
-            if size >= TOKENS:
+            if size >= TOKENS * LETTERS:
                 yield from self._counts(group)
                 group, size = [], 0
         yield from self._counts(group)
 
-    def _counts(self, group: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(self) > WORDS:
-            self.forget()
-        sizes = [len(x) for x in group]
-        token = np.fromiter(map(self.__getitem__, chain.from_iterable(group)), np.int64, sum(sizes))
+    @staticmethod
+    def tokens(group: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+        """Words of the tokens of ASCII and the text of each; the other tokens and the text of each."""
+        lists = pc.utf8_split_whitespace(pa.array(group, pa.large_string()))  # white space as in str.split
+        tokens, text = lists.flatten(), np.repeat(np.arange(len(group)), np.diff(lists.offsets.to_numpy()))
+        ascii = pc.string_is_ascii(tokens).to_numpy(zero_copy_only=False)
+        _, ends, data = tokens.buffers()
+        words = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(tokens), ends, pa.py_buffer((data or pa.py_buffer(b"")).to_pybytes().translate(PLAIN))))
+        token, words = np.repeat(np.arange(len(tokens)), np.diff(words.offsets.to_numpy())), words.flatten()
+        kept, other = ascii[token] & (pc.binary_length(words).to_numpy() > 0), np.flatnonzero(~ascii)
+        return words.filter(pa.array(kept)), text[token[kept]], tokens.take(pa.array(other)), text[other]
+
+    def _counts(self, group: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.forget()
+        words, text, others, text_of_others = self.tokens(group)
+        key, short = packed(words)
+        others = pa.concat_arrays([words.filter(pa.array(~short)), others]).dictionary_encode()
+        text = np.concatenate([text[short], text[~short], text_of_others])
+        key, place = np.unique(key[short], return_inverse=True)
+        one = np.empty(len(key), np.int64)  # a word of each key
+        one[place] = np.flatnonzero(short)
+        at = np.searchsorted(self.keys, key)
+        number = np.where(np.append(self.keys, np.uint64(0))[at] == key, np.append(self.places, -1)[at], -1)
+        fresh = number < 0
+        met = others.dictionary.to_numpy(zero_copy_only=False)
+        number_of_others = np.fromiter(map(self.get, met, repeat(-1)), np.int64, len(met))
+        strange = number_of_others < 0
+        self.new = words.take(pa.array(one[fresh])).to_numpy(zero_copy_only=False).tolist() + met[strange].tolist()
         if self.new:
+            first = len(self.ends) - 1
+            number[fresh] = first + np.arange(fresh.sum())
+            number_of_others[strange] = first + fresh.sum() + np.arange(strange.sum())
+            fresh &= number < WORDS
+            strange &= number_of_others < WORDS
+            self.keys, self.places = np.insert(self.keys, at[fresh], key[fresh]), np.insert(self.places, at[fresh], number[fresh])
+            self.update(zip(met[strange].tolist(), number_of_others[strange].tolist()))
             self._learn()
+        token = np.append(number[place], number_of_others[others.indices.to_numpy()])
         n, v = self.ends[token + 1] - self.ends[token], len(self.hashes)
-        text = np.repeat(np.repeat(np.arange(len(group)), sizes), n)
-        last = np.cumsum(n)
+        text, last = np.repeat(text, n), np.cumsum(n)
         terms = self.flat[np.arange(len(text)) + np.repeat(self.ends[token] - last + n, n)]
         key, count = np.unique(text * v + terms, return_counts=True)
         first = np.searchsorted(key, np.arange(len(group) + 1) * v)
@@ -289,12 +328,15 @@ class Index:
         place, query, weights = self.places[terms[here]], query[here], weights[here]
         held = place < self.dense
         listed, ends = np.zeros((total, width)), np.cumsum(np.bincount(query[~held], minlength=total))
-        rare, rarely = place[~held], weights[~held]
+        rare, rarely, steps = place[~held], weights[~held], np.arange(0)
         for i, (a, b) in enumerate(zip([0, *ends], ends)):  # one at a time, so that it stays in the processor's cache
-            n = self.first[rare[a:b] + 1] - self.first[rare[a:b]]
-            last = np.cumsum(n)
             if b > a:
-                at = np.arange(last[-1]) + np.repeat(self.first[rare[a:b]] - last + n, n)
+                n = self.first[rare[a:b] + 1] - self.first[rare[a:b]]
+                last = np.cumsum(n)
+                at = np.repeat(self.first[rare[a:b]] - last + n, n)
+                if len(at) > len(steps):
+                    steps = np.arange(2 * len(at))
+                at += steps[:len(at)]
                 own = self.lists.take(at)
                 listed[i] = np.bincount(own.view(np.int32)[::2], weights=own.view(np.float32)[1::2] * np.repeat(rarely[a:b], n), minlength=width)
         rows, own_q = place[held], weights[held].astype(np.float32)

@@ -223,3 +223,35 @@ def test_terms_of_tokens_by_their_beginnings(monkeypatch):
             assert dict(zip(own.tolist(), count.tolist())) == want and own.tolist() == sorted(want)
         assert len(terms) <= words + 20
     assert sum("The" in new for words, new in learnt if words == 3) == 1
+
+
+def test_words_are_counted_once_for_all_texts_of_a_group(monkeypatch):
+    """Words of up to 16 letters are told apart by their bits, looked up together and learnt once; counts are those of
+    every feature looked up by itself."""
+    import numpy as np
+    import xxhash
+
+    from sftlens.llm import toxicity
+
+    words = ["a", "ab", "abcd", "abcdefgh", "abcdefghi", "abcdefgha", "bbcdefghi", "abcdefghijklmnop", "abcdefghijklmnoq",
+             "abcdefghijklmnopq", "abcdefghijklmnopqr", "straße", "naïveté", "ΟΔΟΣ", "İstanbul", "x1y2", "²x", "Ⅷ", "co\u00adop", "\u212aelvin"]
+    texts = [None, "", " \t\n", " ".join(words), "\u3000".join(words).upper(), *(f"({a}-{b})\x1f{b}_{a}\x85{b}é{a}" for a in words for b in words), "7" * 50]
+    table = np.unique(np.array([xxhash.xxh3_64_intdigest(f) for t in words[::2] for f in toxicity.features(t)], np.uint64))
+    number = {int(h): i for i, h in enumerate(table)}
+    learnt = []
+    for tokens, limit in ((1, 0), (50, 5), (10**6, 10**6)):
+        monkeypatch.setattr(toxicity, "TOKENS", tokens)
+        monkeypatch.setattr(toxicity, "WORDS", limit)
+        terms = toxicity.Terms(table)
+        learn = terms._learn
+        monkeypatch.setattr(terms, "_learn", lambda learn=learn, terms=terms: learnt.append((limit, list(terms.new))) or learn())
+        for _ in range(2):
+            for t, (own, count) in zip(texts, terms.counts(texts), strict=True):
+                want = {}
+                for f in (f for w in (t or "").split() for f in toxicity.features(w)):
+                    if (i := number.get(xxhash.xxh3_64_intdigest(f))) is not None:
+                        want[i] = want.get(i, 0) + 1
+                assert dict(zip(own.tolist(), count.tolist())) == want and own.tolist() == sorted(want)
+    once = [t for limit, new in learnt if limit == 10**6 for t in new]
+    assert len(once) == len(set(once)) and {"abcdefghi", "abcdefghijklmnopq", "straße"} <= set(once)
+    assert not any(t.isascii() and not t.isalpha() for t in once)
