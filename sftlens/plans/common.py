@@ -44,11 +44,12 @@ def json_string_literal(c):
 _STANDIN_FILES: dict[tuple, str] = {}
 
 
-def standin_file(spark: SparkSession, key: tuple, build, name: str) -> DataFrame:
+def standin_file(spark: SparkSession, key: tuple, build, name: str, write: bool = True) -> DataFrame:
     """A derived stand-in "file": built by Spark from the driver tables and written once
     per Spark application and data folder (in the shared checkpoint folder), like the
     file it models; every query then runs its full work over it.  Re-derived if the
-    folder has gone."""
+    folder has gone.  Without ``write``, a file that is not there yet stays unwritten and its rows are derived where
+    they are read: for queries that read them once and need the disk for what they write."""
     from ..session import scratch_dir
 
     k = (spark.sparkContext.applicationId, *key)
@@ -58,6 +59,8 @@ def standin_file(spark: SparkSession, key: tuple, build, name: str) -> DataFrame
         hp = jvm.org.apache.hadoop.fs.Path(path)
         if not hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp):
             path = None
+    if path is None and not write:
+        return build()
     if path is None:
         path = scratch_dir(spark, name)
         build().write.parquet(path)

@@ -52,8 +52,8 @@ def _task_cols(d: DataFrame) -> DataFrame:
                     pick(sf, "solution").alias("_sf"))
 
 
-def sample_lines(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
-    return standin_file(spark, ("samples", sf_dir, faults), lambda: _sample_lines(spark, sf_dir, faults), "samples")
+def sample_lines(spark: SparkSession, sf_dir: str, faults: bool = False, write: bool = True) -> DataFrame:
+    return standin_file(spark, ("samples", sf_dir, faults), lambda: _sample_lines(spark, sf_dir, faults), "samples", write)
 
 
 def _sample_lines(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
@@ -120,8 +120,8 @@ def task_manifests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "task string, js string").select("task", F.parse_json("js").alias("m"))
 
 
-def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _export(spark, parse_jsonl(sample_lines(spark, sf_dir), on_error="fail"))
+def exported(spark: SparkSession, sf_dir: str, write: bool = True) -> DataFrame:
+    return _export(spark, parse_jsonl(sample_lines(spark, sf_dir, write=write), on_error="fail"))
 
 
 def _export(spark: SparkSession, parsed: DataFrame) -> DataFrame:

@@ -103,11 +103,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(conf).delete(p, True)
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, compression: str | None = None):
     """Write ``df`` once as parquet into a fresh folder under the shared checkpoint folder
     and return a DataFrame reading it: the lineage is cut (executor loss re-reads the
     table instead of recomputing upstream), and unlike ``Dataset.checkpoint`` the
-    input is computed only once."""
+    input is computed only once.  ``compression``: the codec, if not the session's."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)

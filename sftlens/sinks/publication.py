@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_scope
 from ..sources.jsonl import read_jsonl
 from .writers import PublishError, write_jsonl
 
@@ -73,6 +74,9 @@ def publish(df: DataFrame, root: str, validate: Callable[[DataFrame, DataFrame],
     ``validate(parsed, expected)`` is a rule set of ``operators.validate`` (violations as rows) over the lines read back;
     ``expected`` has ``task, expected``.  An empty export, and one of another size than ``expected_count``, is
     refused.  ``expected_version``: the version that must still be current (None: nothing published yet).
+
+    Besides the version itself nothing as large is written: the lines are numbered by a second scan of the version's files,
+    and what the rule set writes is deleted when its violations are known.
     """
     spark = df.sparkSession
     before = current(spark, root)
@@ -86,9 +90,10 @@ def publish(df: DataFrame, root: str, validate: Callable[[DataFrame, DataFrame],
     if expected_count is not None and rows != expected_count:
         found.append(f"{task}: {rows} rows, expected {expected_count}")
     if not found:
-        parsed = read_jsonl(spark, path, on_error="collect", base=1).withColumn("task", F.lit(task))
-        expected = spark.createDataFrame([(task, rows)], "task string, expected long")
-        found = [f"{r['code']} (line {r['line']}): {r['detail']}" for r in validate(parsed, expected).limit(20).collect()]
+        with scratch_scope(spark):
+            parsed = read_jsonl(spark, path, on_error="collect", base=1, write=False).withColumn("task", F.lit(task))
+            expected = spark.createDataFrame([(task, rows)], "task string, expected long")
+            found = [f"{r['code']} (line {r['line']}): {r['detail']}" for r in validate(parsed, expected).limit(20).collect()]
     now = (current(spark, root) or {}).get("version")
     if not found and now != (before or {}).get("version"):
         found = [f"{root} moved to {now} meanwhile"]

@@ -9,6 +9,9 @@ offsets per file, which are added back by a join on the partition number: a
 broadcast join as long as that narrow table is under the broadcast threshold in
 bytes.  How the table is split when it is read again does not matter, since the tag
 travels as a column.  Blank lines keep their number, as in the reference.
+
+Where the lines are as large as the disk that they may take (a publication that is read back), ``write=False`` scans the
+files twice instead, over partitions that are planned once: no table of lines is written.
 """
 from __future__ import annotations
 
@@ -27,12 +30,21 @@ POLICIES = ("fail", "collect", "drop")
 LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
 
 
-def number_lines(raw: DataFrame, base: int = 1) -> DataFrame:
+def planned_once(df: DataFrame) -> DataFrame:
+    """``df`` as the partitions that it has now: every pass over it reads the same rows in the same partitions, whatever
+    becomes of split sizes and cores meanwhile.  Nothing is written; each pass computes the rows again."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
+def number_lines(raw: DataFrame, base: int = 1, write: bool = True) -> DataFrame:
     """Add ``line`` to rows ``text, file, _blk`` read from text files (batch or micro-batch).
 
     One pass over the files; rows come back exactly once, whatever the split sizes or cores
-    of the two steps."""
-    tagged = materialize(raw.withColumn("_mid", F.monotonically_increasing_id()), "lines")
+    of the two steps.  Without ``write`` (batch only, files that do not change) the files are scanned
+    again instead of a table of their lines."""
+    mid = F.monotonically_increasing_id()
+    tagged = materialize(raw.withColumn("_mid", mid), "lines") if write else planned_once(raw).withColumn("_mid", mid)
     part = F.shiftright("_mid", 33)
     blocks = tagged.groupBy("file", "_blk", part.alias("_pid")).agg(
         F.min("_mid").alias("_from"), F.max("_mid").alias("_to"), F.count(F.lit(1)).alias("_n"))
@@ -51,10 +63,10 @@ def text_with_blocks(df: DataFrame) -> DataFrame:
                      F.col("_metadata.file_block_start").alias("_blk"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str], base: int = 1) -> DataFrame:
-    """Lines of text files: ``text, file, line`` (``base``-based, dense per file)."""
+def read_lines(spark: SparkSession, path: str | list[str], base: int = 1, write: bool = True) -> DataFrame:
+    """Lines of text files: ``text, file, line`` (``base``-based, dense per file); ``write`` as in :func:`number_lines`."""
     paths = [path] if isinstance(path, str) else list(path)
-    return number_lines(text_with_blocks(spark.read.text(paths)), base)
+    return number_lines(text_with_blocks(spark.read.text(paths)), base, write)
 
 
 WHOLE = 32 << 20  # bytes up to which a task reads a file in one go
@@ -137,9 +149,9 @@ def number_and_parse(raw: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], on_error: str = "fail",
-               base: int = 1) -> DataFrame:
-    """SC1+SC2: ``file, line, v`` (plus ``text, parse_error`` for ``collect``)."""
-    return parse_jsonl(read_lines(spark, path, base=base), on_error)
+               base: int = 1, write: bool = True) -> DataFrame:
+    """SC1+SC2: ``file, line, v`` (plus ``text, parse_error`` for ``collect``); ``write`` as in :func:`number_lines`."""
+    return parse_jsonl(read_lines(spark, path, base, write), on_error)
 
 
 def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:

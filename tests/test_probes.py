@@ -96,6 +96,28 @@ def test_line_numbers_survive_other_split_sizes(spark, tmp_dir):
     assert (n, wrong) == (20_000, 0) and tuple(again) == (0, 19_999, 20_000)
 
 
+def test_line_numbers_without_a_table_of_lines(spark, tmp_dir, monkeypatch):
+    """The second scan has the partitions of the first, whatever the split size is by then."""
+    from sftlens.sources import jsonl
+
+    for name, rows in (("a", 9_000), ("b", 1), ("c", 5_000)):
+        with open(os.path.join(tmp_dir, f"{name}.txt"), "w") as f:
+            f.writelines(f"{name} {i}\n" for i in range(rows))
+    written = []
+    monkeypatch.setattr(jsonl, "materialize", lambda df, name, old=jsonl.materialize: written.append(name) or old(df, name))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        lines = read_lines(spark, f"{tmp_dir}/*.txt", base=0, write=False)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        got = lines.select(F.regexp_extract("file", r"(\w)\.txt", 1).alias("f"), F.col("text") == F.format_string("%s %d", "f", "line"), "line")
+        got = got.toDF("f", "right", "line").groupBy("f").agg(F.count_if("right"), F.min("line"), F.max("line"), F.count_distinct("line")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(tuple(r) for r in got) == [("a", 9_000, 0, 8_999, 9_000), ("b", 1, 0, 0, 1), ("c", 5_000, 0, 4_999, 5_000)]
+    assert written == ["line-blocks"]
+
+
 def test_dense_index_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("g", 2), (None, 2)], "g string, o long")
     got = sorted((r["g"] or "", r["o"], r["idx"]) for r in dense_index(df, ["o"], ["g"]).collect())

@@ -1,5 +1,6 @@
 """SQL functions against the DataFrame operators; publication by pointer."""
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from sftlens.functions.sqlcatalog import register
 from sftlens.operators.grading import grade, is_equiv
 from sftlens.operators.validate import validate_samples
 from sftlens.sinks import publication
-from sftlens.sinks.publication import current, publish, read_current, remove_unused
+from sftlens.sinks.publication import current, publish, read_current, remove_unused, version_path
 from sftlens.sinks.writers import PublishError
 from sftlens.sources.jsonl import parse_jsonl
 
@@ -116,6 +117,27 @@ def test_a_pointer_that_moves_meanwhile(spark, tmp_dir):
     assert [r["i"] for r in read_current(spark, root, "i long").collect()] == [2]
 
 
+def test_publishing_writes_no_second_copy_of_the_lines(spark, tmp_dir, monkeypatch):
+    """What is written besides the version is far smaller than it, and gone when the publication ends; lines keep their numbers."""
+    from sftlens import session
+
+    size = lambda folder: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    df = spark.range(50).selectExpr("id AS i", "IF(id = 7, '', concat_ws('', transform(sequence(1, 1000), x -> hex(hash(id, x))))) AS s")
+    made, wrote = [], []
+    monkeypatch.setattr(session, "scratch_dir", lambda spark, name, old=session.scratch_dir: made.append(old(spark, name).removeprefix("file:")) or made[-1])
+
+    def rules(parsed, expected):
+        found = session.materialize(blank_is_wrong(parsed, expected), "rules")
+        wrote.append(sum(map(size, made)))
+        return found
+
+    publish(df.where("id <> 7"), f"{tmp_dir}/table", rules)
+    with pytest.raises(PublishError, match=r"blank \(line 8\)"):
+        publish(df.coalesce(1), f"{tmp_dir}/table", rules)
+    lines = size(version_path(f"{tmp_dir}/table", current(spark, f"{tmp_dir}/table")["version"]))
+    assert len(wrote) == 2 and 0 < max(wrote) < lines / 10 and not any(map(os.path.exists, made))
+
+
 @pytest.mark.parametrize("query, most", [("SAMPLE_ERRORS", 9), ("EXPORT_ERRORS", 11)])
 def test_filters_that_are_pushed_down_parse_a_text_once(spark, query, most):
     from sftlens.plans import sql_queries
