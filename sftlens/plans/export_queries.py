@@ -291,7 +291,7 @@ def q_publish_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import scratch_dir
     from ..sinks.writers import publish_validated
 
-    e = exported(spark, sf_dir).select(*EXPORT_COLUMNS)
+    e = exported(spark, sf_dir, write=False).select(*EXPORT_COLUMNS)
     dest = scratch_dir(spark, "published") + "/export"
     publish_validated(e, dest, lambda parsed, expected: validate_export_file(parsed, expected,
                                                                              expected_method=TOKENIZER.name))

@@ -54,13 +54,15 @@ def publish_validated(df: DataFrame, path: str, validate, expected_count: int |
     without rows, records that P17 refuses (blank fields, a sample id that repeats in any of the
     part files) and violations of ``validate(parsed_df, expected_df) -> errors_df`` (e.g.
     :func:`sftlens.operators.validate.validate_export_file`) stop the publication; only
-    the first few reach the driver, for the message.  Returns the row count.
+    the first few reach the driver, for the message.  Besides the export itself nothing as large is
+    written: lines are numbered by a second scan of the staged files, and the narrow tables of the rules are
+    deleted when their violations are known.  Returns the row count.
     """
     from pyspark.sql import Observation
 
     from ..functions.variant import as_string, key
     from ..operators.export import publication_violations
-    from ..session import materialize
+    from ..session import scratch_scope
     from ..sources.jsonl import read_jsonl
 
     spark = df.sparkSession
@@ -74,13 +76,13 @@ def publish_validated(df: DataFrame, path: str, validate, expected_count: int |
             raise PublishError("no rows to publish")
         if expected_count is not None and written != expected_count:
             raise PublishError(f"expected {expected_count} rows but wrote {written}")
-        parsed = read_jsonl(spark, staging + "/*.json", on_error="collect").withColumn("task", F.lit(task)).drop("text")
-        parsed = materialize(parsed, "staged")
-        fields = [as_string("v", key(c)).alias(c) for c in ("sample_id", "raw_output", "prompt", "question")]
-        bad = publication_violations(parsed.select("task", "file", "line", *fields), ["file", "line"]).limit(5).collect()
-        if not bad:
-            expected = spark.createDataFrame([(task, written)], "task string, expected long")
-            bad = validate(parsed, expected).limit(5).collect()
+        with scratch_scope(spark):
+            parsed = read_jsonl(spark, staging + "/*.json", on_error="collect", write=False).withColumn("task", F.lit(task)).drop("text")
+            fields = [as_string("v", key(c)).alias(c) for c in ("sample_id", "raw_output", "prompt", "question")]
+            bad = publication_violations(parsed.select("task", "file", "line", *fields), ["file", "line"]).limit(5).collect()
+            if not bad:
+                expected = spark.createDataFrame([(task, written)], "task string, expected long")
+                bad = validate(parsed, expected).limit(5).collect()
         if bad:
             raise PublishError(f"validation failed: {[tuple(r) for r in bad]}")
         dest = jvm.org.apache.hadoop.fs.Path(path)

@@ -42,6 +42,28 @@ def test_publisher_publishes(spark, tmp_dir):
     assert spark.read.json(dest).count() == 3
 
 
+def test_publisher_writes_no_second_copy_of_the_lines(spark, tmp_dir, monkeypatch):
+    """What is written besides the staged lines is far smaller than they are, and gone when the publication ends."""
+    from sftlens import session
+
+    size = lambda folder: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    long = F.expr("concat_ws('', transform(sequence(1, 2000), x -> hex(hash(sample_id, x))))")
+    records = _records(spark, [f"s{i}" for i in range(40)]).withColumn("raw_output", long)
+    made, wrote = [], []
+    monkeypatch.setattr(session, "scratch_dir", lambda spark, name, old=session.scratch_dir: made.append(old(spark, name).removeprefix("file:")) or made[-1])
+
+    def rules(parsed, expected):
+        found = validate_export_file(parsed, expected)
+        wrote.append(sum(map(size, made)))
+        return found
+
+    assert publish_validated(records, f"{tmp_dir}/good", rules) == 40
+    with pytest.raises(PublishError, match="bad_max_gen_toks"):
+        publish_validated(records.withColumn("max_gen_toks", F.lit(1)), f"{tmp_dir}/bad", rules)
+    assert len(wrote) == 2 and 0 < max(wrote) < size(f"{tmp_dir}/good") / 10 and not any(map(os.path.exists, made))
+    assert os.listdir(tmp_dir) == ["good"]
+
+
 def _sample(doc_id):
     return json.dumps({"doc_id": doc_id, "prompt": "p", "resps": [["x"]], "filtered_resps": [["x"]]})
 
